@@ -77,7 +77,7 @@ def main(argv):
         try:
             status, a, b = compare(spark, con, name, folder)
         except Exception as exc:  # noqa: BLE001 - a report, not a library
-            status, a, b = f"ERROR {type(exc).__name__}: {str(exc)[:700]}", 0, 0
+            status, a, b = f"ERROR {type(exc).__name__}: {str(exc)[:300]}", 0, 0
         flag = "" if status.startswith(("ok", "rows-only")) else "  <<<<<<"
         bad += bool(flag)
         print(f"{name:22s} spark {a:6.2f}s sql {b:6.2f}s  {status}{flag}", flush=True)

@@ -12,7 +12,7 @@ from whylake import constants as K
 
 # Line separators and blanks wider than Spark's trim, so that text written by
 # other tools splits and strips alike.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 

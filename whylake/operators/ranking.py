@@ -57,3 +57,18 @@ def first_texts(df: DataFrame, keys: list[str], text: Column, order: Column, n:
     return top.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_text"))), lambda x: x["_text"]).alias(name)
     )
+
+
+def previous(df: DataFrame, keys: list[str], bucket: Column, order: str, value: str, name: str) -> DataFrame:
+    """The ``value`` of the row before, in ``order``, within each group, without sorting a whole group in one task.
+
+    Rows look back inside their bucket (monotone in ``order``); the first row of a bucket takes the last row of the
+    bucket before it, found in the small table of bucket ends.  Adds ``name`` and ``name_order``.
+    """
+    rows = df.withColumn("_bucket", bucket)
+    inside = W.partitionBy(*keys, "_bucket").orderBy(order)
+    ends = rows.groupBy(*keys, "_bucket").agg(F.max_by(F.struct(value, order), F.col(order)).alias("_end"))
+    ends = ends.withColumn("_last", F.lag("_end").over(W.partitionBy(*keys).orderBy("_bucket"))).drop("_end")
+    looked = rows.withColumn("_prev", F.lag(F.struct(value, order)).over(inside)).join(ends, keys + ["_bucket"])
+    found = F.coalesce("_prev", "_last")
+    return looked.withColumns({name: found[value], name + "_order": found[order]}).drop("_bucket", "_prev", "_last")

@@ -7,188 +7,195 @@ so the number of projects, not their size, grows with the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whylake import constants as K
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+# Stated, so that opening a table starts no job that reads file footers.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "pages": "page_id bigint, url string, html string",
+}
+
+
+# The file a part number stands for, as an SQL text over column m.
+FILE_OF_PART = (
+    "CASE WHEN m < 3 THEN concat('deps/pkg', m, '.lock') WHEN m < 10 THEN concat('docs/guide', m, '.md') "
+    "WHEN m < 25 THEN concat('tests/test_mod', m, '.py') ELSE concat('src/area', m % 7, '/mod', m, '.py') END"
+)
+
 
+def role(method):
+    """A role table is built once per ``Tables``; plans then share the analysed DataFrame."""
 
-def _list(*items: Column) -> Column:
-    return F.array_compact(F.array(*items))
+    @functools.wraps(method)
+    def once(self):
+        if method.__name__ not in self._open:
+            self._open[method.__name__] = method(self)
+        return self._open[method.__name__]
+
+    return once
 
 
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._open: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        key = f"raw {name}"
+        if key not in self._open:
+            self._open[key] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+        return self._open[key]
 
     # --- history -----------------------------------------------------------
+    @role
     def all_commits(self) -> DataFrame:
-        key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
-        decision = F.when(status == "F", _text("ship order ", key, " in one batch"))
-        watch = F.when(priority == "1-URGENT", _text("order ", key, " may exceed budget"))
-        dropped = F.when(priority == "5-LOW", _text("split order ", key))
-        body = F.concat_ws(
-            "\n",
-            _text("Order ", key, " of customer ", F.col("o_custkey")),
-            _text(K.NOTE_DECISION + " ", decision),
-            _text(K.NOTE_WATCH + " ", watch),
-            _text(K.NOTE_REJECTED + " ", dropped),
-        )
-        kind = F.substring(priority, 1, 1)
-        prefix = (
-            F.when(kind == "1", "fix: ").when(kind == "2", "feat(core): ").when(kind == "3", "refactor: ")
-            .when(kind == "4", "Update ").otherwise("chore: ")
+        rows = self.raw("orders").selectExpr(
+            "concat('/fleet/p', o_custkey div 100) AS project",
+            "sha1(CAST(o_orderkey AS STRING)) AS sha",
+            "CAST(datediff(o_orderdate, DATE '1970-01-01') AS BIGINT) * 1000000000000 + o_orderkey AS log_pos",
+            "o_orderdate AS date", "concat('dev', o_custkey) AS author",
+            "concat(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'fix: ' WHEN '2' THEN 'feat(core): ' "
+            "WHEN '3' THEN 'refactor: ' WHEN '4' THEN 'Update ' ELSE 'chore: ' END, 'order ', o_orderkey) AS subject",
+            "o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM' AS is_merge",
+            "CASE WHEN o_orderstatus = 'F' THEN concat('ship order ', o_orderkey, ' in one batch') END AS dec",
+            "CASE WHEN o_orderpriority = '1-URGENT' THEN concat('order ', o_orderkey, ' may exceed budget') END AS watch",
+            "CASE WHEN o_orderpriority = '5-LOW' THEN concat('split order ', o_orderkey) END AS rej",
+            "o_orderkey AS key", "o_custkey AS cust", "o_orderstatus AS status", "o_totalprice AS price",
         )
-        day = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01")).cast("bigint")
-        return self.raw("orders").select(
-            _text("/fleet/p", F.expr("o_custkey div 100")).alias("project"),
-            F.sha1(key.cast("string")).alias("sha"),
-            (day * F.lit(1_000_000_000_000) + key).alias("log_pos"),
-            F.col("o_orderdate").alias("date"),
-            _text("dev", F.col("o_custkey")).alias("author"),
-            F.concat(prefix, _text("order ", key)).alias("subject"),
-            body.alias("body"),
-            ((status == "P") & (priority == "3-MEDIUM")).alias("is_merge"),
-            key.alias("key"), status.alias("status"), F.col("o_totalprice").alias("price"),
+        body = (
+            "concat_ws('\\n', concat('Order ', key, ' of customer ', cust), "
+            f"concat('{K.NOTE_DECISION} ', dec), concat('{K.NOTE_WATCH} ', watch), concat('{K.NOTE_REJECTED} ', rej)) AS body"
         )
+        return rows.selectExpr("*", body).drop("cust")
 
+    @role
     def commits(self) -> DataFrame:
-        return self.all_commits().filter(~F.col("is_merge"))
-
-    @staticmethod
-    def _file(part: Column) -> Column:
-        m = part % 100
-        return (
-            F.when(m < 3, _text("deps/pkg", m, ".lock")).when(m < 10, _text("docs/guide", m, ".md"))
-            .when(m < 25, _text("tests/test_mod", m, ".py"))
-            .otherwise(_text("src/area", m % 7, "/mod", m, ".py"))
-        )
+        return self.all_commits().filter("NOT is_merge").drop("dec", "watch", "rej")
 
-    def _commit_keys(self) -> DataFrame:
+    @role
+    def _keys(self) -> DataFrame:
         return self.commits().select("project", "sha", "log_pos", "date", "key")
 
+    @role
     def files(self) -> DataFrame:
-        touched = self.raw("lineitem").select("l_orderkey", self._file(F.col("l_partkey")).alias("file")).distinct()
-        joined = touched.join(self._commit_keys(), F.col("l_orderkey") == F.col("key"))
-        return joined.select("project", "sha", "log_pos", "date", "file")
+        parts = self.raw("lineitem").selectExpr("l_orderkey AS key", "l_partkey % 100 AS m").distinct()
+        return parts.join(self._keys(), "key").selectExpr("project", "sha", "log_pos", "date", f"{FILE_OF_PART} AS file")
 
+    @role
     def tracked(self) -> DataFrame:
-        kept = self.raw("lineitem").filter("l_quantity >= 49").select(
-            "l_orderkey", self._file(F.col("l_partkey")).alias("file"))
-        return kept.join(self._commit_keys(), F.col("l_orderkey") == F.col("key")).select("project", "file").distinct()
+        parts = self.raw("lineitem").filter("l_quantity >= 49").selectExpr("l_orderkey AS key", "l_partkey % 100 AS m")
+        return parts.join(self._keys(), "key").selectExpr("project", f"{FILE_OF_PART} AS file").distinct()
 
+    @role
     def hunks(self) -> DataFrame:
-        line = self.raw("lineitem").select(
-            "l_orderkey",
-            self._file(F.col("l_partkey")).alias("file"),
-            (F.col("l_linenumber").cast("bigint") * 40).alias("new_start"),
-            F.col("l_quantity").cast("bigint").alias("new_count"),
-            (F.col("l_linenumber").cast("bigint") * 40).alias("old_start"),
-            (F.col("l_quantity").cast("bigint") - 1).alias("old_count"),
-        ).filter(~F.endswith(F.col("file"), F.lit(".lock")))
-        return line.join(self._commit_keys(), F.col("l_orderkey") == F.col("key")).drop("l_orderkey", "key")
+        lines = self.raw("lineitem").selectExpr(
+            "l_orderkey AS key", "l_partkey % 100 AS m", "CAST(l_linenumber AS BIGINT) * 40 AS new_start",
+            "CAST(l_quantity AS BIGINT) AS new_count", "CAST(l_linenumber AS BIGINT) * 40 AS old_start",
+            "CAST(l_quantity AS BIGINT) - 1 AS old_count")
+        return lines.join(self._keys(), "key").selectExpr(
+            "project", "sha", "log_pos", "date", f"{FILE_OF_PART} AS file", "new_start", "new_count", "old_start",
+            "old_count").filter("NOT endswith(file, '.lock')")
 
     # --- narratives and judgements ------------------------------------------
+    @role
     def narratives(self) -> DataFrame:
-        c = self.commits().select("project", "sha", "log_pos", "date", "key", "body")
-        d = self.raw("documents")
+        commits = self.all_commits().filter("NOT is_merge").select(
+            "project", "sha", "log_pos", "date", "key", "dec", "watch", "rej")
         labels = self.raw("labels").withColumnRenamed("doc_id", "label_id")
-        note = lambda prefix: F.get(F.split(F.get(F.split("body", prefix + " "), F.lit(1)), "\n"), F.lit(0))
-        short, lang, source = F.col("n_chars") < 300, F.col("lang"), F.col("source")
-        return (
-            d.join(c, F.col("doc_id") == F.col("key"))
-            .join(labels, F.col("doc_id") == F.col("label_id"), "left")
-            .select(
-                "project", "sha", "log_pos", "date", "doc_id",
-                _text("Order ", F.col("key"), " in ", lang).alias("what"),
-                F.when(lang == "de", "").otherwise(F.col("text")).alias("why"),
-                _list(F.when(lang == "en", _text("keep ", source)), note(K.NOTE_DECISION)).alias("decisions"),
-                _list(
-                    note(K.NOTE_WATCH),
-                    F.when(F.col("n_chars") > 1500, _text("check ", lang, " copy")),
-                    F.when(short, F.lit(K.FILLER_PREFIX + ",无法判断")),
-                ).alias("risks"),
-                _list(F.when(lang.isin("fr", "es"), _text("translate ", source)), F.when(short, "  ")).alias("open_loops"),
-                _list(F.when(lang == "es", _text("drop ", source)), note(K.NOTE_REJECTED)).alias("rejected"),
-                F.when(F.col("quality") == 1, 1).otherwise(0).cast("bigint").alias("n_evidence"),
-                F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("degraded"),
-                F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, doc_id)").alias("created_at"),
-            )
+        docs = self.raw("documents")
+        rows = docs.join(commits, F.col("doc_id") == F.col("key")).join(labels, F.col("doc_id") == F.col("label_id"), "left")
+        return rows.selectExpr(
+            "project", "sha", "log_pos", "date", "doc_id", "concat('Order ', key, ' in ', lang) AS what",
+            "CASE WHEN lang = 'de' THEN '' ELSE text END AS why",
+            "array_compact(array(CASE WHEN lang = 'en' THEN concat('keep ', source) END, dec)) AS decisions",
+            "array_compact(array(watch, CASE WHEN n_chars > 1500 THEN concat('check ', lang, ' copy') END, "
+            f"CASE WHEN n_chars < 300 THEN '{K.FILLER_PREFIX},无法判断' END)) AS risks",
+            "array_compact(array(CASE WHEN lang IN ('fr', 'es') THEN concat('translate ', source) END, "
+            "CASE WHEN n_chars < 300 THEN '  ' END)) AS open_loops",
+            "array_compact(array(CASE WHEN lang = 'es' THEN concat('drop ', source) END, rej)) AS rejected",
+            "CAST(CASE WHEN quality = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence",
+            "coalesce(toxic = 1, false) AS degraded",
+            "TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, doc_id) AS created_at",
         )
 
+    @role
     def capsules(self) -> DataFrame:
-        urgent = self.commits().filter(F.contains(F.col("body"), F.lit(K.NOTE_WATCH)))
-        sealed = F.to_date("date")
-        opens = F.date_add(sealed, K.CAPSULE_DAYS)
-        return urgent.select(
-            _text(F.col("sha"), ":0").alias("capsule_id"), "project", "sha",
-            _text("order ", F.col("key"), " may exceed budget").alias("risk"),
-            sealed.alias("sealed_date"), opens.alias("open_date"),
-            F.when(F.col("status") != "O", opens).alias("opened_date"),
-            F.when(F.col("status") == "F", K.CAPSULE_OUTCOMES[1]).alias("outcome"),
-        )
+        return self.all_commits().filter("NOT is_merge AND watch IS NOT NULL").selectExpr(
+            "concat(sha, ':0') AS capsule_id", "project", "sha", "watch AS risk", "to_date(date) AS sealed_date",
+            f"date_add(to_date(date), {K.CAPSULE_DAYS}) AS open_date",
+            f"CASE WHEN status <> 'O' THEN date_add(to_date(date), {K.CAPSULE_DAYS}) END AS opened_date",
+            f"CASE WHEN status = 'F' THEN '{K.CAPSULE_OUTCOMES[1]}' END AS outcome")
 
+    @role
     def reviewed(self) -> DataFrame:
-        return self.commits().filter("price >= 250000").select(
-            "project", "sha", F.expr("date + interval 10 days").alias("reviewed_at"))
+        return self.commits().filter("price >= 250000").selectExpr(
+            "project", "sha", "date + interval 10 days AS reviewed_at")
 
     # --- sessions -------------------------------------------------------------
+    @role
     def actions(self) -> DataFrame:
-        kind = F.col("event_type")
-        n = F.get_json_object("props", "$.k")
-        return self.raw("events").filter(kind != "purchase").select(
+        rows = self.raw("events").filter("event_type <> 'purchase'").selectExpr(
+            "*", "get_json_object(props, '$.k') AS k")
+        return rows.selectExpr(
             "event_id", "ts",
-            F.when(kind == "signup", "cursor").when(kind == "error", "codex").otherwise("claude").alias("source"),
-            _text("/fleet/u", F.col("user_id")).alias("project"),
-            _text(F.col("user_id"), ":", F.date_format("ts", "yyyy-MM-dd")).alias("session_id"),
-            F.when(kind == "view", "read").otherwise("write").alias("mode"),
-            _text("src/k", n, ".py").alias("file"), "value", n.cast("bigint").alias("n"),
-        )
+            "CASE event_type WHEN 'signup' THEN 'cursor' WHEN 'error' THEN 'codex' ELSE 'claude' END AS source",
+            "concat('/fleet/u', user_id) AS project",
+            "concat(user_id, ':', date_format(ts, 'yyyy-MM-dd')) AS session_id",
+            "CASE event_type WHEN 'view' THEN 'read' ELSE 'write' END AS mode",
+            "concat('src/k', k, '.py') AS file", "value", "CAST(k AS BIGINT) AS n")
 
+    @role
     def sessions(self) -> DataFrame:
         return self.actions().groupBy("project", "source", "session_id").agg(
             F.min("ts").alias("started"), F.max("ts").alias("ended"), F.count(F.lit(1)).alias("records"))
 
+    @role
     def session_files(self) -> DataFrame:
         return self.actions().select("project", "source", "session_id", "file", "mode").distinct()
 
+    @role
     def event_commits(self) -> DataFrame:
-        return self.raw("events").filter("event_type = 'purchase'").select(
-            _text("/fleet/u", F.col("user_id")).alias("project"),
-            F.sha1(_text("e", F.col("event_id"))).alias("sha"),
-            F.col("event_id").alias("log_pos"), F.col("ts").alias("date"),
-            _text("feat: purchase ", F.col("event_id")).alias("subject"),
-            _text("src/k", F.get_json_object("props", "$.k"), ".py").alias("file"),
-        )
+        return self.raw("events").filter("event_type = 'purchase'").selectExpr(
+            "concat('/fleet/u', user_id) AS project", "sha1(concat('e', event_id)) AS sha", "event_id AS log_pos",
+            "ts AS date", "concat('feat: purchase ', event_id) AS subject",
+            "concat('src/k', get_json_object(props, '$.k'), '.py') AS file")
 
+    @role
     def turns(self) -> DataFrame:
-        conv, turn = F.col("conv_id"), F.col("turn")
-        return self.raw("conversations").select(
-            _text("c", conv).alias("session_id"), _text("/chat/", F.expr("conv_id div 50")).alias("project"),
-            turn.alias("line_no"), "role", "text", _text(conv, ":", turn).alias("turn_id"),
-            F.expr("timestamp_ntz'2024-02-01' + make_dt_interval(0, 0, 0, conv_id * 60 + turn)").alias("ts"),
-        )
+        return self.raw("conversations").selectExpr(
+            "concat('c', conv_id) AS session_id", "concat('/chat/', conv_id div 50) AS project", "turn AS line_no",
+            "role", "text", "concat(conv_id, ':', turn) AS turn_id",
+            "TIMESTAMP_NTZ '2024-02-01' + make_dt_interval(0, 0, 0, conv_id * 60 + turn) AS ts")
 
+    @role
     def usage(self) -> DataFrame:
-        n = F.get_json_object("props", "$.k").cast("bigint")
-        return self.raw("events").select(
-            F.col("event_type").alias("command"), _text("/fleet/u", F.col("user_id")).alias("project"), "ts",
-            (n % 3).alias("llm_calls"), n.alias("tokens_in"), (n * 2).alias("tokens_out"), "event_id",
-        )
+        rows = self.raw("events").selectExpr("*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS n")
+        return rows.selectExpr(
+            "event_type AS command", "concat('/fleet/u', user_id) AS project", "ts", "n % 3 AS llm_calls",
+            "n AS tokens_in", "n * 2 AS tokens_out", "event_id")
 
     # --- paths ------------------------------------------------------------------
+    @role
     def url_paths(self) -> DataFrame:
-        return self.raw("pages").select(
-            "page_id",
-            F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host"),
-            F.concat(F.lit("/"), F.regexp_extract("url", r"^https?://([^?#]+)", 1)).alias("path"),
-            "url",
-        )
+        return self.raw("pages").selectExpr(
+            "page_id", r"regexp_extract(url, r'^https?://([^/?#]+)', 1) AS host",
+            r"concat('/', regexp_extract(url, r'^https?://([^?#]+)', 1)) AS path", "url")
