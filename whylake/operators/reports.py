@@ -166,6 +166,7 @@ def attention(board: DataFrame, capsules: DataFrame, projects: DataFrame, top: i
         F.max("debt_exact").alias("peak"), F.max_by("file", F.struct("debt_exact", "file")).alias("file"))
     live = projects.join(peaks, "project", "left").join(CAP.pending_counts(capsules), "project", "left").select(
         "project", "file", F.coalesce("peak", F.lit(0.0)).alias("peak"), F.coalesce("pending", F.lit(0)).alias("pending"))
+    live = live.persist()  # one row per project, read four times below
     worst = live.filter("peak > 0").orderBy(F.col("peak").desc(), "project").limit(top).select("project", F.lit(True).alias("_top"))
     shown = live.join(worst, "project", "left").filter((F.col("pending") > 0) | F.col("_top").isNotNull()).drop("_top")
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()

@@ -169,7 +169,7 @@ def file_history(t):
 
 
 # Hunks of each project's newest commits play the pending diff.
-PENDING_SQL = """SELECT h.project || '|' || h.file || '|' || h.sha || '|' || h.new_start AS target_id, h.project, h.file,
+PENDING_SQL = """SELECT DISTINCT h.project || '|' || h.file || '|' || h.sha || '|' || h.new_start || '|' || h.new_count AS target_id, h.project, h.file,
   h.new_start AS start, h.new_start + h.new_count - 1 AS "end", h.log_pos AS own_pos
   FROM v_hunks h JOIN (SELECT project, max(log_pos) AS newest FROM v_files GROUP BY 1) m
     ON m.project = h.project AND m.newest = h.log_pos"""
@@ -179,9 +179,9 @@ def pending_hunks(t):
     newest = t.files().groupBy("project").agg(F.max("log_pos").alias("log_pos"))
     rows = t.hunks().join(newest, ["project", "log_pos"], "left_semi")
     return rows.select(
-        F.concat_ws("|", "project", "file", "sha", "new_start").alias("target_id"), "project", "file",
+        F.concat_ws("|", "project", "file", "sha", "new_start", "new_count").alias("target_id"), "project", "file",
         F.col("new_start").alias("start"), (F.col("new_start") + F.col("new_count") - 1).alias("end"),
-        F.col("log_pos").alias("own_pos"))
+        F.col("log_pos").alias("own_pos")).distinct()
 
 
 @query("line_overlap", f"""
