@@ -1,0 +1,591 @@
+"""Operators on small fixtures with known results."""
+
+import random
+from datetime import date, datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from whylake.operators import adr, align, audits, capsules, coverage, debt, drift, graph, history, ranking, reports, review, search, sessions, state, usage
+
+T0 = datetime(2024, 5, 1, 12)
+
+
+def frame(spark, rows, schema):
+    return spark.createDataFrame(rows, schema)
+
+
+COMMITS = "project string, sha string, log_pos bigint, date timestamp, subject string, body string"
+FILES = "project string, sha string, log_pos bigint, date timestamp, file string"
+NARR = ("project string, sha string, what string, why string, decisions array<string>, risks array<string>, open_loops array<string>, "
+        "rejected array<string>, n_evidence bigint, degraded boolean, created_at timestamp")
+CAPS = "capsule_id string, project string, sha string, risk string, sealed_date date, open_date date, opened_date date, outcome string"
+
+
+def narrative(sha, decisions=(), risks=(), why="", n_evidence=0, project="p", rejected=(), loops=()):
+    return (project, sha, "what", why, list(decisions), list(risks), list(loops), list(rejected), n_evidence, False, T0)
+
+
+# --- ranking -----------------------------------------------------------------------
+
+def test_positions_and_previous_match_a_plain_window(spark):
+    rows = [("hot" if i % 3 else "k%d" % (i % 7), i, T0 + timedelta(hours=(i * 37) % 900)) for i in range(400)]
+    df = frame(spark, rows, "k string, id bigint, ts timestamp").withColumn("o", F.unix_timestamp("ts") * 1000 + F.col("id"))
+    got = {(r.k, r.id): r.position for r in ranking.positions(df, ["k"], F.to_date("ts"), [F.col("o")]).collect()}
+    prev = {(r.k, r.id): r.prev for r in ranking.previous(df, ["k"], F.to_date("ts"), "o", "id", "prev").collect()}
+    for k in {r[0] for r in rows}:
+        ordered = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))
+        for i, r in enumerate(ordered):
+            assert got[(k, r[1])] == i + 1
+            assert prev[(k, r[1])] == (ordered[i - 1][1] if i else None)
+
+
+def test_large_top_n_equals_sort(spark):
+    df = spark.range(5000).withColumn("k", F.lit("one")).withColumn("o", F.xxhash64("id"))
+    got = [r.id for r in ranking.top_n(df, ["k"], [F.col("o")], 1500).orderBy("rank").collect()]
+    assert got == [r.id for r in df.orderBy("o").limit(1500).collect()]
+
+
+# --- drift ----------------------------------------------------------------------------
+
+SESS = "project string, source string, session_id string, started timestamp, ended timestamp"
+SFILES = "project string, source string, session_id string, file string, mode string"
+
+
+def run_drift(spark, sess, written, commits, ignored=None):
+    s = frame(spark, [("p", "claude", sid, start, start) for sid, start in sess], SESS)
+    f = frame(spark, [("p", "claude", sid, file, "write") for sid, file in written], SFILES)
+    c = frame(spark, [("p", "c", 1, at, file) for at, file in commits], FILES)
+    i = None if ignored is None else frame(spark, [("p", x) for x in ignored], "project string, file string")
+    return {r.session_id: (r.written, r.committed, r.missing) for r in drift.drift(drift.drift_files(s, f, c, i)).collect()}
+
+
+def test_drift_cases(spark):
+    both = [("s", "a"), ("s", "b")]
+    assert run_drift(spark, [("s", T0)], both, [(T0, "a")]) == {"s": (2, 1, ["b"])}
+    assert run_drift(spark, [("s", T0)], [], [(T0, "a")]) == {}
+    assert run_drift(spark, [("s", T0)], both + [("s", ".git/x")], [(T0, "a")], ["b"]) == {"s": (1, 1, [])}
+    assert run_drift(spark, [("s", T0)], [("s", "a")], [(T0 + timedelta(hours=5), "a")]) == {"s": (1, 1, [])}
+    assert run_drift(spark, [("s", T0)], [("s", "a")], [(T0 - timedelta(hours=5), "a")]) == {"s": (1, 0, ["a"])}
+    assert run_drift(spark, [("s", T0)], [("s", "a")], [(T0 - timedelta(minutes=30), "a")]) == {"s": (1, 1, [])}
+    assert run_drift(spark, [("s", None)], [("s", "a")], []) == {}
+
+
+# --- alignment --------------------------------------------------------------------------
+
+def test_alignment_against_brute_force(spark):
+    rnd = random.Random(5)
+    commits = [("p%d" % (i % 2), "c%d" % i, i, T0 + timedelta(minutes=rnd.randint(0, 9000)), rnd.choice("abcd")) for i in range(60)]
+    sess = []
+    for i in range(40):
+        start = T0 + timedelta(minutes=rnd.randint(0, 9000))
+        sess.append(("p%d" % (i % 2), "claude", "s%d" % i, start, start + timedelta(minutes=rnd.choice([0, 20, 300, 4000, 60000]))))
+    sess.append(("p0", "claude", "open", T0, None))
+    wrote = [(s[0], s[1], s[2], f, "write") for s in sess for f in "abcd" if rnd.random() < 0.3] + [("p0", "claude", "open", "a", "write")]
+    want = set()
+    slack = timedelta(minutes=30)
+    for c in commits:
+        for s in sess:
+            if s[0] != c[0]:
+                continue
+            timed = s[4] is not None and s[3] - slack <= c[3] <= s[4] + slack
+            shared = (s[0], s[1], s[2], c[4], "write") in wrote
+            if timed or shared:
+                want.add((c[1], s[2], "high" if timed and shared else "low", 1 if shared else 0))
+    cdf, sdf, fdf = frame(spark, commits, FILES), frame(spark, sess, SESS), frame(spark, wrote, SFILES)
+    got = align.align(cdf, cdf, sdf, fdf)
+    assert {(r.sha, r.session_id, r.confidence, r.n_overlap) for r in got.collect()} == want
+    # the order of rows does not matter
+    again = align.align(cdf.orderBy(F.rand(3)), cdf.orderBy(F.rand(4)), sdf.orderBy(F.rand(5)), fdf.orderBy(F.rand(6)))
+    assert {(r.sha, r.session_id, r.confidence, r.n_overlap) for r in again.collect()} == want
+    best = align.best_matches(got).groupBy("sha").count().agg(F.max("count")).first()[0]
+    assert best == 2
+
+
+# --- graph ------------------------------------------------------------------------------------
+
+def graph_of(spark, commits, files, narr=(), caps=()):
+    c = frame(spark, [("p", s, i, T0 + timedelta(days=i), "subject " + s, b) for i, (s, b) in enumerate(commits)], COMMITS)
+    f = frame(spark, [("p", s, 0, T0, x) for s, x in files], FILES)
+    n, e = graph.decision_graph(c, f, frame(spark, list(narr), NARR), frame(spark, list(caps), CAPS))
+    return {r.sha: r for r in n.collect()}, {(r.from_sha, r.to_sha) for r in e.collect()}
+
+
+def test_graph_cases(spark):
+    nodes, edges = graph_of(spark, [("a", "Vibe-Decision: d"), ("b", ""), ("c", "")], [("a", "x"), ("b", "x"), ("c", "y")])
+    assert edges == {("a", "b")} and set(nodes) == {"a", "b"}
+    assert nodes["a"].kind == "breadcrumb" and nodes["b"].kind == "change" and nodes["a"].text == "d"
+    nodes, edges = graph_of(spark, [("a", ""), ("b", "")], [("a", "x"), ("b", "x")], [narrative("a", ["told"])])
+    assert nodes["a"].kind == "narrative" and edges == {("a", "b")}
+    many = [("a", "Vibe-Decision: d")] + [("t%02d" % i, "") for i in range(12)]
+    _, edges = graph_of(spark, many, [(s, "x") for s, _ in many])
+    assert edges == {("a", "t%02d" % i) for i in range(4, 12)}
+    assert graph_of(spark, [], []) == ({}, set())
+
+
+def test_graph_badge_and_redaction(spark):
+    caps = [("a:0", "p", "a", "r", date(2024, 5, 1), date(2024, 5, 22), None, None)]
+    nodes, _ = graph_of(spark, [("a", "Vibe-Decision: token=abc123def456ghi")], [], caps=caps)
+    assert nodes["a"].text == "token=[REDACTED]" and nodes["a"].badge == "胶囊:待验证"
+
+
+def test_graph_against_brute_force(spark):
+    rnd = random.Random(3)
+    commits = [("c%03d" % i, "Vibe-Decision: d%d" % i if rnd.random() < 0.5 else "") for i in range(260)]
+    files = sorted({(s, "f%d" % rnd.randint(0, 25)) for s, _ in commits for _ in range(2)} | {(s, "hot") for s, _ in commits[::3]})
+    nodes, edges = graph_of(spark, commits, files)
+    scope = commits[-200:]
+    touched = {s: {f for t, f in files if t == s} for s, _ in scope}
+    order = {s: i for i, (s, _) in enumerate(scope)}
+    out = {s: [t for t, _ in scope if order[t] > order[s] and touched[t] & touched[s]] for s, b in scope if b}
+    ranked = sorted(out, key=lambda s: (len(out[s]), order[s]), reverse=True)[:40]
+    assert edges == {(s, t) for s in ranked for t in out[s][-8:]}
+    assert {s: r.out_degree for s, r in nodes.items() if s in ranked} == {s: len(out[s]) for s in ranked}
+
+
+# --- debt --------------------------------------------------------------------------------------
+
+def test_debt_board_and_drilldown(spark):
+    files = frame(spark, [("p", "a", 1, T0, "x"), ("p", "b", 2, T0 + timedelta(days=1), "x"), ("p", "a", 1, T0, "gone"), ("q", "z", 1, T0, "kept")], FILES)
+    commits = frame(spark, [("p", "a", 1, T0, "sa", ""), ("p", "b", 2, T0, "sb", ""), ("q", "z", 1, T0, "sz", "")], COMMITS)
+    narr = frame(spark, [narrative("a", ["d1", "d2"])], NARR)
+    caps = frame(spark, [("a:0", "p", "a", "r0", date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 2), None),
+                         ("a:1", "p", "a", "r1", date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 2), "已解决")], CAPS)
+    seen = frame(spark, [("p", "b", T0 + timedelta(days=2))], "project string, sha string, reviewed_at timestamp")
+    tracked = frame(spark, [("p", "x")], "project string, file string")
+    today = date(2024, 6, 2)
+    rows = {(r.project, r.file): r for r in debt.debt_board(files, narr, caps, seen, tracked, today).collect()}
+    assert set(rows) == {("p", "x"), ("q", "kept")}, "untracked file dropped, project without a snapshot kept"
+    x = rows[("p", "x")]
+    assert (x.churn, x.commits, x.reviewed, x.caps_total, x.caps_filled) == (4, 2, 1, 2, 1)
+    assert x.debt_exact == pytest.approx(4 * (1 + 30 / 30) * (1 - 2 / 4)) and x.last_decision is None
+    items = {(r.kind, r.item) for r in debt.debt_drilldown(commits, files, narr, caps, seen, tracked).collect() if r.file == "x"}
+    assert items == {("unreviewed", "sa"), ("pending_capsule", "a:0")}
+    reread = seen.unionByName(frame(spark, [("p", "a", T0)], "project string, sha string, reviewed_at timestamp"))
+    items = {(r.kind, r.item) for r in debt.debt_drilldown(commits, files, narr, caps, reread, tracked).collect()}
+    assert items == {("pending_capsule", "a:0")}
+
+
+# --- coverage ------------------------------------------------------------------------------------
+
+def test_hit_rate_case(spark):
+    bodies = ["", "", "Vibe-Decision: d", "", "Vibe-Watch: w", "Vibe-Rejected: r"]
+    commits = frame(spark, [("p", "c%d" % i, i, T0, "s", b) for i, b in enumerate(bodies)], COMMITS)
+    narr = frame(spark, [narrative("c0", why="because"), narrative("c1", n_evidence=1)], NARR)
+    r = coverage.hit_rate(commits, narr).first()
+    assert (r.total, r.narrated, r.noted, r.evidence, r.grounded, r.real_grounded) == (6, 2, 3, 1, 5, 4)
+    assert (r.coverage_pct, r.real_pct, r.depth_pct) == (83.3, 66.7, 16.7)
+
+
+def test_note_tiers_and_last(spark):
+    commits = frame(spark, [("p", "c%d" % i, i, T0, "s", "Vibe-Watch: w" if i < 3 else "") for i in range(30)] +
+                    [("q", "d", 1, T0, "s", "")], COMMITS)
+    tiers = {r.project: (r.tier, r.pct) for r in coverage.note_stats(commits).collect()}
+    assert tiers == {"p": ("partial", 10), "q": ("cold-start", 0)}
+    assert {r.project: (r.got, r.total) for r in coverage.last_n(commits).collect()} == {"p": (0, 20), "q": (0, 1)}
+
+
+# --- history ---------------------------------------------------------------------------------------
+
+def test_renames_are_followed_in_time(spark):
+    ren = frame(spark, [("p", 10, "a", "b"), ("p", 20, "b", "c"), ("p", 30, "c", "a")], "project string, log_pos bigint, old string, new string")
+    files = frame(spark, [("p", "1", 5, T0, "a"), ("p", "2", 15, T0, "b"), ("p", "3", 25, T0, "c"), ("p", "4", 35, T0, "a"), ("p", "5", 35, T0, "b")], FILES)
+    got = {r.sha: r.path for r in history.canonical_files(files, ren).collect()}
+    assert got == {"1": "a", "2": "a", "3": "a", "4": "a", "5": "b"}
+    assert [r.sha for r in history.file_history(files, ren).filter("path = 'a'").orderBy("rank").collect()] == ["4", "3", "2", "1"]
+
+
+HUNKS = "project string, sha string, log_pos bigint, date timestamp, file string, old_start bigint, old_count bigint, new_start bigint, new_count bigint"
+TARGETS = "target_id string, project string, file string, start bigint, end bigint"
+
+
+def replay(edits):
+    """Apply edits to a file and say for every line of the result which commits wrote it or were there when it changed."""
+    lines = []
+    for pos, (start, old, new) in enumerate(edits):
+        before = lines[start - 1:start - 1 + old] if old else []
+        trail = set().union(*[t for t in before]) if before else set()
+        lines[start - 1:start - 1 + old] = [trail | {pos} for _ in range(new)]
+    return lines
+
+
+def line_hits(spark, edits, targets, segment=1000):
+    rows = [("p", "c%d" % i, i, T0 + timedelta(hours=i), "f", s if o else s - 1, o, s if n else s - 1, n) for i, (s, o, n) in enumerate(edits)]
+    hunks = frame(spark, rows, HUNKS)
+    t = frame(spark, [("t%d" % i, "p", "f", a, b) for i, (a, b) in enumerate(targets)], TARGETS)
+    out = {}
+    for r in history.line_history(t, hunks, segment).collect():
+        out.setdefault(r.target_id, set()).add(r.log_pos)
+    return out
+
+
+def test_line_history_simple(spark):
+    # three lines, then line 2 edited
+    assert line_hits(spark, [(1, 0, 3), (2, 1, 1)], [(2, 2), (1, 1), (1, 3)]) == {"t0": {0, 1}, "t1": {0}, "t2": {0, 1}}
+    # two lines put on top: line 4 is the old line 2
+    assert line_hits(spark, [(1, 0, 3), (2, 1, 1), (1, 0, 2)], [(4, 4), (1, 2), (5, 5)]) == {"t0": {0, 1}, "t1": {2}, "t2": {0}}
+
+
+def test_line_history_random_single_lines(spark):
+    rnd = random.Random(11)
+    edits, size = [(1, 0, 12)], 12
+    for _ in range(25):
+        start = rnd.randint(1, size)
+        count = 1  # one line replaced by one, two or three, or lines put in between
+        new = rnd.choice([1, 1, 2, 3])
+        if rnd.random() < 0.3:
+            edits.append((start, 0, new))
+            size += new
+        else:
+            edits.append((start, count, new))
+            size += new - count
+    trail = replay(edits)
+    targets = [(i + 1, i + 1) for i in range(size)]
+    for segment in (1000, 7):  # cutting history into segments changes nothing
+        got = line_hits(spark, edits, targets, segment)
+        assert got == {"t%d" % i: trail[i] for i in range(size)}
+
+
+def test_line_overlap_against_brute_force(spark):
+    rnd = random.Random(2)
+    hunks = [("p", "c%d" % i, i, T0, rnd.choice("fg"), 1, 1, rnd.randint(1, 500), rnd.randint(0, 300)) for i in range(80)]
+    targets = [("t%d" % i, "p", rnd.choice("fg"), a, a + rnd.randint(0, 200)) for i, a in enumerate(rnd.choices(range(1, 500), k=40))]
+    want = {(t[0], h[1]) for t in targets for h in hunks if h[8] and h[4] == t[2] and h[7] <= t[4] and h[7] + h[8] - 1 >= t[3]}
+    got = [(r.target_id, r.hit_sha) for r in history.line_overlap(frame(spark, targets, TARGETS), frame(spark, hunks, HUNKS)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_attribution(spark):
+    items = frame(spark, [(1, "/w/a"), (2, "/w/b/x.py"), (3, "/w/bb/x.py"), (4, "/w/a/x.py")], "item int, path string")
+    roots = frame(spark, [("/w/a",), ("/w/b",)], "root string")
+    assert {tuple(r) for r in history.attribute(items, roots).collect()} == {(1, "/w/a", "exact"), (2, "/w/b", "below")}
+
+
+def test_chapters(spark):
+    commits = frame(spark, [("p", "c%02d" % i, i, T0 + timedelta(days=i), "s%d" % i, "") for i in range(10)], COMMITS)
+    placed = history.chapters(commits)
+    sizes = [r["count"] for r in placed.groupBy("chapter").count().orderBy("chapter").collect()]
+    assert sizes == [4, 4, 2]  # round(sqrt(10)) = 3 chapters of ceil(10/3)
+    first = history.chapter_summaries(placed, frame(spark, [narrative("c01", why="told")], NARR)).orderBy("chapter").first()
+    assert first.title == "第 1 阶段:s0" and first.intro == "told"
+
+
+def test_prior_context_and_revision_range(spark):
+    files = frame(spark, [("p", "a", 1, T0, "x"), ("p", "b", 2, T0, "y"), ("p", "c", 3, T0 + timedelta(days=3), "x"), ("p", "c", 3, T0 + timedelta(days=3), "y")], FILES)
+    rows = {r.sha: r.prior_sha for r in history.prior_commit(files).collect()}
+    assert rows == {"a": None, "b": None, "c": "b"}
+    told = history.prior_context(files, frame(spark, [narrative("b")], NARR)).collect()
+    assert [(r.sha, r.prior_what) for r in told] == [("c", "what")]
+    commits = frame(spark, [("p", s, i, T0, s, "") for i, s in enumerate("abcd")], COMMITS)
+    ranges = frame(spark, [("p", "a", "c")], "project string, from_sha string, to_sha string")
+    assert {r.sha for r in history.revision_range(commits, ranges).collect()} == {"b", "c"}
+
+
+def test_test_refs(spark):
+    files = frame(spark, [("p", "a", 1, T0, "src/foo.py"), ("p", "a", 1, T0, "tests/test_bar.py"), ("p", "a", 1, T0, "x.md")], FILES)
+    snap = frame(spark, [("p", "tests/test_foo.py", "def test_one():\n  pass\n  async def test_two(x):\ndef helper(): pass"),
+                         ("p", "tests/test_bar.py", "x = 1")], "project string, path string, text string")
+    assert {(r.path, tuple(r.names)) for r in history.test_refs(files, snap).collect()} == {
+        ("tests/test_foo.py", ("test_one", "test_two")), ("tests/test_bar.py", ())}
+
+
+# --- capsules ---------------------------------------------------------------------------------------
+
+def test_seal_only_verbatim_watches(spark):
+    commits = frame(spark, [("p", "a", 1, T0, "s", "Vibe-Watch: token=abc123def456ghi\nVibe-Watch: slow")], COMMITS)
+    narr = frame(spark, [narrative("a", risks=["predicted", "slow", "token=[REDACTED]"])], NARR)
+    rows = {r.capsule_id: r for r in capsules.seal(commits, narr).collect()}
+    assert set(rows) == {"a:1", "a:2"} and rows["a:1"].open_date == date(2024, 5, 22)
+    assert capsules.seal(commits, narr, 0).count() == 0
+    assert capsules.seal(commits, narr, 0, short_window=True).count() == 2
+
+
+def cap(i, opened=None, outcome=None, due=1, project="p", sha=None, risk="r"):
+    return (f"c{i}", project, sha or f"s{i}", risk, date(2024, 5, 1), date(2024, 5, due), opened, outcome)
+
+
+def test_opening_budget(spark):
+    day = date(2024, 5, 20)
+    rows = [cap(i, due=i) for i in range(1, 6)] + [cap(9, opened=day)] + [cap(i, due=25) for i in (11,)] + [cap("q", project="q", due=3)]
+    df = frame(spark, rows, CAPS)
+    assert {r.capsule_id for r in capsules.due(df, day).collect()} == {"c1", "c2", "cq"}
+    assert {r.capsule_id for r in capsules.due(df, day, None).collect()} == {"c1", "c2", "c3", "c4", "c5", "cq"}
+
+
+def test_read_back(spark):
+    text = ("# report\n<!-- vt-capsule:a:0 -->\n- worry\n\t- [ ] 想多了\n\t- [X] 已解决\n\t- [x] 还在担心\n<!-- vt-capsule:b:12 -->\n"
+            "\t- [x] something else\n\t- [x] 忘记了\n- [x] 想多了\n<!-- vt-capsule:c:1 -->\n")
+    df = frame(spark, [("p", date(2024, 5, 1), text), ("p", date(2024, 5, 2), "<!-- vt-capsule:a:0 -->\n- [x] 忘记了")], "project string, day date, text string")
+    assert {(r.capsule_id, r.outcome) for r in capsules.read_back(df.filter("day = '2024-05-01'")).collect()} == {("a:0", "已解决")}
+    assert {(r.capsule_id, r.outcome) for r in capsules.read_back(df).collect()} == {("a:0", "忘记了")}
+
+
+def test_answers_are_guarded_by_project(spark):
+    df = frame(spark, [cap(1), cap(2)], CAPS)
+    answers = frame(spark, [("c1", "p", "已解决"), ("c2", "q", "已解决"), ("c2", "p", "whatever")], "capsule_id string, project string, outcome string")
+    assert {r.capsule_id: r.outcome for r in capsules.answer(df, answers).collect()} == {"c1": "已解决", "c2": None}
+
+
+def test_inbox_and_clean_up(spark):
+    day = date(2024, 5, 10)
+    df = frame(spark, [cap(1, opened=day, risk="w"), cap(2, opened=day, risk="guess"), cap(3, opened=day, sha="gone"), cap(4, opened=day, outcome="忘记了")], CAPS)
+    commits = frame(spark, [("p", "s%d" % i, i, T0, "s", "Vibe-Watch: w") for i in (1, 2, 4)], COMMITS)
+    box = {r.capsule_id: (r.verbatim, r.days_sealed, r.pending, r.opened, r.filled) for r in capsules.watch_inbox(df, commits, day).collect()}
+    assert box == {"c1": (True, 9, 3, 4, 1), "c2": (False, 9, 3, 4, 1), "c3": (False, 9, 3, 4, 1)}
+    assert {r.capsule_id for r in capsules.clean_up(df, commits).collect()} == {"c1", "c3"}
+
+
+# --- search ------------------------------------------------------------------------------------------
+
+CORPUS = "doc_key string, project string, kind string, body string"
+QUEST = "question_id string, project string, text string"
+
+
+def find(spark, docs, question, project=None):
+    corpus = frame(spark, [(k, p, "commit", b) for k, p, b in docs], CORPUS)
+    q = frame(spark, [("q", project, question)], QUEST)
+    ranked = search.search(corpus, q)
+    hit = [r.doc_key for r in ranked.orderBy("rank").collect()]
+    return hit or [r.doc_key for r in search.two_character_fallback(corpus, q, ranked).orderBy("rank").collect()]
+
+
+def test_search_cases(spark):
+    docs = [("a", "p", "why the cache layer was dropped"), ("b", "p", "引入缓存层以便降低延迟"), ("c", "q", "Cache invalidation rules"), ("d", "p", "unrelated words")]
+    assert find(spark, docs, "CACHE", "p") == ["a"]
+    assert set(find(spark, docs, "cache")) == {"a", "c"}
+    assert find(spark, docs, "为什么引入缓存层", "p") == ["b"]
+    assert find(spark, docs, "缓存", "p") == ["b"], "two characters go through the fallback"
+    assert find(spark, docs, "缓存", "q") == []
+    assert find(spark, docs, "ab", "p") == []
+    assert find(spark, docs, '"*():^- AND OR NOT', "p") == []
+    assert find(spark, docs, 'cache" OR (layer*', "p") == ["a"]
+
+
+def test_bm25_against_formula(spark):
+    import math
+
+    rnd = random.Random(4)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    docs = [("d%02d" % i, "p", " ".join(rnd.choices(words, k=rnd.randint(3, 30)))) for i in range(30)]
+    question = "alpha beta alpha"
+    tri = lambda s: [s[i:i + 3] for i in range(len(s) - 2)]
+    grams = [g for w in question.split() for g in tri(w)]
+    bags = {k: tri(b) for k, _, b in docs}
+    avg = sum(map(len, bags.values())) / len(bags)
+    score = {}
+    for g in grams:
+        df = sum(g in b for b in bags.values())
+        idf = max(math.log((len(bags) - df + 0.5) / (df + 0.5)), 0) or 1e-6
+        for k, b in bags.items():
+            tf = b.count(g)
+            if tf:
+                score[k] = score.get(k, 0) + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(b) / avg))
+    want = sorted(score, key=lambda k: (-round(score[k], 9), k))[:8]
+    assert find(spark, docs, question) == want
+    corpus = frame(spark, [(k, p, "commit", b) for k, p, b in docs], CORPUS)
+    q = frame(spark, [("q", None, question)], QUEST)
+    stored = search.search(corpus, q, index=search.postings(corpus))
+    assert [r.doc_key for r in stored.orderBy("rank").collect()] == want
+
+
+def test_verify_cited(spark):
+    cited = frame(spark, [("q", c) for c in ("abc", "abcdef99", "zzz")], "question_id string, cited string")
+    known = frame(spark, [("q", "abcdef")], "question_id string, sha string")
+    assert {r.cited for r in search.verify_cited(cited, known).collect()} == {"abc", "abcdef99"}
+
+
+# --- review ---------------------------------------------------------------------------------------------
+
+def hunks_of(spark, text):
+    rows = review.diff_hunks(frame(spark, [("d", text)], "diff_id string, text string")).orderBy("hunk_no").collect()
+    return [(r.file, r.start, r.end) for r in rows], [r.diff for r in rows]
+
+
+def test_diff_parser(spark):
+    two = "diff --git a/foo.py b/foo.py\n--- a/foo.py\n+++ b/foo.py\n@@ -1,3 +1,4 @@\n a\n+b\n@@ -10,2 +12,3 @@ def f\n c\n"
+    ranges, texts = hunks_of(spark, two)
+    assert ranges == [("foo.py", 1, 4), ("foo.py", 12, 14)] and texts[0] == "@@ -1,3 +1,4 @@\n a\n+b"
+    assert hunks_of(spark, "+++ b/new.py\n@@ -0,0 +1 @@\n+x")[0] == [("new.py", 1, 1)]
+    assert hunks_of(spark, "+++ /dev/null\n@@ -1,2 +0,0 @@\n-x")[0] == []
+    assert hunks_of(spark, "+++ b/a.py\n@@ -1,2 +0,0 @@\n-x\n@@ broken @@\n+y")[0] == []
+    assert hunks_of(spark, "no diff at all\n@@ -1 +1 @@")[0] == []
+    # a content line that looks like a header switches the file for the next hunk
+    ranges, texts = hunks_of(spark, "+++ b/a.py\n@@ -1 +1,2 @@\n+++ b/odd\n+k\n@@ -9 +9 @@\n+z")
+    assert ranges == [("a.py", 1, 2), ("odd", 9, 9)] and texts[0] == "@@ -1 +1,2 @@\n+k"
+
+
+def test_review_cards(spark):
+    commits = frame(spark, [("p", "a", 1, T0, "first", "Vibe-Decision: use A\nVibe-Rejected: use B"), ("p", "b", 2, T0, "second", "")], COMMITS)
+    narr = frame(spark, [narrative("b", why="told", rejected=["generated no"])], NARR)
+    hunks = frame(spark, [("p", "a", 1, T0, "f", 0, 0, 1, 2), ("p", "b", 2, T0, "f", 1, 1, 1, 1), ("p", "b", 2, T0, "g", 0, 0, 1, 5)], HUNKS)
+    files = frame(spark, [("p", "a", 1, T0, "f"), ("p", "b", 2, T0, "f"), ("p", "b", 2, T0, "h")], FILES)
+    schema = TARGETS + ", line_known boolean, own_pos bigint"
+    targets = frame(spark, [("t1", "p", "f", 1, 2, True, 9), ("t2", "p", "g", 1, 1, True, 9), ("t3", "p", "z", 1, 1, True, 9), ("t4", "p", "h", 1, 1, False, 9)], schema)
+    segs = history.segments(commits, narr)
+    hist = review.history_of(targets, hunks, files)
+    cards = {r.target_id: r for r in review.review_cards(targets, hist, segs).collect()}
+    t1 = cards["t1"]
+    assert (t1.kind, t1.precision, t1.primary_sha, t1.supporting, t1.judgment) == ("potential_conflict", "line", "a", 1, "unresolved")
+    assert t1.rejected == ["use B"] and t1.interpretation is None and t1.semantic_match == "not_evaluated"
+    t2 = cards["t2"]  # generated text explains, but is neither evidence nor a conflict
+    assert (t2.kind, t2.evidence_type, t2.judgment) == ("decision_context", "commit_history", None)
+    assert t2.interpretation.summary == "told" and t2.interpretation.rejected == ["generated no"] and not t2.interpretation.authoritative
+    assert (cards["t3"].kind, cards["t3"].precision, cards["t3"].primary_sha) == ("no_evidence", "none", None)
+    assert cards["t4"].precision == "file"
+    assert cards["t1"].order_kind < cards["t2"].order_kind < cards["t3"].order_kind
+    assert {r.sha for r in review.supporting_records(hist, review.review_cards(targets, hist, segs), segs).collect()} == {"b"}
+
+
+def test_hunk_cap_keeps_totals(spark):
+    text = "+++ b/a.py\n" + "\n".join(f"@@ -{i} +{i} @@\n+x" for i in range(1, 71))
+    capped = review.cap_hunks(review.diff_hunks(frame(spark, [("d", text)], "diff_id string, text string")))
+    assert capped.count() == 60 and {(r.total_hunks, r.truncated) for r in capped.collect()} == {(70, True)}
+
+
+def test_feedback_validation(spark):
+    rows = [(1, "confirmed_conflict", True, 12.34, "none", "line", " ok "), (2, "confirmed_conflict", None, 1.0, "none", "line", None),
+            (3, "unrelated", False, 1.0, "none", "line", None), (4, "unrelated", None, 86400.0, "none", "page", ""),
+            (5, "unrelated", None, float("nan"), "none", "line", None), (6, "open", None, 1.0, "none", "line", None), (7, "unrelated", None, -1.0, "none", "line", None)]
+    df = frame(spark, rows, "judgment_id int, status string, action_changed boolean, elapsed_seconds double, evidence_type string, precision string, comment string")
+    good, bad = review.valid_feedback(df)
+    kept = {r.judgment_id: r for r in good.collect()}
+    assert set(kept) == {1, 4} and kept[1].verified_interception and kept[1].approved_comment == "ok" and kept[4].provenance_precision == "none"
+    assert {r.judgment_id: r.reason for r in bad.collect()} == {
+        2: "action change is required", 3: "invalid action change", 5: "invalid elapsed time", 6: "unresolved judgment", 7: "invalid elapsed time"}
+
+
+# --- audits ------------------------------------------------------------------------------------------------
+
+def test_quote_audit(spark):
+    quotes = frame(spark, [(1, "s", "begin…end"), (2, "s", "made up"), (3, "gone", "x"), (4, "s", "…")], "quote_id int, session_id string, quote string")
+    live = frame(spark, [("s", ["begin middle", "the end"])], "session_id string, texts array<string>")
+    assert {r.quote_id: r.result for r in audits.audit_quotes(quotes, live).collect()} == {1: "verified", 2: "mismatch", 3: "dangling", 4: "mismatch"}
+
+
+def test_note_audit(spark):
+    commits = frame(spark, [("p", "a", 1, T0, "s", "Vibe-Decision: kept\nVibe-Decision: lost\nVibe-Watch: w")], COMMITS)
+    narr = frame(spark, [narrative("a", ["kept"], ["w"])], NARR)
+    assert {(r.kind, r.text, r.verified) for r in audits.audit_notes(commits, narr).collect()} == {
+        ("decision", "kept", True), ("decision", "lost", False), ("risk", "w", True)}
+
+
+def test_ghost_files(spark):
+    narr = frame(spark, [("p", "a", "see src/real.py and made/up.py, e.g. this", False), ("p", "b", "材料不足", False)], "project string, sha string, text string, degraded boolean")
+    files = frame(spark, [("p", "a", 1, T0, "src/real.py")], FILES)
+    ghosts = audits.ghost_files(narr, files)
+    assert [(r.sha, r.mention) for r in ghosts.collect()] == [("a", "made/up.py")]
+    r = audits.ghost_summary(narr, ghosts).first()
+    assert (r.total, r.degraded, r.ghosted, r.clean) == (2, 1, 1, 1)
+
+
+def test_leakage_bands(spark):
+    pairs = frame(spark, [("a", 1, "use a queue", "+ # use a queue here"), ("b", 2, "use a queue", "nothing alike"), ("c", 3, "", "x")],
+                  "sha string, log_pos bigint, why string, diff string")
+    scored = audits.leakage(pairs)
+    ratios = {r.sha: r.ratio for r in scored.collect()}
+    assert ratios["a"] == 1.0 and ratios["b"] < 0.25 and ratios["c"] == 0.0
+    assert {r.band: r.commits for r in audits.leakage_bands(scored).collect()} == {"contained": 1, "absent": 2}
+    assert audits.cleanest(scored.filter("why <> ''"), 1).first().sha == "b"
+
+
+def test_highlight_spans_rebuild_the_answer(spark):
+    schema = "answer_id string, answer string, citations array<struct<cite_id:int,verbatim:string>>"
+    rows = [("1", "we chose the write-ahead log because of crashes", [(0, "chose the write-ahead log"), (1, "because of crashes, mostly")]),
+            ("2", "nothing shared", [(0, "zzzzzzz")]), ("3", None, None)]
+    out = audits.highlight(frame(spark, rows, schema)).orderBy("answer_id", "position").collect()
+    assert {r.answer_id for r in out} == {"1"}
+    assert "".join(r.text for r in out) == rows[0][1]
+    assert [(r.text, r.cite_id) for r in out if r.cite_id is not None] == [("chose the write-ahead log", 0), ("because of crashes", 1)] or \
+        [r.cite_id for r in out if r.cite_id is not None] == [0, 1]
+
+
+# --- reports, sessions, usage, state ------------------------------------------------------------------------
+
+def test_char_budget(spark):
+    rows = [("p", "c%03d" % i, i, T0.date(), "-" * n) for i, n in enumerate([50, 40, 900, 31, 31])]
+    df = frame(spark, rows, "project string, sha string, log_pos bigint, day date, line string")
+    r = reports.char_budget(df, ["project"], 130).first()
+    assert (r.lines, r.kept, r.omitted, r.used) == (5, 2, 3, 91)
+
+
+def test_on_this_day_clamps(spark):
+    rows = [("p", date(2024, 3, 31), 1, "今天。后来", ""), ("p", date(2024, 2, 29), 1, "闰日。", ""), ("p", date(2023, 3, 31), 1, "", "")]
+    df = frame(spark, rows, "project string, day date, commits int, overview string, decision string")
+    got = {(r.day, r.label, r.past_day, r.sentence) for r in reports.on_this_day(df).collect()}
+    assert got == {(date(2024, 3, 31), "上月今日", date(2024, 2, 29), "闰日")}
+
+
+def test_open_loops_order(spark):
+    rows = [narrative("a", loops=["x", " ", "y"])[:-1] + (T0,), narrative("b", loops=["y", "材料不足", "z"])[:-1] + (T0 + timedelta(days=1),)]
+    got = reports.open_loops(frame(spark, rows, NARR)).orderBy("place").collect()
+    assert [r.item for r in got] == ["y", "z", "x"]
+
+
+def test_daily_report_lines_round_trip(spark, tmp_path):
+    from whylake.sources import sinks
+
+    commits = frame(spark, [("/w/p", "a" * 40, 1, T0, "subject `x`", "")], COMMITS)
+    narr = frame(spark, [narrative("a" * 40, ["d"], ["r"], "because", project="/w/p")], NARR)
+    caps = frame(spark, [("a:0", "/w/p", "a" * 40, "worry", date(2024, 4, 1), date(2024, 5, 1), date(2024, 5, 1), None)], CAPS)
+    lines = reports.report_lines(commits, narr, reports.daily_digests(commits, narr), caps)
+    sinks.write_report_lines(lines, str(tmp_path / "r"))
+    back = spark.read.text(str(tmp_path / "r"), wholetext=True)
+    text = back.filter("value <> ''").first().value
+    assert text.startswith("# 2024-05-01 p 开发日报\n## 今日概览\n今日 1 个 commit:subject") and "<!-- vt-capsule:a:0 -->" in text
+    assert text.index("vt-capsule") < text.index("### `aaaaaaaa`") < text.index("**为什么** because")
+    answered = back.select(F.lit("/w/p").alias("project"), F.lit("2024-05-01").cast("date").alias("day"), F.replace("value", F.lit("[ ] 已解决"), F.lit("[x] 已解决")).alias("text"))
+    assert [(r.capsule_id, r.outcome) for r in capsules.read_back(answered).collect()] == [("a:0", "已解决")]
+
+
+def test_token_usage_takes_last_line(spark):
+    rows = [("p", "claude", "s", "m1", 1, 5, 1, 0), ("p", "claude", "s", "m1", 2, 7, 2, 1), ("p", "claude", "s", "m2", 3, None, 1, 0)]
+    df = frame(spark, rows, "project string, source string, session_id string, message_id string, line_no int, input bigint, output bigint, cache_read bigint")
+    r = sessions.token_usage(df).first()
+    assert (r.input, r.output, r.cache_read) == (7, 3, 1)
+
+
+def test_usage_lines(spark):
+    lines = ['{"command":"digest","ts":"2024-05-01T00:00:00+00:00","llm_calls":4,"cache_hit_tokens":480,"tokens_in":"many"}', "broken",
+             '{"command":"graph","ts":"2024-05-01T00:00:00Z"}', '{"ts":"2024-05-01T00:00:00Z"}', "[1]", '{"command":"blame","ts":"nope"}']
+    rows = usage.clean(frame(spark, [(x,) for x in lines], "value string"))
+    assert rows.count() == 3 and rows.agg(F.sum("cache_hit_tokens"), F.sum("tokens_in")).first()[:] == (480, 0)
+    report = {r.command: (r.runs, r.zero_call_runs, r.share) for r in usage.report(rows).collect()}
+    assert report == {"digest": (1, 0, 0), "graph": (1, 1, 100), "blame": (1, 1, 100), None: (3, 2, 66)}
+    assert usage.within(rows, T0 - timedelta(days=7)).count() == 2
+
+
+def test_narratives_are_immutable_unless_forced(spark):
+    old = frame(spark, [("p", "a", "old", T0)], "project string, sha string, why string, created_at timestamp")
+    new = frame(spark, [("p", "a", "token=abc123def456ghi", T0 + timedelta(days=1)), ("p", "b", "n", T0)], old.schema)
+    assert {r.sha: r.why for r in state.put_narratives(old, new).collect()} == {"a": "old", "b": "n"}
+    assert {r.sha: r.why for r in state.put_narratives(old, new, force=True).collect()} == {"a": "token=[REDACTED]", "b": "n"}
+
+
+def test_replace_partitions_reads_its_own_table(spark, tmp_path):
+    from whylake.sources import sinks
+
+    path = str(tmp_path / "t")
+    sinks.append(frame(spark, [("p", "a", 1), ("q", "b", 1)], "project string, sha string, v int"), path, ["project"])
+    now = spark.read.parquet(path).select("project", "sha", "v")
+    incoming = frame(spark, [("p", "a", 2), ("p", "c", 2)], "project string, sha string, v int")
+    rewritten = state.upsert(sinks.touched(now, incoming, ["project"]).select("project", "sha", "v"), incoming, ["project", "sha"], [F.col("v")])
+    sinks.replace_partitions(rewritten, path, ["project"])
+    assert {(r.project, r.sha, r.v) for r in spark.read.parquet(path).collect()} == {("p", "a", 2), ("p", "c", 2), ("q", "b", 1)}
+
+
+def test_adr_forms(spark):
+    schema = ("project string, target string, log_pos bigint, sha string, date timestamp, subject string, why string, decisions array<string>, "
+              "rejected array<string>, risks array<string>")
+    rows = frame(spark, [("p", "f.py", 1, "a" * 40, T0, "first", "", ["d1"], [], ["r"]), ("p", "f.py", 2, "b" * 40, T0, "last", "why", ["d1", "d2"], ["no"], [])], schema)
+    text = adr.adr_markdown(rows).first().document
+    assert text == ("# last\n\n- Status: accepted\n\n## Context and Problem Statement\nwhy\n\n## Decision Outcome\n- d1\n- d2\n\n"
+                    "## Considered Options(被否决的备选)\n- no\n\n## Consequences\n- r\n\n## 来源(真实 commit,逐字可核验)\n_目标:f.py_\n"
+                    "- [aaaaaaa] 2024-05-01 first\n    · d1\n- [bbbbbbb] 2024-05-01 last\n    · d1\n    · d2\n    · (否决)no")
+    assert "## Status\naccepted\n\n## Context\nwhy" in adr.adr_markdown(rows, "nygard").first().document
+    import json
+    import uuid
+
+    one, two = adr.adr_cyclonedx(rows).first().document, adr.adr_cyclonedx(rows).first().document
+    bom = json.loads(one)
+    assert one == two and bom["specVersion"] == "1.5" and uuid.UUID(bom["serialNumber"]).version == 5
+    assert [c["name"] for c in bom["components"]] == ["first", "last"] and len(bom["components"][1]["properties"]) == 3

@@ -48,6 +48,15 @@ r7 AS (SELECT doc_id, text, t5, named, list_reduce(list_concat([t5], named),
 """
 
 
+
+
+def sql_named(column: str) -> str:
+    """SQL: the named-secret step on a short text."""
+    return f"""list_reduce(list_concat([{column}], list_filter(regexp_extract_all({column}, '{_NAMED}'), lambda m:
+      regexp_matches(regexp_extract(m, '{_VALUE}', 1), '[0-9]|[a-z][A-Z]|[A-Z][a-z]'))),
+      lambda acc, m: replace(acc, m, regexp_replace(m, '{_VALUE}', '[REDACTED]')))"""
+
+
 @query("redact", REDACT_CTES + f"SELECT doc_id, md5({_sql_steps('t6', _AFTER)}) AS digest FROM r7")
 def redact_query(t):
     return t.raw("documents").select("doc_id", F.md5(redact(F.col("text"))).alias("digest"))
@@ -488,14 +497,14 @@ def tracked_history(t):
 
 @query("ask_context", f"""
 WITH {SEG_LISTS}, {HISTORY_OF_TRACKED}
-SELECT h.project, h.file AS target, count(*) AS commits, arg_max(h.sha, h.log_pos) AS newest, md5(substr(string_agg(concat_ws(' / ',
+SELECT project, target, commits, newest, md5({sql_named("context")}) AS context FROM (
+SELECT h.project, h.file AS target, count(*) AS commits, arg_max(h.sha, h.log_pos) AS newest, substr(string_agg(concat_ws(' / ',
     '[' || substr(s.sha, 1, 7) || '] ' || s.subject, CASE WHEN why <> '' THEN '意图:' || substr(why, 1, 200) END,
     CASE WHEN len(decisions) > 0 THEN '决策:' || substr(array_to_string(decisions, ';'), 1, 200) END,
     CASE WHEN len(rejected) > 0 THEN '否决备选:' || substr(array_to_string(rejected, ';'), 1, 200) END,
-    CASE WHEN len(risks) > 0 THEN '风险/待验证:' || substr(array_to_string(risks, ';'), 1, 200) END), chr(10) ORDER BY h.log_pos), 1, 6000)) AS context
-FROM hist h JOIN seg s ON s.sha = h.sha GROUP BY 1, 2""")
+    CASE WHEN len(risks) > 0 THEN '风险/待验证:' || substr(array_to_string(risks, ';'), 1, 200) END), chr(10) ORDER BY h.log_pos), 1, 6000) AS context
+FROM hist h JOIN seg s ON s.sha = h.sha GROUP BY 1, 2)""")
 def ask_context(t):
-    """Context texts carry no secret at this scale, so the SQL leaves redaction out."""
     rows = tracked_history(t).withColumn("line", rendering.context_line())
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("log_pos", "line"))), lambda x: x["line"]), "\n")
     out = rows.groupBy("project", "target").agg(
@@ -519,7 +528,7 @@ docs AS (SELECT project, file, arg_max(subject, log_pos) AS title, string_agg(nu
     CASE WHEN len(decisions) > 0 THEN '    · ' || array_to_string(decisions, chr(10) || '    · ') END,
     CASE WHEN len(rejected) > 0 THEN '    · (否决)' || array_to_string(rejected, chr(10) || '    · (否决)') END), chr(10) ORDER BY log_pos) AS src
   FROM items GROUP BY 1, 2)
-SELECT d.project, d.file AS target, length(doc) AS chars, md5(doc) AS digest FROM (
+SELECT project, target, length(doc) AS chars, md5(doc) AS digest FROM (SELECT project, file AS target, {sql_named("doc")} AS doc FROM (
   SELECT d.project, d.file, concat_ws(chr(10), '# ' || title || chr(10), '- Status: accepted' || chr(10),
     '## Context and Problem Statement' || chr(10) || coalesce(ctx, '(无叙事)') || chr(10), '## Decision Outcome' || chr(10) || {BULLETS.format('u1.xs')},
     CASE WHEN u2.xs IS NOT NULL THEN chr(10) || '## Considered Options(被否决的备选)' || chr(10) || {BULLETS.format('u2.xs')} END,
@@ -527,13 +536,9 @@ SELECT d.project, d.file AS target, length(doc) AS chars, md5(doc) AS digest FRO
     chr(10) || '## 来源(真实 commit,逐字可核验)' || chr(10) || '_目标:' || d.file || '_', src) AS doc
   FROM docs d LEFT JOIN uniq u1 ON u1.project = d.project AND u1.file = d.file AND u1.kind = 'd'
   LEFT JOIN uniq u2 ON u2.project = d.project AND u2.file = d.file AND u2.kind = 'x'
-  LEFT JOIN uniq u3 ON u3.project = d.project AND u3.file = d.file AND u3.kind = 'r') d
-WHERE NOT regexp_matches(doc, '{_NAMED}')""")
+  LEFT JOIN uniq u3 ON u3.project = d.project AND u3.file = d.file AND u3.kind = 'r'))""")
 def adr_docs(t):
-    """Documents that hold something like a named secret are left to ``redact``, whose SQL checks that pattern."""
-    docs = adr.adr_markdown(tracked_history(t))
-    plain = docs.filter(~F.contains("document", F.lit("[REDACTED]")))
-    return plain.select("project", "target", F.length("document").cast("bigint").alias("chars"), F.md5("document").alias("digest"))
+    return adr.adr_markdown(tracked_history(t)).select("project", "target", F.length("document").cast("bigint").alias("chars"), F.md5("document").alias("digest"))
 
 
 @query("adr_bom")
