@@ -479,8 +479,8 @@ def test_ghost_files(spark):
 
 
 def test_leakage_bands(spark):
-    pairs = frame(spark, [("a", 1, "use a queue", "+ # use a queue here"), ("b", 2, "use a queue", "nothing alike"), ("c", 3, "", "x")],
-                  "sha string, log_pos bigint, why string, diff string")
+    pairs = frame(spark, [("p", "a", 1, "use a queue", "+ # use a queue here"), ("p", "b", 2, "use a queue", "nothing alike"), ("p", "c", 3, "", "x")],
+                  "project string, sha string, log_pos bigint, why string, diff string")
     scored = audits.leakage(pairs)
     ratios = {r.sha: r.ratio for r in scored.collect()}
     assert ratios["a"] == 1.0 and ratios["b"] < 0.25 and ratios["c"] == 0.0
@@ -488,6 +488,17 @@ def test_leakage_bands(spark):
     assert audits.cleanest(scored.filter("why <> ''"), 1).first().sha == "b"
 
 
+def test_matching_blocks_equal_difflib():
+    import difflib
+
+    rnd = random.Random(8)
+    for _ in range(300):
+        a, b = ("".join(rnd.choices("abc ", k=rnd.randint(0, 60))) for _ in range(2))
+        for least in (1, 3, 5):
+            want = [(m.a, m.size) for m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size >= least]
+            assert audits._matching(a, b, least) == want
+
+
 def test_highlight_spans_rebuild_the_answer(spark):
     schema = "answer_id string, answer string, citations array<struct<cite_id:int,verbatim:string>>"
     rows = [("1", "we chose the write-ahead log because of crashes", [(0, "chose the write-ahead log"), (1, "because of crashes, mostly")]),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from whylake import constants as K
 from whylake.functions import notes
 from whylake.functions.redact import redact
+from whylake.session import spread
 
 COMMIT = ["project", "sha"]
 
@@ -61,8 +62,25 @@ def ghost_summary(narratives: DataFrame, ghosts: DataFrame) -> DataFrame:
 
 # --- quotes inside longer texts: Arrow batches of already paired rows -------------------
 
-def _matching(a: str, b: str):
-    return difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
+def _matching(a: str, b: str, least: int) -> list[tuple[int, int]]:
+    """(place in a, size) of the matching blocks of at least ``least`` characters.
+
+    Blocks are found longest first; once the longest of a stretch is too short, so is everything else in it, and the
+    search there ends.
+    """
+    matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        if ahi - alo < least or bhi - blo < least:
+            continue
+        block = matcher.find_longest_match(alo, ahi, blo, bhi)
+        if block.size < least:
+            continue
+        found.append((block.a, block.size))
+        todo.append((alo, block.a, blo, block.b))
+        todo.append((block.a + block.size, ahi, block.b + block.size, bhi))
+    return sorted(found)
 
 
 def leakage(pairs: DataFrame, min_block: int = 4) -> DataFrame:
@@ -73,11 +91,11 @@ def leakage(pairs: DataFrame, min_block: int = 4) -> DataFrame:
         def one(w, d):
             if not w:
                 return 0.0
-            return sum(m.size for m in _matching(w, d or "") if m.size >= min_block) / len(w)
+            return sum(size for _, size in _matching(w, d or "", min_block)) / len(w)
 
         return pd.Series([one(w, d) for w, d in zip(why, diff)], dtype="float64")
 
-    return pairs.withColumn("ratio", ratio("why", "diff"))
+    return spread(pairs, *COMMIT).withColumn("ratio", ratio("why", "diff"))
 
 
 def leakage_bands(scored: DataFrame) -> DataFrame:
@@ -105,7 +123,7 @@ def highlight(answers: DataFrame, min_span: int = 6) -> DataFrame:
                 found = []
                 for cite in row.citations if row.citations is not None else []:
                     text = cite["verbatim"] or ""
-                    found += [(m.a, -m.size, cite["cite_id"]) for m in _matching(answer, text) if m.size >= min_span]
+                    found += [(at, -size, cite["cite_id"]) for at, size in _matching(answer, text, min_span)]
                 place, at = 0, 0
                 for start, size, cite in sorted(found):
                     if start < at:
@@ -121,4 +139,4 @@ def highlight(answers: DataFrame, min_span: int = 6) -> DataFrame:
             out["cite_id"] = out["cite_id"].astype("Int32")
             yield out
 
-    return answers.select("answer_id", "answer", "citations").mapInPandas(cut, HIGHLIGHT_SCHEMA)
+    return spread(answers.select("answer_id", "answer", "citations"), "answer_id").mapInPandas(cut, HIGHLIGHT_SCHEMA)

@@ -9,6 +9,7 @@ from whylake import constants as K
 from whylake.functions import notes
 from whylake.operators.ranking import top_n
 from whylake.operators.rendering import cited_sources, render_hit, verbatim_text
+from whylake.session import spread
 
 
 def body_of(why: Column, decisions: Column) -> Column:
@@ -39,11 +40,17 @@ def query_trigrams(questions: DataFrame) -> DataFrame:
 
 
 def postings(corpus: DataFrame) -> DataFrame:
-    """The inverted index: (trigram, doc_key, project, tf, len).  Counting combines on the map side, as all places of
-    a document come from one row.  Write it bucketed by trigram; ``corpus`` is (doc_key, project, kind, body)."""
-    rows = corpus.select(
+    """The inverted index: (trigram, doc_key, project, tf, len).  ``corpus`` is (doc_key, project, kind, body).
+
+    Texts are hashed by document first, which already satisfies the counting per document: the texts are shuffled once
+    and the many times larger postings never are.  Write the result bucketed by trigram.
+    """
+    return _occurrences(corpus).groupBy("trigram", "doc_key", "project", "len").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _occurrences(corpus: DataFrame) -> DataFrame:
+    return spread(corpus.select("doc_key", "project", "body"), "doc_key").select(
         "doc_key", "project", F.greatest(F.length("body") - 2, F.lit(0)).alias("len"), F.explode(grams(F.col("body"))).alias("trigram"))
-    return rows.groupBy("trigram", "doc_key", "project", "len").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def search(corpus: DataFrame, questions: DataFrame, limit: int = K.SEARCH_LIMIT, index: DataFrame | None = None) -> DataFrame:
@@ -58,12 +65,11 @@ def search(corpus: DataFrame, questions: DataFrame, limit: int = K.SEARCH_LIMIT,
         F.count(F.lit(1)).cast("double").alias("n"),
         F.avg(F.greatest(F.length("body") - 2, F.lit(0))).alias("avg_len")).select(F.struct("n", "avg_len")).scalar()
     if index is None:
-        rows = corpus.select(
-            "doc_key", "project", F.greatest(F.length("body") - 2, F.lit(0)).alias("len"), F.explode(grams(F.col("body"))).alias("trigram"))
-        matched = rows.join(terms, "trigram").groupBy("trigram", "doc_key", "project", "len").agg(F.count(F.lit(1)).alias("tf"))
+        matched = _occurrences(corpus).join(terms, "trigram").groupBy("trigram", "doc_key", "project", "len").agg(F.count(F.lit(1)).alias("tf"))
     else:
         matched = index.join(terms, "trigram", "left_semi")
-    frequency = matched.groupBy("trigram").agg(F.count(F.lit(1)).alias("df"))
+    # counting through tf keeps both uses of ``matched`` the same plan, so that it is computed once
+    frequency = matched.groupBy("trigram").agg(F.count_if(F.col("tf") > 0).alias("df"))
     total, average = stats["n"], stats["avg_len"]
     idf = F.ln((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(frequency, "trigram").withColumn(

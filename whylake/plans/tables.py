@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whylake import constants as K
+from whylake.session import spread
 
 
 # Stated, so that opening a table starts no job that reads file footers.
@@ -34,6 +35,8 @@ SCHEMAS = {
 }
 
 
+TEXT_KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
+
 # The file a part number stands for, as an SQL text over column m.
 FILE_OF_PART = (
     "CASE WHEN m < 3 THEN concat('deps/pkg', m, '.lock') WHEN m < 10 THEN concat('docs/guide', m, '.md') "
@@ -62,7 +65,11 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         key = f"raw {name}"
         if key not in self._open:
-            self._open[key] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+            table = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
+            # A text table in fewer files than cores would be worked on by as many tasks as it has files.
+            if name in TEXT_KEYS and len(table.inputFiles()) < self.spark.sparkContext.defaultParallelism:
+                table = spread(table, *TEXT_KEYS[name])
+            self._open[key] = table
         return self._open[key]
 
     # --- history -----------------------------------------------------------

@@ -15,6 +15,8 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # small enough partitions are joined by hashing instead of two sorts; decided per join at run time
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
@@ -37,3 +39,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="whylake-checkpoint-"))
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before work that is heavy per row.
+
+    Without it a few large files, or partitions merged because they are small in bytes, would keep that work in a few
+    tasks.  A stated number of partitions is not merged again by adaptive execution.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
