@@ -116,6 +116,15 @@ def test_named_secret_keeps_its_name(spark):
     assert values(spark, texts, R.redact) == ['api_key = "[REDACTED]"', "PASSWORD: [REDACTED]", texts[2], texts[3], texts[4]]
 
 
+def test_trigger_skips_nothing(spark):
+    texts = [f"x {v} y" for v in SECRETS.values()] + ['my Api-Key="abcdefGHIJKL9"', "plain words", "BEARER " + "a1" * 12, "they key"]
+    def chain(c):
+        for _, pattern, replacement in K.SECRET_PATTERNS:
+            c = F.regexp_replace(c, pattern, replacement)
+        return c
+    assert values(spark, texts, R.redact) == values(spark, texts, chain)
+
+
 def test_nested_values(spark):
     df = spark.sql("SELECT array(named_struct('k', 'token=abc123def456ghi', 'n', 5)) AS a, map('password=abc123def456ghi', 'sk-abcdefghijklmnopq1') AS m")
     row = R.redact_columns(df).first()

@@ -40,6 +40,12 @@ SECRET_PATTERNS = [
     ("slack_webhook", r"https://hooks\.slack\.com/services/[A-Za-z0-9/]+", "[REDACTED]"),
 ]
 
+# What every one of the patterns above needs to match: a text without any of these is left alone.
+SECRET_TRIGGERS = (
+    r"sk-[A-Za-z0-9_-]{16}|ghp_|gho_|ghs_|github_pat_|xox[baprs]-|AKIA|(?i:bearer|api[_-]?key|token|secret|password)"
+    r"|AIza|googleusercontent|sk_live_|sk_test_|SG\.|ey[A-Za-z0-9_\-]{17}|PRIVATE KEY|hooks\.slack"
+)
+
 # --- sessions ---------------------------------------------------------------
 WRITE_TOOLS = ("Edit", "Write", "NotebookEdit")
 READ_TOOL = "Read"

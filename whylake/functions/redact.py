@@ -12,10 +12,14 @@ SECRET_NAMES = tuple(name for name, _, _ in K.SECRET_PATTERNS)
 
 
 def redact(text: Column) -> Column:
-    """All patterns in their fixed order; each replaces on the result of the one before."""
+    """All patterns in their fixed order; each replaces on the result of the one before.
+
+    One look for what any pattern needs decides whether the thirteen passes run at all.
+    """
+    masked = text
     for _, pattern, replacement in K.SECRET_PATTERNS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+        masked = F.regexp_replace(masked, pattern, replacement)
+    return F.when(F.regexp_like(text, F.lit(K.SECRET_TRIGGERS)), masked).otherwise(text)
 
 
 def with_redaction_counts(df: DataFrame, column: str, prefix: str = "n_") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -63,23 +62,33 @@ def ghost_summary(narratives: DataFrame, ghosts: DataFrame) -> DataFrame:
 # --- quotes inside longer texts: Arrow batches of already paired rows -------------------
 
 def _matching(a: str, b: str, least: int) -> list[tuple[int, int]]:
-    """(place in a, size) of the matching blocks of at least ``least`` characters.
+    """(place in a, size) of the matching blocks of at least ``least`` characters, as difflib finds them: the longest
+    first (the earliest of equal ones), then the same to its left and right.
 
-    Blocks are found longest first; once the longest of a stretch is too short, so is everything else in it, and the
-    search there ends.
+    Only places that share ``least`` characters are looked at, and a stretch without any ends the search in it.
     """
-    matcher = difflib.SequenceMatcher(None, a, b, autojunk=False)
+    seeds: dict[str, list[int]] = {}
+    for j in range(len(b) - least + 1):
+        seeds.setdefault(b[j:j + least], []).append(j)
+    starts = [(i, seeds[a[i:i + least]]) for i in range(len(a) - least + 1) if a[i:i + least] in seeds]
     found, todo = [], [(0, len(a), 0, len(b))]
-    while todo:
+    while todo and starts:
         alo, ahi, blo, bhi = todo.pop()
-        if ahi - alo < least or bhi - blo < least:
-            continue
-        block = matcher.find_longest_match(alo, ahi, blo, bhi)
-        if block.size < least:
-            continue
-        found.append((block.a, block.size))
-        todo.append((alo, block.a, blo, block.b))
-        todo.append((block.a + block.size, ahi, block.b + block.size, bhi))
+        best, at, other = 0, 0, 0
+        for i, places in starts:
+            if i < alo or i + least > ahi:
+                continue
+            for j in places:
+                if j < blo or j + least > bhi or (i > alo and j > blo and a[i - 1] == b[j - 1]):
+                    continue
+                size = least
+                while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+                    size += 1
+                if size > best:
+                    best, at, other = size, i, j
+        if best:
+            found.append((at, best))
+            todo += [(alo, at, blo, other), (at + best, ahi, other + best, bhi)]
     return sorted(found)
 
 

@@ -68,8 +68,8 @@ def search(corpus: DataFrame, questions: DataFrame, limit: int = K.SEARCH_LIMIT,
         matched = _occurrences(corpus).join(terms, "trigram").groupBy("trigram", "doc_key", "project", "len").agg(F.count(F.lit(1)).alias("tf"))
     else:
         matched = index.join(terms, "trigram", "left_semi")
-    # counting through tf keeps both uses of ``matched`` the same plan, so that it is computed once
-    frequency = matched.groupBy("trigram").agg(F.count_if(F.col("tf") > 0).alias("df"))
+    matched = matched.persist()  # only the postings asked for; read for their frequencies and again for the scores
+    frequency = matched.groupBy("trigram").agg(F.count(F.lit(1)).alias("df"))
     total, average = stats["n"], stats["avg_len"]
     idf = F.ln((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = wanted.join(frequency, "trigram").withColumn(
