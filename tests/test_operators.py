@@ -600,3 +600,45 @@ def test_adr_forms(spark):
     bom = json.loads(one)
     assert one == two and bom["specVersion"] == "1.5" and uuid.UUID(bom["serialNumber"]).version == 5
     assert [c["name"] for c in bom["components"]] == ["first", "last"] and len(bom["components"][1]["properties"]) == 3
+
+
+def test_state_writes(spark):
+    turns = frame(spark, [("1", "s", T0, "user", "old")], "turn_id string, session_id string, ts timestamp, role string, text string")
+    new = frame(spark, [("1", "s", T0 + timedelta(minutes=1), "user", "token=abc123def456ghi"), ("2", "s", T0, "user", "b")], turns.schema)
+    assert {r.turn_id: r.text for r in state.save_turns(turns, new).collect()} == {"1": "token=[REDACTED]", "2": "b"}
+    index = frame(spark, [("abc", "a", 1), ("abc", "b", 1)], "trigram string, doc_key string, tf int")
+    fresh = frame(spark, [("xyz", "a", 2)], index.schema)
+    assert {tuple(r) for r in state.refresh_postings(index, fresh, fresh).select("trigram", "doc_key", "tf").collect()} == {("abc", "b", 1), ("xyz", "a", 2)}
+    seen = frame(spark, [("p", "a", T0)], "project string, sha string, reviewed_at timestamp")
+    assert state.mark_reviewed(seen, seen.withColumn("reviewed_at", F.col("reviewed_at") + F.expr("interval 1 day"))).first().reviewed_at == T0 + timedelta(days=1)
+
+
+REFS = ("sha string, evidence array<struct<session_id:string,source:string,ts:timestamp,confidence:string,prompts:array<string>,excerpts:array<string>>>, "
+        "test_refs array<struct<path:string,names:array<string>>>, pr_refs array<struct<number:int,title:string,snippet:string>>")
+
+
+def test_references_and_rendering(spark):
+    from whylake.operators import rendering
+
+    ev = ("s" * 9, "claude", T0, "low", ["ask"], ["say"])
+    refs = frame(spark, [("a", [ev, ev], [("t.py", ["test_x"])], []), ("b", [ev], [("t.py", []), ("u.py", [])], [(7, "title", "snip")])], REFS)
+    hist = frame(spark, [("f", "a", 1), ("f", "b", 2)], "target string, sha string, log_pos bigint")
+    got = [(r.kind, r.key, r.log_pos) for r in search.reference_rows(hist, refs).orderBy("kind", "log_pos", "pos").collect()]
+    assert [(k, p) for k, _, p in got] == [("evidence", 1), ("request", 2), ("test", 1), ("test", 2)]
+    hit = frame(spark, [("a", "commit", "", "why", ["d"], [])], "sha string, kind string, text string, why string, decisions array<string>, rejected array<string>")
+    text = search.with_references(hit, refs).select(rendering.hit_with_references()).first()[0]
+    assert text.startswith("[a]\n  意图:why\n  决策:d\n  原话佐证(可自行核验):\n  - [claude·sssssss·2024-05-01 12:00:00·low]\n    原话:ask\n    AI:say")
+    assert "置信较低" in text and "  - t.py — test_x" in text and "PR" not in text
+    assert spark.range(1).select(rendering.debt_bar(F.lit(3.0), F.lit(6.0)), rendering.debt_bar(F.lit(0.0), F.lit(0.0))).first()[:] == ("██", "█")
+    msg = spark.range(1).select(rendering.user_message(F.lit("q?"), F.lit(""), F.lit(""))).first()[0]
+    assert msg == "材料(真实记录,旧→新;只据此回答):\n(无相关记录)\n\n问题:q?"
+
+
+def test_card_text(spark):
+    from whylake.operators import rendering
+
+    commits = frame(spark, [("p", "a", 1, T0, "first", "Vibe-Rejected: use B")], COMMITS)
+    targets = frame(spark, [("t1", "p", "f", 1, 2, True, 9)], TARGETS + ", line_known boolean, own_pos bigint")
+    hist = review.history_of(targets, frame(spark, [("p", "a", 1, T0, "f", 0, 0, 1, 2)], HUNKS), frame(spark, [], FILES))
+    text = review.review_cards(targets, hist, history.segments(commits, frame(spark, [], NARR))).select(rendering.card_text()).first()[0]
+    assert "潜在决策冲突 · f:1-2\n  否决备选(曾放弃):use B\n  来源:[a] 2024-05-01 first · commit 触达\n  [行级溯源]" in text

@@ -184,3 +184,22 @@ def test_documents(spark, tmp_path):
     sinks.write_documents(docs, str(tmp_path / "d"), ["project", "sha"], "text")
     sinks.write_documents(docs.withColumn("text", F.lit("new")), str(tmp_path / "d"), ["project", "sha"], "text")
     assert [r.value for r in spark.read.text(str(tmp_path / "d"), wholetext=True).collect()] == ["new\n"]
+
+
+def test_narratives(spark):
+    from whylake.sources import narratives as N
+
+    rows = [("p", "a", '{"what": 5, "why": "w token=abc123def456ghi", "decisions": "only one", "risks": ["r", " ", "材料不足"], "open_loops": [1, "x"]}'),
+            ("p", "b", "no json"), ("p", "c", '{"decisions": ["材料不足 kept"]}'), ("p", "d", "[]")]
+    typed = N.normalize(spark.createDataFrame(rows, "project string, sha string, json string"))
+    got = {r.sha: r for r in typed.collect()}
+    assert set(got) == {"a", "c"}
+    assert (got["a"].what, got["a"].decisions, got["a"].risks, got["a"].open_loops) == ("5", ["only one"], ["r"], ["1", "x"])
+    assert got["c"].decisions == ["材料不足 kept"] and got["c"].why == ""
+    commits = spark.createDataFrame([("p", "a", "lock", "Vibe-Decision: only one\nVibe-Decision: two\nVibe-Watch: r")], "project string, sha string, subject string, body string")
+    a = {r.sha: r for r in N.with_notes(typed, commits).collect()}["a"]
+    assert a.decisions == ["only one", "two"] and a.risks == ["r", "r"] and a.why == "w token=[REDACTED]"
+    assert [r.what for r in N.stubs(commits, commits).collect()] == ["lock"]
+    bad = spark.createDataFrame([("1", '{"why": "x", "decisions": []}'), ("2", '{"why": 5}'), ("3", '{"evidence": "e"}'), ("4", "{"), ("5", "{}")], "target_id string, json string")
+    good, rest = N.quarantine(bad)
+    assert {r.target_id for r in good.collect()} == {"1", "5"} and {r.target_id for r in rest.collect()} == {"2", "3", "4"}

@@ -59,6 +59,14 @@ def ghost_summary(narratives: DataFrame, ghosts: DataFrame) -> DataFrame:
         F.count_if(F.col("_g").isNull()).alias("clean"))
 
 
+def real_why(commits: DataFrame) -> DataFrame:
+    """The recorded why of commits that have one: decisions, then rejected paths marked as such."""
+    body = F.col("body")
+    marked = F.transform(notes.rejected(body), lambda r: F.concat(F.lit("(否决)"), r))
+    rows = commits.withColumn("why", F.array_join(F.concat(notes.decisions(body), marked), "\n"))
+    return rows.filter("why <> ''")
+
+
 # --- quotes inside longer texts: Arrow batches of already paired rows -------------------
 
 def _matching(a: str, b: str, least: int) -> list[tuple[int, int]]:

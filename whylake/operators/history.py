@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from whylake import constants as K
 from whylake.functions import notes
 from whylake.functions.text import head_tail_list, is_trivial_name
-from whylake.operators.ranking import positions, previous, top_n
+from whylake.operators.ranking import first_texts, positions, previous, top_n
 from whylake.session import cut_lineage
 
 COMMIT = ["project", "sha"]
@@ -346,6 +346,12 @@ def chapter_blocks(placed: DataFrame, narratives: DataFrame, n: int = 2) -> Data
     return first.join(narratives.select(*COMMIT, F.substring("what", 1, K.TIMELINE_EXCERPT).alias("what")), COMMIT, "left")
 
 
+def chapter_items(placed: DataFrame, narratives: DataFrame, column: str, n: int = 5) -> DataFrame:
+    """The first ``n`` different risks or open loops of every chapter."""
+    rows = placed.join(narratives.select(*COMMIT, F.posexplode(column).alias("_pos", "_item")), COMMIT)
+    return first_texts(rows, ["project", "chapter"], F.col("_item"), F.struct("log_pos", "_pos"), n, column)
+
+
 def prompts_for_preview(items: Column) -> Column:
     """Both ends of a prompt list, six in all."""
     return head_tail_list(items, 6)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from whylake import constants as K
 from whylake.functions import notes
+from whylake.functions.redact import redact
 
 
 def labelled(label: str, items: Column, indent: str = "  ") -> Column:
@@ -79,3 +80,50 @@ def requests_block(requests: Column) -> Column:
     lines = F.transform(requests, lambda p: F.concat(
         F.lit("- #"), p["number"].cast("string"), F.lit(" "), F.coalesce(p["title"], F.lit("")), F.lit(" — "), F.coalesce(p["snippet"], F.lit(""))))
     return F.when(F.size(requests) > 0, F.concat(F.lit(K.PR_REFS_TITLE + "\n"), F.array_join(lines, "\n")))
+
+
+def references(separator: str = "\n") -> Column:
+    """Evidence, test and request blocks of a row that carries them (evidence, test_refs, pr_refs)."""
+    return F.concat_ws(separator, evidence_block(F.col("evidence")), tests_block(F.col("test_refs")), requests_block(F.col("pr_refs")))
+
+
+def hit_with_references() -> Column:
+    """A hit with its anchors, indented below the commit."""
+    blocks = [
+        F.concat(F.lit("  "), F.replace(block, F.lit("\n"), F.lit("\n  ")))
+        for block in (evidence_block(F.col("evidence")), tests_block(F.col("test_refs")), requests_block(F.col("pr_refs")))]
+    return F.when(F.col("kind") == "conversation", render_hit()).otherwise(F.concat_ws("\n", render_hit(), *blocks))
+
+
+def card_text() -> Column:
+    """A review card as text: records first, generated text marked as no evidence, how exact the lines are, and that a
+    person has to judge."""
+    span = F.concat(F.lit(" · "), F.col("file"), F.lit(":"), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"))
+    title = (
+        F.when(F.col("kind") == "potential_conflict", "潜在决策冲突").when(F.col("kind") == "decision_context", "决策上下文")
+        .otherwise("未找到决策证据"))
+    summary = F.when(F.col("interpretation.summary") != "", F.concat(F.lit("  生成解释(非证据):"), "interpretation.summary"))
+    source = F.when(F.col("primary_sha").isNotNull(), F.concat(
+        F.lit("  来源:["), F.substring("primary_sha", 1, 7), F.lit("] "), F.date_format("primary_date", "yyyy-MM-dd"), F.lit(" "),
+        F.col("primary_subject"), F.lit(" · commit 触达")))
+    return F.concat_ws(
+        "\n", F.concat(F.lit("["), F.col("card_id"), F.lit("] "), title, span),
+        labelled(K.L_REJECTED, F.col("rejected")), labelled(K.L_DECISION, F.col("chosen")), summary,
+        labelled("生成解释·否决路径(非证据):", F.col("interpretation.rejected")),
+        labelled("生成解释·决策(非证据):", F.col("interpretation.decisions")), source,
+        F.concat(F.lit("  "), "label"), F.lit("  关联只来自 git 历史,未做语义判定;需要人工判断。"))
+
+
+def user_message(question: Column, history: Column, material: Column) -> Column:
+    """What a model would be asked: earlier turns to understand the question, records to answer from, redacted as a whole."""
+    return redact(F.concat_ws(
+        "\n\n",
+        F.when(history != "", F.concat(F.lit("对话历史(仅供理解追问意图,不得作事实依据):\n"), history)),
+        F.concat(F.lit("材料(真实记录,旧→新;只据此回答):\n"), F.coalesce(F.nullif(material, F.lit("")), F.lit("(无相关记录)"))),
+        F.concat(F.lit("问题:"), question)))
+
+
+def debt_bar(debt: Column, peak: Column) -> Column:
+    """One to five blocks in proportion to the largest debt."""
+    size = F.greatest(F.lit(1), F.bround(F.coalesce(F.try_divide(debt, peak), F.lit(0.0)) * 5)).cast("int")
+    return F.repeat(F.lit("█"), size)

@@ -112,6 +112,25 @@ def hits(ranked: DataFrame, corpus: DataFrame, segments: DataFrame) -> DataFrame
         F.when(talk, blank).otherwise(notes.texts_or_empty(F.col("rejected"))).alias("rejected"))
 
 
+def with_references(hit_rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """Hits with the evidence, tests and requests stored for their commit (sha, evidence, test_refs, pr_refs)."""
+    return hit_rows.join(refs.select("sha", "evidence", "test_refs", "pr_refs"), "sha", "left")
+
+
+def reference_rows(history: DataFrame, refs: DataFrame) -> DataFrame:
+    """Evidence, tests and requests behind the history of each target, every one once, by first occurrence: evidence
+    by session and time, tests by path, requests by number.  Order by (log_pos, pos)."""
+    rows = history.select("target", "sha", "log_pos").join(refs, "sha")
+    parts = []
+    for kind, column, key in (
+        ("evidence", "evidence", lambda x: F.concat_ws("|", x["session_id"], x["ts"].cast("string"))),
+        ("test", "test_refs", lambda x: x["path"]), ("request", "pr_refs", lambda x: x["number"].cast("string"))):
+        item = rows.select("target", "log_pos", F.posexplode(column).alias("pos", "x"))
+        parts.append(item.select("target", F.lit(kind).alias("kind"), key(F.col("x")).alias("key"), "log_pos", "pos", F.to_json("x").alias("item")))
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return first_seen(both, ["target", "kind", "key"], [F.col("log_pos"), F.col("pos")])
+
+
 def hit_kinds(hit_rows: DataFrame) -> DataFrame:
     return hit_rows.groupBy("question_id").agg(
         F.count_if(F.col("kind") == "commit").alias("commits"), F.count_if(F.col("kind") == "conversation").alias("conversations"))

@@ -78,3 +78,26 @@ def unindexed(narratives: DataFrame, indexed: DataFrame) -> DataFrame:
 def history_of(turns: DataFrame, n: int = 6) -> DataFrame:
     """The last ``n`` turns of each conversation, numbered from the end."""
     return top_n(turns, ["session_id"], [F.col("ts").desc(), F.col("turn_id").desc()], n, "from_end")
+
+
+def put_sessions(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Session summaries by (source, session_id): ids of different tools never meet."""
+    return upsert(current, redact_columns(incoming), ["source", "session_id"], [F.col("ended"), F.col("records")])
+
+
+def put_daily(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    return upsert(current, redact_columns(incoming, ["overview", "decision"]), ["project", "day"], [F.col("created_at")])
+
+
+def mark_reviewed(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    return upsert(current, incoming, ["project", "sha"], [F.col("reviewed_at")])
+
+
+def save_turns(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Conversation turns by turn_id, redacted on the way in."""
+    return upsert(current, redact_columns(incoming, ["text"]), ["turn_id"], [F.col("ts")])
+
+
+def refresh_postings(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Search postings after documents (doc_key) changed: their old rows go, the new ones come."""
+    return index.join(changed.select("doc_key").distinct(), "doc_key", "left_anti").select(*index.columns).unionByName(fresh)

@@ -8,7 +8,7 @@ from whylake import constants as K
 from whylake.functions import notes
 from whylake.functions import text as T
 from whylake.functions.redact import SECRET_NAMES, redact, with_redaction_counts
-from whylake.operators import adr, audits, rendering, review, search
+from whylake.operators import adr, audits, graph, rendering, review, search
 from whylake.operators import align as A
 from whylake.operators import history as H
 from whylake.operators import reports as R
@@ -391,6 +391,23 @@ def review_cards(t):
         F.col("interpretation").isNotNull().alias("has_interpretation"), "judgment")
 
 
+@query("chapter_items", """
+WITH placed AS (
+  SELECT project, sha, log_pos, (pos - 1) // CAST(ceil(n / greatest(1.0, round(sqrt(n)))) AS BIGINT) + 1 AS chapter FROM (
+    SELECT *, row_number() OVER (PARTITION BY project ORDER BY log_pos) AS pos, count(*) OVER (PARTITION BY project) AS n FROM v_commits)),
+items AS (SELECT p.project, p.chapter, n.risks[i] AS item, min(p.log_pos * 10 + i) AS place
+  FROM placed p JOIN (SELECT *, unnest(range(1, len(risks) + 1)) AS i FROM v_narr) n ON n.sha = p.sha GROUP BY ALL)
+SELECT project, chapter, array_to_string(list_slice(list(item ORDER BY place), 1, 5), ' | ') AS risks FROM items GROUP BY 1, 2""")
+def chapter_items(t):
+    rows = H.chapter_items(H.chapters(t.commits()), t.narratives(), "risks")
+    return rows.select("project", F.col("chapter").cast("bigint").alias("chapter"), F.array_join("risks", " | ").alias("risks"))
+
+
+@query("graph_json")
+def graph_json(t):
+    return graph.graph_json(*graph.decision_graph(t.commits(), t.files(), t.narratives(), t.capsules()))
+
+
 @query("feedback_valid", """
 SELECT event_id AS judgment_id, status AS judgment, changed AS action_changed, status = 'confirmed_conflict' AND coalesce(changed, false) AS verified_interception,
   CASE WHEN k < 90 THEN 'line' ELSE 'none' END AS provenance_precision FROM (
@@ -442,11 +459,10 @@ def ghost_files(t):
 
 def leak_pairs(t):
     """Why texts from the notes against documents; those with evidence carry the commit body as well."""
-    body = t.commits().select("project", "sha", "body")
-    rows = t.narratives().join(body, ["project", "sha"])
-    why = F.array_join(F.concat(notes.decisions(F.col("body")), notes.rejected(F.col("body"))), "\n")
-    diff = F.concat("why", F.when(F.col("n_evidence") > 0, F.col("body")).otherwise(""))
-    return rows.select("project", "sha", "log_pos", why.alias("why"), diff.alias("diff")).filter("why <> ''")
+    recorded = audits.real_why(t.commits()).select("project", "sha", "why", "body")
+    rows = t.narratives().withColumnRenamed("why", "told").join(recorded, ["project", "sha"])
+    diff = F.concat("told", F.when(F.col("n_evidence") > 0, F.col("body")).otherwise(""))
+    return rows.select("project", "sha", "log_pos", "why", diff.alias("diff"))
 
 
 @query("leakage")
