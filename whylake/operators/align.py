@@ -63,10 +63,38 @@ def best_matches(matches: DataFrame, n: int = 2) -> DataFrame:
     return top_n(matches, ["project", "sha"], order, n)
 
 
-def evidence(matches: DataFrame, sessions: DataFrame) -> DataFrame:
+def best_sessions(
+    commits: DataFrame, files: DataFrame, sessions: DataFrame, session_files: DataFrame, n: int = 2,
+) -> DataFrame:
+    """The same rows as ``best_matches(align(...))`` without forming all matches first.
+
+    Strong matches lie inside the time window, where pairs are few.  A commit that has ``n`` of them is settled; only
+    the others are matched by files alone, which is where a file touched by everything would multiply.
+    """
+    timed = time_pairs(commits, sessions)
+    written = session_files.filter("mode = 'write'").select(*SESSION, "file").distinct()
+    strong = timed.join(files.select("project", "sha", "file"), ["project", "sha"]).join(written, [*SESSION, "file"]).groupBy(
+        "project", "sha", "source", "session_id").agg(F.count(F.lit(1)).alias("n_overlap"))
+    strong = top_n(strong, ["project", "sha"], [F.col("n_overlap").desc(), F.col("source"), F.col("session_id")], n)
+    settled = strong.groupBy("project", "sha").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == n).drop("_n")
+    first = strong.join(settled, ["project", "sha"], "left_semi").withColumn("confidence", F.lit("high"))
+
+    open_time = timed.join(settled, ["project", "sha"], "left_anti").withColumn("file", F.lit(None).cast("string"))
+    open_files = files.select("project", "sha", "file").join(settled, ["project", "sha"], "left_anti")
+    pairs = open_time.unionByName(file_pairs(open_files, session_files).select(*open_time.columns)).groupBy(
+        "project", "sha", "source", "session_id").agg(
+        F.max(F.col("file").isNull()).alias("_timed"), F.count("file").alias("n_overlap"))
+    judged = pairs.withColumn("confidence", F.when(F.col("_timed") & (F.col("n_overlap") > 0), "high").otherwise("low")).drop("_timed")
+    rest = best_matches(judged, n)
+    return first.unionByName(rest.select(*first.columns))
+
+
+def evidence(best: DataFrame, sessions: DataFrame) -> DataFrame:
     """Evidence records of a commit: up to two sessions with three prompts and two excerpts each.
-    ``sessions`` carries ``prompts`` and ``excerpts`` arrays (already capped by the roll-up) and ``ended``."""
-    return best_matches(matches).join(sessions, SESSION, "left").select(
+
+    ``best`` comes from ``best_sessions`` or ``best_matches``; ``sessions`` carries ``prompts`` and ``excerpts`` arrays
+    (already capped by the roll-up) and ``ended``."""
+    return best.join(sessions, SESSION, "left").select(
         "project", "sha", "rank", "session_id", "source", F.col("ended").alias("ts"), "confidence",
         F.slice("prompts", 1, 3).alias("prompts"), F.slice("excerpts", 1, 2).alias("excerpts"))
 

@@ -566,7 +566,7 @@ def adr_bom(t):
 def payload_preview(t):
     """The bounded text per commit; event sessions of purchases have no prompts, so it is the commit part alone."""
     empty = F.array().cast("array<string>")
-    matches = A.best_matches(A.align(t.event_commits(), t.event_commits(), t.sessions(), t.session_files())).withColumns(
+    matches = A.best_sessions(t.event_commits(), t.event_commits(), t.sessions(), t.session_files()).withColumns(
         {"prompts": empty, "excerpts": empty})
     stats = diffs(t).select("project", "sha", F.lit("").alias("stat"), T.bounded_text(F.col("text"), 8000).alias("diff"))
     return R.payload(t.commits(), H.prior_context(t.files(), t.narratives()), matches, stats)

@@ -146,7 +146,9 @@ SELECT project, sha, source, session_id, confidence, rank, strftime(ended, '%Y-%
 def evidence_top2(t):
     empty = F.array().cast("array<string>")
     sessions = t.sessions().withColumns({"prompts": empty, "excerpts": empty})
-    return A.evidence(matches(t), sessions).select(
+    commits = t.event_commits()
+    best = A.best_sessions(commits, commits, t.sessions(), t.session_files())
+    return A.evidence(best, sessions).select(
         "project", "sha", "source", "session_id", "confidence", F.col("rank").cast("bigint").alias("rank"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ended"))
 
