@@ -15,7 +15,8 @@ LEVELS = (1, 24, 720)
 
 
 def _hours(ts: Column) -> Column:
-    return F.floor(F.unix_timestamp(ts.cast("timestamp")) / 3600)
+    """Hours since 1970 on the wall clock; needs no time zone, so it serves both kinds of timestamp."""
+    return F.datediff(ts, F.lit("1970-01-01")).cast("bigint") * 24 + F.hour(ts)
 
 
 def time_pairs(commits: DataFrame, sessions: DataFrame, slack_minutes: int = K.TIME_SLACK_MINUTES) -> DataFrame:
