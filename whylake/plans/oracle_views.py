@@ -28,8 +28,8 @@ SELECT DISTINCT project, {FILE_OF_PART} AS file
 FROM (SELECT l_orderkey, l_partkey % 100 AS m FROM lineitem WHERE l_quantity >= 49) JOIN v_commits ON k = l_orderkey""",
     "v_hunks": f"""
 SELECT * FROM (
-  SELECT c.project, c.sha, c.log_pos, c.date, {FILE_OF_PART} AS file, l_linenumber * 40 AS new_start,
-    CAST(l_quantity AS BIGINT) AS new_count, l_linenumber * 40 AS old_start, CAST(l_quantity AS BIGINT) - 1 AS old_count
+  SELECT c.project, c.sha, c.log_pos, c.date, {FILE_OF_PART} AS file, CAST(l_linenumber AS BIGINT) * 40 AS new_start,
+    CAST(l_quantity AS BIGINT) AS new_count, CAST(l_linenumber AS BIGINT) * 40 AS old_start, CAST(l_quantity AS BIGINT) - 1 AS old_count
   FROM (SELECT *, l_partkey % 100 AS m FROM lineitem) JOIN v_commits c ON c.k = l_orderkey)
 WHERE file NOT LIKE '%.lock'""",
     "v_narr": """
@@ -41,7 +41,7 @@ SELECT c.project, c.sha, c.log_pos, c.date, d.doc_id, 'Order ' || c.k || ' in '
   list_filter([CASE WHEN lang IN ('fr', 'es') THEN 'translate ' || source END,
     CASE WHEN d.n_chars < 300 THEN '  ' END], lambda x: x IS NOT NULL) AS open_loops,
   list_filter([CASE WHEN lang = 'es' THEN 'drop ' || source END, c.rej], lambda x: x IS NOT NULL) AS rejected,
-  CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS n_evidence, coalesce(l.toxic = 1, false) AS degraded,
+  CAST(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence, coalesce(l.toxic = 1, false) AS degraded,
   TIMESTAMP '2024-01-01' + to_seconds(d.doc_id) AS created_at
 FROM documents d JOIN v_commits c ON c.k = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "v_caps": """

@@ -231,7 +231,8 @@ FROM v_caps k JOIN v_commits c ON c.sha = k.sha JOIN (SELECT project, count(open
   count(*) FILTER (WHERE opened_date IS NOT NULL AND outcome IS NOT NULL) AS filled FROM v_caps GROUP BY 1) s ON s.project = k.project
 WHERE k.opened_date IS NOT NULL AND k.outcome IS NULL""")
 def watch_inbox(t):
-    return P.watch_inbox(t.capsules(), t.commits(), TODAY).drop("open_date")
+    rows = P.watch_inbox(t.capsules(), t.commits(), TODAY)
+    return rows.withColumn("days_sealed", F.col("days_sealed").cast("bigint")).drop("open_date")
 
 
 # --- state -------------------------------------------------------------------------------
@@ -247,7 +248,7 @@ def upsert_latest(t):
 
 
 @query("backfill_fill_nulls", """
-SELECT n.project, n.sha, CASE WHEN n.n_evidence = 0 AND r.sha IS NOT NULL THEN 2 ELSE n.n_evidence END AS n_evidence,
+SELECT n.project, n.sha, CASE WHEN n.n_evidence = 0 AND r.sha IS NOT NULL THEN CAST(2 AS BIGINT) ELSE n.n_evidence END AS n_evidence,
   n.n_evidence = 0 AND r.sha IS NOT NULL AS patched FROM v_narr n LEFT JOIN v_reviewed r ON r.sha = n.sha""")
 def backfill_fill_nulls(t):
     new = t.reviewed().selectExpr("project", "sha", "CAST(2 AS BIGINT) AS n_new")
@@ -350,7 +351,7 @@ def char_budget(t):
 WITH told AS (SELECT c.*, n.what, n.why, n.decisions, n.degraded, n.sha IS NOT NULL AS narrated,
     list_filter(n.risks, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '材料不足')) AS risks,
     list_filter(n.open_loops, lambda x: trim(x) <> '') AS loops FROM v_commits c LEFT JOIN v_narr n ON n.sha = c.sha)
-SELECT project, day, section, count(*) AS lines FROM (
+SELECT project, day, CAST(section AS BIGINT) AS section, count(*) AS lines FROM (
   SELECT project, strftime(day, '%Y-%m-%d') AS day, 0 AS section FROM v_digests, range(3) UNION ALL
   SELECT project, strftime(day, '%Y-%m-%d'), 0 FROM v_digests WHERE decision <> '' UNION ALL
   SELECT project, strftime(opened_date, '%Y-%m-%d'), 1 FROM v_caps, range(6) WHERE opened_date IS NOT NULL UNION ALL
@@ -429,8 +430,8 @@ def brief(t):
 
 
 @query("enrich_plan", """
-SELECT c.project, count(*) AS total_commits, count(*) - count(n.sha) AS uncached_commits, 200 AS author_cap, 500 AS subject_cap,
-  500 AS body_cap, 2000 AS stat_cap, 'preserved' AS existing_narratives
+SELECT c.project, count(*) AS total_commits, count(*) - count(n.sha) AS uncached_commits, CAST(200 AS BIGINT) AS author_cap,
+  CAST(500 AS BIGINT) AS subject_cap, CAST(500 AS BIGINT) AS body_cap, CAST(2000 AS BIGINT) AS stat_cap, 'preserved' AS existing_narratives
 FROM v_commits c LEFT JOIN v_narr n ON n.sha = c.sha GROUP BY 1""")
 def enrich_plan(t):
     return R.enrichment_plan(t.commits(), t.narratives())
