@@ -521,7 +521,10 @@ SELECT h.project, h.file AS target, count(*) AS commits, arg_max(h.sha, h.log_po
     CASE WHEN len(risks) > 0 THEN '风险/待验证:' || substr(array_to_string(risks, ';'), 1, 200) END), chr(10) ORDER BY h.log_pos), 1, 6000) AS context
 FROM hist h JOIN seg s ON s.sha = h.sha GROUP BY 1, 2)""")
 def ask_context(t):
-    rows = tracked_history(t).withColumn("line", rendering.context_line())
+    # the line of a commit is written once, before the commit joins the history of each of its files
+    told = H.segments(t.commits(), t.narratives()).select("project", "sha", "log_pos", rendering.context_line().alias("line"))
+    history = H.file_history(t.files().join(t.tracked(), ["project", "file"], "left_semi"))
+    rows = history.select("project", F.col("path").alias("target"), "sha").join(told, ["project", "sha"])
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("log_pos", "line"))), lambda x: x["line"]), "\n")
     out = rows.groupBy("project", "target").agg(
         F.count(F.lit(1)).alias("commits"), F.max_by("sha", "log_pos").alias("newest"), joined.alias("context"))
