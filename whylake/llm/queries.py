@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from whylake.llm import packing
+from whylake.llm import bpe, fertility, packing, simhash
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
+    "op7_simhash": simhash.op7_simhash,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op10_fertility": fertility.op10_fertility,
 }
 
 ORACLES: dict[str, str] = {}
