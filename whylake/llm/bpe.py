@@ -20,7 +20,7 @@ from __future__ import annotations
 import base64
 import codecs
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -60,13 +60,17 @@ class Transducer:
 
     def merged(self, data: bytes) -> list[int]:
         """The merges themselves, used to check pairs of tokens: lowest rank first, leftmost among equals."""
+        rank, none = self.ranks.get, len(self.ranks) + (1 << 40)
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            joined = parts[best] + parts[best + 1]
-            if joined not in self.ranks:
-                break
-            parts[best : best + 2] = [joined]
+        pairs = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (best := min(pairs)) != none:
+            i = pairs.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank(parts[i - 1] + parts[i], none)
+            if i < len(pairs):
+                pairs[i] = rank(parts[i] + parts[i + 1], none)
         return [self.ranks[p] for p in parts]
 
     def fits(self, left: int, right: int) -> bool:
@@ -83,10 +87,8 @@ class Transducer:
         #: Hypotheses of each state: (last finished token or -1, bytes since, tokens not emitted yet).
         self.states: list[tuple] = [start]
         self.number = {start: 0}
-        #: Per state: byte -> (emitted tokens, next state).
-        self.moves: list[dict[int, tuple[tuple[int, ...], int]]] = [{}]
-        #: Per state: the tokens that end a piece here.
-        self.ends: list[tuple[int, ...] | None] = [None]
+        #: Per state: byte -> (emitted tokens, next state), made when first asked for.
+        self.moves: list[Moves] = [Moves(self, 0)]
 
     def step(self, state: int, byte: int) -> tuple[tuple[int, ...], int]:
         """Determinise one transition."""
@@ -94,26 +96,25 @@ class Transducer:
         grown, finished = [], None
         for last, since, held in self.states[state]:
             read = since + one
-            token = self.reachable.get(read)
-            if token is not None and finished is None and (last < 0 or self.fits(last, token)):
-                finished = (token, b"", (*held, token))
             if read in self.prefixes:
                 grown.append((last, read, held))
+                if finished is None:
+                    token = self.reachable.get(read)
+                    if token is not None and (last < 0 or self.fits(last, token)):
+                        finished = (token, b"", (*held, token))
         grown.append(finished)  # every prefix of the input has a sequence, so there is one
-        common = min(len(h[2]) for h in grown)
         emitted = grown[0][2]
+        common = len(emitted)
         for h in grown:
             while emitted[:common] != h[2][:common]:
                 common -= 1
-        after = tuple((last, since, held[common:]) for last, since, held in grown)
+        after = tuple((last, since, held[common:]) for last, since, held in grown) if common else tuple(grown)
         number = self.number.get(after)
         if number is None:
             number = self.number[after] = len(self.states)
             self.states.append(after)
-            self.moves.append({})
-            self.ends.append(None)
-        move = self.moves[state][byte] = emitted[:common], number
-        return move
+            self.moves.append(Moves(self, number))
+        return emitted[:common], number
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -124,38 +125,70 @@ class Transducer:
         out: list[int] = []
         state, moves = 0, self.moves
         for byte in piece:
-            move = moves[state].get(byte) or self.step(state, byte)
-            if move[0]:
-                out += move[0]
-            state = move[1]
+            emitted, state = moves[state][byte]
+            if emitted:
+                out += emitted
         # the hypothesis that ends a token here is the sequence of the whole piece
         out += next(h[2] for h in self.states[state] if not h[1])
         return out
 
 
+class Moves(dict):
+    """Transitions of one state."""
+
+    __slots__ = ("machine", "state")
+
+    def __init__(self, machine: Transducer, state: int):
+        self.machine, self.state = machine, state
+
+    def __missing__(self, byte: int) -> tuple[tuple[int, ...], int]:
+        move = self[byte] = self.machine.step(self.state, byte)
+        return move
+
+
+def complete(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class StreamDecoder:
-    """Token ids to text as they come: an incremental UTF-8 machine whose moves are whole tokens."""
+    """Token ids (as decimal bytes) to text as they come: an incremental UTF-8 machine whose moves are whole tokens."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
         self.bytes_of = bytes_of
-        self.moves: dict[tuple[bytes, int], tuple[str, bytes]] = {}
+        #: Moves from "nothing unfinished" back to it.
+        self.closed = {str(i).encode(): b.decode() for i, b in bytes_of.items() if complete(b)}
+        #: By unfinished bytes: token -> (text, unfinished bytes after it).
+        self.moves: dict[bytes, dict[bytes, tuple[str, bytes]]] = {}
+        self.known = 0
         self.pending = b""
 
-    def feed(self, ids: Iterable[int]) -> str:
-        moves, pending, out = self.moves, self.pending, []
-        for i in ids:
-            move = moves.get((pending, i)) or self.move(pending, i)
-            out.append(move[0])
-            pending = move[1]
-        self.pending = pending
+    def feed(self, ids: list[bytes]) -> str:
+        out = list(map(self.closed.get, ids))
+        at = 0 if self.pending else self.next_open(out, 0)
+        while at < len(out):  # walk from a token that ends inside a character to where the machine is at rest again
+            move = self.moves.get(self.pending, {}).get(ids[at]) or self.move(self.pending, ids[at])
+            out[at], self.pending = move
+            at = at + 1 if self.pending else self.next_open(out, at + 1)
         return "".join(out)
 
-    def move(self, pending: bytes, i: int) -> tuple[str, bytes]:
-        if len(self.moves) > MOVES:
-            self.moves.clear()
+    @staticmethod
+    def next_open(texts: list[str | None], begin: int) -> int:
+        try:
+            return texts.index(None, begin)
+        except ValueError:
+            return len(texts)
+
+    def move(self, pending: bytes, i: bytes) -> tuple[str, bytes]:
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        text = machine.decode(pending + self.bytes_of[i])
-        move = self.moves[pending, i] = text, machine.getstate()[0]
+        text = machine.decode(pending + self.bytes_of[int(i)])
+        move = text, machine.getstate()[0]
+        if self.known < MOVES:
+            self.known += 1
+            self.moves.setdefault(pending, {})[i] = move
         return move
 
     def finish(self) -> str:
@@ -172,10 +205,10 @@ def codec(path: str, pattern: str):
     transducer = Transducer(read_ranks(path))
     encode = transducer.encode
 
-    def ids_of(pieces: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(encode(p.encode())) for p in pieces]
+    def ids_of(pieces: list[str]) -> list[bytes]:
+        return [",".join(map(str, encode(p.encode()))).encode() for p in pieces]
 
-    return regex.compile(pattern).findall, Remembered(ids_of, 200_000), StreamDecoder(transducer.bytes_of)
+    return regex.compile(pattern).findall, Remembered(ids_of, 300_000), StreamDecoder(transducer.bytes_of)
 
 
 def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None, text: str = "text", doc_id: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -204,11 +237,11 @@ def encoded(docs: DataFrame, path: str | None = None, pattern: str | None = None
 
 
 def encode_one(text: str, pieces_of, ids_of: Remembered, decoder: StreamDecoder, with_ids: bool) -> tuple:
-    found = ids_of(pieces_of(text))
-    ids = [i for piece in found for i in piece]
+    line = b",".join(ids_of.each(pieces_of(text)))
+    ids = line.split(b",") if line else []
     decoded = decoder.feed(ids) + decoder.finish()
-    row = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-    return (*row, ids, decoded) if with_ids else row
+    row = (len(ids), hashlib.sha256(line).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+    return (*row, list(map(int, ids)), decoded) if with_ids else row
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

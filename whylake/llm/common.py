@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from whylake.session import cut_lineage
@@ -34,6 +34,16 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % modulus
 
 
-def hashed_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
-    """At most ``limit`` rows, chosen by a hash of ``key`` so that a repeated run takes the same ones."""
-    return rows.orderBy(F.xxhash64(F.lit("sample"), key), key).limit(limit)
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, most_chars: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(label, text) of at most ``per_label`` documents of each label in ``labels`` (doc_id, label), none over ``most_chars``.
+
+    Documents are chosen by a hash of their id, so a repeated run takes the same ones.  Only the chosen ids, whose number
+    is bounded, are broadcast; texts are read once and not shuffled before they are chosen.
+    """
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = labels.where("doc_id is not null and label is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
+    chosen = ranked.select("doc_id", "label")
+    rows = chosen.collect()  # bounded: per_label ids of each label
+    wanted = docs.sparkSession.createDataFrame(rows, chosen.schema)
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") <= most_chars)
+    return own.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id", "label"]).select("label", "text")

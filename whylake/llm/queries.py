@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from whylake.llm import bpe, fertility, packing, simhash
+from whylake.llm import bpe, fertility, langid, packing, simhash, toxicity
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
+    "op5_subword_softmax": toxicity.op5_subword_softmax,
     "op7_simhash": simhash.op7_simhash,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_string_kernel": langid.op9_string_kernel,
     "op10_fertility": fertility.op10_fertility,
 }
 

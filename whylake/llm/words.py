@@ -30,6 +30,15 @@ class Remembered:
         known.update(zip(missing, self.compute(missing), strict=True))
         return [known[w] for w in words]
 
+    def each(self, words: list[str]) -> Iterator:
+        """The same for a list in which words repeat: what is known is only looked up."""
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        missing = set(words).difference(self.known)
+        if missing:
+            self(list(missing))
+        return map(self.known.__getitem__, words)
+
 
 class WordTable:
     """The words of a batch of texts: ``place`` of each in ``words``, and the ``doc`` that holds it."""
