@@ -40,10 +40,40 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, most_cha
     Documents are chosen by a hash of their id, so a repeated run takes the same ones.  Only the chosen ids, whose number
     is bounded, are broadcast; texts are read once and not shuffled before they are chosen.
     """
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = labels.where("doc_id is not null and label is not null").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
+    known = labels.where("doc_id is not null and label is not null").withColumn("draw", F.xxhash64("doc_id"))
+    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each label
+    # of a label with more documents, only the lowest hashes are candidates: no task sorts a whole label
+    limit = F.lit((1 << 63) - 1)
+    for c in counts:
+        if c.n > 2 * per_label:
+            limit = F.when(F.col("label") == c.label, F.lit(-(1 << 63) + int((1 << 64) * 1.5 * per_label / c.n))).otherwise(limit)
+    order = Window.partitionBy("label").orderBy("draw", "doc_id")
+    ranked = known.where(F.col("draw") <= limit).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
     chosen = ranked.select("doc_id", "label")
     rows = chosen.collect()  # bounded: per_label ids of each label
     wanted = docs.sparkSession.createDataFrame(rows, chosen.schema)
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") <= most_chars)
     return own.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id", "label"]).select("label", "text")
+
+
+#: Hashes are told apart in bitmaps by this many of their bits: two megabytes, whatever the corpus holds.
+GROUP_BITS = 24
+
+
+def group_of(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - GROUP_BITS)
+
+
+def bitmap_of(groups: DataFrame) -> DataFrame:
+    """One row with the bitmap of the groups ``g``, as an array of 2^18 longs."""
+    bits = groups.groupBy(F.shiftright("g", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(g & 63 as int))")).alias("bits"))
+    everything = groups.sparkSession.range(1 << (GROUP_BITS - 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
+    whole = bits.union(everything).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    row = whole.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return materialise(row.select(F.col("words.bits").alias("bitmap")))
+
+
+def in_bitmap(bitmap: str, h: Column) -> Column:
+    g = group_of(h)
+    word = F.element_at(bitmap, (F.shiftright(g, 6) + 1).cast("int"))
+    return F.call_function("shiftright", word, g.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1

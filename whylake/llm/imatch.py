@@ -22,11 +22,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from whylake.llm.common import materialise, table
+from whylake.llm.common import bitmap_of, group_of, in_bitmap, table
 
 #: Bounds of the inverse document frequency ln(N / df) of lexicon terms.
 LEAST_IDF, MOST_IDF = 2.5, 7.0
-GROUP_BITS = 24
 #: Subsets of the lexicon for each share of its terms, and those shares as powers of two.
 EACH, POWERS = 12, (1, 3, 5, 7, 9)
 BLANK = "[\\x20\\x09-\\x0D]+"
@@ -42,10 +41,6 @@ def term_hashes(text: Column) -> Column:
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def group_of(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 64 - GROUP_BITS)
-
-
 def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row with the bitmap of the terms in the band, as an array of 2^18 longs."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -53,11 +48,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
     groups = rows.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), group_of))).alias("g"))
     counted = groups.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     kept = counted.where(F.col("df").between(n * math.exp(-MOST_IDF), n * math.exp(-LEAST_IDF)))
-    bits = kept.groupBy(F.shiftright("g", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(g & 63 as int))")).alias("bits"))
-    everything = docs.sparkSession.range(1 << (GROUP_BITS - 6)).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))
-    whole = bits.union(everything).groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    row = whole.agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
-    return materialise(row.select(F.col("words.bits").alias("bitmap")))
+    return bitmap_of(kept.select("g"))
 
 
 def subsets() -> Column:
@@ -80,9 +71,7 @@ def low_bits(h: Column) -> Column:
 def with_signatures(rows: DataFrame, text: str, bitmap: Column, name: str) -> DataFrame:
     """Add the array of hashes of ``text``: of all lexicon terms, then of each subset."""
     rows = rows.withColumn("__all", term_hashes(F.col(text))).withColumn("__bitmap", bitmap)
-    word = lambda h: F.element_at("__bitmap", (F.shiftright(group_of(h), 6) + 1).cast("int"))
-    in_band = lambda h: F.call_function("shiftright", word(h), group_of(h).bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-    rows = rows.withColumn("__band", F.filter("__all", in_band)).drop("__bitmap")
+    rows = rows.withColumn("__band", F.filter("__all", lambda h: in_bitmap("__bitmap", h))).drop("__bitmap")
     rows = rows.withColumn("__terms", F.array_sort(F.when(F.size("__band") > 0, F.col("__band")).otherwise(F.col("__all")))).drop("__all", "__band")
     parts = F.transform(subsets(), lambda s: low_bits(F.xxhash64(F.filter("__terms", lambda t: (t >= s.low) & (t <= s.high)))))
     return rows.withColumn(name, F.concat(F.array(low_bits(F.xxhash64("__terms"))), parts)).drop("__terms")

@@ -25,7 +25,7 @@ from whylake.llm.common import fresh, labelled_sample, remainder, table
 from whylake.llm.words import Remembered, WordTable, ragged
 
 #: Bounds of the sample that is learned from: documents of each label, and characters of each.
-PER_LABEL, MOST_CHARS = 2000, 20_000
+PER_LABEL, MOST_CHARS = 1500, 20_000
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST, WINDOW = 1 << 17, 8, 3, 6, 3
 EPOCHS, RATE, SHARPEST, DECAY = 60, 0.5, 6.0, 1e-4
 THRESHOLD = 0.7
@@ -38,7 +38,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bare = [f"<{w.lower().strip('.,;:!?#*$%&|<>()[]{}-_/+=~^@')}>" for w in words]
     sizes = np.fromiter(map(len, bare), np.int64, len(bare))
     codes = np.frombuffer("".join(bare).encode("utf-32-le", "surrogatepass"), "<u4")
-    word = np.repeat(np.arange(len(bare)), sizes)
+    word = np.repeat(np.arange(len(bare), dtype=np.int32), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))  # characters from here to the word's end
     grams, owners = [], []
     key = np.zeros(len(codes), np.uint32)
@@ -48,11 +48,11 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inside = left[: len(key)] >= n
         if n < SHORTEST:
             inside &= (sizes[word[: len(key)]] == n) if n == 2 else False  # "<>" alone, where nothing else is left
-        grams.append((key[inside] + np.uint32(n)) & np.uint32(BUCKETS - 1))
+        grams.append(((key[inside] + np.uint32(n)) & np.uint32(BUCKETS - 1)).astype(np.int32))
         owners.append(word[: len(key)][inside])
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+    owner = np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
-    return np.concatenate(grams)[order].astype(np.int64), np.bincount(owner, minlength=len(words))
+    return np.concatenate(grams)[order], np.bincount(owner, minlength=len(words))
 
 
 class SubwordSoftmax:
@@ -68,7 +68,7 @@ class SubwordSoftmax:
         words = WordTable(pa.array(texts, pa.string()))
         keep = np.bincount(words.doc, minlength=len(texts)) > 0
         grams, sizes = subwords(words.words)
-        word_of = np.repeat(np.arange(len(sizes)), sizes)
+        word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         rng = np.random.default_rng(0)
         embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
         out = rng.normal(0, 0.1, (DIMENSIONS, 2))
