@@ -77,3 +77,12 @@ def in_bitmap(bitmap: str, h: Column) -> Column:
     g = group_of(h)
     word = F.element_at(bitmap, (F.shiftright(g, 6) + 1).cast("int"))
     return F.call_function("shiftright", word, g.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+
+
+#: Rows up to which the smaller side of a join is sent to all executors.
+SMALL = 20_000
+
+
+def if_small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A hint to broadcast ``df``, a written table, if a count shows that it is small; Spark decides otherwise."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from whylake.llm.common import materialise, table
+from whylake.llm.common import if_small, materialise, table
 from whylake.llm.words import Remembered, WordTable, codes, ragged, slices
 
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -163,7 +163,7 @@ def judged(found: DataFrame, spread: float = SPREAD) -> DataFrame:
     bands = quartiles.select("script", "lang", *(
         e for c in MEASURES for e in (
             (F.col(f"q_{c}")[1] - half(c, spread)).alias(f"low_{c}"), (F.col(f"q_{c}")[1] + half(c, spread)).alias(f"high_{c}"))))
-    joined = found.join(bands, ["script", "lang"], "left")
+    joined = found.join(if_small(materialise(bands)), ["script", "lang"], "left")
     reason = F.when(F.col("base_failed"), "base")
     for c in MEASURES:
         reason = reason.when(F.col(c) < F.col(f"low_{c}"), f"low {c}") if c != "byte_share" else reason
