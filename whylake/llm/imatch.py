@@ -45,8 +45,9 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
     """One row with the bitmap of the terms in the band, as an array of 2^18 longs."""
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     n = docs.count()
-    groups = rows.select(F.explode(F.array_distinct(F.transform(term_hashes(F.col("text")), group_of))).alias("g"))
-    counted = groups.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    # outer, because a plain generator makes Spark compute the array a second time to look whether it is empty
+    groups = rows.select(F.explode_outer(F.array_distinct(F.transform(term_hashes(F.col("text")), group_of))).alias("g"))
+    counted = groups.where("g is not null").groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     kept = counted.where(F.col("df").between(n * math.exp(-MOST_IDF), n * math.exp(-LEAST_IDF)))
     return bitmap_of(kept.select("g"))
 

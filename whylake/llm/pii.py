@@ -123,14 +123,16 @@ def seeded(rows: DataFrame) -> DataFrame:
 def contexts(rows: DataFrame, bitmap: Column, with_words: bool) -> DataFrame:
     """A row for each word of the corpus whose two words before are a pattern of the bitmap."""
     rows = rows.withColumn("words", F.split("text", BLANK)).withColumn("lower_words", F.split(F.lower("text"), BLANK)).withColumn("bitmap", bitmap)
-    hashes = F.transform(F.slice("lower_words", 1, F.greatest(F.size("lower_words") - 2, F.lit(0))), lambda w, i: F.struct(
-        F.xxhash64(w, F.get("lower_words", i + 1)).alias("pattern"), (i + 2).alias("place")))
-    hits = rows.withColumn("hits", F.filter(hashes, lambda h: in_bitmap("bitmap", h["pattern"])))
+    n = F.greatest(F.size("lower_words") - 2, F.lit(0))
+    hashes = F.transform(F.zip_with(F.slice("lower_words", F.lit(1), n), F.slice("lower_words", F.lit(2), n), lambda a, b: F.xxhash64(a, b)),
+                         lambda h, i: F.struct(h.alias("pattern"), (i + 2).alias("place")))
+    hits = F.filter(hashes, lambda h: in_bitmap("bitmap", h["pattern"]))
+    # outer, because a plain generator makes Spark compute the array a second time to look whether it is empty
     if not with_words:
-        return hits.select(F.explode("hits.pattern").alias("pattern"))
-    return hits.select("doc_id", "text_hash", "words", F.inline("hits")).select(
-        "doc_id", "text_hash", "pattern", F.get("words", F.col("place")).alias("word"),
-        (F.length(F.array_join(F.slice("words", F.lit(1), F.col("place")), " ")) + 1).alias("start"))
+        return rows.select(F.explode_outer(hits).alias("hit")).select("hit.pattern").where("pattern is not null")
+    return rows.select("doc_id", "text_hash", "words", F.explode_outer(hits).alias("hit")).where("hit is not null").select(
+        "doc_id", "text_hash", "hit.pattern", F.get("words", F.col("hit.place")).alias("word"),
+        (F.length(F.array_join(F.slice("words", F.lit(1), F.col("hit.place")), " ")) + 1).alias("start"))
 
 
 def discovered(rows: DataFrame, seeds: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from whylake.llm import bpe, fertility, langid, packing, simhash, toxicity
+from whylake.llm import bpe, chat, fertility, imatch, langid, licenses, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
+    "op2_license_rules": licenses.op2_license_rules,
+    "op3_perspectives": chat.op3_perspectives,
+    "op4_imatch": imatch.op4_imatch,
     "op5_subword_softmax": toxicity.op5_subword_softmax,
+    "op6_bootstrapped_pii": pii.op6_bootstrapped_pii,
     "op7_simhash": simhash.op7_simhash,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_string_kernel": langid.op9_string_kernel,
     "op10_fertility": fertility.op10_fertility,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_license_rules": licenses.sql(),
+    "op3_perspectives": chat.SQL,
+}
