@@ -19,7 +19,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,9 +29,9 @@ from whylake.llm.words import Remembered, WordTable, codes, ragged, slices
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 3
-#: Half widths of the bands in distances between quartiles, and the least half width.
-SPREAD = 6.0
-LEAST_WIDTH = {"chars_per_token": 0.5, "byte_share": 0.05, "token_entropy": 0.1}
+#: Widths of the bands below and above the median in distances between quartiles, and the least width.
+SPREAD = (4.5, 6.0)
+LEAST_WIDTH = {"chars_per_token": 0.1, "byte_share": 0.05, "token_entropy": 0.1}
 
 # First and last code point of the writing systems told apart.
 SCRIPTS = {
@@ -154,7 +154,7 @@ def measures(docs: DataFrame, path: str | None = None, text: str = "text", doc_i
     return docs.select(F.col(doc_id).alias("doc_id"), language.alias("lang"), F.col(text).alias("text")).mapInArrow(of, schema)
 
 
-def judged(found: DataFrame, spread: float = SPREAD) -> DataFrame:
+def judged(found: DataFrame, spread: tuple[float, float] = SPREAD) -> DataFrame:
     """Add base_failed, the reason of a rejection, and kept.  ``found`` is read twice: pass a written table."""
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     found = found.withColumn("base_failed", failed).withColumn("lang", F.coalesce("lang", F.lit("")))
@@ -162,7 +162,7 @@ def judged(found: DataFrame, spread: float = SPREAD) -> DataFrame:
         *(F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(f"q_{c}") for c in MEASURES))
     bands = quartiles.select("script", "lang", *(
         e for c in MEASURES for e in (
-            (F.col(f"q_{c}")[1] - half(c, spread)).alias(f"low_{c}"), (F.col(f"q_{c}")[1] + half(c, spread)).alias(f"high_{c}"))))
+            (F.col(f"q_{c}")[1] - width(c, spread[0])).alias(f"low_{c}"), (F.col(f"q_{c}")[1] + width(c, spread[1])).alias(f"high_{c}"))))
     joined = found.join(if_small(materialise(bands)), ["script", "lang"], "left")
     reason = F.when(F.col("base_failed"), "base")
     for c in MEASURES:
@@ -172,7 +172,7 @@ def judged(found: DataFrame, spread: float = SPREAD) -> DataFrame:
         *(f"{side}_{c}" for side in ("low", "high") for c in MEASURES))
 
 
-def half(measure: str, spread: float):
+def width(measure: str, spread: float) -> Column:
     q = F.col(f"q_{measure}")
     return F.greatest(spread * (q[2] - q[0]), F.lit(LEAST_WIDTH[measure]))
 

@@ -17,8 +17,6 @@ gives no rows; extra columns are ignored, and kept by ``masked``.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,6 +178,10 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     return both.select("doc_id", "text_hash", F.array_sort(F.concat("fixed", new)).alias("spans"))
 
 
+def of_kind(spans: str, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
@@ -208,5 +210,5 @@ def masked(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 def op6_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(BASE))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    counts = [F.size(of_kind("spans", k)).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
