@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from whylake.llm.common import bitmap_of, group_of, in_bitmap, table
+from whylake.llm.common import bitmap_of, group_of, if_small, in_bitmap, materialise, table
 
 #: Bounds of the inverse document frequency ln(N / df) of lexicon terms.
 LEAST_IDF, MOST_IDF = 2.5, 7.0
@@ -101,14 +101,16 @@ def following(docs: DataFrame) -> DataFrame:
     ``docs``: (place, text) with the run as ``place >> RUN_BITS``.  Only ids are ordered, in groups at three levels; the
     level that meets in one task has one row for each 2^20 ids.
     """
-    runs = docs.groupBy(F.shiftright("place", RUN_BITS).alias("run")).agg(F.max("place").alias("head"))
+    runs = materialise(docs.groupBy(F.shiftright("place", RUN_BITS).alias("run")).agg(F.max("place").alias("head")))
     level = F.shiftright("run", LEVEL_BITS)
     inside = runs.withColumn("level", level).withColumn("next", F.lead("head").over(Window.partitionBy("level").orderBy(F.desc("run"))))
     tops = inside.groupBy("level").agg(F.max("head").alias("top"))
     down = Window.orderBy(F.desc("level"))
     after = tops.select("level", F.coalesce(F.lead("top").over(down), F.first("top").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("below"))
     linked = inside.join(after, "level").select("run", F.coalesce("next", "below").alias("head"))
-    heads = docs.join(runs.select(F.col("head").alias("place")), "place", "left_semi").groupBy("place").agg(F.min("text").alias("text"))
+    # ids alone, so even a million of them are small; beyond that the texts are shuffled to meet them
+    firsts = if_small(runs.select(F.col("head").alias("place")), 1_000_000)
+    heads = docs.join(firsts, "place", "left_semi").groupBy("place").agg(F.min("text").alias("text"))
     return linked.join(heads, linked["head"] == heads["place"]).select("run", "text")
 
 
