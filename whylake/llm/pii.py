@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction.
 
 Four kinds have fixed forms: e-mail and IP addresses, card and phone numbers; long runs of hexadecimal digits are a fifth
-kind of seed.  The two words before a seed are a lexical pattern.  A pattern that precedes several different seeds is
+kind of seed.  The two words before a seed are a lexical pattern.  A pattern that precedes enough different seeds is
 followed through the whole corpus: all words after it are its instances, and if too few of them are seeds it is dropped.
 What is left is a graph of patterns and instances.  In each round a pattern is as sure as the mean of its instances, and an
 instance that is no seed as sure as any of its patterns makes it.  Sure patterns discover identifiers that have no fixed
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from whylake.llm.common import bitmap_of, fresh, group_of, in_bitmap, materialise, table
 
-#: Different seeds that a pattern must precede, and the least share of them among all its words.
-SUPPORT, LEAST_SHARE = 3, 0.05
+#: Different seeds that a pattern must precede, at least so many and at least this share of all seeds (so that there are no
+#: more than a thousand patterns for each place a seed has, however large the corpus), and the least share of seeds among
+#: all words after it.
+SUPPORT, SUPPORT_SHARE, LEAST_SHARE = 3, 0.001, 0.05
 ROUNDS, SURE = 3, 0.5
 #: Characters before a seed in which its pattern is looked for.
 REACH = 80
@@ -135,7 +137,8 @@ def contexts(rows: DataFrame, bitmap: Column, with_words: bool) -> DataFrame:
 
 def discovered(rows: DataFrame, seeds: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """(doc_id, text_hash, start, stop) of identifiers that sure patterns lead to."""
-    found = seeds.select(F.inline("spans")).where("pattern is not null").select("pattern", "instance").distinct()
+    found = materialise(seeds.select(F.inline("spans")).where("pattern is not null").select("pattern", "instance").distinct())
+    support = max(support, SUPPORT_SHARE * found.select("instance").distinct().count())
     supported = materialise(found.groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support))
     groups = supported.select(group_of(F.col("pattern")).alias("g"))
     # words after each pattern: those that ordinary text follows too often are no patterns of identifiers
