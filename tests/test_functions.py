@@ -149,3 +149,10 @@ def test_merged_keeps_first(spark):
 def test_neutral_markdown_and_sentence(spark):
     assert values(spark, ["a `b` <C>"], T.neutral_markdown) == ["a ʼbʼ \\<C\\>"]
     assert values(spark, ["第一句。第二句", "", None, "。"], T.first_sentence) == ["第一句", "", "", ""]
+
+
+def test_redaction_folds_case_as_the_patterns_do(spark):
+    texts = ["ſecret: abc123def456ghi", "toKen=abc123def456ghi", "BEARER abcdefghijklmnopqrstuvw1", "plain words only", None]
+    got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(R.redact(F.col("t")).alias("t")).collect()]
+    counted = [r.t for r in R.with_redaction_counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()]
+    assert got == counted and all("[REDACTED]" in g for g in got[:3]) and got[3:] == texts[3:]

@@ -643,3 +643,63 @@ def test_card_text(spark):
     hist = review.history_of(targets, frame(spark, [("p", "a", 1, T0, "f", 0, 0, 1, 2)], HUNKS), frame(spark, [], FILES))
     text = review.review_cards(targets, hist, history.segments(commits, frame(spark, [], NARR))).select(rendering.card_text()).first()[0]
     assert "潜在决策冲突 · f:1-2\n  否决备选(曾放弃):use B\n  来源:[a] 2024-05-01 first · commit 触达\n  [行级溯源]" in text
+
+
+# --- what must not be cut short --------------------------------------------------------------------------------
+
+def test_char_budget_keeps_every_short_line(spark):
+    empty = frame(spark, [("p", "c%03d" % i, i, T0 + timedelta(hours=i), "", "") for i in range(400)], "project string, sha string, log_pos bigint, date timestamp, subject string, body string")
+    none = frame(spark, [], "project string, sha string, what string, decisions array<string>")
+    rows = reports.overview_rows(empty, none)
+    size = rows.selectExpr("max(length(line)) AS n").first().n + 1
+    r = reports.char_budget(rows, ["project"]).first()
+    assert (r.lines, r.kept, r.omitted) == (400, (6000 + 1) // size, 400 - (6000 + 1) // size)
+    by_day = reports.char_budget(rows, ["project", "day"], 100).collect()
+    assert sum(r.lines for r in by_day) == 400 and all(r.kept == min(r.lines, 101 // size) for r in by_day)
+
+
+def test_quotes_of_long_sessions(spark):
+    live = frame(spark, [("s", [f"turn {i} says word{i}" for i in range(n, n + 25)]) for n in range(0, 100, 25)], "session_id string, texts array<string>")
+    quotes = frame(spark, [(i, "s", f"turn {i} … word{i}") for i in range(100)] + [(200, "s", "turn 1 … word200")], "quote_id int, session_id string, quote string")
+    result = {r.quote_id: r.result for r in audits.audit_quotes(quotes, live).collect()}
+    assert all(result[i] == "verified" for i in range(100)) and result[200] == "mismatch"
+
+
+def test_uuid5(spark):
+    import uuid
+
+    from whylake.operators import adr
+
+    names = ["", "a", "src/x.py|abc|def", "中文 é"]
+    got = {r.n: r.u for r in frame(spark, [(n,) for n in names], "n string").withColumn("u", adr.uuid5(F.col("n"))).collect()}
+    assert got == {n: str(uuid.uuid5(uuid.NAMESPACE_URL, n)) for n in names}
+
+
+def test_dense_hunk_numbers(spark):
+    text = "diff --git a/f b/f\n+++ b/f\n@@ -1 +1 @@\n+x\n@@ -5 +5,0 @@\n@@ -9 +9 @@\n+y\ndiff --git a/g b/g\n+++ b/g\n@@ -1 +1 @@\n+z\n"
+    rows = review.diff_hunks(frame(spark, [("d", text)], "diff_id string, text string")).orderBy("hunk_no").collect()
+    assert [(r.hunk_no, r.file, r.start) for r in rows] == [(1, "f", 1), (2, "f", 9), (3, "g", 1)] and rows[-1].diff == "@@ -1 +1 @@\n+z"
+
+
+def test_line_history_follows_moved_lines(spark):
+    """Lines 10-12 are written, then a hundred lines go in above: the history of 110-112 is the first commit."""
+    edits = [(10, 0, 3), (1, 0, 100)]
+    assert line_hits(spark, edits, [(110, 112), (10, 12)]) == {"t0": {0}, "t1": {1}}
+    targets = frame(spark, [("t", "p", "f", 10, 12, 1)], TARGETS + ", own_pos bigint")
+    hunks = frame(spark, [("p", "c0", 0, T0, "f", 9, 0, 10, 3), ("p", "c1", 1, T0 + timedelta(hours=1), "f", 0, 0, 1, 100)], HUNKS)
+    assert [r.sha for r in history.line_history(targets, hunks).collect()] == ["c0"]  # before the lines moved
+
+
+def test_line_history_of_a_hot_file(spark):
+    """One file holds most hunks and targets; history is cut often, and at the limit."""
+    rnd = random.Random(5)
+    edits, size = [(1, 0, 40)], 40
+    for _ in range(120):
+        at, new = rnd.randint(1, size), rnd.choice([1, 2])
+        edits.append((at, 1, new))
+        size += new - 1
+    trail = replay(edits)
+    got = line_hits(spark, edits, [(i + 1, i + 1) for i in range(size)], 16)
+    assert got == {"t%d" % i: trail[i] for i in range(size)}
+    same = line_hits(spark, [(1, 0, 1)] + [(1, 1, 1)] * 80, [(1, 1)], 16)
+    assert same == {"t0": set(range(31, 81))}

@@ -1,6 +1,7 @@
 """Streams give what the batch gives once all input has arrived."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -19,7 +20,9 @@ def stream_of(spark, path, rows, schema, chunks=3):
     names = [c.split()[0] for c in schema.split(", ")]
     for i in range(chunks):
         part = rows[i * step:(i + 1) * step]
-        (path / f"{i:03d}.json").write_text("\n".join(json.dumps({n: v.isoformat() if isinstance(v, datetime) else v for n, v in zip(names, r)}) for r in part))
+        file = path / f"{i:03d}.json"
+        file.write_text("\n".join(json.dumps({n: v.isoformat() if isinstance(v, datetime) else v for n, v in zip(names, r)}) for r in part))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken in the order of their times
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(path))
 
 
@@ -95,3 +98,12 @@ def test_capsule_timers(spark, tmp_path):
     table = run(jobs.capsule_timers(stream_of(spark, tmp_path / "in", rows, schema, 9)), "capsule_timers")
     got = [(r.capsule_id, r.event, r.at) for r in table.collect()]
     assert sorted(got) == [("a", "answered", "想多了"), ("a", "opened", "2024-05-22"), ("b", "answered", "已解决")]
+
+
+def test_capsule_answers_may_come_before_seals(spark, tmp_path):
+    schema = "capsule_id string, kind string, ts timestamp, open_date string, outcome string"
+    seal = [(c, "sealed", T0, "2024-05-22", None) for c in "abc"]
+    answers = [(c, "answered", T0 + timedelta(minutes=5), None, "已解决") for c in "abc"]
+    for n, rows in enumerate(([*answers, *seal], [*seal, *answers], [answers[0], seal[0], seal[1], answers[1], answers[2], seal[2]])):
+        table = run(jobs.capsule_timers(stream_of(spark, tmp_path / f"in{n}", rows, schema, 6)), f"capsule_order{n}")
+        assert sorted((r.capsule_id, r.event, r.at) for r in table.collect()) == [(c, "answered", "已解决") for c in "abc"]

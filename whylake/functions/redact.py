@@ -14,12 +14,14 @@ SECRET_NAMES = tuple(name for name, _, _ in K.SECRET_PATTERNS)
 def redact(text: Column) -> Column:
     """All patterns in their fixed order; each replaces on the result of the one before.
 
-    One look for what any pattern needs decides whether the thirteen passes run at all.
+    The text is put into a list of one, so that it is computed once however often the patterns name it.
     """
-    masked = text
-    for _, pattern, replacement in K.SECRET_PATTERNS:
-        masked = F.regexp_replace(masked, pattern, replacement)
-    return F.when(F.regexp_like(text, F.lit(K.SECRET_TRIGGERS)), masked).otherwise(text)
+    def masked(value: Column) -> Column:
+        for _, pattern, replacement in K.SECRET_PATTERNS:
+            value = F.regexp_replace(value, pattern, replacement)
+        return value
+
+    return F.get(F.transform(F.array(text), masked), F.lit(0))
 
 
 def with_redaction_counts(df: DataFrame, column: str, prefix: str = "n_") -> DataFrame:

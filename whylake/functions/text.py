@@ -17,7 +17,8 @@ EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
 def lines(text: Column) -> Column:
-    return F.split(text, LINE_BREAK)
+    """The lines of a text; a last line break ends a line and does not begin an empty one."""
+    return F.split(F.regexp_replace(text, f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK)
 
 
 def strip(text: Column) -> Column:

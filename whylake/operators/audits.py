@@ -30,16 +30,22 @@ def audit_notes(commits: DataFrame, narratives: DataFrame) -> DataFrame:
 
 
 def audit_quotes(quotes: DataFrame, live: DataFrame) -> DataFrame:
-    """Stored quotes (quote_id, session_id, quote) against the present text of their session (session_id, texts).
+    """Stored quotes (quote_id, session_id, quote) against the present text of their session.
 
-    A quote may have been shortened in the middle, so each of its parts has to be there; a session that is gone
-    leaves the quote dangling.
+    ``live`` is (session_id, texts) with any number of rows per session, each a stretch of its turns, so that a long
+    session is never one row.  A quote may have been shortened in the middle, so each of its parts has to be there; a
+    session that is gone leaves the quote dangling.
     """
-    hay = F.array_join(F.transform("texts", redact), "\n")
-    joined = quotes.join(live.select("session_id", hay.alias("_hay")), "session_id", "left")
-    parts = F.filter(F.transform(F.split("quote", "…"), F.trim), lambda p: p != "")
-    found = (F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(F.col("_hay"), p))
-    return joined.select("quote_id", "session_id", F.when(F.col("_hay").isNull(), "dangling").when(found, "verified").otherwise("mismatch").alias("result"))
+    hay = live.select("session_id", F.array_join(F.transform("texts", redact), "\n").alias("_hay"))
+    alive = live.select("session_id", F.lit(True).alias("_alive")).distinct()
+    parts = F.array_distinct(F.filter(F.transform(F.split("quote", "…"), F.trim), lambda p: p != ""))
+    wanted = quotes.select("quote_id", "session_id", "quote", F.size(parts).alias("_parts"), F.explode_outer(parts).alias("_part"))
+    met = wanted.join(hay, "session_id").filter(F.contains("_hay", "_part")).select("quote_id", "session_id", "quote", "_part").distinct()
+    found = met.groupBy("quote_id", "session_id", "quote").agg(F.count(F.lit(1)).alias("_found"))
+    judged = quotes.select("quote_id", "session_id", "quote", F.size(parts).alias("_parts")).join(alive, "session_id", "left").join(
+        found, ["quote_id", "session_id", "quote"], "left")
+    good = (F.col("_parts") > 0) & (F.coalesce("_found", F.lit(0)) == F.col("_parts"))
+    return judged.select("quote_id", "session_id", F.when(F.col("_alive").isNull(), "dangling").when(good, "verified").otherwise("mismatch").alias("result"))
 
 
 def ghost_files(narratives: DataFrame, files: DataFrame) -> DataFrame:

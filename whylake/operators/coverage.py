@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from whylake import constants as K
 from whylake.functions import notes
 from whylake.functions.text import percent
-from whylake.operators.history import line_overlap
+from whylake.operators.history import line_history
 from whylake.operators.ranking import top_n
 
 COMMIT = ["project", "sha"]
@@ -87,9 +87,8 @@ def sample_lines(lines: DataFrame, n: int, seed: int = 1729) -> DataFrame:
 def line_recall(targets: DataFrame, hunks: DataFrame, explained: DataFrame, limit: int = K.HISTORY_LIMIT) -> DataFrame:
     """Per project: lines where some commit of their history explains itself (window), where the newest does
     (strict), and lines without history.  ``explained`` is (project, sha, has_why)."""
-    met = line_overlap(targets, hunks).select("target_id", "project", F.col("hit_sha").alias("sha"), F.col("hit_pos").alias("log_pos")).distinct()
-    recent = top_n(met, ["target_id"], [F.col("log_pos").desc()], limit)
-    judged = recent.join(explained.select(*COMMIT, "has_why"), COMMIT, "left")
+    recent = line_history(targets, hunks, limit=limit)
+    judged = recent.select("target_id", "project", "sha", "log_pos").join(explained.select(*COMMIT, "has_why"), COMMIT, "left")
     per_line = judged.groupBy("target_id").agg(
         F.bool_or("has_why").alias("window"), F.max_by("has_why", "log_pos").alias("strict"))
     out = targets.select("project", "target_id").join(per_line, "target_id", "left")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,14 +118,14 @@ def changelog(commits: DataFrame, n: int = 20) -> DataFrame:
 
 # --- renames and file history ---------------------------------------------------
 
-def rename_events(renames: DataFrame, max_rounds: int = 40) -> DataFrame:
+def rename_events(renames: DataFrame) -> DataFrame:
     """Resolve chains of renames (project, log_pos, old, new) to the last name, following each name only forward in
     time.  Pointer doubling: a chain of n renames needs log2(n) rounds; lineage is cut every round.  One event per
     (project, old, log_pos) is assumed."""
     events = renames.select("project", F.col("old").alias("name"), F.col("log_pos").alias("at"), F.col("new").alias("last"),
                             F.col("log_pos").alias("last_at"))
     step = cut_lineage(events)
-    for _ in range(max_rounds):
+    while True:
         later = step.select("project", F.col("name").alias("last"), F.col("at").alias("_at"), F.col("last").alias("_last"),
                             F.col("last_at").alias("_last_at"))
         # the first event of the current last name after the place reached so far
@@ -139,7 +138,6 @@ def rename_events(renames: DataFrame, max_rounds: int = 40) -> DataFrame:
         step = cut_lineage(moved.select(
             "project", "name", "at", F.coalesce(F.col("_n._last"), F.col("last")).alias("last"),
             F.coalesce(F.col("_n._last_at"), F.col("last_at")).alias("last_at")))
-    return step
 
 
 def canonical_files(files: DataFrame, renames: DataFrame | None) -> DataFrame:
@@ -182,86 +180,76 @@ def line_overlap(targets: DataFrame, hunks: DataFrame) -> DataFrame:
     return met.filter((F.col("new_start") <= F.col("end")) & (F.col("new_end") >= F.col("start")) & first_common)
 
 
-_FOLD_SCHEMA = "project string, file string, target_id string, start bigint, end bigint, sha string, log_pos bigint, state string"
-
-
-def _fold(key, targets: pd.DataFrame, hunks: pd.DataFrame) -> pd.DataFrame:
-    """Walk the commits of one segment from new to old and map every target's range back through their hunks."""
-    out = []
-    commits = list(hunks.sort_values(["log_pos", "new_start"], ascending=[False, True]).groupby("log_pos", sort=False))
-    for row in targets.itertuples(index=False):
-        start, end, hits = int(row.start), int(row.end), int(row.hits)
-        for pos, edits in commits:
-            if end < start or hits >= K.HISTORY_LIMIT:
-                break
-            touched, shift_start, shift_end = False, 0, 0
-            new_start, new_end = start, end
-            for edit in edits.itertuples(index=False):
-                a, n, o, m = int(edit.new_start), int(edit.new_count), int(edit.old_start), int(edit.old_count)
-                b = a + n - 1
-                if n == 0:  # a pure deletion sits between lines a and a+1
-                    if a < start:
-                        shift_start += m
-                    if a < end:
-                        shift_end += m
-                        touched = touched or a >= start
-                    continue
-                if b < start:
-                    shift_start += m - n
-                    shift_end += m - n
-                elif a <= end:
-                    touched = True
-                    if a <= start <= b:
-                        new_start = o - shift_start if m else o + 1 - shift_start
-                    if a <= end <= b:
-                        new_end = (o + m - 1 if m else o) - shift_end
-                    else:
-                        shift_end += m - n
-            start, end = new_start + shift_start, new_end + shift_end
-            if touched:
-                hits += 1
-                out.append((*key[:2], row.target_id, start, end, edits["sha"].iloc[0], int(pos), "hit"))
-        if end >= start and hits < K.HISTORY_LIMIT:
-            out.append((*key[:2], row.target_id, start, end, None, hits, "open"))
-    return pd.DataFrame(out, columns=["project", "file", "target_id", "start", "end", "sha", "log_pos", "state"])
-
-
-def line_history(targets: DataFrame, hunks: DataFrame, segment: int = 1000) -> DataFrame:
-    """Commits behind the present lines start..end of a file, at most fifty per target.
-
-    The walk is sequential per file, so history is cut into segments of ``segment`` commits, newest first, and only
-    targets that are still open move on to the next one: a group handed to Python never exceeds one segment, however
-    long the history of a file is.
+_WALK = "struct<first:bigint,last:bigint,hits:array<struct<sha:string,log_pos:bigint>>>"
+
+
+def _mapped(edits: Column, first: Column, last: Column) -> Column:
+    """A range of lines carried back through the edits of one commit (in order of their lines): whether any of them
+    touches it, and where it was before.  Reads as an array of one, so that the fold runs once."""
+    start = F.struct(
+        F.lit(False).alias("touched"), F.lit(0).cast("bigint").alias("shift_first"), F.lit(0).cast("bigint").alias("shift_last"),
+        first.alias("first"), last.alias("last"))
+
+    def through(at: Column, e: Column) -> Column:
+        begin, end = e["new_start"], e["new_start"] + e["new_count"] - 1
+        delta = e["old_count"] - e["new_count"]
+        removed, above = e["new_count"] == 0, end < first  # a pure deletion sits between lines begin and begin + 1
+        meets = ~removed & ~above & (begin <= last)
+        holds_first, holds_last = meets & (begin <= first), meets & (end >= last)
+        zero = F.lit(0).cast("bigint")
+        return F.struct(
+            (at["touched"] | meets | (removed & (begin < last) & (begin >= first))).alias("touched"),
+            (at["shift_first"] + F.when(removed & (begin < first) | ~removed & above, delta).otherwise(zero)).alias("shift_first"),
+            (at["shift_last"] + F.when(removed & (begin < last) | ~removed & above | meets & ~holds_last, delta).otherwise(zero)).alias("shift_last"),
+            F.when(holds_first, e["old_start"] + F.when(e["old_count"] > 0, 0).otherwise(1) - at["shift_first"]).otherwise(at["first"]).alias("first"),
+            F.when(holds_last, F.when(e["old_count"] > 0, e["old_start"] + e["old_count"] - 1).otherwise(e["old_start"]) - at["shift_last"]).otherwise(at["last"]).alias("last"))
+
+    return F.array(F.aggregate(edits, start, through))
+
+
+def line_history(targets: DataFrame, hunks: DataFrame, segment: int = 256, limit: int = K.HISTORY_LIMIT) -> DataFrame:
+    """Commits behind the lines start..end of a file, at most ``limit`` per target, newest first.
+
+    ``targets`` is (target_id, project, file, start, end); with a column ``own_pos`` its lines are those before that
+    place in the log, otherwise the present ones.  A range is carried back commit by commit, because an edit above
+    moves it.  History is cut into segments of ``segment`` commits of a file, newest first; a segment is one row of
+    bounded size, and each target folds over it by itself, so the targets of a hot file spread over tasks.  Only targets
+    that are still open meet the next segment; lineage is cut after each.
     """
     wanted = targets.select("project", "file").distinct()
     edits = hunks.join(wanted, ["project", "file"], "left_semi")
-    commits = edits.select("project", "file", "log_pos", "date").distinct()
-    newest_first = commits.withColumn("_back", -F.col("log_pos"))
-    placed = positions(newest_first, ["project", "file"], -F.datediff(F.col("date"), F.lit("1970-01-01")), [F.col("_back")])
-    segmented = cut_lineage(
-        edits.join(placed.select("project", "file", "log_pos", "position"), ["project", "file", "log_pos"]).withColumn(
-            "segment", F.floor((F.col("position") - 1) / segment).cast("int")))
-    last = segmented.agg(F.max("segment")).first()[0]
+    commits = edits.groupBy("project", "file", "sha", "log_pos", "date").agg(
+        F.array_sort(F.collect_list(F.struct("new_start", "new_count", "old_start", "old_count"))).alias("edits"))
+    placed = positions(commits.withColumn("_back", -F.col("log_pos")), ["project", "file"], -F.datediff(F.col("date"), F.lit("1970-01-01")), [F.col("_back")])
+    segments = cut_lineage(placed.groupBy("project", "file", F.floor((F.col("position") - 1) / segment).cast("int").alias("segment")).agg(
+        F.array_sort(F.collect_list(F.struct("_back", "sha", "edits"))).alias("commits")))
+    last = segments.agg(F.max("segment")).first()[0]
+    own = F.col("own_pos").cast("bigint") if "own_pos" in targets.columns else F.lit(None).cast("bigint")
     active = targets.select(
-        "project", "file", F.col("target_id").cast("string").alias("target_id"), F.col("start").cast("bigint").alias("start"),
-        F.col("end").cast("bigint").alias("end"), F.lit(0).cast("bigint").alias("hits"))
-    found = []
+        "project", "file", F.col("target_id").cast("string").alias("target_id"), own.alias("own_pos"), F.struct(
+            F.col("start").cast("bigint").alias("first"), F.col("end").cast("bigint").alias("last"), F.array().alias("hits")).cast(_WALK).alias("at"))
+
+    def walk(at: Column, commit: Column) -> Column:
+        place = -commit["_back"]
+        live = (at["last"] >= at["first"]) & (F.size(at["hits"]) < limit) & (F.col("own_pos").isNull() | (place < F.col("own_pos")))
+        moved = F.transform(_mapped(commit["edits"], at["first"], at["last"]), lambda m: F.struct(
+            (m["first"] + m["shift_first"]).alias("first"), (m["last"] + m["shift_last"]).alias("last"),
+            F.when(m["touched"], F.concat(at["hits"], F.array(F.struct(commit["sha"].alias("sha"), place.alias("log_pos"))))).otherwise(at["hits"]).alias("hits")))
+        return F.when(live, F.get(moved, F.lit(0)).cast(_WALK)).otherwise(at)
+
+    ended = None
     for number in range(0 if last is None else last + 1):
-        part = segmented.filter(F.col("segment") == number).drop("segment", "position", "date")
-        here = active.join(part.select("project", "file").distinct(), ["project", "file"], "left_semi")
-        walked = cut_lineage(
-            here.groupBy("project", "file").cogroup(part.groupBy("project", "file")).applyInPandas(_fold, _FOLD_SCHEMA))
-        found.append(walked.filter("state = 'hit'").select("project", "file", "target_id", "sha", "log_pos"))
-        active = walked.filter("state = 'open'").select(
-            "project", "file", "target_id", "start", "end", F.col("log_pos").alias("hits"))
-        if not active.limit(1).count():
+        here = active.join(segments.filter(F.col("segment") == number).drop("segment"), ["project", "file"], "left")
+        walked = cut_lineage(here.withColumn("at", F.when(F.col("commits").isNull(), F.col("at")).otherwise(
+            F.aggregate("commits", F.col("at"), walk))).withColumn("_more", F.col("commits").isNotNull()).drop("commits"))
+        still = F.col("_more") & (F.col("at.last") >= F.col("at.first")) & (F.size("at.hits") < limit)
+        done = walked.filter(~still).drop("_more")
+        ended = done if ended is None else ended.unionByName(done)
+        active = walked.filter(still).drop("_more")
+        if number < last and not active.limit(1).count():
             break
-    if not found:
-        return targets.sparkSession.createDataFrame([], "project string, file string, target_id string, sha string, log_pos bigint")
-    result = found[0]
-    for more in found[1:]:
-        result = result.unionByName(more)
-    return result
+    whole = active if ended is None else ended.unionByName(active)
+    return whole.select("project", "file", "target_id", F.inline("at.hits"))
 
 
 # --- tests, files and folders ----------------------------------------------------------

@@ -15,6 +15,7 @@ from whylake.functions.text import first_sentence, neutral_markdown, note_folder
 from whylake.operators import capsules as CAP
 from whylake.operators import coverage as COV
 from whylake.operators.ranking import first_texts, top_n
+from whylake.session import cut_lineage
 
 COMMIT = ["project", "sha"]
 
@@ -75,18 +76,20 @@ def overview_rows(commits: DataFrame, narratives: DataFrame) -> DataFrame:
 def char_budget(rows: DataFrame, keys: list[str], budget: int = K.OVERVIEW_BUDGET) -> DataFrame:
     """Lines kept in order while they fit the budget (a newline counts one), and the number left out.
 
-    No line is shorter than the fixed 31 characters of its frame, so only the first budget/32+1 lines of a group can
-    fit; reading those is exact and keeps a hot group out of a single task.
+    Lengths are summed per day first; the small table of days is summed up, and lines are summed inside their day only,
+    so that no group is sorted in one task.
     """
-    reach = budget // 32 + 1
-    first = top_n(rows, keys, [F.col("log_pos"), F.col("sha")], reach)
-    running = W.partitionBy(*keys).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    used = first.withColumn("used", F.sum(F.length("line") + 1).over(running) - 1)
-    totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.length("line") + 1).alias("_all"))
-    kept = used.filter(F.col("used") <= budget).groupBy(*keys).agg(F.count(F.lit(1)).alias("kept"), F.max("used").alias("used"))
-    return totals.join(kept, keys, "left").select(
-        *keys, F.col("_n").alias("lines"), F.coalesce("kept", F.lit(0)).alias("kept"),
-        (F.col("_n") - F.coalesce("kept", F.lit(0))).alias("omitted"), F.coalesce("used", F.lit(0)).alias("used"))
+    sized = rows.withColumns({"_day": F.coalesce("day", F.lit("0001-01-01").cast("date")), "_size": F.length("line").cast("bigint") + 1})
+    days = sized.groupBy(*keys, "_day").agg(F.sum("_size").alias("_all"))
+    before = W.partitionBy(*keys).orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    offsets = days.select(*keys, "_day", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_offset"))
+    running = W.partitionBy(*keys, "_day").orderBy("log_pos", "sha").rowsBetween(W.unboundedPreceding, 0)
+    used = sized.withColumn("_inside", F.sum("_size").over(running)).join(offsets, [*keys, "_day"]).select(
+        *keys, (F.col("_offset") + F.col("_inside") - 1).alias("used"))
+    fits = F.col("used") <= budget
+    return used.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(fits).alias("kept"), F.count_if(~fits).alias("omitted"),
+        F.coalesce(F.max(F.when(fits, F.col("used"))), F.lit(0)).alias("used"))
 
 
 def report_lines(commits: DataFrame, narratives: DataFrame, digests: DataFrame, capsules: DataFrame) -> DataFrame:
@@ -166,7 +169,7 @@ def attention(board: DataFrame, capsules: DataFrame, projects: DataFrame, top: i
         F.max("debt_exact").alias("peak"), F.max_by("file", F.struct("debt_exact", "file")).alias("file"))
     live = projects.join(peaks, "project", "left").join(CAP.pending_counts(capsules), "project", "left").select(
         "project", "file", F.coalesce("peak", F.lit(0.0)).alias("peak"), F.coalesce("pending", F.lit(0)).alias("pending"))
-    live = live.persist()  # one row per project, read four times below
+    live = cut_lineage(live)  # one row per project, read four times below
     worst = live.filter("peak > 0").orderBy(F.col("peak").desc(), "project").limit(top).select("project", F.lit(True).alias("_top"))
     shown = live.join(worst, "project", "left").filter((F.col("pending") > 0) | F.col("_top").isNotNull()).drop("_top")
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from whylake import constants as K
 from whylake.functions.redact import redact
 from whylake.functions.text import card_id, lines
-from whylake.operators.history import line_overlap
+from whylake.operators.history import line_history
 from whylake.operators.ranking import top_n
 
 COMMIT = ["project", "sha"]
@@ -40,8 +40,9 @@ def diff_hunks(diffs: DataFrame) -> DataFrame:
     good = first.filter(F.col("header").isNotNull() & F.regexp_like("header", F.lit(K.HUNK_PATTERN)))
     start = F.regexp_extract("header", K.HUNK_PATTERN, 1).cast("bigint")
     count = F.coalesce(F.nullif(F.regexp_extract("header", K.HUNK_PATTERN, 2), F.lit("")).cast("bigint"), F.lit(1))
+    dense = F.row_number().over(W.partitionBy("diff_id").orderBy("_part"))
     return good.withColumns({"start": start, "_count": count}).filter("_count > 0").select(
-        "diff_id", F.col("_part").alias("hunk_no"), "file", "start", (F.col("start") + F.col("_count") - 1).alias("end"), "diff")
+        "diff_id", dense.alias("hunk_no"), "file", "start", (F.col("start") + F.col("_count") - 1).alias("end"), "diff")
 
 
 def cap_hunks(hunks: DataFrame, limit: int = K.MAX_REVIEW_HUNKS) -> DataFrame:
@@ -54,11 +55,10 @@ def cap_hunks(hunks: DataFrame, limit: int = K.MAX_REVIEW_HUNKS) -> DataFrame:
 def history_of(targets: DataFrame, hunks: DataFrame, files: DataFrame, limit: int = K.HISTORY_LIMIT) -> DataFrame:
     """Commits behind each target (target_id, project, file, start, end, line_known, own_pos), newest first.
 
-    Where line data exists they are the earlier hunks that meet the target's lines, otherwise the earlier commits of
-    the file.
+    Where line data exists they are the earlier commits that made the target's lines what they are, each found where
+    the lines were at its time; otherwise the earlier commits of the file.
     """
-    by_line = line_overlap(targets.filter("line_known"), hunks).filter("hit_pos < own_pos").select(
-        "target_id", "project", F.col("hit_sha").alias("sha"), F.col("hit_pos").alias("log_pos")).distinct()
+    by_line = line_history(targets.filter("line_known"), hunks, limit=limit).select("target_id", "project", "sha", "log_pos")
     by_file = targets.filter("NOT line_known").select("target_id", "project", "file", "own_pos").join(
         files.select("project", "file", "sha", "log_pos"), ["project", "file"]).filter("log_pos < own_pos").select(
         "target_id", "project", "sha", "log_pos")

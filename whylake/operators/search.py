@@ -9,7 +9,7 @@ from whylake import constants as K
 from whylake.functions import notes
 from whylake.operators.ranking import top_n
 from whylake.operators.rendering import cited_sources, render_hit, verbatim_text
-from whylake.session import spread
+from whylake.session import cut_lineage, spread
 
 
 def body_of(why: Column, decisions: Column) -> Column:
@@ -68,7 +68,7 @@ def search(corpus: DataFrame, questions: DataFrame, limit: int = K.SEARCH_LIMIT,
         matched = _occurrences(corpus).join(terms, "trigram").groupBy("trigram", "doc_key", "project", "len").agg(F.count(F.lit(1)).alias("tf"))
     else:
         matched = index.join(terms, "trigram", "left_semi")
-    matched = matched.persist()  # only the postings asked for; read for their frequencies and again for the scores
+    matched = cut_lineage(matched)  # only the postings asked for; read for their frequencies and again for the scores
     frequency = matched.groupBy("trigram").agg(F.count(F.lit(1)).alias("df"))
     total, average = stats["n"], stats["avg_len"]
     idf = F.ln((total - F.col("df") + 0.5) / (F.col("df") + 0.5))

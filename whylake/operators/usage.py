@@ -28,7 +28,7 @@ def report(usage: DataFrame) -> DataFrame:
     """Runs per command, and one total row (``command`` NULL)."""
     out = usage.rollup("command").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("llm_calls").alias("llm_calls"), F.sum("tokens_in").alias("tokens_in"),
-        F.sum("tokens_out").alias("tokens_out"), F.count_if(F.col("llm_calls") == 0).alias("zero_call_runs"))
+        F.sum("tokens_out").alias("tokens_out"), F.sum("cache_hit_tokens").alias("cache_hit_tokens"), F.count_if(F.col("llm_calls") == 0).alias("zero_call_runs"))
     return out.withColumn("share", F.floor(F.col("zero_call_runs") * 100 / F.col("runs")))
 
 

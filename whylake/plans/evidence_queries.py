@@ -15,7 +15,7 @@ from whylake.operators import reports as R
 from whylake.operators import sessions as S
 from whylake.operators.ranking import top_n
 from whylake.plans.history_queries import ALIGN_CTES
-from whylake.plans.notes_queries import SEGMENTS_SQL, text_list
+from whylake.plans.notes_queries import SEGMENTS_SQL, line_walk, text_list
 from whylake.plans.registry import query
 
 # --- redaction -----------------------------------------------------------------------
@@ -302,34 +302,32 @@ def verify_cited(t):
 
 # --- diffs and review ----------------------------------------------------------------------
 
-DIFF_SECTION_SQL = """'diff --git a/' || file || ' b/' || file || chr(10) || '--- a/' || file || chr(10) || '+++ b/' || file || chr(10) || hunk || chr(10)"""
+DIFF_HEAD_SQL = """'diff --git a/' || file || ' b/' || file || chr(10) || '--- a/' || file || chr(10) || '+++ b/' || file || chr(10)"""
 DIFF_HUNK_SQL = "'@@ -' || old_start || ',' || old_count || ' +' || new_start || ',' || new_count || ' @@' || chr(10) || '+line ' || new_start"
 
 
 def diffs(t):
-    """One unified diff per commit, written out from its hunks."""
-    section = F.expr(
-        "concat('diff --git a/', file, ' b/', file, '\\n--- a/', file, '\\n+++ b/', file, '\\n@@ -', old_start, ',', old_count, ' +', "
-        "new_start, ',', new_count, ' @@\\n+line ', new_start, '\\n')")
-    parts = t.hunks().groupBy("project", "sha").agg(
-        F.array_sort(F.collect_list(F.struct("new_start", "file", "new_count", section.alias("t")))).alias("parts"))
+    """One unified diff per commit, written out from its hunks: a section for each file."""
+    hunk = F.expr("concat('@@ -', old_start, ',', old_count, ' +', new_start, ',', new_count, ' @@\\n+line ', new_start, '\\n')")
+    head = F.expr("concat('diff --git a/', file, ' b/', file, '\\n--- a/', file, '\\n+++ b/', file, '\\n')")
+    sections = t.hunks().groupBy("project", "sha", "file").agg(
+        F.array_sort(F.collect_list(F.struct("new_start", "new_count", hunk.alias("t")))).alias("hunks")).select(
+        "project", "sha", "file", F.concat(head, F.array_join(F.transform("hunks", lambda x: x["t"]), "")).alias("t"))
+    parts = sections.groupBy("project", "sha").agg(F.array_sort(F.collect_list(F.struct("file", "t"))).alias("parts"))
     return parts.select("project", "sha", F.array_join(F.transform("parts", lambda x: x["t"]), "").alias("text"))
 
 
 @query("diff_hunks", f"""
-SELECT sha, file, new_start AS start, new_start + new_count - 1 AS "end", row_number() OVER (PARTITION BY sha ORDER BY new_start, file, new_count) AS hunk_no,
+SELECT sha, file, new_start AS start, new_start + new_count - 1 AS "end", row_number() OVER (PARTITION BY sha ORDER BY file, new_start, new_count) AS hunk_no,
   {DIFF_HUNK_SQL} AS diff FROM v_hunks""")
 def diff_hunks(t):
     found = review.diff_hunks(diffs(t).select(F.col("sha").alias("diff_id"), "text"))
-    # a section holds one "diff --git" edge and one hunk edge
-    return found.select(
-        F.col("diff_id").alias("sha"), "file", "start", "end", (F.col("hunk_no") / 2).cast("bigint").alias("hunk_no"),
-        F.regexp_replace("diff", r"\n$", "").alias("diff"))
+    return found.select(F.col("diff_id").alias("sha"), "file", "start", "end", F.col("hunk_no").cast("bigint").alias("hunk_no"), "diff")
 
 
 @query("code_only_sections", f"""
-SELECT project, sha, trim(coalesce(string_agg({DIFF_SECTION_SQL.replace('hunk', '(' + DIFF_HUNK_SQL + ')')}, '' ORDER BY new_start, file, new_count)
-  FILTER (WHERE file NOT LIKE 'docs/%'), ''), chr(10)) AS code FROM v_hunks GROUP BY 1, 2""")
+SELECT project, sha, trim(coalesce(string_agg({DIFF_HEAD_SQL} || hunks, '' ORDER BY file) FILTER (WHERE file NOT LIKE 'docs/%'), ''), chr(10)) AS code FROM (
+  SELECT project, sha, file, string_agg({DIFF_HUNK_SQL} || chr(10), '' ORDER BY new_start, new_count) AS hunks FROM v_hunks GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def code_only_sections(t):
     return diffs(t).select("project", "sha", T.code_only_diff(F.col("text")).alias("code"))
 
@@ -354,7 +352,7 @@ def card_targets(t):
 
 
 @query("review_cards", f"""
-WITH tg AS ({CARD_TARGETS_SQL}), seg AS (
+WITH RECURSIVE tg AS ({CARD_TARGETS_SQL}), {line_walk("SELECT * FROM tg WHERE line_known")}, seg AS (
   SELECT c.sha, c.log_pos, c.subject, coalesce(n.why, '') AS why, c.dec, c.rej, coalesce(n.n_evidence, 0) AS n_evidence,
     list_filter(n.decisions, lambda x: x <> coalesce(c.dec, '')) AS gen_dec, list_filter(n.rejected, lambda x: x <> coalesce(c.rej, '')) AS gen_rej,
     coalesce(trim(n.why) <> '', false) OR c.dec IS NOT NULL OR c.rej IS NOT NULL OR coalesce(len(n.decisions), 0) > 0
@@ -362,8 +360,7 @@ WITH tg AS ({CARD_TARGETS_SQL}), seg AS (
   FROM v_commits c LEFT JOIN v_narr n ON n.sha = c.sha),
 hist AS (
   SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY log_pos DESC) AS r FROM (
-    SELECT DISTINCT t.target_id, h.sha, h.log_pos FROM tg t JOIN v_hunks h ON t.line_known AND h.project = t.project AND h.file = t.file
-      AND h.new_start <= t."end" AND h.new_start + h.new_count - 1 >= t.start AND h.log_pos < t.own_pos
+    SELECT target_id, sha, log_pos FROM trail
     UNION ALL SELECT t.target_id, f.sha, f.log_pos FROM tg t JOIN v_files f ON NOT t.line_known AND f.project = t.project
       AND f.file = t.file AND f.log_pos < t.own_pos)),
 ranked AS (
@@ -443,7 +440,8 @@ def citation_audit(t):
         F.lit("notes").alias("part"), F.when(F.col("verified"), "verified").otherwise("mismatch").alias("result")).agg(F.count(F.lit(1)).alias("n"))
     quotes = S.prompts(t.turns()).select(F.col("turn_id").alias("quote_id"), "session_id", F.col("text").alias("quote"))
     counts = t.turns().groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 2")
-    texts = S.as_list(S.first_of_session(t.turns(), ["session_id"], 40), ["session_id"], "texts").join(counts, "session_id", "left_semi")
+    stretch = F.expr("line_no div 64")
+    texts = t.turns().groupBy("session_id", stretch.alias("stretch")).agg(F.collect_list("text").alias("texts")).join(counts, "session_id", "left_semi")
     found = audits.audit_quotes(quotes, texts).groupBy(F.lit("quotes").alias("part"), "result").agg(F.count(F.lit(1)).alias("n"))
     return checked.unionByName(found)
 
@@ -478,8 +476,8 @@ def leakage_bands(t):
 @query("highlight")
 def highlight(t):
     """Assistant turns against the user turns of their conversation."""
-    quotes = S.first_of_session(t.turns().filter("role = 'user'"), ["session_id"], K.MAX_PROMPTS).groupBy("session_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("rank").alias("cite_id"), F.col("text").alias("verbatim")))).alias("citations"))
+    quotes = t.turns().filter("role = 'user'").groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("line_no").cast("int").alias("cite_id"), F.col("text").alias("verbatim")))).alias("citations"))
     answers = t.turns().filter("role = 'assistant'").select("session_id", F.col("turn_id").alias("answer_id"), F.col("text").alias("answer"))
     return audits.highlight(answers.join(quotes, "session_id"))
 
@@ -565,11 +563,26 @@ def adr_bom(t):
     return adr.adr_cyclonedx(tracked_history(t))
 
 
-@query("payload_preview")
+# Purchases are the commits here: they overlap sessions of the same user in time and files.
+@query("payload_preview", ALIGN_CTES + f""", best AS (
+  SELECT * FROM (SELECT m.project, m.sha, m.source, m.session_id, m.confidence, row_number() OVER (PARTITION BY m.sha
+    ORDER BY m.confidence <> 'high', m.n_overlap DESC, m.source, m.session_id) AS rank FROM matches m) WHERE rank <= 2),
+blocks AS (SELECT b.sha, string_agg(concat_ws(chr(10) || chr(10), '### 关联会话 ' || substr(b.session_id, 1, 8) || '(置信度 ' || b.confidence || ')',
+    '用户原话:' || chr(10) || '- ' || array_to_string(list_slice(x.prompts, 1, 3), chr(10) || '- '),
+    'AI 关键陈述:' || chr(10) || '- ' || array_to_string(list_slice(x.excerpts, 1, 2), chr(10) || '- ')), chr(10) || chr(10) ORDER BY rank) AS sessions
+  FROM best b LEFT JOIN v_sess_texts x USING (project, source, session_id) GROUP BY 1),
+prior AS (SELECT sha, lag(sha) OVER (PARTITION BY project, file ORDER BY log_pos) AS prior_sha, lag(subject) OVER (PARTITION BY project, file ORDER BY log_pos) AS what FROM v_ecommits)
+SELECT c.project, c.sha, concat_ws(chr(10) || chr(10), CASE WHEN p.prior_sha IS NOT NULL THEN '### 这些文件上次的改动(' || substr(p.prior_sha, 1, 7) || ')' || chr(10) || p.what END,
+  '## Commit ' || substr(c.sha, 1, 10), '时间:' || strftime(c.date, '%Y-%m-%dT%H:%M:%S') || ' 作者:buyer', 'message:' || c.subject || chr(10) || 'bought',
+  '### 变更统计' || chr(10) || c.file || ' | 1', '### diff 节选' || chr(10) || '+' || c.file,
+  coalesce(b.sessions, '### 无关联会话数据 —— why 字段只能基于 commit 本身,请注明属于推测')) AS payload
+FROM v_ecommits c LEFT JOIN prior p ON p.sha = c.sha LEFT JOIN blocks b ON b.sha = c.sha""")
 def payload_preview(t):
-    """The bounded text per commit; event sessions of purchases have no prompts, so it is the commit part alone."""
-    empty = F.array().cast("array<string>")
-    matches = A.best_sessions(t.event_commits(), t.event_commits(), t.sessions(), t.session_files()).withColumns(
-        {"prompts": empty, "excerpts": empty})
-    stats = diffs(t).select("project", "sha", F.lit("").alias("stat"), T.bounded_text(F.col("text"), 8000).alias("diff"))
-    return R.payload(t.commits(), H.prior_context(t.files(), t.narratives()), matches, stats)
+    """The bounded text per commit, with the words and files of the sessions behind it."""
+    commits = t.event_commits()
+    best = A.best_sessions(commits, commits, t.sessions(), t.session_files())
+    matches = A.evidence(best, t.sessions().join(t.session_texts(), A.SESSION, "left"))
+    told = commits.select("project", "sha", F.col("subject").alias("what"))
+    stats = commits.select("project", "sha", F.concat("file", F.lit(" | 1")).alias("stat"), T.bounded_text(F.concat(F.lit("+"), F.col("file")), K.DIFF_BUDGET).alias("diff"))
+    rows = commits.drop("file").withColumns({"author": F.lit("buyer"), "body": F.lit("bought")})
+    return R.payload(rows, H.prior_context(commits, told), matches, stats)

@@ -139,18 +139,19 @@ def align(t):
 
 
 @query("evidence_top2", ALIGN_CTES + """
-SELECT project, sha, source, session_id, confidence, rank, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended FROM (
-  SELECT m.*, s.ended, row_number() OVER (PARTITION BY m.sha
+SELECT project, sha, source, session_id, confidence, rank, strftime(ended, '%Y-%m-%d %H:%M:%S') AS ended,
+  coalesce(array_to_string(list_slice(prompts, 1, 3), ' | '), '') AS prompts, coalesce(array_to_string(list_slice(excerpts, 1, 2), ' | '), '') AS excerpts FROM (
+  SELECT m.*, s.ended, x.prompts, x.excerpts, row_number() OVER (PARTITION BY m.sha
      ORDER BY m.confidence <> 'high', n_overlap DESC, m.source, m.session_id) AS rank
-  FROM matches m JOIN v_sess s USING (project, source, session_id)) WHERE rank <= 2""")
+  FROM matches m JOIN v_sess s USING (project, source, session_id) LEFT JOIN v_sess_texts x USING (project, source, session_id)) WHERE rank <= 2""")
 def evidence_top2(t):
-    empty = F.array().cast("array<string>")
-    sessions = t.sessions().withColumns({"prompts": empty, "excerpts": empty})
+    sessions = t.sessions().join(t.session_texts(), A.SESSION, "left")
     commits = t.event_commits()
     best = A.best_sessions(commits, commits, t.sessions(), t.session_files())
     return A.evidence(best, sessions).select(
         "project", "sha", "source", "session_id", "confidence", F.col("rank").cast("bigint").alias("rank"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ended"))
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ended"), *(
+            F.coalesce(F.array_join(c, " | "), F.lit("")).alias(c) for c in ("prompts", "excerpts")))
 
 
 @query("session_commits", ALIGN_CTES + """

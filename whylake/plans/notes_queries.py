@@ -357,6 +357,44 @@ def coverage_gap(t):
     return C.narrative_gap(t.commits(), t.narratives()).drop("pct")
 
 
+# A range is carried back commit by commit: the state of the fold over a commit's edits has the fields of an edit, so that
+# one list can hold both.
+_STATE = "'touched': {t}, 's1': {s1}, 's2': {s2}, 'f': {f}, 'l': {l}, 'st': {st}, 'en': {en}, 'a': {a}, 'n': {n}, 'o': {o}, 'm': {m}"
+_ZERO = "CAST(0 AS BIGINT)"
+_EDIT = "{" + _STATE.format(t="false", s1=_ZERO, s2=_ZERO, f=_ZERO, l=_ZERO, st=_ZERO, en=_ZERO, a="new_start", n="new_count", o="old_start", m="old_count") + "}"
+_BEGIN = "{" + _STATE.format(t="false", s1=_ZERO, s2=_ZERO, f="w.f", l="w.l", st="w.f", en="w.l", a=_ZERO, n=_ZERO, o=_ZERO, m=_ZERO) + "}"
+_STEP = "{" + _STATE.format(
+    t="x.touched OR CASE WHEN e.n = 0 THEN e.a < x.en AND e.a >= x.st WHEN e.a + e.n - 1 < x.st THEN false ELSE e.a <= x.en END",
+    s1=f"x.s1 + CASE WHEN e.n = 0 THEN CASE WHEN e.a < x.st THEN e.m ELSE {_ZERO} END WHEN e.a + e.n - 1 < x.st THEN e.m - e.n ELSE {_ZERO} END",
+    s2=f"x.s2 + CASE WHEN e.n = 0 THEN CASE WHEN e.a < x.en THEN e.m ELSE {_ZERO} END WHEN e.a + e.n - 1 < x.st THEN e.m - e.n "
+       f"WHEN e.a <= x.en AND e.a + e.n - 1 < x.en THEN e.m - e.n ELSE {_ZERO} END",
+    f="CASE WHEN e.n > 0 AND e.a <= x.st AND x.st <= e.a + e.n - 1 THEN CASE WHEN e.m > 0 THEN e.o ELSE e.o + 1 END - x.s1 ELSE x.f END",
+    l="CASE WHEN e.n > 0 AND e.a <= x.en AND x.en <= e.a + e.n - 1 THEN CASE WHEN e.m > 0 THEN e.o + e.m - 1 ELSE e.o END - x.s2 ELSE x.l END",
+    st="x.st", en="x.en", a="x.a", n="x.n", o="x.o", m="x.m") + "}"
+
+
+def line_walk(targets: str) -> str:
+    """CTEs ``trail`` (target_id, sha, log_pos): line history of ``targets`` (target_id, project, file, start, end,
+    own_pos); the query has to begin WITH RECURSIVE."""
+    return f"""walk_targets AS ({targets}),
+walk_commits AS (SELECT project, file, sha, log_pos, list({_EDIT} ORDER BY new_start, new_count, old_start, old_count) AS edits FROM v_hunks GROUP BY ALL),
+walk_steps AS (SELECT t.target_id, c.sha, c.log_pos, c.edits, row_number() OVER (PARTITION BY t.target_id ORDER BY c.log_pos DESC) AS k
+  FROM walk_targets t JOIN walk_commits c ON c.project = t.project AND c.file = t.file AND (t.own_pos IS NULL OR c.log_pos < t.own_pos)),
+walk AS (
+  SELECT target_id, CAST(0 AS BIGINT) AS k, CAST(start AS BIGINT) AS f, CAST("end" AS BIGINT) AS l, CAST(0 AS BIGINT) AS hits, CAST(NULL AS VARCHAR) AS sha,
+    CAST(NULL AS BIGINT) AS log_pos, false AS touched FROM walk_targets
+  UNION ALL
+  SELECT target_id, k, r.f + r.s1, r.l + r.s2, hits + CASE WHEN r.touched THEN 1 ELSE 0 END, sha, log_pos, r.touched FROM (
+    SELECT w.target_id, s.k, w.hits, s.sha, s.log_pos, list_reduce(list_prepend({_BEGIN}, s.edits), lambda x, e: {_STEP}) AS r
+    FROM walk w JOIN walk_steps s ON s.target_id = w.target_id AND s.k = w.k + 1 WHERE w.l >= w.f AND w.hits < 50)),
+trail AS (SELECT target_id, sha, log_pos FROM walk WHERE touched)"""
+
+
+@query("line_history", "WITH RECURSIVE " + line_walk(PENDING_SQL) + " SELECT target_id, sha, log_pos FROM trail")
+def line_history(t):
+    return H.line_history(pending_hunks(t), t.hunks()).select("target_id", "sha", "log_pos")
+
+
 LINE_TARGETS_SQL = """SELECT DISTINCT h.project || '|' || h.file || '|' || h.new_start AS target_id, h.project, h.file, h.new_start AS line
   FROM v_hunks h JOIN v_tracked t ON t.project = h.project AND t.file = h.file"""
 
@@ -369,12 +407,9 @@ def line_targets(t):
 
 
 @query("line_recall", f"""
-WITH seg AS ({SEGMENTS_SQL}), hits AS (
-  SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY log_pos DESC) AS r FROM (
-    SELECT DISTINCT t.target_id, h.sha, h.log_pos FROM ({LINE_TARGETS_SQL}) t JOIN v_hunks h
-      ON h.project = t.project AND h.file = t.file AND t.line BETWEEN h.new_start AND h.new_start + h.new_count - 1)),
+WITH RECURSIVE seg AS ({SEGMENTS_SQL}), {line_walk('SELECT *, line AS start, line AS "end", CAST(NULL AS BIGINT) AS own_pos FROM (' + LINE_TARGETS_SQL + ')')},
 judged AS (SELECT h.target_id, bool_or(s.has_why) AS wnd, arg_max(s.has_why, h.log_pos) AS strict
-  FROM hits h JOIN seg s ON s.sha = h.sha WHERE r <= 50 GROUP BY 1)
+  FROM trail h JOIN seg s ON s.sha = h.sha GROUP BY 1)
 SELECT t.project, count(*) AS sampled, count(*) FILTER (WHERE j.wnd) AS "window", count(*) FILTER (WHERE j.strict) AS strict,
   count(*) FILTER (WHERE j.wnd IS NULL) AS no_history FROM ({LINE_TARGETS_SQL}) t LEFT JOIN judged j USING (target_id) GROUP BY 1""")
 def line_recall(t):

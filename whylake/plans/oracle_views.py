@@ -33,8 +33,8 @@ SELECT * FROM (
   FROM (SELECT *, l_partkey % 100 AS m FROM lineitem) JOIN v_commits c ON c.k = l_orderkey)
 WHERE file NOT LIKE '%.lock'""",
     "v_narr": """
-SELECT c.project, c.sha, c.log_pos, c.date, d.doc_id, 'Order ' || c.k || ' in ' || lang AS what,
-  CASE WHEN lang = 'de' THEN '' ELSE text END AS why,
+SELECT coalesce(c.project, '/fleet/unfiled') AS project, coalesce(c.sha, sha1('d' || d.doc_id)) AS sha, coalesce(c.log_pos, d.doc_id) AS log_pos,
+  coalesce(c.date, TIMESTAMP '1970-01-01') AS date, d.doc_id, 'Order ' || d.doc_id || ' in ' || lang AS what, text AS why,
   list_filter([CASE WHEN lang = 'en' THEN 'keep ' || source END, c.dec], lambda x: x IS NOT NULL) AS decisions,
   list_filter([c.watch, CASE WHEN d.n_chars > 1500 THEN 'check ' || lang || ' copy' END,
     CASE WHEN d.n_chars < 300 THEN '材料不足,无法判断' END], lambda x: x IS NOT NULL) AS risks,
@@ -43,7 +43,7 @@ SELECT c.project, c.sha, c.log_pos, c.date, d.doc_id, 'Order ' || c.k || ' in '
   list_filter([CASE WHEN lang = 'es' THEN 'drop ' || source END, c.rej], lambda x: x IS NOT NULL) AS rejected,
   CAST(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence, coalesce(l.toxic = 1, false) AS degraded,
   TIMESTAMP '2024-01-01' + to_seconds(d.doc_id) AS created_at
-FROM documents d JOIN v_commits c ON c.k = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+FROM documents d LEFT JOIN v_all c ON c.k = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
     "v_caps": """
 SELECT sha || ':0' AS capsule_id, project, sha, watch AS risk, CAST(date AS DATE) AS sealed_date,
   CAST(date AS DATE) + 21 AS open_date, CASE WHEN st <> 'O' THEN CAST(date AS DATE) + 21 END AS opened_date,
@@ -62,6 +62,9 @@ FROM events WHERE event_type <> 'purchase'""",
 SELECT project, source, session_id, min(ts) AS started, max(ts) AS ended, count(*) AS records
 FROM v_actions GROUP BY ALL""",
     "v_sess_files": "SELECT DISTINCT project, source, session_id, file, mode FROM v_actions",
+    "v_sess_texts": """
+SELECT project, source, session_id, list_slice(list('what does ' || file || ' do' ORDER BY file) FILTER (WHERE mode = 'read'), 1, 20) AS prompts,
+  list_slice(list('changed ' || file ORDER BY file) FILTER (WHERE mode = 'write'), 1, 12) AS excerpts FROM v_sess_files GROUP BY ALL""",
     "v_ecommits": """
 SELECT '/fleet/u' || user_id AS project, sha1('e' || event_id) AS sha, event_id AS log_pos, ts AS date,
   'feat: purchase ' || event_id AS subject, 'src/k' || json_extract_string(props, '$.k') || '.py' AS file
@@ -72,7 +75,7 @@ SELECT 'c' || conv_id AS session_id, '/chat/' || (conv_id // 50) AS project, tur
 FROM conversations""",
     "v_usage": """
 SELECT event_type AS command, '/fleet/u' || user_id AS project, ts, n % 3 AS llm_calls, n AS tokens_in,
-  n * 2 AS tokens_out, event_id
+  n * 2 AS tokens_out, n * 7 AS cache_hit_tokens, event_id
 FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n FROM events)""",
     "v_url_paths": """
 SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host,

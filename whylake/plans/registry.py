@@ -41,6 +41,6 @@ def with_views(sql: str) -> str:
     if not needed:
         return body
     ctes = ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed)
-    if re.match(r"(?i)with\s", body):
-        return f"WITH {ctes},\n{body[4:].lstrip()}"
+    if opening := re.match(r"(?i)with\s+(recursive\s)?", body):
+        return f"WITH {opening[1] or ''}{ctes},\n{body[opening.end():]}"
     return f"WITH {ctes}\n{body}"

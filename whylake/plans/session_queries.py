@@ -121,7 +121,7 @@ def usage_clean(t):
 
 @query("usage_report", """
 SELECT command, count(*) AS runs, CAST(sum(llm_calls) AS BIGINT) AS llm_calls, CAST(sum(tokens_in) AS BIGINT) AS tokens_in,
-  CAST(sum(tokens_out) AS BIGINT) AS tokens_out, count(*) FILTER (WHERE llm_calls = 0) AS zero_call_runs,
+  CAST(sum(tokens_out) AS BIGINT) AS tokens_out, CAST(sum(cache_hit_tokens) AS BIGINT) AS cache_hit_tokens, count(*) FILTER (WHERE llm_calls = 0) AS zero_call_runs,
   (count(*) FILTER (WHERE llm_calls = 0) * 100) // count(*) AS share
 FROM v_usage WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ROLLUP (command)""")
 def usage_report(t):
@@ -334,16 +334,27 @@ def latest_daily(t):
     return dates(R.latest_daily(R.daily_digests(t.commits(), t.narratives())), "day")
 
 
-LISTING_SQL = f"""SELECT c.project, c.sha, c.log_pos, '- ' || substr(c.sha, 1, 8) || ' ' || c.subject || '|what: '
+LISTING_SQL = f"""SELECT c.project, c.sha, c.log_pos, c.date, '- ' || substr(c.sha, 1, 8) || ' ' || c.subject || '|what: '
   || coalesce(substr(n.what, 1, 150), '') || '|decisions: ' || substr({text_list("n.decisions").replace("' | '", "'; '")}, 1, 200) AS line
   FROM v_commits c LEFT JOIN v_narr n ON n.sha = c.sha"""
 
 
 @query("char_budget", f"""
+SELECT project, strftime(day, '%Y-%m-%d') AS day, count(*) AS lines, count(*) FILTER (WHERE used <= 6000) AS kept, count(*) FILTER (WHERE used > 6000) AS omitted,
+  CAST(coalesce(max(used) FILTER (WHERE used <= 6000), 0) AS BIGINT) AS used FROM (
+  SELECT project, CAST(date AS DATE) AS day, sum(length(line) + 1) OVER (PARTITION BY project, CAST(date AS DATE) ORDER BY log_pos, sha) - 1 AS used
+  FROM ({LISTING_SQL})) GROUP BY 1, 2""")
+def char_budget(t):
+    """The listing of each day, as it would open that day's report."""
+    kept = R.char_budget(R.overview_rows(t.commits(), t.narratives()), ["project", "day"])
+    return kept.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+@query("char_budget_project", f"""
 SELECT project, count(*) AS lines, count(*) FILTER (WHERE used <= 6000) AS kept, count(*) FILTER (WHERE used > 6000) AS omitted,
   CAST(coalesce(max(used) FILTER (WHERE used <= 6000), 0) AS BIGINT) AS used FROM (
   SELECT project, sum(length(line) + 1) OVER (PARTITION BY project ORDER BY log_pos, sha) - 1 AS used FROM ({LISTING_SQL})) GROUP BY 1""")
-def char_budget(t):
+def char_budget_project(t):
     return R.char_budget(R.overview_rows(t.commits(), t.narratives()), ["project"])
 
 
@@ -397,14 +408,12 @@ WITH board AS ({DEBT_SQL}), live AS (
   FROM (SELECT DISTINCT project FROM v_commits) p
   LEFT JOIN (SELECT project, max(debt_exact) AS peak, arg_max(file, (debt_exact, file)) AS file FROM board GROUP BY 1) b USING (project)
   LEFT JOIN (SELECT project, count(*) AS pending FROM v_caps WHERE opened_date IS NOT NULL AND outcome IS NULL
-    AND open_date >= DATE '2001-07-25' GROUP BY 1) k USING (project)),
+    GROUP BY 1) k USING (project)),
 worst AS (SELECT project FROM live WHERE peak > 0 ORDER BY peak DESC, project LIMIT 5),
 shown AS (SELECT * FROM live WHERE pending > 0 OR project IN (SELECT project FROM worst))
 SELECT project, file, round(peak, 6) AS peak, pending, (SELECT count(*) FROM live) - (SELECT count(*) FROM shown) AS omitted FROM shown""")
 def attention(t):
-    """Predictions that came due in the last weeks, so that some projects have none."""
-    recent = t.capsules().filter("open_date >= DATE '2001-07-25'")
-    return R.attention(board(t), recent, t.commits().select("project").distinct()).withColumn("peak", F.round("peak", 6))
+    return R.attention(board(t), t.capsules(), t.commits().select("project").distinct()).withColumn("peak", F.round("peak", 6))
 
 
 @query("brief", f"""

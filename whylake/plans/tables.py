@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whylake import constants as K
-from whylake.session import spread
+from whylake.operators.ranking import first_texts
 
 
 # Stated, so that opening a table starts no job that reads file footers.
@@ -35,8 +35,6 @@ SCHEMAS = {
 }
 
 
-TEXT_KEYS = {"documents": ("doc_id",), "conversations": ("conv_id", "turn")}
-
 # The file a part number stands for, as an SQL text over column m.
 FILE_OF_PART = (
     "CASE WHEN m < 3 THEN concat('deps/pkg', m, '.lock') WHEN m < 10 THEN concat('docs/guide', m, '.md') "
@@ -65,11 +63,7 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         key = f"raw {name}"
         if key not in self._open:
-            table = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
-            # A text table in fewer files than cores would be worked on by as many tasks as it has files.
-            if name in TEXT_KEYS and len(table.inputFiles()) < self.spark.sparkContext.defaultParallelism:
-                table = spread(table, *TEXT_KEYS[name])
-            self._open[key] = table
+            self._open[key] = self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
         return self._open[key]
 
     # --- history -----------------------------------------------------------
@@ -125,14 +119,15 @@ class Tables:
     # --- narratives and judgements ------------------------------------------
     @role
     def narratives(self) -> DataFrame:
-        commits = self.all_commits().filter("NOT is_merge").select(
-            "project", "sha", "log_pos", "date", "key", "dec", "watch", "rej")
+        commits = self.all_commits().select("project", "sha", "log_pos", "date", "key", "dec", "watch", "rej")
         labels = self.raw("labels").withColumnRenamed("doc_id", "label_id")
         docs = self.raw("documents")
-        rows = docs.join(commits, F.col("doc_id") == F.col("key")).join(labels, F.col("doc_id") == F.col("label_id"), "left")
+        # a document without an order is kept under a project of its own, so that no text is left out of a corpus
+        rows = docs.join(commits, F.col("doc_id") == F.col("key"), "left").join(labels, F.col("doc_id") == F.col("label_id"), "left")
         return rows.selectExpr(
-            "project", "sha", "log_pos", "date", "doc_id", "concat('Order ', key, ' in ', lang) AS what",
-            "CASE WHEN lang = 'de' THEN '' ELSE text END AS why",
+            "coalesce(project, '/fleet/unfiled') AS project", "coalesce(sha, sha1(concat('d', doc_id))) AS sha",
+            "coalesce(log_pos, doc_id) AS log_pos", "coalesce(date, TIMESTAMP_NTZ '1970-01-01') AS date", "doc_id",
+            "concat('Order ', doc_id, ' in ', lang) AS what", "text AS why",
             "array_compact(array(CASE WHEN lang = 'en' THEN concat('keep ', source) END, dec)) AS decisions",
             "array_compact(array(watch, CASE WHEN n_chars > 1500 THEN concat('check ', lang, ' copy') END, "
             f"CASE WHEN n_chars < 300 THEN '{K.FILLER_PREFIX},无法判断' END)) AS risks",
@@ -179,6 +174,15 @@ class Tables:
     def session_files(self) -> DataFrame:
         return self.actions().select("project", "source", "session_id", "file", "mode").distinct()
 
+    @role
+    def session_texts(self) -> DataFrame:
+        """What was said in a session, told by the files that it read (asked about) and wrote (stated)."""
+        keys = ["project", "source", "session_id"]
+        rows = self.session_files()
+        asked = first_texts(rows.filter("mode = 'read'"), keys, F.concat(F.lit("what does "), "file", F.lit(" do")), F.col("file"), K.MAX_PROMPTS, "prompts")
+        stated = first_texts(rows.filter("mode = 'write'"), keys, F.concat(F.lit("changed "), "file"), F.col("file"), K.MAX_EXCERPTS, "excerpts")
+        return asked.join(stated, keys, "full")
+
     @role
     def event_commits(self) -> DataFrame:
         return self.raw("events").filter("event_type = 'purchase'").selectExpr(
@@ -198,7 +202,7 @@ class Tables:
         rows = self.raw("events").selectExpr("*", "CAST(get_json_object(props, '$.k') AS BIGINT) AS n")
         return rows.selectExpr(
             "event_type AS command", "concat('/fleet/u', user_id) AS project", "ts", "n % 3 AS llm_calls",
-            "n AS tokens_in", "n * 2 AS tokens_out", "event_id")
+            "n AS tokens_in", "n * 2 AS tokens_out", "n * 7 AS cache_hit_tokens", "event_id")
 
     # --- paths ------------------------------------------------------------------
     @role

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,21 +31,22 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, used only inside iterative plans.
 
-    The folder comes from ``spark.checkpoint.dir``, which the cluster sets to shared storage.  Only where nothing is
-    set (tests on one machine) is a scratch folder used.
+    The folder comes from ``spark.checkpoint.dir``, which the cluster sets to shared storage.  Only on a session of one
+    machine may it be unset; a scratch folder is used there.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="whylake-checkpoint-"))
     return df.checkpoint()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over all shuffle partitions before work that is heavy per row.
+    """Hash rows over tasks before work that is heavy per row, however few files hold them.
 
-    Without it a few large files, or partitions merged because they are small in bytes, would keep that work in a few
-    tasks.  A stated number of partitions is not merged again by adaptive execution.
+    Rebalancing lets adaptive execution split large partitions and merge small ones, so the number follows the data.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.hint("rebalance", *keys)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from whylake import constants as K
 from whylake.operators.align import time_pairs
@@ -94,32 +94,57 @@ CAPSULE_EVENTS = StructType([
     StructField("capsule_id", StringType()), StructField("event", StringType()), StructField("at", StringType())])
 
 
+#: How long an answer waits for its seal, and how long an answered capsule is remembered, in milliseconds.
+KEPT_MS = 90 * 86_400_000
+
+
 class CapsuleTimers(StatefulProcessor):
-    """Sealed capsules open when event time reaches their opening date, and close when they are answered."""
+    """Sealed capsules open when event time reaches their opening date, and close when they are answered.
+
+    Seal and answer may arrive in either order: an answer that comes first waits for its seal.  State is cleared some
+    time after the answer, or if the seal never comes.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("capsule", StructType([StructField("status", StringType()), StructField("open_date", StringType())]))
+        self.state = handle.getValueState("capsule", StructType([
+            StructField("status", StringType()), StructField("open_date", StringType()), StructField("outcome", StringType()), StructField("until", LongType())]))
+
+    def keep(self, status: str, day: str | None, outcome: str | None, ts: pd.Timestamp) -> None:
+        """Store the state and have it cleared later."""
+        begin = max([ts, *([pd.Timestamp(day)] if day else [])])
+        until = int(begin.timestamp() * 1000) + KEPT_MS
+        self.state.update((status, day, outcome, until))
+        self.handle.registerTimer(until)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
-        for frame in rows:
-            for row in frame.sort_values("ts").itertuples(index=False):
-                if row.kind == "sealed" and not self.state.exists():
-                    self.state.update(("sealed", str(row.open_date)))
-                    self.handle.registerTimer(int(pd.Timestamp(row.open_date).timestamp() * 1000))
-                elif row.kind == "answered" and self.state.exists() and self.state.get()[0] != "answered":
-                    self.state.update(("answered", self.state.get()[1]))
-                    out.append((key[0], "answered", str(row.outcome)))
+        # the events of one capsule: a seal and an answer, perhaps repeated
+        for row in sorted((r for frame in rows for r in frame.itertuples(index=False)), key=lambda r: r.ts):
+            status, day, outcome, _ = self.state.get() if self.state.exists() else (None, None, None, None)
+            if row.kind == "sealed" and status is None:
+                self.state.update(("sealed", str(row.open_date), None, 0))
+                self.handle.registerTimer(int(pd.Timestamp(row.open_date).timestamp() * 1000))
+            elif row.kind == "sealed" and status == "waiting":
+                out.append((key[0], "answered", outcome))
+                self.keep("answered", str(row.open_date), outcome, row.ts)
+            elif row.kind == "answered" and status is None:
+                self.keep("waiting", None, str(row.outcome), row.ts)
+            elif row.kind == "answered" and status in ("sealed", "opened"):
+                out.append((key[0], "answered", str(row.outcome)))
+                self.keep("answered", day, str(row.outcome), row.ts)
         yield pd.DataFrame(out, columns=["capsule_id", "event", "at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, day = self.state.get()
-        if status == "sealed":
-            self.state.update(("opened", day))
-            yield pd.DataFrame([(key[0], "opened", day)], columns=["capsule_id", "event", "at"])
-        else:
-            yield pd.DataFrame([], columns=["capsule_id", "event", "at"])
+        out = []
+        if self.state.exists():
+            status, day, outcome, until = self.state.get()
+            if status == "sealed":
+                self.state.update(("opened", day, None, 0))
+                out.append((key[0], "opened", day))
+            elif status in ("answered", "waiting") and expiredTimerInfo.getExpiryTimeInMs() >= until:
+                self.state.clear()
+        yield pd.DataFrame(out, columns=["capsule_id", "event", "at"])
 
     def close(self) -> None:
         pass
