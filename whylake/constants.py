@@ -60,6 +60,7 @@ GRAPH_SCOPE = 200
 GRAPH_TOP = 40
 GRAPH_MAX_OUT = 8
 HISTORY_LIMIT = 50
+REFERENCE_LIMIT = 5
 
 # --- narratives ---------------------------------------------------------------
 FILLER_PREFIX = "材料不足"

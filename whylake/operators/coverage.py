@@ -33,12 +33,17 @@ def hit_rate(commits: DataFrame, narratives: DataFrame) -> DataFrame:
 
 def by_source(commits: DataFrame, quoted: DataFrame, tested: DataFrame, discussed: DataFrame) -> DataFrame:
     """One row per commit with the four kinds of checkable material; rejected notes do not count here.
-    The last three inputs are sets of (project, sha)."""
-    rows = commits.select(*COMMIT, "subject", notes.has_notes(F.col("body"), (K.NOTE_DECISION, K.NOTE_WATCH)).alias("has_note"))
-    for name, known in (("has_quote", quoted), ("has_test", tested), ("has_pr", discussed)):
-        flags = known.select(*COMMIT).distinct().withColumn(name, F.lit(True))
-        rows = rows.join(flags, COMMIT, "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
-    return rows.withColumn("grounded", F.greatest("has_note", "has_quote", "has_test", "has_pr"))
+    The last three inputs are sets of (project, sha).  All flags meet in one aggregation."""
+    marks = ("has_quote", "has_test", "has_pr")
+    no = F.lit(False)
+    rows = commits.select(
+        *COMMIT, "subject", F.lit(True).alias("_known"), notes.has_notes(F.col("body"), (K.NOTE_DECISION, K.NOTE_WATCH)).alias("has_note"),
+        *(no.alias(m) for m in marks))
+    for mark, known in zip(marks, (quoted, tested, discussed), strict=True):
+        rows = rows.unionByName(known.select(
+            *COMMIT, F.lit(None).cast("string").alias("subject"), no.alias("_known"), no.alias("has_note"), *(F.lit(m == mark).alias(m) for m in marks)))
+    out = rows.groupBy(*COMMIT).agg(F.max("subject").alias("subject"), *(F.bool_or(c).alias(c) for c in ("_known", "has_note", *marks)))
+    return out.filter("_known").drop("_known").withColumn("grounded", F.greatest("has_note", *marks))
 
 
 def source_totals(rows: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def narrative_gap(commits: DataFrame, narratives: DataFrame) -> DataFrame:
 
 def sample_lines(lines: DataFrame, n: int, seed: int = 1729) -> DataFrame:
     """A reproducible sample of ``n`` (path, line) rows: the smallest seeded hashes, a distributed top-n."""
-    return lines.orderBy(F.xxhash64("path", "line", F.lit(seed)), "path", "line").limit(n)
+    return lines.orderBy(F.md5(F.concat_ws(":", "path", "line", F.lit(seed))), "path", "line").limit(n)
 
 
 def line_recall(targets: DataFrame, hunks: DataFrame, explained: DataFrame, limit: int = K.HISTORY_LIMIT) -> DataFrame:

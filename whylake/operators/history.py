@@ -45,10 +45,25 @@ def merge_notes(commits: DataFrame, narratives: DataFrame) -> DataFrame:
     )
 
 
-def segments(commits: DataFrame, narratives: DataFrame) -> DataFrame:
-    """What is known about each commit, with authored records and generated text kept apart."""
+def references(tests: DataFrame, requests: DataFrame, limit: int = K.REFERENCE_LIMIT) -> DataFrame:
+    """Checkable sources of a commit besides its evidence: tests (project, sha, path, names) and pull requests
+    (project, sha, number, title), at most ``limit`` of each kind, as arrays; ``n_refs`` counts all."""
+    listed = []
+    for name, known, columns in (("test_refs", tests, ["path", "names"]), ("pr_refs", requests, ["number", "title"])):
+        first = top_n(known.select(*COMMIT, *columns), COMMIT, [F.col(columns[0])], limit, "_place")
+        listed.append(first.groupBy(*COMMIT).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name)))
+    totals = tests.select(*COMMIT).unionByName(requests.select(*COMMIT)).groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("n_refs"))
+    return totals.join(listed[0], COMMIT, "left").join(listed[1], COMMIT, "left")
+
+
+def segments(commits: DataFrame, narratives: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """What is known about each commit, with authored records and generated text kept apart; ``refs`` from
+    ``references`` adds its tests and requests."""
     joined = commits.join(
         narratives.select(*COMMIT, "why", "decisions", "risks", "rejected", "n_evidence"), COMMIT, "left")
+    if refs is not None:
+        joined = joined.join(refs, COMMIT, "left")
+    extra = [] if refs is None else ["test_refs", "pr_refs", F.coalesce("n_refs", F.lit(0)).alias("n_refs")]
     body = F.col("body")
     parsed = joined.withColumns({
         "authored_decisions": notes.decisions(body), "authored_rejected": notes.rejected(body),
@@ -63,7 +78,7 @@ def segments(commits: DataFrame, narratives: DataFrame) -> DataFrame:
         "authored_decisions", "authored_rejected",
         F.array_except("_dec", "authored_decisions").alias("generated_decisions"),
         F.array_except("_rej", "authored_rejected").alias("generated_rejected"),
-        F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"),
+        F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), *extra,
     )
     return shaped.withColumn(
         "has_why", notes.has_why(F.col("why"), F.col("decisions"), F.col("rejected"), F.col("n_evidence")))

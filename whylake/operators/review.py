@@ -84,16 +84,18 @@ def review_cards(targets: DataFrame, history: DataFrame, segments: DataFrame) ->
     """One card per target.
 
     The primary record is the newest commit with an authored rejected path, else the newest with an authored decision,
-    else the newest that explains itself, else the newest.  Generated text never makes a conflict and never counts as
+    else the newest that explains itself, else the newest.  Evidence, tests and requests are sources.  Generated text never makes a conflict and never counts as
     evidence; it stays in its own columns.
     """
-    rows = history.drop("rank").join(segments.drop("log_pos"), COMMIT)
+    if "n_refs" not in segments.columns:
+        segments = segments.withColumn("n_refs", F.lit(0))
+    rows = history.drop("rank").join(segments.withColumn("_sources", F.col("n_evidence") + F.col("n_refs")).drop("log_pos"), COMMIT)
     rejected, decided = F.size("authored_rejected") > 0, F.size("authored_decisions") > 0
     tier = F.when(rejected, 0).when(decided, 1).when(F.col("has_why"), 2).otherwise(3)
-    sourced = rejected | decided | (F.col("n_evidence") > 0)
+    sourced = rejected | decided | (F.col("_sources") > 0)
     record = F.struct(
         "sha", "date", "subject", "why", "authored_decisions", "authored_rejected", "generated_decisions", "generated_rejected",
-        "n_evidence", "has_why")
+        "n_evidence", "_sources", "has_why")
     judged = rows.groupBy("target_id").agg(
         F.min_by(record, F.struct(tier, -F.col("log_pos"))).alias("p"), F.count(F.lit(1)).alias("n"),
         F.bool_or(sourced).alias("sourced"), F.bool_or("has_why").alias("explained"))
@@ -118,7 +120,7 @@ def review_cards(targets: DataFrame, history: DataFrame, segments: DataFrame) ->
         reason.alias("reason"), F.lit("not_evaluated").alias("semantic_match"),
         F.col("p.sha").alias("primary_sha"), F.col("p.date").alias("primary_date"), redact(F.col("p.subject")).alias("primary_subject"),
         redacted(F.col("p.authored_decisions")).alias("chosen"), redacted(F.col("p.authored_rejected")).alias("rejected"),
-        evidence_type(has_rejected, has_decided, false(F.col("p.n_evidence") > 0), F.col("p.sha").isNotNull()).alias("evidence_type"),
+        evidence_type(has_rejected, has_decided, false(F.col("p._sources") > 0), F.col("p.sha").isNotNull()).alias("evidence_type"),
         F.greatest(F.col("n") - 1, F.lit(0)).alias("supporting"),
         F.when(generated, F.struct(
             F.lit("generated_interpretation").alias("label"), F.lit(False).alias("authoritative"), redact(F.trim("p.why")).alias("summary"),

@@ -15,7 +15,7 @@ from whylake.operators import reports as R
 from whylake.operators import sessions as S
 from whylake.operators.ranking import top_n
 from whylake.plans.history_queries import ALIGN_CTES
-from whylake.plans.notes_queries import SEGMENTS_SQL, line_walk, text_list
+from whylake.plans.notes_queries import SEGMENTS_SQL, TESTED_SQL, line_walk, snapshot, text_list
 from whylake.plans.registry import query
 
 # --- redaction -----------------------------------------------------------------------
@@ -353,11 +353,12 @@ def card_targets(t):
 
 @query("review_cards", f"""
 WITH RECURSIVE tg AS ({CARD_TARGETS_SQL}), {line_walk("SELECT * FROM tg WHERE line_known")}, seg AS (
-  SELECT c.sha, c.log_pos, c.subject, coalesce(n.why, '') AS why, c.dec, c.rej, coalesce(n.n_evidence, 0) AS n_evidence,
+  SELECT c.sha, c.log_pos, c.subject, coalesce(n.why, '') AS why, c.dec, c.rej,
+    coalesce(n.n_evidence, 0) + CASE WHEN q.sha IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN e.sha IS NOT NULL THEN 1 ELSE 0 END AS sources,
     list_filter(n.decisions, lambda x: x <> coalesce(c.dec, '')) AS gen_dec, list_filter(n.rejected, lambda x: x <> coalesce(c.rej, '')) AS gen_rej,
     coalesce(trim(n.why) <> '', false) OR c.dec IS NOT NULL OR c.rej IS NOT NULL OR coalesce(len(n.decisions), 0) > 0
       OR coalesce(len(n.rejected), 0) > 0 OR coalesce(n.n_evidence, 0) > 0 AS has_why
-  FROM v_commits c LEFT JOIN v_narr n ON n.sha = c.sha),
+  FROM v_commits c LEFT JOIN v_narr n ON n.sha = c.sha LEFT JOIN v_requests q ON q.sha = c.sha LEFT JOIN ({TESTED_SQL}) e ON e.sha = c.sha),
 hist AS (
   SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY log_pos DESC) AS r FROM (
     SELECT target_id, sha, log_pos FROM trail
@@ -372,20 +373,25 @@ SELECT t.target_id, t.project, t.file, t.start, t."end", 'review-' || substr(sha
   CASE WHEN r.rej IS NOT NULL THEN 'potential_conflict' WHEN r.has_why THEN 'decision_context' ELSE 'no_evidence' END AS kind,
   CASE WHEN r.sha IS NULL THEN 'none' WHEN t.line_known THEN 'line' ELSE 'file' END AS "precision",
   r.sha AS primary_sha, coalesce(r.dec, '') AS chosen, coalesce(r.rej, '') AS rejected,
-  CASE WHEN r.rej IS NOT NULL THEN 'authored_rejected_path' WHEN r.dec IS NOT NULL THEN 'authored_decision' WHEN r.n_evidence > 0
+  CASE WHEN r.rej IS NOT NULL THEN 'authored_rejected_path' WHEN r.dec IS NOT NULL THEN 'authored_decision' WHEN r.sources > 0
     THEN 'source_reference' WHEN r.sha IS NOT NULL THEN 'commit_history' ELSE 'none' END AS evidence_type,
   coalesce(r.n - 1, 0) AS supporting,
   coalesce(trim(r.why) <> '' OR len(r.gen_dec) > 0 OR len(r.gen_rej) > 0, false) AS has_interpretation,
-  CASE WHEN r.rej IS NOT NULL THEN 'unresolved' END AS judgment
-FROM tg t LEFT JOIN ranked r ON r.target_id = t.target_id AND r.p = 1""")
+  CASE WHEN r.rej IS NOT NULL THEN 'unresolved' END AS judgment,
+  CASE WHEN r.sha IS NULL THEN '[无逐字溯源] 溯源精度:无行历史' WHEN t.line_known THEN '[行级溯源] 溯源精度:行级精确' ELSE '[文件级溯源] 溯源精度:文件级降级(可能含本块外历史)' END || ' · ' ||
+  CASE WHEN g.sourced THEN '有据(人工决策/可核验来源)' WHEN g.explained THEN '仅生成解释(非证据)' WHEN r.sha IS NOT NULL THEN '仅提交记录(无叙事/决策记录)' ELSE '无历史记录' END AS label
+FROM tg t LEFT JOIN ranked r ON r.target_id = t.target_id AND r.p = 1
+LEFT JOIN (SELECT target_id, bool_or(rej IS NOT NULL OR dec IS NOT NULL OR sources > 0) AS sourced, bool_or(has_why) AS explained FROM ranked GROUP BY 1) g
+  ON g.target_id = t.target_id""")
 def review_cards(t):
     targets = card_targets(t)
     history = review.history_of(targets, t.hunks(), t.files())
-    cards = review.review_cards(targets, history, H.segments(t.commits(), t.narratives()))
+    refs = H.references(H.test_refs(t.files(), snapshot(t)), t.requests())
+    cards = review.review_cards(targets, history, H.segments(t.commits(), t.narratives(), refs))
     return cards.select(
         "target_id", "project", "file", "start", "end", "card_id", "kind", "precision", "primary_sha",
         F.array_join("chosen", " | ").alias("chosen"), F.array_join("rejected", " | ").alias("rejected"), "evidence_type", "supporting",
-        F.col("interpretation").isNotNull().alias("has_interpretation"), "judgment")
+        F.col("interpretation").isNotNull().alias("has_interpretation"), "judgment", "label")
 
 
 @query("chapter_items", """

@@ -315,20 +315,23 @@ def coverage_hitrate(t):
     return C.hit_rate(t.commits(), t.narratives()).drop("real_pct", "depth_pct", "coverage_pct", "narrated_pct")
 
 
+# Commits with a test beside them.
+TESTED_SQL = f"""SELECT DISTINCT f.sha FROM v_files f JOIN ({SNAPSHOT_SQL}) s ON s.project = f.project AND (s.path = f.file OR
+  (s.path = 'tests/test_' || split_part(f.file, '/', -1) AND split_part(f.file, '/', -1) NOT LIKE 'test%')) WHERE f.file LIKE '%.py'"""
+
+
 @query("coverage_sources", f"""
-SELECT c.project, count(*) AS total, count(n.sha) AS quotes, count(t.sha) AS tests, count(*) FILTER (WHERE c.dec IS NOT NULL OR
-  c.watch IS NOT NULL) AS notes, count(*) FILTER (WHERE n.sha IS NOT NULL OR t.sha IS NOT NULL OR c.dec IS NOT NULL OR
+SELECT project, total, quotes, tests, prs, notes, grounded, total - grounded AS at_risk, grounded * 100 // total AS pct FROM (
+SELECT c.project, count(*) AS total, count(n.sha) AS quotes, count(t.sha) AS tests, count(r.sha) AS prs, count(*) FILTER (WHERE c.dec IS NOT NULL OR
+  c.watch IS NOT NULL) AS notes, count(*) FILTER (WHERE n.sha IS NOT NULL OR t.sha IS NOT NULL OR r.sha IS NOT NULL OR c.dec IS NOT NULL OR
   c.watch IS NOT NULL) AS grounded
-FROM v_commits c LEFT JOIN (SELECT sha FROM v_narr WHERE n_evidence > 0) n ON n.sha = c.sha
-LEFT JOIN (SELECT DISTINCT f.sha FROM v_files f JOIN ({SNAPSHOT_SQL}) s ON s.project = f.project AND (s.path = f.file OR
-  (s.path = 'tests/test_' || split_part(f.file, '/', -1) AND split_part(f.file, '/', -1) NOT LIKE 'test%')) WHERE f.file LIKE '%.py') t
-  ON t.sha = c.sha GROUP BY 1""")
+FROM v_commits c LEFT JOIN v_requests r ON r.sha = c.sha LEFT JOIN (SELECT sha FROM v_narr WHERE n_evidence > 0) n ON n.sha = c.sha
+LEFT JOIN ({TESTED_SQL}) t
+  ON t.sha = c.sha GROUP BY 1)""")
 def coverage_sources(t):
     quoted = t.narratives().filter("n_evidence > 0")
     tested = H.test_refs(t.files(), snapshot(t))
-    none = t.commits().filter("false")
-    return C.source_totals(C.by_source(t.commits(), quoted, tested, none)).select(
-        "project", "total", "quotes", "tests", "notes", "grounded")
+    return C.source_totals(C.by_source(t.commits(), quoted, tested, t.requests()))
 
 
 @query("note_stats", """
@@ -417,7 +420,8 @@ def line_recall(t):
     return C.line_recall(line_targets(t), t.hunks(), explained)
 
 
-@query("sample_lines")
+@query("sample_lines", f"""
+SELECT project || '/' || file AS path, line FROM ({LINE_TARGETS_SQL}) ORDER BY md5(project || '/' || file || ':' || line || ':1729'), 1, 2 LIMIT 200""")
 def sample_lines(t):
     lines = line_targets(t).select(F.concat_ws("/", "project", "file").alias("path"), F.col("start").alias("line"))
     return C.sample_lines(lines, 200)

@@ -51,6 +51,8 @@ SELECT sha || ':0' AS capsule_id, project, sha, watch AS risk, CAST(date AS DATE
 FROM v_commits WHERE watch IS NOT NULL""",
     "v_reviewed": """
 SELECT project, sha, date + INTERVAL 10 DAY AS reviewed_at FROM v_commits WHERE price >= 250000""",
+    "v_requests": """
+SELECT project, sha, k AS number, 'Request ' || k AS title FROM v_commits WHERE price BETWEEN 100000 AND 180000 AND k % 3 = 0""",
     "v_actions": """
 SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 'cursor' WHEN 'error' THEN 'codex' ELSE 'claude' END AS source,
   '/fleet/u' || user_id AS project, user_id || ':' || strftime(ts, '%Y-%m-%d') AS session_id,

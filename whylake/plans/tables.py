@@ -152,6 +152,12 @@ class Tables:
         return self.commits().filter("price >= 250000").selectExpr(
             "project", "sha", "date + interval 10 days AS reviewed_at")
 
+    @role
+    def requests(self) -> DataFrame:
+        """Pull requests behind some commits."""
+        return self.commits().filter("price BETWEEN 100000 AND 180000 AND key % 3 = 0").selectExpr(
+            "project", "sha", "key AS number", "concat('Request ', key) AS title")
+
     # --- sessions -------------------------------------------------------------
     @role
     def actions(self) -> DataFrame:
