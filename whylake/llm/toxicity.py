@@ -25,12 +25,12 @@ from whylake.llm.common import fresh, labelled_sample, remainder, table
 from whylake.llm.words import Remembered, WordTable, ragged
 
 #: Bounds of the sample that is learned from: documents of each label, and characters of each.
-PER_LABEL, MOST_CHARS = 1500, 20_000
+PER_LABEL, MOST_CHARS = 1000, 12_000
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST, WINDOW = 1 << 17, 8, 3, 6, 3
 EPOCHS, RATE, SHARPEST, DECAY = 60, 0.5, 6.0, 1e-4
 THRESHOLD = 0.7
-#: Texts read at once, in bytes.
-STRETCH = 4 << 20
+#: Texts read at once, in bytes, and words that a task remembers in each of two generations.
+STRETCH, REMEMBERED = 4 << 20, 100_000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ class SubwordSoftmax:
         grams, sizes = subwords(words.words)
         word_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         rng = np.random.default_rng(0)
-        embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS))
+        embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
         out = rng.normal(0, 0.1, (DIMENSIONS, 2))
         bias, seen, seen_out = np.zeros(2), np.full(BUCKETS, 1e-8), np.full(out.shape, 1e-8)
         first, last = windows(words.doc)
@@ -95,7 +95,7 @@ class SubwordSoftmax:
             slope = np.bincount(grams, weights=by_word[word_of], minlength=BUCKETS)  # of the margin, for each n-gram
             out_slope = embed.T @ slope
             seen += slope**2 * (turn @ turn)
-            embed -= RATE * ((slope / np.sqrt(seen))[:, None] * turn + DECAY * embed)
+            embed -= (RATE * ((slope / np.sqrt(seen))[:, None] * turn + DECAY * embed)).astype(np.float32)
             step = np.stack([-out_slope, out_slope], axis=1)
             seen_out += step**2
             out -= 0.2 * RATE * step / np.sqrt(seen_out)
@@ -146,7 +146,7 @@ def scored(docs: DataFrame, model: SubwordSoftmax, text: str = "text", score: st
 
     @F.pandas_udf("double")
     def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        remembered = Remembered(model.of_words)
+        remembered = Remembered(model.of_words, REMEMBERED)
         for texts in parts:
             sizes = texts.map(lambda t: len(t) if t else 0)
             group = (sizes.cumsum() - sizes) // STRETCH
