@@ -32,6 +32,10 @@ END = 2
 BUCKETS, DIMENSIONS, BITS = 64, 4, 15
 #: Words that one Python worker remembers with their ids in each of two generations; the older one is dropped when full.
 REMEMBERED = 400_000
+#: Letters below this one (Latin with its first extension) are composed, and fold case one by one.
+LATIN_END = "\u0180"
+#: Byte-level vocabularies spell a byte that is no printable character as the next letter from 256 on.
+BYTE_LETTERS = dict(zip((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)), map(chr, range(256, 512)), strict=False))
 
 
 def vocabulary() -> str:
@@ -45,13 +49,14 @@ def word_ids(path: str, end: int):
     """A function from an array of texts to their ids.
 
     The vocabulary drops white space and never joins characters across it, so a text's ids are those of its words.
-    Words repeat far more than texts, so each is encoded once while it is remembered; new words are encoded many at a
-    time, kept apart by a bar, which is one id by itself.
+    Words repeat far more than texts, so each is encoded once while it is remembered.  New words of plain Latin letters
+    go to the library's merges directly, since normalising and splitting would leave them as they are; other new words
+    are encoded many at a time, kept apart by a bar, which is one id by itself.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    encode_all = tokenizer.encode_batch_fast
+    encode_all, merge = tokenizer.encode_batch_fast, tokenizer.model.tokenize
     (bar,) = tokenizer.encode("|", add_special_tokens=False).ids
     last = np.array([end], "<u4").tobytes()
     known: dict[str, bytes] = {}
@@ -60,7 +65,11 @@ def word_ids(path: str, end: int):
     def learn(words: list[str]) -> None:
         plain, odd = [], []
         for w in words:
-            (odd if "|" in w or "<" in w else plain).append(w)
+            if w.isalpha() and w.islower() and max(w) < LATIN_END:
+                spelt = w if w.isascii() else w.encode().decode("latin-1").translate(BYTE_LETTERS)
+                known[w] = np.array([t.id for t in merge(spelt)], "<u4").tobytes()
+            else:
+                (odd if "|" in w or "<" in w else plain).append(w)
         for lo in range(0, len(plain), 256):
             part = plain[lo : lo + 256]
             ids = np.array(encode_all([" | ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -87,7 +96,7 @@ def word_ids(path: str, end: int):
                 missing.append(w)
                 # letters end where a stop or comma begins, and the vocabulary folds case: look for the bare word
                 core = w[:-1] if w[-1:] in (".", ",") else w
-                cores[w] = (core.lower() if core.isascii() else core) if core.isalpha() else w
+                cores[w] = core.lower() if core.isalpha() and max(core) < LATIN_END and "İ" not in core else w
         learn(list({c for c in (*cores.values(), ".", ",") if c not in known}))
         for w in missing:
             core = cores[w]
