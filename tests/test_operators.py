@@ -703,3 +703,13 @@ def test_line_history_of_a_hot_file(spark):
     assert got == {"t%d" % i: trail[i] for i in range(size)}
     same = line_hits(spark, [(1, 0, 1)] + [(1, 1, 1)] * 80, [(1, 1)], 16)
     assert same == {"t0": set(range(31, 81))}
+
+
+def test_plan_counts_what_would_be_taken_out(spark):
+    secret = "token=abc123def456ghi and again token=abc123def456ghj"
+    rows = [("p", "a", "me", "first", secret), ("p", "b", "me", "sk-abcdefghijklmnop1234", "x"), ("p", "c", "me", "told", secret)]
+    commits = frame(spark, rows, "project string, sha string, author string, subject string, body string")
+    plan = reports.enrichment_plan(commits, frame(spark, [("p", "c")], "project string, sha string")).first()
+    assert (plan.total_commits, plan.uncached_commits) == (3, 2)
+    assert {k: v for k, v in plan.redaction_counts.items() if v} == {"named_secret": 2, "openai_key": 1}
+    assert {c.name: c.cap for c in plan.categories}["commit_author"] == 200

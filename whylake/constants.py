@@ -70,6 +70,10 @@ TRIVIAL_NAMES = (
     "Cargo.lock", "go.sum", "composer.lock", "*.lock", "*.min.js", "*.min.css",
 )
 AUTHOR_CAP, SUBJECT_CAP, BODY_CAP, STAT_CAP = 200, 500, 500, 2000
+INPUT_CATEGORIES = (
+    ("project_context", 4000), ("commit_author", 200), ("commit_subject", 500), ("commit_body", 500), ("diff_stat", 2000),
+    ("diff_excerpt", 8000), ("prior_narrative", 200),
+)
 OVERVIEW_BUDGET = 6000
 CONTEXT_BUDGET = 6000
 DIFF_BUDGET = 8000

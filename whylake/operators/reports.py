@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from whylake import constants as K
 from whylake.functions import notes
-from whylake.functions.redact import redact
+from whylake.functions.redact import SECRET_NAMES, redact, with_redaction_counts
 from whylake.functions.text import first_sentence, neutral_markdown, note_folder
 from whylake.operators import capsules as CAP
 from whylake.operators import coverage as COV
@@ -227,10 +227,19 @@ def payload(commits: DataFrame, prior: DataFrame, matches: DataFrame, stats: Dat
 
 
 def enrichment_plan(commits: DataFrame, narratives: DataFrame) -> DataFrame:
-    """What a run would do per project, before anything is sent: totals, what is missing, the fixed caps."""
-    joined = commits.select(*COMMIT).join(narratives.select(*COMMIT, F.lit(1).alias("_n")), COMMIT, "left")
-    return joined.groupBy("project").agg(F.count(F.lit(1)).alias("total_commits"), F.count("_n").alias("_have")).select(
+    """What a run would do per project, before anything is sent: totals, what is missing, which kinds of text would be
+    used with their caps, and how many secrets of each kind would be taken out of the missing commits' texts."""
+    have = narratives.select(*COMMIT, F.lit(1).alias("_n"))
+    joined = commits.select(*COMMIT, F.concat_ws("\n", "author", "subject", "body").alias("_text")).join(have, COMMIT, "left")
+    # texts of commits that have a narrative are not sent
+    counted = with_redaction_counts(joined.withColumn("_text", F.when(F.col("_n").isNull(), F.col("_text"))), "_text", "_c_")
+    totals = counted.groupBy("project").agg(
+        F.count(F.lit(1)).alias("total_commits"), F.count("_n").alias("_have"),
+        *(F.coalesce(F.sum(f"_c_{name}"), F.lit(0)).alias(f"_c_{name}") for name in SECRET_NAMES))
+    kinds = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(c).cast("bigint").alias("cap")) for n, c in K.INPUT_CATEGORIES))
+    return totals.select(
         "project", "total_commits", (F.col("total_commits") - F.col("_have")).alias("uncached_commits"),
+        F.create_map(*(x for name in SECRET_NAMES for x in (F.lit(name), F.col(f"_c_{name}")))).alias("redaction_counts"), kinds.alias("categories"),
         F.lit(K.AUTHOR_CAP).cast("bigint").alias("author_cap"), F.lit(K.SUBJECT_CAP).cast("bigint").alias("subject_cap"),
         F.lit(K.BODY_CAP).cast("bigint").alias("body_cap"), F.lit(K.STAT_CAP).cast("bigint").alias("stat_cap"),
         F.lit("preserved").alias("existing_narratives"))

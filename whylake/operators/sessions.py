@@ -102,17 +102,24 @@ def inventory(sessions: DataFrame) -> DataFrame:
         F.count_if(~F.col("is_subagent")).alias("main"), F.count_if("is_subagent").alias("side_chains"))
 
 
-def prompt_timeline(sessions: DataFrame, session_files: DataFrame, commits_of: DataFrame, shown_files: int = 8,
-                    shown_commits: int = 5) -> DataFrame:
-    """Sessions as a reading list: day, span, the first files in order, the first softly aligned commits.
-    ``commits_of`` comes from ``align.session_commits``.  Order by started (NULLs last)."""
+def prompt_timeline(sessions: DataFrame, session_files: DataFrame, commits_of: DataFrame, texts: DataFrame, shown_files: int = 8,
+                    shown_commits: int = 5, shown_excerpts: int = 3, excerpt_chars: int = 200) -> DataFrame:
+    """Sessions as a reading list: day, span, prompts, the first excerpts in short, the first files in order, the first
+    softly aligned commits.  ``commits_of`` comes from ``align.session_commits``; ``texts`` is (project, source,
+    session_id, prompts, excerpts).  Order by started (NULLs last)."""
+    none = F.array().cast("array<string>")
+    said = texts.select(
+        *SESSION, F.transform(F.coalesce("prompts", none), redact).alias("prompts"),
+        F.transform(F.slice(F.coalesce("excerpts", none), 1, shown_excerpts), lambda x: F.substring(redact(x), 1, excerpt_chars)).alias("excerpts"))
     written = session_files.filter("mode = 'write'").select(*SESSION, "file").distinct()
     counts = written.groupBy(*SESSION).agg(F.count(F.lit(1)).alias("n_files"))
     files = as_list(top_n(written, SESSION, [F.col("file")], shown_files).withColumnRenamed("file", "text"), SESSION, "files")
     refs = commits_of.withColumn("text", F.concat(F.lit("["), "sha7", F.lit("] "), redact(F.col("subject"))))
     refs = as_list(top_n(refs, SESSION, [F.col("log_pos"), F.col("sha7")], shown_commits), SESSION, "commits")
     hhmm = lambda c: F.coalesce(F.date_format(c, "HH:mm"), F.lit("--:--"))
-    return sessions.join(counts, SESSION, "left").join(files, SESSION, "left").join(refs, SESSION, "left").select(
+    whole = sessions.join(counts, SESSION, "left").join(files, SESSION, "left").join(refs, SESSION, "left").join(said, SESSION, "left")
+    return whole.select(
         *SESSION, "started", F.coalesce(F.date_format("started", "yyyy-MM-dd"), F.lit("未知时间")).alias("day"),
         F.concat(hhmm("started"), F.lit("–"), hhmm("ended")).alias("span"),
-        F.coalesce("n_files", F.lit(0)).alias("n_files"), "files", "commits")
+        F.coalesce("n_files", F.lit(0)).alias("n_files"), "files", "commits", F.coalesce("prompts", none).alias("prompts"),
+        F.coalesce("excerpts", none).alias("excerpts"))

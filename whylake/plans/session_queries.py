@@ -98,13 +98,14 @@ wrote AS (SELECT project, source, session_id, list(file ORDER BY file) AS files
 SELECT s.project, s.source, s.session_id, strftime(started, '%Y-%m-%d') AS day,
   strftime(started, '%H:%M') || '–' || strftime(ended, '%H:%M') AS span, coalesce(len(files), 0) AS n_files,
   coalesce(array_to_string(list_slice(files, 1, 8), ','), '') AS files,
-  coalesce(array_to_string(list_slice(commits, 1, 5), ','), '') AS commits
-FROM v_sess s LEFT JOIN wrote USING (project, source, session_id) LEFT JOIN refs USING (project, source, session_id)""")
+  coalesce(array_to_string(list_slice(commits, 1, 5), ','), '') AS commits,
+  coalesce(array_to_string(x.prompts, ','), '') AS prompts, coalesce(array_to_string(list_slice(x.excerpts, 1, 3), ','), '') AS excerpts
+FROM v_sess s LEFT JOIN v_sess_texts x USING (project, source, session_id) LEFT JOIN wrote USING (project, source, session_id) LEFT JOIN refs USING (project, source, session_id)""")
 def prompt_timeline(t):
     refs = A.session_commits(matches(t), t.event_commits())
-    rows = S.prompt_timeline(t.sessions(), t.session_files(), refs)
+    rows = S.prompt_timeline(t.sessions(), t.session_files(), refs, t.session_texts())
     text = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
-    return rows.select("project", "source", "session_id", "day", "span", "n_files", text("files"), text("commits"))
+    return rows.select("project", "source", "session_id", "day", "span", "n_files", text("files"), text("commits"), text("prompts"), text("excerpts"))
 
 
 # --- usage ------------------------------------------------------------------------
@@ -439,8 +440,12 @@ def brief(t):
 
 
 @query("enrich_plan", """
-SELECT c.project, count(*) AS total_commits, count(*) - count(n.sha) AS uncached_commits, CAST(200 AS BIGINT) AS author_cap,
+SELECT c.project, count(*) AS total_commits, count(*) - count(n.sha) AS uncached_commits, CAST(0 AS BIGINT) AS redactions,
+  'project_context 4000,commit_author 200,commit_subject 500,commit_body 500,diff_stat 2000,diff_excerpt 8000,prior_narrative 200' AS categories, CAST(200 AS BIGINT) AS author_cap,
   CAST(500 AS BIGINT) AS subject_cap, CAST(500 AS BIGINT) AS body_cap, CAST(2000 AS BIGINT) AS stat_cap, 'preserved' AS existing_narratives
 FROM v_commits c LEFT JOIN v_narr n ON n.sha = c.sha GROUP BY 1""")
 def enrich_plan(t):
-    return R.enrichment_plan(t.commits(), t.narratives())
+    plan = R.enrichment_plan(t.commits(), t.narratives())
+    counts = F.aggregate(F.map_values("redaction_counts"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    names = F.array_join(F.transform("categories", lambda c: F.concat_ws(" ", c["name"], c["cap"])), ",")
+    return plan.withColumns({"redactions": counts, "categories": names}).drop("redaction_counts")
