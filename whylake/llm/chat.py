@@ -28,10 +28,12 @@ LAST = (1 << 63) - 1
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, perspective, turn, chat_role, name, rendered, start, stop, mask_start, mask_stop), ends exclusive."""
+    # a null id as a pair of plain keys, so that window and joins can share one partitioning
+    key = [F.coalesce(F.col(conv), F.lit(0).cast(turns.schema[conv].dataType)).alias("k"), F.col(conv).isNull().alias("k_null")]
     own = turns.select(
-        F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("body"))
-    views = own.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("v_conv"), F.col("speaker").alias("perspective")).distinct()
-    seen = own.join(views, F.col("conv_id").eqNullSafe(F.col("v_conv"))).drop("v_conv")
+        *key, F.col(conv).alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit(UNKNOWN)).alias("speaker"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    views = own.where(F.col("speaker") != SYSTEM).select("k", "k_null", F.col("speaker").alias("perspective")).distinct()
+    seen = own.join(views, ["k", "k_null"])
     chat_role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
     seen = seen.withColumn("chat_role", chat_role).withColumn("name", F.when(F.col("chat_role") == "user", F.col("speaker")))
     head = F.concat(F.lit(OPEN), F.col("chat_role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
@@ -39,13 +41,12 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     place = F.coalesce("turn", F.lit(LAST))
     seen = seen.withColumn("place", place).withColumn("stretch", F.shiftright(place, STRETCH_BITS)).withColumn("chars", F.length("rendered").cast("long"))
 
-    key = ["conv_id", "perspective", "stretch"]
-    inside = Window.partitionBy(*key).orderBy("place", "speaker", "body").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = seen.groupBy(*key).agg(F.sum("chars").alias("total"))
-    before = Window.partitionBy("conv_id", "perspective").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*(F.col(c).alias(f"b_{c}") for c in key), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    summed = seen.withColumn("stop", F.sum("chars").over(inside))
-    whole = summed.join(bases, F.col("conv_id").eqNullSafe(F.col("b_conv_id")) & (F.col("perspective") == F.col("b_perspective")) & (F.col("stretch") == F.col("b_stretch")))
+    group = ["k", "k_null", "perspective", "stretch"]
+    inside = Window.partitionBy(*group).orderBy("place", "speaker", "body").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = seen.groupBy(*group).agg(F.sum("chars").alias("total"))
+    before = Window.partitionBy("k", "k_null", "perspective").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*group, F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    whole = seen.withColumn("stop", F.sum("chars").over(inside)).join(bases, group)
     stop = F.col("base") + F.col("stop")
     start = stop - F.col("chars")
     trained = F.col("chat_role") == "assistant"
