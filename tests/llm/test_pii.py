@@ -73,6 +73,17 @@ def test_patterns_discover_values_without_a_form(contextual):
     assert len(got["secret"]) == 50 and len(got["email"]) == 60
 
 
+def test_support_does_not_grow_with_the_corpus(spark):
+    """A context with four seeds finds its fifth value beside 5,000 seeds of another context too."""
+    rare = [(i, f'some words badge token {"K17-xy" if i == 4 else f"{i + 1:x}a" * 20} and more') for i in range(5)]
+    hot = [(100 + i, " ".join(f"write to u{i}x{j}@mail.example.org or" for j in range(100))) for i in range(50)]
+    spans = []
+    for rows in (rare, rare + hot):
+        found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id < 100").collect()
+        spans.append(sorted((r.doc_id, s.kind, s.start, s.stop) for r in found for s in r.spans))
+    assert spans[0] == spans[1] and (4, "id", 23, 29) in spans[1]
+
+
 def test_masked(contextual, odd_docs):
     for r in pii.masked(contextual).collect():
         assert "[EMAIL]" in r.text and ("[ID]" in r.text if r.doc_id % 6 == 0 else "[SECRET]" in r.text) and "@" not in r.text

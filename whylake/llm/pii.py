@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 
 from whylake.llm.common import bitmap_of, fresh, group_of, in_bitmap, materialise, table
 
-#: Different seeds that a pattern must precede, at least so many and at least this share of all seeds (so that there are no
-#: more than a thousand patterns for each place a seed has, however large the corpus), and the least share of seeds among
-#: all words after it.
-SUPPORT, SUPPORT_SHARE, LEAST_SHARE = 3, 0.001, 0.05
+#: Different seeds that a pattern must precede, in a corpus of any size, and the least share of seeds among all words after
+#: it.  The share bounds the work: no more words are fetched than 1 / ``LEAST_SHARE`` for each seed.
+SUPPORT, LEAST_SHARE = 3, 0.05
 ROUNDS, SURE = 3, 0.5
 #: Characters before a seed in which its pattern is looked for.
 REACH = 80
@@ -138,10 +137,9 @@ def contexts(rows: DataFrame, bitmap: Column, with_words: bool) -> DataFrame:
 def discovered(rows: DataFrame, seeds: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
     """(doc_id, text_hash, start, stop) of identifiers that sure patterns lead to."""
     found = materialise(seeds.select(F.inline("spans")).where("pattern is not null").select("pattern", "instance").distinct())
-    support = max(support, SUPPORT_SHARE * found.select("instance").distinct().count())
     supported = materialise(found.groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support))
     groups = supported.select(group_of(F.col("pattern")).alias("g"))
-    # words after each pattern: those that ordinary text follows too often are no patterns of identifiers
+    # words after each pattern, counted and not fetched: those that ordinary text follows too often are no patterns of identifiers
     totals = contexts(rows, bitmap_of(groups).scalar(), False).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
     occurring = seeds.select(F.inline("spans")).groupBy("pattern").agg(F.count(F.lit(1)).alias("as_seed"))
     good = supported.join(totals, "pattern").join(occurring, "pattern").where(F.col("as_seed") >= LEAST_SHARE * F.col("n")).select("pattern")
