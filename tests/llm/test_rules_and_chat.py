@@ -99,6 +99,29 @@ def test_licences(spark, odd_docs, no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_wrapped_licences(spark):
+    """Headers as they stand in files: wrapped, in comments, and with the real Apache header."""
+    import textwrap
+
+    s = licenses.SENTENCES | licenses.MORE_SENTENCES
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+    wrapped = {n: textwrap.fill(t, 72) for n, t in s.items()}
+    texts = [
+        f"{wrapped[8]}:\n\n{wrapped[9]}.", textwrap.indent(f"{wrapped[13]}.\n\n{wrapped[14]}. If not, see", " * "),
+        textwrap.indent(f"{wrapped[10]}:\n1. {wrapped[11]}.\n(2) {wrapped[12]}.\n{wrapped[22]}.", "# "), apache, textwrap.indent(apache, "// "),
+        f"dnl {s[13][:60]}\ndnl {s[13][60:]}; {s[14]}", s[8][:70], "Released\nunder\nthe MIT License.",
+    ]
+    found = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.rule) for r in found) == [
+        (0, "mit-text"), (1, "gpl-header"), (2, "bsd-3-text"), (2, "bsd-text"), (3, "apache-header"), (4, "apache-header"), (5, "gpl-header"), (7, "mit-notice")]
+    assert {(r.first_sentence, r.last_sentence) for r in found if r.doc_id in (3, 4)} == {(0, 2)}
+
+
 def test_perspectives(spark):
     turns = [
         (1, 0, "system", "be brief"), (1, 1, "ann", "hi"), (1, 2, "bob", "hello é"), (1, 3, "cyd", None), (1, 4, "ann", ""), (2, 0, "system", "alone"),
