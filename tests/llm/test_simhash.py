@@ -92,6 +92,18 @@ def test_keep_one(spark, odd_docs, no_docs):
     assert simhash.keep_one(no_docs).count() == 0 and simhash.near_components(no_docs).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(spark, words):
+    """Rows that share an id, or have none, go with their own component and not with that of another row."""
+    draw = random.Random(8)
+    a, b, c = (" ".join(draw.choices(words, k=400)) for _ in range(3))
+    near = [a + " end", c + " end"]
+    assert 0 < (brute(a) ^ brute(near[0])).bit_count() <= 4 and 0 < (brute(c) ^ brute(near[1])).bit_count() <= 4
+    rows = [(1, a), (5, near[0]), (5, b), (None, near[0]), (None, c), (None, near[1]), (7, "one more"), (7, "one more")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    first = min((c, near[1]), key=lambda t: brute(t) - (brute(t) >> 63 << 64))
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("5", b), ("None", first), ("7", "one more")])
+
+
 def test_query(spark, sf_tiny):
     df = run_everywhere(simhash.op7_simhash, spark, sf_tiny)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_tiny}/documents.parquet").select("doc_id", "text").collect()}

@@ -202,31 +202,39 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id of all documents that can be reached over links, for every row."""
+def rooted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, root, component_id): ``near_components`` with the smallest fingerprint that names each component."""
     rows = materialise(fingerprints(docs, text, doc_id))
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(reps, radius))
     named = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id of all documents that can be reached over links, for every row."""
+    return rooted(docs, text, doc_id, radius).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest id stays.
+    """The documents without near-duplicates: of each component one row with the smallest id stays.
 
-    Rows that share that id and their fingerprint count as one; a component without any id keeps one row per fingerprint.
+    Where several rows have that id, or a component has no id at all, it is one with the smallest fingerprint among them.
     """
-    found = near_components(docs, text, doc_id).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = materialise(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")))
+    found = materialise(rooted(docs, text, doc_id))
+    times = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "id")
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("__kept"), F.min("fp").alias("__kept_fp"))
+    kept = materialise(chosen.join(times, F.col("__kept").eqNullSafe(F.col("id"))).select("__kept", "__kept_fp", "n"))
     own = docs.alias("d")
-    single = own.join(kept.where("n = 1").select(F.col("doc_id").alias("__kept")).alias("k"), F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__kept")), "left_semi")
-    several = own.join(kept.where("n > 1").select(F.col("doc_id").alias("__kept")).alias("k"), F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__kept")), "left_semi")
-    return single.unionByName(first_rows(several, text, doc_id))
+    by_id = F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__kept"))
+    single = own.join(kept.where("n = 1").alias("k"), by_id, "left_semi")
+    several = own.join(kept.where("n > 1").alias("k"), by_id, "left_semi")
+    return single.unionByName(first_rows(several, kept, text, doc_id))
 
 
-def first_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """One row for each id and fingerprint."""
+def first_rows(docs: DataFrame, kept: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """One row for each id and fingerprint in ``kept``: an id alone does not tell rows apart."""
     name = "__fp"
     while name in docs.columns:
         name += "_"
@@ -235,7 +243,9 @@ def first_rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([np.array(simhash(t), np.uint64).view(np.int64)[()] for t in texts], dtype="int64")
 
-    return docs.withColumn(name, of(F.col(text))).dropDuplicates([doc_id, name]).drop(name)
+    own = docs.withColumn(name, of(F.col(text))).alias("d")
+    same = F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__kept")) & (F.col(f"d.{name}") == F.col("k.__kept_fp"))
+    return own.join(kept.alias("k"), same, "left_semi").dropDuplicates([doc_id, name]).drop(name)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
