@@ -31,7 +31,8 @@ def materialise(df: DataFrame) -> DataFrame:
 
 def remainder(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % modulus
+    written = (F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string")
+    return F.crc32(F.coalesce(written, F.lit("")).cast("binary")) % modulus
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, most_chars: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
