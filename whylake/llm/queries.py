@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from whylake.llm import bpe, chat, fertility, imatch, langid, licenses, merkle, packing, pii, simhash, toxicity
+from whylake.llm import bags, bpe, chat, fertility, imatch, langid, licenses, merkle, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_string_kernel": langid.op9_string_kernel,
     "op10_fertility": fertility.op10_fertility,
+    "op11_bag_search": bags.op11_bag_search,
     "op13_merkle": merkle.op13_merkle,
 }
 
 ORACLES = {
     "op2_license_rules": licenses.sql(),
     "op3_perspectives": chat.SQL,
+    "op11_bag_search": bags.SQL,
 }
