@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from whylake.llm import bags, bpe, chat, fertility, imatch, langid, licenses, merkle, packing, pii, simhash, toxicity
+from whylake.llm import bags, bpe, chat, cover, fertility, imatch, langid, licenses, merkle, packing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_curve_packing": packing.op1_curve_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_string_kernel": langid.op9_string_kernel,
     "op10_fertility": fertility.op10_fertility,
     "op11_bag_search": bags.op11_bag_search,
+    "op12_cover_dedup": cover.op12_cover_dedup,
     "op13_merkle": merkle.op13_merkle,
 }
 
@@ -23,4 +24,5 @@ ORACLES = {
     "op2_license_rules": licenses.sql(),
     "op3_perspectives": chat.SQL,
     "op11_bag_search": bags.SQL,
+    "op12_cover_dedup": cover.SQL,
 }
