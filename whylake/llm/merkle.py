@@ -166,3 +166,62 @@ def checked(docs: DataFrame) -> DataFrame:
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checked(table(spark, sf_dir, "documents"))
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _walk_sql(name: str, tree: str, start: str) -> str:
+    """Fold hashes from ``start`` (no, grp, idx, h) up a tree whose levels end where one node is left."""
+    return f"""
+{name} AS (
+  SELECT 0 AS level, no, grp, idx, h, '' AS proof FROM {start}
+  UNION ALL
+  SELECT w.level + 1, w.no, w.grp, w.idx // 3, sha256(string_agg(CASE WHEN t.idx = w.idx THEN w.h ELSE t.h END, '' ORDER BY t.idx)),
+         any_value(w.proof) || coalesce(string_agg(CASE WHEN t.idx = w.idx THEN NULL ELSE t.h END, '' ORDER BY t.idx), '')
+  FROM {name} w JOIN {tree} t ON t.level = w.level AND t.grp = w.grp AND t.idx // 3 = w.idx // 3 WHERE t.n > 1
+  GROUP BY w.level, w.no, w.grp, w.idx)"""
+
+
+def _tree_sql(name: str, start: str) -> str:
+    return f"""
+{name} AS (
+  SELECT 0 AS level, grp, idx, h, n FROM {start}
+  UNION ALL
+  SELECT any_value(level) + 1, grp, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY grp, idx // 3)"""
+
+
+#: The tree level by level, and every leaf walked up it.  crc32 is worked out bit by bit over the digits of the id.
+SQL = f"""
+WITH RECURSIVE bytes AS (
+  SELECT row_number() OVER () AS no, *, coalesce(CAST(doc_id AS VARCHAR), '') AS written FROM documents),
+crc AS (
+  SELECT no, 0 AS bit, CAST(4294967295 AS BIGINT) AS c FROM bytes
+  UNION ALL
+  SELECT r.no, r.bit + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+  FROM (SELECT crc.no, bit, CASE WHEN bit % 8 = 0 THEN xor(c, CAST(ascii(substr(written, bit // 8 + 1, 1)) AS BIGINT)) ELSE c END AS x
+        FROM crc JOIN bytes ON bytes.no = crc.no WHERE bit < 8 * length(written)) r),
+even AS (SELECT crc.no FROM crc JOIN bytes ON bytes.no = crc.no WHERE bit = 8 * length(written) AND c & 1 = 1),
+heads AS (
+  SELECT no, doc_id, coalesce('1' || source, '0') AS grp, text, written, {" || ".join(_field_sql(f"CAST({f} AS VARCHAR)") for f in FIELDS if f != "text")} AS head FROM bytes),
+leaves AS (
+  SELECT no, doc_id, grp, sha256(head || {_field_sql("text")}) AS h,
+         sha256(head || CASE WHEN no IN (SELECT no FROM even) THEN {_field_sql("replace(text, chr(10), '')")} ELSE {_field_sql("text")} END) AS used FROM heads),
+placed AS (
+  SELECT no, doc_id, grp, h, used, row_number() OVER (PARTITION BY grp ORDER BY doc_id ASC NULLS FIRST, h, no) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+{_tree_sql("lower_tree", "placed")},
+subroots AS (SELECT grp AS name, '' AS grp, h, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM lower_tree WHERE n = 1),
+{_tree_sql("upper_tree", "subroots")},
+root AS (SELECT h FROM upper_tree WHERE n = 1),
+changed AS (SELECT no, grp, idx, used AS h FROM placed),
+{_walk_sql("walk", "lower_tree", "changed")},
+arrived AS (SELECT no, max(level) AS level FROM walk GROUP BY no),
+half AS (SELECT w.no, w.grp AS name, w.h, w.proof FROM walk w JOIN arrived a ON a.no = w.no AND a.level = w.level),
+upper_start AS (SELECT half.no, '' AS grp, s.idx, half.h FROM half JOIN subroots s ON s.name = half.name),
+{_walk_sql("upper_walk", "upper_tree", "upper_start")},
+ended AS (SELECT no, max(level) AS level FROM upper_walk GROUP BY no)
+SELECT p.doc_id, p.h AS leaf, s.h AS subroot, root.h AS root, sha256(half.proof || u.proof) AS proof_sha256, u.h AS folded_root, u.h = root.h AS verified
+FROM placed p JOIN half ON half.no = p.no JOIN subroots s ON s.name = p.grp JOIN ended e ON e.no = p.no
+JOIN upper_walk u ON u.no = e.no AND u.level = e.level, root
+"""

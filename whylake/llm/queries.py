@@ -25,4 +25,5 @@ ORACLES = {
     "op3_perspectives": chat.SQL,
     "op11_bag_search": bags.SQL,
     "op12_cover_dedup": cover.SQL,
+    "op13_merkle": merkle.SQL,
 }
