@@ -8,7 +8,7 @@ from odd import run_everywhere
 from pyspark.sql import functions as F
 
 from whylake.llm import langid, toxicity
-from whylake.llm.common import remainder
+from whylake.llm.common import labelled_sample, remainder
 from whylake.llm.words import Remembered
 
 
@@ -125,3 +125,27 @@ def test_odd_toxicity(spark, odd_docs, no_docs):
 def test_toxicity_query(spark, sf_tiny):
     df = run_everywhere(toxicity.op5_subword_softmax, spark, sf_tiny)
     assert df.where("(score >= 0.7) <> (predicted = 1) or score not between 0 and 1").count() == 0
+
+
+@pytest.mark.parametrize("query", [langid.op9_string_kernel, toxicity.op5_subword_softmax])
+def test_queries_take_null_repeated_and_text_ids(spark, odd_docs, tmp_path, query):
+    both = odd_docs.union(odd_docs.where("doc_id < 4"))
+    for name, kind in (("a", "long"), ("b", "string")):
+        folder = tmp_path / name
+        both.withColumn("doc_id", F.col("doc_id").cast(kind)).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(None, 1), (3, 0), (8, 0), (10, 1), (10, 1)], "doc_id long, toxic int").withColumn("doc_id", F.col("doc_id").cast(kind)).write.parquet(f"{folder}/labels.parquet")
+        out = query(spark, str(folder))
+        assert out.count() == both.count() and out.where("held_out is null").count() == 0
+
+
+def test_a_label_is_filled_up_to_its_bound(spark):
+    """Long texts, missing documents and repeated ids do not use up places of the sample."""
+    rows = [(i, "x" * (900 if i % 2 else 10)) for i in range(200)] + [(i, f"second text of {i}") for i in range(0, 200, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, "a" if i < 160 else "b") for i in range(200)] + [(1000 + i, "a") for i in range(500)], "doc_id long, label string")
+    got = labelled_sample(docs, labels, 30, 100).collect()
+    assert sorted((label, sum(r.label == label for r in got)) for label in {r.label for r in got}) == [("a", 30), ("b", 20)]
+    assert all(len(r.text) <= 100 for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, labelled_sample(docs.repartition(7), labels.repartition(3), 30, 100).collect()))
+    long_only = labels.where("label = 'b' and doc_id % 2 = 1").union(spark.createDataFrame([(0, "a")], labels.schema))
+    assert {r.label for r in labelled_sample(docs, long_only, 30, 1000).collect()} == {"a", "b"}

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from odd import run_everywhere
@@ -107,3 +108,97 @@ def test_query(spark, sf_tiny):
         assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
         assert ",".join(s for s in r.spans.split(",") if s.split(":")[0] in pii.BASE) == line
     assert df.where(F.col("n_email") > 0).count() > 0
+
+
+def test_running_sums(spark):
+    rows = [(list(range(n)),) for n in (0, 1, 2, 7, 8, 9, 63, 64, 65, 200)]
+    df = spark.createDataFrame(rows, "v array<int>")
+    for stretch in (1, 8, 64):
+        for r in df.select("v", pii.running(F.col("v"), stretch).alias("sums")).collect():
+            assert r.sums == [sum(r.v[: i + 1]) for i in range(len(r.v))]
+
+
+def test_counts_of_runs(spark):
+    df = spark.createDataFrame([([],), ([5],), ([1, 1, 2, 3, 3, 3],)], "v array<long>")
+    got = df.select(pii.counted(F.col("v")).alias("c")).collect()
+    assert got[0].c is None and [tuple(x) for x in got[1].c] == [(5, 1)] and [tuple(x) for x in got[2].c] == [(1, 2), (2, 1), (3, 3)]
+
+
+def test_many_addresses_in_one_text(spark):
+    text = "host 10.0.0.1 up " * 20_000
+    docs = spark.createDataFrame([(1, text), (2, "x 10.0.0.1")], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert time.time() - began < 60
+    assert [(s.start, s.stop) for s in found[1]] == [(17 * i + 5, 17 * i + 13) for i in range(20_000)]
+
+
+def patterns(text):
+    """The words of a text and where each starts."""
+    words = re.split(r"[\x20\x09-\x0d]", text)
+    starts = [0]
+    for w in words:
+        starts.append(starts[-1] + len(w) + 1)
+    return words, starts
+
+
+def discovered(rows):
+    """Identifiers by plain loops over all patterns and words: what the operator's rounds must find."""
+    bare = lambda w: re.sub(r"[^A-Za-z0-9]+$", "", re.sub(r"^[^A-Za-z0-9+]+", "", w))
+    seeds, occurring, words_after = set(), {}, []
+    for d, text in rows:
+        words, starts = patterns(text)
+        spans = base(text) + [("secret", *m.span()) for m in re.finditer(r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}", text) if re.search("[0-9]", m[0]) and re.search("[a-fA-F]", m[0])]
+        for _, a, b in spans:
+            w = max(i for i in range(len(words)) if starts[i] <= a)
+            if w >= 2:
+                p = (words[w - 2].lower(), words[w - 1].lower())
+                seeds.add((p, text[a:b].lower()))
+                occurring[p] = occurring.get(p, 0) + 1
+        for i in range(2, len(words)):
+            words_after.append(((words[i - 2].lower(), words[i - 1].lower()), d, words[i], starts[i], spans))
+    support = {}
+    for p, _ in seeds:
+        support[p] = support.get(p, 0) + 1
+    total = {}
+    for p, *_ in words_after:
+        total[p] = total.get(p, 0) + 1
+    good = {p for p, n in support.items() if n >= pii.SUPPORT and occurring[p] >= pii.LEAST_SHARE * total[p]}
+    known = {v for _, v in seeds}
+    edges = {(p, bare(w).lower()) for p, _, w, _, _ in words_after if p in good}
+    score = {e: 1.0 if e[1] in known else 0.0 for e in edges}
+    for _ in range(pii.ROUNDS):
+        sure = {p: (lambda own: sum(own) / len(own))([s for (q, _), s in score.items() if q == p]) for p in {p for p, _ in edges}}
+        miss = {}
+        for p, v in edges:
+            miss[v] = miss.get(v, 1.0) * max(1 - sure[p], 1e-9)
+        score = {(p, v): max(1.0 if v in known else 0.0, 1 - miss[v]) for p, v in edges}
+    strong = {p for p in {p for p, _ in edges} if (lambda own: sum(own) / len(own))([s for (q, _), s in score.items() if q == p]) >= pii.SURE}
+    out = set()
+    for p, d, w, at, spans in words_after:
+        value = bare(w)
+        if p in strong and len(value) >= 4 and re.search("[0-9@]", value):
+            a = at + w.index(value)
+            if not any(s < a + len(value) and a < e for _, s, e in spans):
+                out.add((d, a, a + len(value)))
+    return out
+
+
+def test_discovered_spans_by_brute_force(spark):
+    """Random templates, sure and unsure ones, and long words before a value."""
+    draw, rows = random.Random(12), []
+    heads = ["user token", "my key", "see page", "contact me", "Write To", f"{'q' * 90} after", f"{'r' * 90} after"]
+    for i in range(250):
+        out = []
+        for _ in range(draw.randint(1, 5)):
+            head = draw.choice(heads)
+            value = draw.choice([f"u{draw.randrange(99)}@mail.example.org", f"{draw.getrandbits(200):050x}", f"K{draw.randrange(30):02d}-xy,", "nothing", "plain"])
+            out.append(f"{head} {value if head != 'see page' or draw.random() < 0.1 else draw.choice(['12', 'x', '1234'])}")
+        rows.append((i, draw.choice([" ", "\n", "  "]).join(out)))
+    got = {(r.doc_id, s.start, s.stop) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r.spans if s.kind == "id"}
+    assert got == discovered(rows) and got
+
+
+def test_null_ids_in_the_query(spark, odd_docs, tmp_path):
+    odd_docs.withColumn("doc_id", F.col("doc_id")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert pii.op6_bootstrapped_pii(spark, str(tmp_path)).count() == odd_docs.count()

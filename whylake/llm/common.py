@@ -35,26 +35,32 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(written, F.lit("")).cast("binary")) % modulus
 
 
+#: Different labels that a model may learn, the most frequent ones where there are more.
+MOST_LABELS = 256
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, most_chars: int, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(label, text) of at most ``per_label`` documents of each label in ``labels`` (doc_id, label), none over ``most_chars``.
 
-    Documents are chosen by a hash of their id, so a repeated run takes the same ones.  Only the chosen ids, whose number
-    is bounded, are broadcast; texts are read once and not shuffled before they are chosen.
+    Only documents that can be learned from are ranked, so a label is filled up to its bound while it has such documents.
+    They are chosen by a hash of their id, and of repeated ids the text with the smallest hash, so a repeated run takes the
+    same ones.  Ids and lengths are joined; only the chosen ids, whose number is bounded, are broadcast to fetch texts.
     """
-    known = labels.where("doc_id is not null and label is not null").withColumn("draw", F.xxhash64("doc_id"))
-    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each label
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    usable = read.where(F.length("text") <= most_chars).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    known = labels.where("doc_id is not null and label is not null").distinct().join(usable, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+    counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()
     # of a label with more documents, only the lowest hashes are candidates: no task sorts a whole label
-    limit = F.lit((1 << 63) - 1)
+    limit = F.lit(None).cast("long")
     for c in counts:
-        if c.n > 2 * per_label:
-            limit = F.when(F.col("label") == c.label, F.lit(-(1 << 63) + int((1 << 64) * 1.5 * per_label / c.n))).otherwise(limit)
+        most = -(1 << 63) + int((1 << 64) * 1.5 * per_label / c.n) if c.n > 2 * per_label else (1 << 63) - 1
+        limit = F.when(F.col("label") == c.label, F.lit(most)).otherwise(limit)
     order = Window.partitionBy("label").orderBy("draw", "doc_id")
     ranked = known.where(F.col("draw") <= limit).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
-    chosen = ranked.select("doc_id", "label")
+    chosen = ranked.select("doc_id", "text_hash", "label")
     rows = chosen.collect()  # bounded: per_label ids of each label
     wanted = docs.sparkSession.createDataFrame(rows, chosen.schema)
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") <= most_chars)
-    return own.join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id", "label"]).select("label", "text")
+    return read.join(F.broadcast(wanted), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "label"]).select("label", "text")
 
 
 #: Hashes are told apart in bitmaps by this many of their bits: two megabytes, whatever the corpus holds.

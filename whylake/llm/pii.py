@@ -17,6 +17,8 @@ gives no rows; extra columns are ignored, and kept by ``masked``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,8 @@ from whylake.llm.common import bitmap_of, fresh, group_of, in_bitmap, materialis
 #: it.  The share bounds the work: no more words are fetched than 1 / ``LEAST_SHARE`` for each seed.
 SUPPORT, LEAST_SHARE = 3, 0.05
 ROUNDS, SURE = 3, 0.5
-#: Characters before a seed in which its pattern is looked for.
-REACH = 80
+#: Numbers that are added up one after the other in ``running``; sums of such stretches are put together after that.
+STRETCH = 64
 
 # The forms of the base kinds.  Groups are possessive where nothing that follows could need less of them.
 LOCAL = "[A-Za-z0-9._%+-]"
@@ -71,31 +73,52 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row, however often it is named."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(numbers: Column, stretch: int = STRETCH) -> Column:
+    """Running sums of an array.  An array grows by copying, so sums are made in stretches and those put together."""
+    def grown(values: Column, of: Callable[[Column], Column]) -> Column:
+        return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + of(x))))
+
+    def joined_up(local: Column) -> Column:
+        offsets = grown(local, lambda part: F.element_at(part, -1))
+        return let(offsets, lambda begin: F.flatten(F.transform(local, lambda part, i: F.transform(F.slice(part, F.lit(2), F.size(part)), lambda x: x + F.get(begin, i)))))
+
+    def parts(n: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(n) - 1) / stretch).cast("int")), lambda c: grown(F.slice(n, c * stretch + 1, F.lit(stretch)), lambda x: x))
+
+    return let(numbers, lambda n: F.when(F.size(n) > 0, let(parts(n), joined_up)).otherwise(F.array().cast("array<int>")))
+
+
 def spans_of(kind: str, text: Column) -> Column:
-    """Array of (kind, start, stop, value) of the valid matches, leftmost first and not overlapping.
+    """Array of (kind, start, stop, value, word) of the valid matches, leftmost first and not overlapping.
 
-    Each match is taken together with the gap before it, from where the last one ended, so lengths add up to positions.
+    Each match is taken together with the gap before it, from where the last one ended, so lengths add up to positions, and
+    blanks add up to ``word``, the place of the word in which a match begins.
     """
     form, edge = FORMS[kind]
     gap = f"(|(?s:.*?){edge})" if edge else "((?s:.*?))"
     pattern = f"\\G{gap}({form})"
     whole = F.when(text.rlike(NEEDS[kind]), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    nothing = F.struct(F.lit(0).alias("stop"), F.array().cast("array<struct<kind:string,start:int,stop:int,value:string>>").alias("found"))
 
-    def take(state: Column, piece: Column) -> Column:
-        value = F.regexp_extract(piece, pattern, 2)
-        stop = state["stop"] + F.length(piece)
-        span = F.struct(F.lit(kind).alias("kind"), (stop - F.length(value)).alias("start"), stop.alias("stop"), value.alias("value"))
-        return F.struct(stop.alias("stop"), F.when(valid(kind, value), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+    def placed(pieces: Column) -> Column:
+        stops, words = running(F.transform(pieces, F.length)), running(F.transform(pieces, blanks))
+
+        def span(piece: Column, i: Column, place: Column) -> Column:
+            value = F.regexp_extract(piece, pattern, 2)
+            stop = F.get(place["stops"], i)
+            return let(value, lambda v: F.struct(F.lit(kind).alias("kind"), (stop - F.length(v)).alias("start"), stop.alias("stop"), v.alias("value"), (F.get(place["words"], i) - blanks(v)).alias("word")))
 
-    return F.aggregate(whole, nothing, take, lambda s: s["found"])
+        return let(F.struct(stops.alias("stops"), words.alias("words")), lambda place: F.transform(pieces, lambda piece, i: span(piece, i, place)))
 
+    return F.filter(let(whole, placed), lambda s: valid(kind, s["value"]))
 
-def pattern_before(text: Column, start: Column) -> Column:
-    """Hash of the two words before the word in which a span starts; null where there are fewer."""
-    before = F.lower(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
-    form = f"({SOLID}*){BLANK}({SOLID}*){BLANK}{SOLID}*$"
-    return F.when(before.rlike(form), F.xxhash64(F.regexp_extract(before, form, 1), F.regexp_extract(before, form, 2)))
+
+def blanks(value: Column) -> Column:
+    return F.length(value) - F.length(F.regexp_replace(value, BLANK, ""))
 
 
 def bare(word: Column) -> Column:
@@ -109,29 +132,61 @@ def keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 def seeded(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, spans): seeds of every text with the hashes of their pattern and value; texts are left out."""
+    """(doc_id, text_hash, spans): seeds of every text with the hashes of their pattern and value; texts are left out.
+
+    The pattern is the hash of the two words before the word in which a seed begins; null where there are fewer.
+    """
     for kind in FORMS:
         rows = rows.withColumn(f"in_{kind}", spans_of(kind, F.col("text")))
     every = F.concat(*(F.col(f"in_{k}") for k in FORMS))
-    marked = F.transform(every, lambda s: F.struct(
-        s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
-        pattern_before(F.col("text"), s["start"]).alias("pattern"), F.xxhash64(F.lower(s["value"])).alias("instance")))
-    return rows.select("doc_id", "text_hash", marked.alias("spans"))
 
+    def marked(spans: Column, words: Column) -> Column:
+        before = lambda s: F.xxhash64(F.get(words, s["word"] - 2), F.get(words, s["word"] - 1))
+        return F.transform(spans, lambda s: F.struct(
+            s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"),
+            F.when(s["word"] >= 2, before(s)).alias("pattern"), F.xxhash64(F.lower(s["value"])).alias("instance")))
 
-def contexts(rows: DataFrame, bitmap: Column, with_words: bool) -> DataFrame:
-    """A row for each word of the corpus whose two words before are a pattern of the bitmap."""
-    rows = rows.withColumn("words", F.split("text", BLANK)).withColumn("lower_words", F.split(F.lower("text"), BLANK)).withColumn("bitmap", bitmap)
+    lower_words = F.when(F.size(every) > 0, F.split(F.lower("text"), BLANK))
+    return rows.select("doc_id", "text_hash", let(lower_words, lambda w: marked(every, w)).alias("spans"))
+
+
+def hits_in(rows: DataFrame, bitmap: Column) -> DataFrame:
+    """``rows`` with ``hits``: (pattern, place) of every word whose two words before are a pattern of the bitmap."""
+    rows = rows.withColumn("lower_words", F.split(F.lower("text"), BLANK)).withColumn("bitmap", bitmap)
     n = F.greatest(F.size("lower_words") - 2, F.lit(0))
     hashes = F.transform(F.zip_with(F.slice("lower_words", F.lit(1), n), F.slice("lower_words", F.lit(2), n), lambda a, b: F.xxhash64(a, b)),
                          lambda h, i: F.struct(h.alias("pattern"), (i + 2).alias("place")))
-    hits = F.filter(hashes, lambda h: in_bitmap("bitmap", h["pattern"]))
+    return rows.withColumn("hits", F.filter(hashes, lambda h: in_bitmap("bitmap", h["pattern"])))
+
+
+def counted(sorted_values: Column) -> Column:
+    """(pattern, n) for each run of equal values of a sorted array."""
+    def of(v: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: (i == F.size(v)) | (F.get(v, i) != F.get(v, i - 1)))
+        return let(ends, lambda e: F.transform(e, lambda end, i: F.struct(F.get(v, end - 1).alias("pattern"), (end - F.when(i > 0, F.get(e, i - 1)).otherwise(0)).cast("long").alias("n"))))
+
+    return let(sorted_values, lambda v: F.when(F.size(v) > 0, of(v)))
+
+
+def context_counts(rows: DataFrame, bitmap: Column) -> DataFrame:
+    """(pattern, n): how many words of the corpus follow each pattern of the bitmap, a row for each text and pattern."""
+    found = hits_in(rows, bitmap).select(counted(F.sort_array(F.transform("hits", lambda h: h["pattern"]))).alias("counts"))
     # outer, because a plain generator makes Spark compute the array a second time to look whether it is empty
-    if not with_words:
-        return rows.select(F.explode_outer(hits).alias("hit")).select("hit.pattern").where("pattern is not null")
-    return rows.select("doc_id", "text_hash", "words", F.explode_outer(hits).alias("hit")).where("hit is not null").select(
-        "doc_id", "text_hash", "hit.pattern", F.get("words", F.col("hit.place")).alias("word"),
-        (F.length(F.array_join(F.slice("words", F.lit(1), F.col("hit.place")), " ")) + 1).alias("start"))
+    return found.select(F.explode_outer("counts").alias("c")).where("c is not null").select("c.pattern", "c.n")
+
+
+def contexts(rows: DataFrame, bitmap: Column) -> DataFrame:
+    """A row for each word of the corpus whose two words before are a pattern of the bitmap, with where it starts."""
+    found = hits_in(rows, bitmap)
+    words = F.when(F.size("hits") > 0, F.split("text", BLANK))
+
+    def placed(words: Column) -> Column:
+        stops = running(F.transform(words, lambda w: F.length(w) + 1))
+        return let(stops, lambda s: F.transform("hits", lambda h: F.struct(
+            h["pattern"].alias("pattern"), F.get(words, h["place"]).alias("word"), F.get(s, h["place"] - 1).alias("start"))))
+
+    found = found.select("doc_id", "text_hash", let(words, lambda w: F.when(w.isNotNull(), placed(w))).alias("hits"))
+    return found.select("doc_id", "text_hash", F.explode_outer("hits").alias("hit")).where("hit is not null").select("doc_id", "text_hash", "hit.*")
 
 
 def discovered(rows: DataFrame, seeds: DataFrame, support: int = SUPPORT, rounds: int = ROUNDS, sure: float = SURE) -> DataFrame:
@@ -140,12 +195,12 @@ def discovered(rows: DataFrame, seeds: DataFrame, support: int = SUPPORT, rounds
     supported = materialise(found.groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support))
     groups = supported.select(group_of(F.col("pattern")).alias("g"))
     # words after each pattern, counted and not fetched: those that ordinary text follows too often are no patterns of identifiers
-    totals = contexts(rows, bitmap_of(groups).scalar(), False).groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
+    totals = context_counts(rows, bitmap_of(groups).scalar()).groupBy("pattern").agg(F.sum("n").alias("n"))
     occurring = seeds.select(F.inline("spans")).groupBy("pattern").agg(F.count(F.lit(1)).alias("as_seed"))
     good = supported.join(totals, "pattern").join(occurring, "pattern").where(F.col("as_seed") >= LEAST_SHARE * F.col("n")).select("pattern")
     good = materialise(good)
     bitmap = bitmap_of(good.select(group_of(F.col("pattern")).alias("g")))
-    words = contexts(rows, bitmap.scalar(), True).join(good, "pattern", "left_semi").withColumn("value", bare(F.col("word")))
+    words = contexts(rows, bitmap.scalar()).join(good, "pattern", "left_semi").withColumn("value", bare(F.col("word")))
     words = materialise(words.select("doc_id", "text_hash", "pattern", "word", "value", "start", F.xxhash64(F.lower("value")).alias("instance")))
 
     known = found.select("instance", F.lit(1.0).alias("seed")).distinct()
