@@ -6,9 +6,10 @@ Every difference modulo the period is a difference of two members of the cover,
 offset below the period, an anchor at a cover position in both.  Anchors that occur once are dropped.  Around the
 others windows are extended to their full length, hashed anew (96 bits) and compared: the earliest of equal windows stays.
 
-Hashes travel packed.  A task gathers those of many texts, settles what repeats among them, and sends each hash once,
-packed with the others of its bucket, so a passage in a third of all documents costs a few bytes for each task
-and no group of its occurrences is ever gathered.  Buckets grow in number with ``spark.sql.shuffle.partitions``.
+Only the first document of each text takes part; all windows of its copies have an earlier one.  Hashes travel packed: a
+task gathers those of many texts, settles what repeats among them, and sends each hash once, packed with the others of
+its bucket, so a passage in a third of all documents costs a few bytes for each task and no group of its occurrences is
+ever gathered.  Buckets are as many as ``spark.sql.shuffle.partitions``.  Texts travel compressed.
 
 Cases: a null or empty text has no words; a text shorter than a window loses nothing; a null id comes before all others; of
 rows with equal ids, the hash of the text decides which is earlier; equal rows are copies, and one of them is the
@@ -18,7 +19,7 @@ earlier; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,10 @@ from whylake.llm.common import materialise, table
 from whylake.llm.words import Remembered, WordTable, slices
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
-#: Hashes that a task gathers before it sends them, and buckets for each shuffle partition.
-GATHERED, SPREAD = 1_000_000, 4
+#: Hashes that a task gathers before it sends them.
+GATHERED = 1_000_000
+#: Bytes of a hash that are sent: of an anchor, which only selects, and the two parts of a window's.
+ANCHOR_BYTES, HIGH_BYTES, LOW_BYTES = 6, 8, 2
 
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -95,38 +98,78 @@ class Texts:
         return np.flatnonzero(np.cumsum(change[:-1]) > 0)
 
 
-def packed(bucket: np.ndarray, owner: np.ndarray, *values: np.ndarray) -> Iterator[tuple]:
-    """(bucket, owners, whose, values) for each bucket: distinct owners, and for each entry the place of its own."""
+def cut(h: np.ndarray, size: int) -> np.ndarray:
+    """The upper ``size`` bytes of 64-bit hashes, as numbers."""
+    return h >> np.uint64(64 - 8 * size)
+
+
+def to_bytes(values: np.ndarray, size: int) -> bytes:
+    """Numbers that fit in ``size`` bytes, written with so many."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
+
+
+def from_bytes(rows: pa.Array, size: int) -> np.ndarray:
+    """The numbers of all rows, one after the other."""
+    raw = np.frombuffer(b"".join(rows.to_pylist()), np.uint8).reshape(-1, size)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :size] = raw
+    return out.view("<u8").reshape(-1)
+
+
+def least(values: np.ndarray) -> type:
+    """The smaller of two widths that holds the numbers."""
+    return np.uint16 if values.max(initial=0) < 1 << 16 else np.uint32
+
+
+def packed(bucket: np.ndarray, owner: np.ndarray, *values: tuple[np.ndarray, int]) -> Iterator[tuple]:
+    """(bucket, entries, owners, whose, values) for each bucket: distinct owners, and for each entry the place of its own.
+
+    Values come with their bytes; 0 means two or four, as the row needs.
+    """
     order = np.lexsort((owner, bucket))
-    bucket, owner, values = bucket[order], owner[order], [v[order] for v in values]
+    bucket, owner, values = bucket[order], owner[order], [(v[order], size) for v, size in values]
     edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
     for lo, hi in zip(edges, edges[1:], strict=False):
         if lo < hi:
             owners, whose = np.unique(owner[lo:hi], return_inverse=True)
-            small = np.uint16 if len(owners) <= 1 << 16 else np.uint32
-            yield int(bucket[lo]), owners.astype("<i8").tobytes(), whose.astype(small).tobytes(), *(v[lo:hi].tobytes() for v in values)
+            rest = (to_bytes(v[lo:hi], size) if size else v[lo:hi].astype(least(v[lo:hi])).tobytes() for v, size in values)
+            yield int(bucket[lo]), hi - lo, owners.astype("<i8").tobytes(), whose.astype(least(whose)).tobytes(), *rest
 
 
-def unpacked(owners: pa.Array, whose: pa.Array) -> np.ndarray:
-    """The owners of all entries of the rows, one after the other."""
-    out = []
-    for a, b in zip(owners, whose, strict=True):
-        own = np.frombuffer(a.as_buffer(), "<i8")
-        out.append(own[np.frombuffer(b.as_buffer(), np.uint16 if len(own) <= 1 << 16 else np.uint32)])
+def narrow(rows: pa.Array, sizes: list[int]) -> np.ndarray:
+    """The numbers of all rows of two or four bytes; ``sizes`` tells how many each holds."""
+    out = [np.frombuffer(r, np.uint16 if len(r) == 2 * n else np.uint32).astype(np.int64) for r, n in zip(rows.to_pylist(), sizes, strict=True)]
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
-def flat(values: pa.Array, kind: str) -> np.ndarray:
-    return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in values]) if len(values) else np.zeros(0, kind)
+class Group:
+    """The rows sent to one bucket."""
+
+    def __init__(self, group: pa.Table):
+        self.column = {n: pa.concat_arrays(group.column(n).chunks) if group.num_rows else group.column(n) for n in group.column_names}
+        known = np.array(self.column["known"].to_pylist(), bool)
+        marked = np.array([v is None for v in self.column["owners"].to_pylist()], bool)
+        self.ready, self.open, self.marks = (pa.array(np.flatnonzero(x)) for x in (known, ~known & ~marked, marked))
 
+    def take(self, name: str, rows: pa.Array) -> pa.Array:
+        return self.column[name].take(rows)
 
-def by_owner(owner: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Each owner with its values."""
+    def sizes(self, rows: pa.Array) -> list[int]:
+        return self.take("n", rows).to_pylist()
+
+    def owners(self, rows: pa.Array) -> np.ndarray:
+        """The owners of all entries of the rows, one after the other."""
+        sizes, listed = self.sizes(rows), [np.frombuffer(o, "<i8") for o in self.take("owners", rows).to_pylist()]
+        shift = np.repeat(np.cumsum([0, *map(len, listed)])[:-1], sizes)
+        return np.concatenate(listed)[narrow(self.take("whose", rows), sizes) + shift] if listed else np.zeros(0, np.int64)
+
+
+def by_owner(owner: np.ndarray, values: np.ndarray, size: int) -> list[tuple[int, bytes]]:
+    """Each owner with its values, ``size`` bytes each."""
     order = np.argsort(owner, kind="stable")
     owner, values = owner[order], values[order]
     edges = [0, *(np.flatnonzero(np.diff(owner)) + 1).tolist(), len(owner)]
-    spans = [(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False) if lo < hi]
-    return [int(owner[lo]) for lo, _ in spans], [values[lo:hi].tobytes() for lo, hi in spans]
+    return [(int(owner[lo]), to_bytes(values[lo:hi], size)) for lo, hi in zip(edges, edges[1:], strict=False) if lo < hi]
 
 
 def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,45 +181,57 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(new), np.cumsum(new) - 1
 
 
-# columns of what is sent to a bucket: owners and whose as above; no owners: entries that are known to repeat
-ANCHORS = "bucket int, known boolean, owners binary, whose binary, hashes binary"
-WINDOWS = "bucket int, known boolean, owners binary, whose binary, hashes binary, lows binary, starts binary"
+# columns of what is sent to a bucket; a row without owners holds hashes that are known to repeat
+ANCHORS = "bucket int, known boolean, n int, owners binary, whose binary, hashes binary"
+WINDOWS = "bucket int, known boolean, n int, owners binary, whose binary, starts binary, hashes binary, lows binary"
+
+
+def gathered(batches: Iterator[pa.RecordBatch], found: Callable[[pa.RecordBatch], tuple], send: Callable[..., pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``found`` has of each part of the batches, sent together once it is enough."""
+    held, count = [], 0
+    for batch in batches:
+        for part in slices(batch, 1):
+            held.append(found(part))
+            count += len(held[-1][0])
+            if count >= GATHERED:
+                yield send(*map(np.concatenate, zip(*held, strict=True)))
+                held, count = [], 0
+    if count:
+        yield send(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def send_anchors(docs: DataFrame, buckets: int, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """Packed anchors of (k1, text): those that repeat within a task's texts are known already."""
+    """Packed anchors of (c1, text): those that repeat within a task's texts are known already."""
+    def send(h: np.ndarray, owner: np.ndarray, twice: np.ndarray) -> pa.RecordBatch:
+        """Of copies, which have one owner, an anchor counts once; ``twice`` tells that it repeats within its text."""
+        order = np.lexsort((~twice, owner, h))
+        h, owner, twice = h[order], owner[order], twice[order]
+        one, _ = runs(h, owner)
+        h, owner, twice = h[one], owner[one], twice[one]
+        first, run = runs(h)
+        often = (np.diff([*first, len(h)]) > 1) | np.logical_or.reduceat(twice, first)
+        repeats, marks = often[run], h[first[often]]
+        to = lambda v: v.view(np.uint64) % np.uint64(buckets)
+        rows = [(b, False, *rest) for b, *rest in packed(to(h[~repeats]), owner[~repeats], (cut(h[~repeats], ANCHOR_BYTES), ANCHOR_BYTES))]
+        rows += [(b, False, n, None, None, x) for b, n, _, _, x in packed(to(marks), np.zeros(len(marks), np.int64), (cut(marks, ANCHOR_BYTES), ANCHOR_BYTES))]
+        # whom those belong to is told by way of any bucket
+        rows += [(b, True, *rest) for b, *rest in packed(to(owner[repeats]), owner[repeats], (cut(h[repeats], ANCHOR_BYTES), ANCHOR_BYTES))]
+        return batch_of(rows, ANCHORS)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, count = Remembered(word_hashes), [], 0
-
-        def flush() -> pa.RecordBatch:
-            owner, h = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            order = np.lexsort((owner, h))
-            owner, h = owner[order], h[order]
-            first, run = runs(h)
-            often = np.diff([*first, len(h)]) > 1
-            repeats = often[run]
-            rows = [(b, False, *rest) for b, *rest in packed(h[~repeats] % np.uint64(buckets), owner[~repeats], h[~repeats])]
-            marks = h[first[often]]
-            rows += [(b, False, None, None, x) for b, _, _, x in packed(marks % np.uint64(buckets), np.zeros(len(marks), np.int64), marks)]
-            # whom they belong to is told by way of any bucket
-            pair, _ = runs(h[repeats], owner[repeats])
-            mine, theirs = owner[repeats][pair], h[repeats][pair]
-            rows += [(b, True, *rest) for b, *rest in packed(mine.view(np.uint64) % np.uint64(buckets), mine, theirs)]
-            return batch_of(rows, ANCHORS)
+        known = Remembered(word_hashes)
 
-        for batch in batches:
-            for part in slices(batch, 1):
-                texts = Texts(part.column(1), known)
-                at, h = texts.anchors(window, period, cover)
-                held.append((part.column(0).to_numpy()[texts.doc[at]], h))
-                count += len(at)
-                if count >= GATHERED:
-                    yield flush()
-                    held, count = [], 0
-        if count:
-            yield flush()
+        def found(part: pa.RecordBatch) -> tuple:
+            texts = Texts(part.column(1), known)
+            at, h = texts.anchors(window, period, cover)
+            order = np.lexsort((h, texts.doc[at]))
+            doc, h = texts.doc[at][order], h[order]
+            first, _ = runs(doc, h)
+            return h[first], part.column(0).to_numpy()[doc[first]], np.diff([*first, len(h)]) > 1
+
+        return gathered(batches, found, send)
 
-    return docs.select("k1", "text").mapInArrow(of, ANCHORS)
+    return docs.select("c1", "text").mapInArrow(of, ANCHORS)
 
 
 def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -187,136 +242,157 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def repeated_anchors(sent: DataFrame) -> DataFrame:
-    """(k1, hashes): the anchors of each document that occur more than once."""
+    """(c1, hashes): the anchors of each text that occur more than once."""
     def of(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        column = {n: group.column(n).combine_chunks() if group.num_rows else group.column(n) for n in group.column_names}
-        settled = np.array(column["known"].to_pylist(), bool)
-        marked = np.array([v is None for v in column["owners"].to_pylist()], bool)
-        ready, open_, marks = np.flatnonzero(settled), np.flatnonzero(~settled & ~marked), np.flatnonzero(marked)
-        take = lambda name, rows: column[name].take(pa.array(rows))
-        owner, h = unpacked(take("owners", open_), take("whose", open_)), flat(take("hashes", open_), "<u8")
-        values, counts = np.unique(h, return_counts=True)
-        twice = np.union1d(values[counts > 1], flat(take("hashes", marks), "<u8"))
-        hit = np.isin(h, twice)
-        owner = np.concatenate([owner[hit], unpacked(take("owners", ready), take("whose", ready))])
-        h = np.concatenate([h[hit], flat(take("hashes", ready), "<u8")])
-        return pa.Table.from_batches([batch_of(list(zip(*by_owner(owner, h), strict=True)), "k1 long, hashes binary")])
-
-    return sent.groupBy("bucket").applyInArrow(of, "k1 long, hashes binary").groupBy("k1").agg(F.collect_list("hashes").alias("hashes"))
+        rows = Group(group)
+        anchors = lambda which: from_bytes(rows.take("hashes", which), ANCHOR_BYTES)
+        h, owner = anchors(rows.open), rows.owners(rows.open)
+        order = np.lexsort((owner, h))
+        h, owner = h[order], owner[order]
+        one, _ = runs(h, owner)
+        h, owner = h[one], owner[one]
+        first, run = runs(h)
+        hit = (np.diff([*first, len(h)]) > 1)[run] | np.isin(h, anchors(rows.marks))
+        owner, h = np.concatenate([owner[hit], rows.owners(rows.ready)]), np.concatenate([h[hit], anchors(rows.ready)])
+        return pa.Table.from_batches([batch_of(by_owner(owner, h, ANCHOR_BYTES), "c1 long, hashes binary")])
+
+    return sent.groupBy("bucket").applyInArrow(of, "c1 long, hashes binary").groupBy("c1").agg(F.collect_list("hashes").alias("hashes"))
+
+
+def earliest(h: np.ndarray, low: np.ndarray, owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted windows, where the runs of equal ones begin, and which of them have an earlier one."""
+    order = np.lexsort((start, owner, low, h))
+    h, low, owner, start = h[order], low[order], owner[order], start[order]
+    first, run = runs(h, low)
+    later = (owner != owner[first][run]) | (start != start[first][run]) if len(h) else np.zeros(0, bool)
+    return h, low, owner, start, first, later
 
 
 def send_windows(docs: DataFrame, buckets: int, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """Packed windows around the repeated anchors of (ord, text, hashes): the first of equal ones among a task's texts.
+    """Packed windows around the repeated anchors of (ord, z, hashes): the first of equal ones among a task's texts.
 
     The others are known to have an earlier one; a row says so that is on its way to the document.
     """
+    def send(h: np.ndarray, low: np.ndarray, owner: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+        h, low, owner, start, first, later = earliest(h, low, owner, start)
+        to = lambda v: v.view(np.uint64) % np.uint64(buckets)
+        rows = [(b, True, *rest, None, None) for b, *rest in packed(to(owner[later]), owner[later], (start[later], 0))]
+        rows += [(b, False, *rest) for b, *rest in packed(to(h[first]), owner[first], (start[first], 0), (h[first], HIGH_BYTES), (low[first], LOW_BYTES))]
+        return batch_of(rows, WINDOWS)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, count = Remembered(word_hashes), [], 0
-
-        def flush() -> pa.RecordBatch:
-            h, low, owner, start = (np.concatenate([x[i] for x in held]) for i in range(4))
-            order = np.lexsort((start, owner, low, h))
-            h, low, owner, start = h[order], low[order], owner[order], start[order]
-            first, run = runs(h, low)
-            later = (owner != owner[first][run]) | (start != start[first][run])
-            rows = [(b, True, *rest, None, None) for b, *rest in packed(owner[later].view(np.uint64) % np.uint64(buckets), owner[later], start[later])]
-            rows += [(b, False, *rest) for b, *rest in packed(h[first] % np.uint64(buckets), owner[first], h[first], low[first], start[first])]
-            return batch_of(rows, WINDOWS)
+        known = Remembered(word_hashes)
 
-        for batch in batches:
-            for part in slices(batch, 1):
-                texts = Texts(part.column(1), known)
-                at, h = texts.anchors(window, period, cover)
-                lists = part.column(2)
-                repeated = np.unique(flat(lists.flatten(), "<u8"))
-                at = texts.around(at[np.isin(h, repeated)], window, period)
-                ords = part.column(0).to_numpy()[texts.doc[at]]
-                low = run_hash(mixed(texts.hash), at, window, 0xD6E8FEB86659FD93).astype(np.uint32)
-                held.append((run_hash(texts.hash, at, window, 0x9E3779B97F4A7C15), low, ords, texts.place[at].astype(np.int32)))
-                count += len(at)
-                if count >= GATHERED:
-                    yield flush()
-                    held, count = [], 0
-        if count:
-            yield flush()
-
-    return docs.select("ord", "text", "hashes").mapInArrow(of, WINDOWS)
+        def found(part: pa.RecordBatch) -> tuple:
+            texts = Texts(pa.array(unzipped(part.column(1)), pa.string()), known)
+            at, h = texts.anchors(window, period, cover)
+            # an anchor that repeats for one text does so for all
+            repeated = np.unique(from_bytes(part.column(2).flatten(), ANCHOR_BYTES))
+            at = texts.around(at[np.isin(cut(h, ANCHOR_BYTES), repeated)], window, period)
+            low = cut(run_hash(mixed(texts.hash), at, window, 0xD6E8FEB86659FD93), LOW_BYTES)
+            return run_hash(texts.hash, at, window, 0x9E3779B97F4A7C15), low, part.column(0).to_numpy()[texts.doc[at]], texts.place[at]
+
+        return gathered(batches, found, send)
+
+    return docs.select("ord", "z", "hashes").mapInArrow(of, WINDOWS)
 
 
 def later_windows(sent: DataFrame) -> DataFrame:
     """(ord, starts): the windows of each document that have an earlier equal one."""
     def of(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        column = {n: group.column(n).combine_chunks() if group.num_rows else group.column(n) for n in group.column_names}
-        settled = np.array(column["known"].to_pylist(), bool)
-        ready, open_ = np.flatnonzero(settled), np.flatnonzero(~settled)
-        take = lambda name, rows: column[name].take(pa.array(rows))
-        owner, h = unpacked(take("owners", open_), take("whose", open_)), flat(take("hashes", open_), "<u8")
-        low, start = flat(take("lows", open_), "<u4"), flat(take("starts", open_), "<i4")
-        order = np.lexsort((start, owner, low, h))
-        h, low, owner, start = h[order], low[order], owner[order], start[order]
-        first, run = runs(h, low)
-        later = (owner != owner[first][run]) | (start != start[first][run]) if len(h) else np.zeros(0, bool)
-        # rows on their way hold starts in place of hashes
-        owner = np.concatenate([owner[later], unpacked(take("owners", ready), take("whose", ready))])
-        start = np.concatenate([start[later], flat(take("hashes", ready), "<i4")])
-        return pa.Table.from_batches([batch_of(list(zip(*by_owner(owner, start), strict=True)), "ord long, starts binary")])
+        rows = Group(group)
+        starts = lambda which: narrow(rows.take("starts", which), rows.sizes(which))
+        h, low = from_bytes(rows.take("hashes", rows.open), HIGH_BYTES), from_bytes(rows.take("lows", rows.open), LOW_BYTES)
+        _, _, owner, start, _, later = earliest(h, low, rows.owners(rows.open), starts(rows.open))
+        owner = np.concatenate([owner[later], rows.owners(rows.ready)])
+        start = np.concatenate([start[later], starts(rows.ready)])
+        return pa.Table.from_batches([batch_of(by_owner(owner, start, 4), "ord long, starts binary")])
 
     return sent.groupBy("bucket").applyInArrow(of, "ord long, starts binary").groupBy("ord").agg(F.collect_list("starts").alias("starts"))
 
 
-def kept_words(text: str | None, starts: list[bytes] | None, window: int) -> tuple[int, int, str]:
+def zipped(docs: DataFrame) -> DataFrame:
+    """(doc_id, c1, c2, z): texts compressed, for the way to another task."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        press = ZstdCompressor(level=3)
+        for batch in batches:
+            for part in slices(batch, 3):
+                z = pa.array([press.compress(t.as_py().encode("utf-8", "surrogatepass")) for t in part.column(3)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), z], names=["doc_id", "c1", "c2", "z"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "c1", "c2", "text").mapInArrow(of, f"doc_id {kind}, c1 long, c2 long, z binary")
+
+
+def unzipped(texts: pa.Array) -> list[str]:
+    from zstandard import ZstdDecompressor
+
+    press = ZstdDecompressor()
+    return [press.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in texts]
+
+
+def kept_words(text: str | None, starts: list[bytes], window: int) -> tuple[int, int, str]:
     """Words, removed words, and what is left of a text without its windows at ``starts``."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    if not starts:
-        return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
-    at = np.concatenate([np.frombuffer(s, "<i4") for s in starts])
+    at = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(s, "<u4") for s in starts)]).astype(np.int64)
     change = np.zeros(len(words) + window, np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + window, -1)
-    left = np.cumsum(change)[: len(words)] == 0
-    kept = [words[i] for i in np.flatnonzero(left).tolist()]
+    kept = [words[i] for i in np.flatnonzero(np.cumsum(change)[: len(words)] == 0).tolist()] if len(at) else words
     return len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()
 
 
+def cut_texts(docs: DataFrame, window: int, z: bool) -> DataFrame:
+    """(doc_id, c1, c2, n_words, n_removed, kept_sha256) of (doc_id, c1, c2, z, starts), or of whole texts."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 3):
+                texts = unzipped(part.column(3)) if z else part.column(3).to_pylist()
+                rows = [kept_words(t, s, window) for t, s in zip(texts, part.column(4).to_pylist() if z else [[]] * len(texts), strict=True)]
+                columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *columns], names=["doc_id", "c1", "c2", "n_words", "n_removed", "kept_sha256"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(of, f"doc_id {kind}, c1 long, c2 long, n_words long, n_removed long, kept_sha256 string")
+
+
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, period: int = PERIOD, cover: tuple[int, ...] = COVER) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row."""
     check_cover(window, period, cover)
-    spark = docs.sparkSession
-    buckets = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kind = docs.schema[doc_id].dataType.simpleString()
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    own = own.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k1"), F.xxhash64(F.lit("b"), "text", "doc_id").alias("k2"))
+    own = own.select("doc_id", "text", F.xxhash64("text").alias("c1"), F.xxhash64(F.lit("b"), "text").alias("c2"))
 
-    # the order of documents as a number; equal rows share theirs
-    ids = own.select("doc_id", "k1", "k2").distinct().repartitionByRange("doc_id", "k1", "k2").sortWithinPartitions("doc_id", "k1", "k2")
-    ids = materialise(ids.withColumn("ord", F.monotonically_increasing_id()).select("k1", "k2", "ord"))
+    # every text once, with its first document and that one's place in the order of all
+    earliest_id = F.min(F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id")).alias("first")
+    texts = own.groupBy("c1", "c2").agg(earliest_id).select("c1", "c2", F.col("first.doc_id").alias("first"))
+    keys = [F.asc_nulls_first("first"), "c1", "c2"]
+    texts = materialise(texts.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("ord", F.monotonically_increasing_id()))
 
-    anchors = repeated_anchors(send_anchors(own, buckets, window, period, cover))
-    wanted = materialise(anchors.join(ids, "k1"))
-    windows = later_windows(send_windows(own.join(wanted, ["k1", "k2"]), buckets, window, period, cover))
-    found = materialise(windows.join(ids, "ord").select("k1", "k2", "starts"))
+    def of_firsts(wanted: DataFrame, *extra: str) -> DataFrame:
+        w, d = wanted.alias("w"), zipped(own).alias("d")
+        same = (F.col("d.c1") == F.col("w.c1")) & (F.col("d.c2") == F.col("w.c2")) & F.col("d.doc_id").eqNullSafe(F.col("w.first"))
+        return d.join(w, same).select("d.doc_id", "d.c1", "d.c2", "d.z", *extra)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [kept_words(t.as_py(), s.as_py(), window) for t, s in zip(batch.column(3), batch.column(4), strict=True)]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)] if rows else [pa.array([], k) for k in (pa.int64(), pa.int64(), pa.string())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), *columns], names=["doc_id", "k1", "k2", "n_words", "n_removed", "kept_sha256"])
-
-    joined = own.join(found, ["k1", "k2"], "left").select("doc_id", "k1", "k2", "text", "starts")
-    result = joined.mapInArrow(of, f"doc_id {kind}, k1 long, k2 long, n_words long, n_removed long, kept_sha256 string")
-    return copies_removed(result, window)
-
-
-def copies_removed(result: DataFrame, window: int) -> DataFrame:
-    """Of equal rows the first is as it is; all windows of the others have an earlier one."""
-    columns = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-    counted = result.groupBy("k1", "k2", *columns).agg(F.count(F.lit(1)).alias("n"))
-    each = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("n"))).alias("no"))
-    copy = (F.col("no") > 1) & (F.col("n_words") >= window)
-    return each.select("doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"),
-                       F.when(copy, F.lit(EMPTY)).otherwise(F.col("kept_sha256")).alias("kept_sha256"))
+    anchors = repeated_anchors(send_anchors(own, buckets, window, period, cover))
+    wanted = materialise(anchors.join(texts, "c1"))
+    windows = later_windows(send_windows(of_firsts(wanted, "ord", "hashes"), buckets, window, period, cover))
+    found = materialise(windows.join(texts, "ord").drop("ord"))
+    changed = cut_texts(of_firsts(found, "starts"), window, True).select("c1", "c2", "n_removed", "kept_sha256").distinct()
+    return assembled(cut_texts(own.select("doc_id", "c1", "c2", "text"), window, False), texts, changed, window)
+
+
+def assembled(whole: DataFrame, texts: DataFrame, changed: DataFrame, window: int) -> DataFrame:
+    """The result of every row: of equal texts the first document's first row is cut, and the others lose all windows."""
+    counted = whole.groupBy("doc_id", "c1", "c2", "n_words", "kept_sha256").agg(F.count(F.lit(1)).alias("n"))
+    each = counted.withColumn("no", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    final = texts.join(changed.withColumnRenamed("kept_sha256", "left_sha256"), ["c1", "c2"], "left").select("c1", "c2", "first", "n_removed", "left_sha256")
+    copy = ~(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("no") == 1)) & (F.col("n_words") >= window)
+    return each.join(final, ["c1", "c2"]).select(
+        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("left_sha256", "kept_sha256")).alias("kept_sha256"))
 
 
 def op12_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
