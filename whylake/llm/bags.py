@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -116,7 +117,7 @@ def scored(classes: DataFrame, weights: dict[int, int], items: list[list[int]],
             ids, first, m = (batch.column(i).to_numpy() for i in range(3))
             lists = batch.column(3)
             flat = np.asarray(lists.flatten())
-            offsets = np.concatenate([[0], np.cumsum(np.asarray(pa.compute.list_value_length(lists)))])
+            offsets = np.concatenate([[0], np.cumsum(np.asarray(pc.list_value_length(lists)))])
             term, tf = flat >> 32, flat & 0xFFFFFFFF
             owner = np.repeat(np.arange(len(ids)), np.diff(offsets))
             used = np.flatnonzero(term < len(sizes))

@@ -48,7 +48,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_label: int, most_cha
     """
     read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     usable = read.where(F.length("text") <= most_chars).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    known = labels.where("doc_id is not null and label is not null").distinct().join(usable, "doc_id").withColumn("draw", F.xxhash64("doc_id"))
+    known = labels.where("doc_id is not null and label is not null").distinct().join(usable, "doc_id")
+    known = materialise(known.withColumn("draw", F.xxhash64("doc_id")))
     counts = known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(MOST_LABELS).collect()
     # of a label with more documents, only the lowest hashes are candidates: no task sorts a whole label
     limit = F.lit(None).cast("long")

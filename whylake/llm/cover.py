@@ -142,6 +142,13 @@ def narrow(rows: pa.Array, sizes: list[int]) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def owners_of(owners: pa.Array, whose: pa.Array, sizes: list[int]) -> np.ndarray:
+    """The owners of all entries of the rows, one after the other."""
+    listed = [np.frombuffer(o, "<i8") for o in owners.to_pylist()]
+    shift = np.repeat(np.cumsum([0, *map(len, listed)])[:-1], sizes)
+    return np.concatenate(listed)[narrow(whose, sizes) + shift] if listed else np.zeros(0, np.int64)
+
+
 class Group:
     """The rows sent to one bucket."""
 
@@ -157,11 +164,13 @@ class Group:
     def sizes(self, rows: pa.Array) -> list[int]:
         return self.take("n", rows).to_pylist()
 
+    def sent_back(self, name: str, found: Iterator[tuple]) -> pa.Table:
+        """Packed rows on their way to owners: those that came settled, and what was found here."""
+        ready = zip(*(self.take(c, self.ready).to_pylist() for c in ("bucket", "n", "owners", "whose", name)), strict=True)
+        return pa.Table.from_batches([batch_of([*ready, *found], BACK)])
+
     def owners(self, rows: pa.Array) -> np.ndarray:
-        """The owners of all entries of the rows, one after the other."""
-        sizes, listed = self.sizes(rows), [np.frombuffer(o, "<i8") for o in self.take("owners", rows).to_pylist()]
-        shift = np.repeat(np.cumsum([0, *map(len, listed)])[:-1], sizes)
-        return np.concatenate(listed)[narrow(self.take("whose", rows), sizes) + shift] if listed else np.zeros(0, np.int64)
+        return owners_of(self.take("owners", rows), self.take("whose", rows), self.sizes(rows))
 
 
 def by_owner(owner: np.ndarray, values: np.ndarray, size: int) -> list[tuple[int, bytes]]:
@@ -183,6 +192,7 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # columns of what is sent to a bucket; a row without owners holds hashes that are known to repeat
 ANCHORS = "bucket int, known boolean, n int, owners binary, whose binary, hashes binary"
+BACK = "bucket int, n int, owners binary, whose binary, found binary"
 WINDOWS = "bucket int, known boolean, n int, owners binary, whose binary, starts binary, hashes binary, lows binary"
 
 
@@ -241,7 +251,7 @@ def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def repeated_anchors(sent: DataFrame) -> DataFrame:
+def repeated_anchors(sent: DataFrame, buckets: int) -> DataFrame:
     """(c1, hashes): the anchors of each text that occur more than once."""
     def of(group: pa.Table) -> pa.Table:
         rows = Group(group)
@@ -253,10 +263,9 @@ def repeated_anchors(sent: DataFrame) -> DataFrame:
         h, owner = h[one], owner[one]
         first, run = runs(h)
         hit = (np.diff([*first, len(h)]) > 1)[run] | np.isin(h, anchors(rows.marks))
-        owner, h = np.concatenate([owner[hit], rows.owners(rows.ready)]), np.concatenate([h[hit], anchors(rows.ready)])
-        return pa.Table.from_batches([batch_of(by_owner(owner, h, ANCHOR_BYTES), "c1 long, hashes binary")])
+        return rows.sent_back("hashes", packed(owner[hit].view(np.uint64) % np.uint64(buckets), owner[hit], (h[hit], ANCHOR_BYTES)))
 
-    return sent.groupBy("bucket").applyInArrow(of, "c1 long, hashes binary").groupBy("c1").agg(F.collect_list("hashes").alias("hashes"))
+    return delivered(sent.groupBy("bucket").applyInArrow(of, BACK), "c1", "hashes", ANCHOR_BYTES)
 
 
 def earliest(h: np.ndarray, low: np.ndarray, owner: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -268,6 +277,19 @@ def earliest(h: np.ndarray, low: np.ndarray, owner: np.ndarray, start: np.ndarra
     return h, low, owner, start, first, later
 
 
+def delivered(back: DataFrame, owner: str, name: str, size: int) -> DataFrame:
+    """(owner, values): what was sent back to each owner, gathered in the bucket of the owners."""
+    schema = f"{owner} long, {name} binary"
+
+    def of(group: pa.Table) -> pa.Table:
+        column = {n: pa.concat_arrays(group.column(n).chunks) for n in group.column_names}
+        sizes = column["n"].to_pylist()
+        values = from_bytes(column["found"], size) if size else narrow(column["found"], sizes)
+        return pa.Table.from_batches([batch_of(by_owner(owners_of(column["owners"], column["whose"], sizes), values, size or 4), schema)])
+
+    return back.groupBy("bucket").applyInArrow(of, schema)
+
+
 def send_windows(docs: DataFrame, buckets: int, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     """Packed windows around the repeated anchors of (ord, z, hashes): the first of equal ones among a task's texts.
 
@@ -287,7 +309,7 @@ def send_windows(docs: DataFrame, buckets: int, window: int, period: int, cover:
             texts = Texts(pa.array(unzipped(part.column(1)), pa.string()), known)
             at, h = texts.anchors(window, period, cover)
             # an anchor that repeats for one text does so for all
-            repeated = np.unique(from_bytes(part.column(2).flatten(), ANCHOR_BYTES))
+            repeated = np.unique(from_bytes(part.column(2), ANCHOR_BYTES))
             at = texts.around(at[np.isin(cut(h, ANCHOR_BYTES), repeated)], window, period)
             low = cut(run_hash(mixed(texts.hash), at, window, 0xD6E8FEB86659FD93), LOW_BYTES)
             return run_hash(texts.hash, at, window, 0x9E3779B97F4A7C15), low, part.column(0).to_numpy()[texts.doc[at]], texts.place[at]
@@ -297,18 +319,16 @@ def send_windows(docs: DataFrame, buckets: int, window: int, period: int, cover:
     return docs.select("ord", "z", "hashes").mapInArrow(of, WINDOWS)
 
 
-def later_windows(sent: DataFrame) -> DataFrame:
+def later_windows(sent: DataFrame, buckets: int) -> DataFrame:
     """(ord, starts): the windows of each document that have an earlier equal one."""
     def of(group: pa.Table) -> pa.Table:
         rows = Group(group)
         starts = lambda which: narrow(rows.take("starts", which), rows.sizes(which))
         h, low = from_bytes(rows.take("hashes", rows.open), HIGH_BYTES), from_bytes(rows.take("lows", rows.open), LOW_BYTES)
         _, _, owner, start, _, later = earliest(h, low, rows.owners(rows.open), starts(rows.open))
-        owner = np.concatenate([owner[later], rows.owners(rows.ready)])
-        start = np.concatenate([start[later], starts(rows.ready)])
-        return pa.Table.from_batches([batch_of(by_owner(owner, start, 4), "ord long, starts binary")])
+        return rows.sent_back("starts", packed(owner[later].view(np.uint64) % np.uint64(buckets), owner[later], (start[later], 0)))
 
-    return sent.groupBy("bucket").applyInArrow(of, "ord long, starts binary").groupBy("ord").agg(F.collect_list("starts").alias("starts"))
+    return delivered(sent.groupBy("bucket").applyInArrow(of, BACK), "ord", "starts", 0)
 
 
 def zipped(docs: DataFrame) -> DataFrame:
@@ -333,10 +353,10 @@ def unzipped(texts: pa.Array) -> list[str]:
     return [press.decompress(z.as_py()).decode("utf-8", "surrogatepass") for z in texts]
 
 
-def kept_words(text: str | None, starts: list[bytes], window: int) -> tuple[int, int, str]:
+def kept_words(text: str | None, starts: bytes, window: int) -> tuple[int, int, str]:
     """Words, removed words, and what is left of a text without its windows at ``starts``."""
     words = (text or "").encode("utf-8", "surrogatepass").split()
-    at = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(s, "<u4") for s in starts)]).astype(np.int64)
+    at = np.frombuffer(starts, "<u4").astype(np.int64)
     change = np.zeros(len(words) + window, np.int64)
     np.add.at(change, at, 1)
     np.add.at(change, at + window, -1)
@@ -350,7 +370,7 @@ def cut_texts(docs: DataFrame, window: int, z: bool) -> DataFrame:
         for batch in batches:
             for part in slices(batch, 3):
                 texts = unzipped(part.column(3)) if z else part.column(3).to_pylist()
-                rows = [kept_words(t, s, window) for t, s in zip(texts, part.column(4).to_pylist() if z else [[]] * len(texts), strict=True)]
+                rows = [kept_words(t, s, window) for t, s in zip(texts, part.column(4).to_pylist() if z else [b""] * len(texts), strict=True)]
                 columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *columns], names=["doc_id", "c1", "c2", "n_words", "n_removed", "kept_sha256"])
 
@@ -376,9 +396,9 @@ def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         same = (F.col("d.c1") == F.col("w.c1")) & (F.col("d.c2") == F.col("w.c2")) & F.col("d.doc_id").eqNullSafe(F.col("w.first"))
         return d.join(w, same).select("d.doc_id", "d.c1", "d.c2", "d.z", *extra)
 
-    anchors = repeated_anchors(send_anchors(own, buckets, window, period, cover))
+    anchors = repeated_anchors(send_anchors(own, buckets, window, period, cover), buckets)
     wanted = materialise(anchors.join(texts, "c1"))
-    windows = later_windows(send_windows(of_firsts(wanted, "ord", "hashes"), buckets, window, period, cover))
+    windows = later_windows(send_windows(of_firsts(wanted, "ord", "hashes"), buckets, window, period, cover), buckets)
     found = materialise(windows.join(texts, "ord").drop("ord"))
     changed = cut_texts(of_firsts(found, "starts"), window, True).select("c1", "c2", "n_removed", "kept_sha256").distinct()
     return assembled(cut_texts(own.select("doc_id", "c1", "c2", "text"), window, False), texts, changed, window)
@@ -388,10 +408,12 @@ def assembled(whole: DataFrame, texts: DataFrame, changed: DataFrame, window: in
     """The result of every row: of equal texts the first document's first row is cut, and the others lose all windows."""
     counted = whole.groupBy("doc_id", "c1", "c2", "n_words", "kept_sha256").agg(F.count(F.lit(1)).alias("n"))
     each = counted.withColumn("no", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    final = texts.join(changed.withColumnRenamed("kept_sha256", "left_sha256"), ["c1", "c2"], "left").select("c1", "c2", "first", "n_removed", "left_sha256")
-    copy = ~(F.col("doc_id").eqNullSafe(F.col("first")) & (F.col("no") == 1)) & (F.col("n_words") >= window)
-    return each.join(final, ["c1", "c2"]).select(
-        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+    f, e = texts.join(changed.withColumnRenamed("kept_sha256", "left_sha256"), ["c1", "c2"], "left").alias("f"), each.alias("e")
+    # by the id as well, so that the copies of one text do not meet
+    same = (F.col("e.c1") == F.col("f.c1")) & (F.col("e.c2") == F.col("f.c2")) & F.col("e.doc_id").eqNullSafe(F.col("f.first"))
+    copy = (F.col("f.ord").isNull() | (F.col("no") > 1)) & (F.col("n_words") >= window)
+    return e.join(f, same, "left").select(
+        "e.doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("left_sha256", "kept_sha256")).alias("kept_sha256"))
 
 

@@ -17,11 +17,12 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whylake.llm.common import fresh, labelled_sample, remainder, table
+from whylake.llm.words import slices
 
 #: Bounds of the sample that is learned from: documents of each language, and characters of each.
 PER_LANGUAGE, MOST_CHARS = 400, 50_000
@@ -103,12 +104,14 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     """Fit on a bounded sample.  ``labels``: (doc_id, label).  N-gram marks are made in Spark; a few kilobytes each come back."""
     sample = labelled_sample(docs, labels, PER_LANGUAGE, MOST_CHARS, text, doc_id)
 
-    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            marks, lettered = presences(rows["text"].tolist())
-            yield pd.DataFrame({"label": rows["label"], "marks": [np.packbits(m).tobytes() for m in marks]})[lettered]
+            for part in slices(rows, 1):
+                marks, lettered = presences(part.column(1).to_pylist())
+                packed = pa.array([np.packbits(m).tobytes() for m in marks], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["label", "marks"]).filter(pa.array(lettered))
 
-    found = sorted((r.label, r.marks) for r in sample.mapInPandas(mark, "label string, marks binary").collect())
+    found = sorted((r.label, r.marks) for r in sample.mapInArrow(mark, "label string, marks binary").collect())
     marks = np.array([np.unpackbits(np.frombuffer(m, np.uint8)) for _, m in found], np.uint8).reshape(-1, WIDTH)
     return KernelRidge(marks, [label for label, _ in found])
 
@@ -116,15 +119,17 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def identified(docs: DataFrame, model: KernelRidge, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
     """``docs`` with the language of every whole text and its score."""
 
-    @F.pandas_udf("lang string, score double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([("lang", pa.string()), ("score", pa.float64())])
+
+    @F.arrow_udf("lang string, score double")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in parts:
             names, scores = [], []
             for lo in range(0, len(texts), BATCH):
-                n, s = model.predict(texts.iloc[lo : lo + BATCH].tolist())
+                n, s = model.predict(texts.slice(lo, BATCH).to_pylist())
                 names += n
-                scores.append(s)
-            yield pd.DataFrame({"lang": pd.Series(names, dtype=object), "score": np.concatenate(scores) if scores else np.zeros(0)})
+                scores += s.tolist()
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], fields=list(kind))
 
     found = fresh(docs, "__language")
     rows = docs.withColumn(found, of(F.col(text)))

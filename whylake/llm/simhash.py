@@ -22,13 +22,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from whylake.llm.common import materialise, table
+from whylake.llm.common import fresh, if_small, materialise, table
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bits of each band, from the lowest.
@@ -59,16 +58,18 @@ def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType), T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, seed: int = SEED, extra: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; and the columns ``extra``."""
+    names = ["doc_id", *(extra or [])]
+    own = docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id"), *(extra or []))
+    schema = T.StructType([own.schema[n] for n in names] + [T.StructField("fp", T.LongType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([simhash(v.as_py(), shingle, seed) for v in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([simhash(v.as_py(), shingle, seed) for v in batch.column(0)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], names=[*names, "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(of, schema)
+    return own.mapInArrow(of, schema)
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -202,50 +203,45 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def rooted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, root, component_id): ``near_components`` with the smallest fingerprint that names each component."""
-    rows = materialise(fingerprints(docs, text, doc_id))
+def rooted(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``rows`` (doc_id, fp and more) with ``root``, the fingerprint that names their component, and ``component_id``."""
     reps = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(reps, radius))
     named = reps.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")
+    smallest = materialise(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    # written, so that a component of many fingerprints is dealt out by Spark's skew join
+    named = materialise(materialise(named.select("fp", "root")).join(smallest, "root"))
+    return rows.join(named, "fp")
 
 
 def near_components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id of all documents that can be reached over links, for every row."""
-    return rooted(docs, text, doc_id, radius).select("doc_id", "fp", "component_id")
+    return rooted(materialise(fingerprints(docs, text, doc_id)), radius).select("doc_id", "fp", "component_id")
+
+
+def keyed(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with names for the key of a row: two hashes of its id and text, which only equal rows share."""
+    one, two = fresh(docs, "__one"), fresh(docs, "__two")
+    whole = [F.col(doc_id), F.col(text)]
+    return docs.withColumn(one, F.xxhash64(*whole)).withColumn(two, F.xxhash64(F.lit("two"), F.col(text).isNull(), *reversed(whole))), [one, two]
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents without near-duplicates: of each component one row with the smallest id stays.
 
     Where several rows have that id, or a component has no id at all, it is one with the smallest fingerprint among them.
+    Fingerprints are made once; rows are found again by the hashes of their id and text.
     """
-    found = materialise(rooted(docs, text, doc_id))
-    times = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("doc_id", "id")
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("doc_id").alias("__kept"), F.min("fp").alias("__kept_fp"))
-    kept = materialise(chosen.join(times, F.col("__kept").eqNullSafe(F.col("id"))).select("__kept", "__kept_fp", "n"))
-    own = docs.alias("d")
-    by_id = F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__kept"))
-    single = own.join(kept.where("n = 1").alias("k"), by_id, "left_semi")
-    several = own.join(kept.where("n > 1").alias("k"), by_id, "left_semi")
-    return single.unionByName(first_rows(several, kept, text, doc_id))
-
-
-def first_rows(docs: DataFrame, kept: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """One row for each id and fingerprint in ``kept``: an id alone does not tell rows apart."""
-    name = "__fp"
-    while name in docs.columns:
-        name += "_"
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.array(simhash(t), np.uint64).view(np.int64)[()] for t in texts], dtype="int64")
-
-    own = docs.withColumn(name, of(F.col(text))).alias("d")
-    same = F.col(f"d.{doc_id}").eqNullSafe(F.col("k.__kept")) & (F.col(f"d.{name}") == F.col("k.__kept_fp"))
-    return own.join(kept.alias("k"), same, "left_semi").dropDuplicates([doc_id, name]).drop(name)
+    own, key = keyed(docs, text, doc_id)
+    rows = own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(key[0]).alias("one"), F.col(key[1]).alias("two"))
+    found = rooted(materialise(fingerprints(rows, extra=["one", "two"])))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "one", "two")
+    kept = found.groupBy("doc_id", "fp", "root", "one", "two").agg(F.count(F.lit(1)).alias("n"))
+    kept = materialise(kept.groupBy("root").agg(F.min_by(F.struct("one", "two", "n"), order).alias("k")).select("k.*"))
+    same = (F.col(f"d.{key[0]}") == F.col("k.one")) & (F.col(f"d.{key[1]}") == F.col("k.two"))
+    single = own.alias("d").join(kept.where("n = 1").alias("k"), same, "left_semi")
+    several = own.alias("d").join(if_small(kept.where("n > 1")).alias("k"), same, "left_semi").dropDuplicates(key)
+    return single.unionByName(several).select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,14 +15,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whylake.llm.common import fresh, labelled_sample, remainder, table
-from whylake.llm.words import Remembered, WordTable, ragged
+from whylake.llm.words import Remembered, WordTable, slices
 
 #: Bounds of the sample that is learned from: documents of each label, and characters of each.
 PER_LABEL, MOST_CHARS = 1000, 12_000
@@ -144,13 +143,12 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 def scored(docs: DataFrame, model: SubwordSoftmax, text: str = "text", score: str = "score") -> DataFrame:
     """``docs`` with the score of every whole text."""
 
-    @F.pandas_udf("double")
-    def of(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         remembered = Remembered(model.of_words, REMEMBERED)
         for texts in parts:
-            sizes = texts.map(lambda t: len(t) if t else 0)
-            group = (sizes.cumsum() - sizes) // STRETCH
-            yield pd.concat([pd.Series(model.scores(pa.array(g.tolist(), pa.string()), remembered)) for _, g in texts.groupby(group, sort=False)]) if len(texts) else pd.Series([], dtype=float)
+            found = [model.scores(part.column(0), remembered) for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0, STRETCH)]
+            yield pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return docs.withColumn(score, of(F.col(text)))
 
