@@ -3,10 +3,11 @@
 import random
 from datetime import date, datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from whylake.operators import adr, align, audits, capsules, coverage, debt, drift, graph, history, ranking, reports, review, search, sessions, state, usage
+from whylake.operators import adr, align, audits, capsules, coverage, debt, drift, graph, history, linemaps, ranking, reports, review, search, sessions, state, usage
 
 T0 = datetime(2024, 5, 1, 12)
 
@@ -705,6 +706,71 @@ def test_line_history_of_a_hot_file(spark):
     assert same == {"t0": set(range(31, 81))}
 
 
+def test_line_history_through_renames(spark):
+    """A file renamed twice, with edits before, between and after; another file takes its first name later."""
+    edits = [("a", 1, 0, 6), ("a", 2, 1, 1), ("b", 3, 1, 2), ("b", 1, 0, 3), ("c", 5, 1, 1), ("a", 1, 0, 9), ("c", 1, 1, 1)]
+    hunks = frame(spark, [("p", "c%d" % i, 10 * i, T0 + timedelta(hours=i), f, s if o else s - 1, o, s if n else s - 1, n) for i, (f, s, o, n) in enumerate(edits)], HUNKS)
+    ren = frame(spark, [("p", 15, "a", "b"), ("p", 35, "b", "c")], "project string, log_pos bigint, old string, new string")
+    trail = replay([e[1:] for e in edits if e != ("a", 1, 0, 9)])
+    place = [0, 1, 2, 3, 4, 6]
+    t = frame(spark, [("t%d" % i, "p", "c", i + 1, i + 1) for i in range(len(trail))] + [("new", "p", "a", 4, 5)], TARGETS)
+    for segment in (1000, 2):
+        got = {}
+        for r in history.line_history(t, hunks, segment, renames=ren).collect():
+            got.setdefault(r.target_id, set()).add(r.log_pos // 10)
+        assert got == {**{"t%d" % i: {place[k] for k in trail[i]} for i in range(len(trail))}, "new": {5}}
+    old = frame(spark, [("t", "p", "b", 6, 6, 35)], TARGETS + ", own_pos bigint")  # the name at that time
+    before = replay([e[1:] for e in edits[:4]])[5]
+    assert {r.log_pos // 10 for r in history.line_history(old, hunks, renames=ren).collect()} == before
+
+
+def test_line_history_of_ranges_in_long_files(spark):
+    """Ranges, deletions and overlapping edits: trees of maps give what walking all commits in one segment gives."""
+    rnd = random.Random(21)
+    rows, size = [], 60
+    for i in range(300):
+        for _ in range(rnd.choice([1, 1, 2])):  # a commit with two edits may have overlapping ones
+            at, old, new = rnd.randint(1, max(size, 1)), rnd.choice([0, 0, 1, 2, 3]), rnd.choice([0, 1, 1, 2, 4])
+            if old or new:
+                rows.append(("p", "c%03d" % i, i, T0 + timedelta(hours=i), "f", at if old else at - 1, old, at if new else at - 1, new))
+    hunks = frame(spark, rows, HUNKS)
+    targets = [("t%d" % k, "p", "f", a, a + rnd.choice([0, 0, 1, 3, 10, 80]), rnd.choice([None, None, rnd.randint(0, 300)])) for k, a in enumerate(rnd.choices(range(1, 200), k=120))]
+    t = frame(spark, targets, TARGETS + ", own_pos bigint")
+    want = sorted((r.target_id, r.sha, r.log_pos) for r in history.line_history(t, hunks, 1000).collect())
+    for segment in (5, 16, 64):
+        assert sorted((r.target_id, r.sha, r.log_pos) for r in history.line_history(t, hunks, segment).collect()) == want
+    few = sorted((r.target_id, r.sha) for r in history.line_history(t, hunks, 1000, limit=3).collect())
+    assert sorted((r.target_id, r.sha) for r in history.line_history(t, hunks, 8, limit=3).collect()) == few
+
+
+def test_line_maps_compose(spark):
+    """Composed maps and corners against each commit in turn."""
+    rnd = np.random.default_rng(4)
+    for _ in range(60):
+        whole, first, last = linemaps.LineMap.nothing(), np.repeat(np.arange(1, 60), 8), None
+        last = first + np.tile([0, 1, 2, 3, 5, 9, 20, 50], 59)
+        touched, alive = np.zeros(len(first), bool), np.ones(len(first), bool)
+        entered = first, last
+        for _ in range(rnd.integers(1, 12)):
+            at, offset, edits = 1, 0, []
+            for _ in range(rnd.integers(1, 4)):
+                at += int(rnd.integers(2, 15))
+                count, old = int(rnd.integers(0, 4)), int(rnd.integers(0, 4))
+                edits.append((at - (count == 0), count, at + offset - (old == 0), old))
+                at, offset = at + count, offset + old - count
+            columns = [np.array(c, np.int64) for c in zip(*edits, strict=True)]
+            ranges = linemaps.Ranges(first, last)
+            for e in edits:
+                ranges.through(slice(None), *(np.int64(v) for v in e))
+            touched |= ranges.touched & alive
+            first, last = ranges.moved()
+            whole = whole.then(linemaps.LineMap.of_commit(*columns))
+            alive &= last >= first
+        assert not whole.loose
+        assert (whole.touches(*entered)[alive] == touched[alive]).all() and whole.touches(*entered)[touched].all()
+        assert (whole.first(entered[0])[alive] == first[alive]).all() and (whole.last(entered[1])[alive] == last[alive]).all()
+
+
 def test_plan_counts_what_would_be_taken_out(spark):
     secret = "token=abc123def456ghi and again token=abc123def456ghj"
     rows = [("p", "a", "me", "first", secret), ("p", "b", "me", "sk-abcdefghijklmnop1234", "x"), ("p", "c", "me", "told", secret)]

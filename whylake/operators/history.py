@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from whylake import constants as K
 from whylake.functions import notes
 from whylake.functions.text import head_tail_list, is_trivial_name
+from whylake.operators import linemaps
 from whylake.operators.ranking import first_texts, positions, previous, top_n
 from whylake.session import cut_lineage
 
@@ -159,11 +160,14 @@ def canonical_files(files: DataFrame, renames: DataFrame | None) -> DataFrame:
     """Add ``path``, the present name of the touched file."""
     if renames is None:
         return files.withColumn("path", F.col("file"))
-    events = rename_events(renames).groupBy("project", F.col("name").alias("file")).agg(
-        F.array_sort(F.collect_list(F.struct("at", "last"))).alias("_events"))
-    joined = files.join(events, ["project", "file"], "left")
-    first = F.get(F.filter("_events", lambda e: e["at"] >= F.col("log_pos")), F.lit(0))
-    return joined.withColumn("path", F.coalesce(first["last"], F.col("file"))).drop("_events")
+    return _last_names(files.withColumn("_at", F.col("log_pos")), rename_events(renames)).drop("_at")
+
+
+def _last_names(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Add ``path``, the last name of the file that was called ``file`` at ``_at``."""
+    listed = events.groupBy("project", F.col("name").alias("file")).agg(F.array_sort(F.collect_list(F.struct("at", "last"))).alias("_events"))
+    first = F.get(F.filter("_events", lambda e: e["at"] >= F.col("_at")), F.lit(0))
+    return rows.join(listed, ["project", "file"], "left").withColumn("path", F.coalesce(first["last"], F.col("file"))).drop("_events")
 
 
 def file_history(files: DataFrame, renames: DataFrame | None = None, limit: int = K.HISTORY_LIMIT) -> DataFrame:
@@ -195,76 +199,26 @@ def line_overlap(targets: DataFrame, hunks: DataFrame) -> DataFrame:
     return met.filter((F.col("new_start") <= F.col("end")) & (F.col("new_end") >= F.col("start")) & first_common)
 
 
-_WALK = "struct<first:bigint,last:bigint,hits:array<struct<sha:string,log_pos:bigint>>>"
-
-
-def _mapped(edits: Column, first: Column, last: Column) -> Column:
-    """A range of lines carried back through the edits of one commit (in order of their lines): whether any of them
-    touches it, and where it was before.  Reads as an array of one, so that the fold runs once."""
-    start = F.struct(
-        F.lit(False).alias("touched"), F.lit(0).cast("bigint").alias("shift_first"), F.lit(0).cast("bigint").alias("shift_last"),
-        first.alias("first"), last.alias("last"))
-
-    def through(at: Column, e: Column) -> Column:
-        begin, end = e["new_start"], e["new_start"] + e["new_count"] - 1
-        delta = e["old_count"] - e["new_count"]
-        removed, above = e["new_count"] == 0, end < first  # a pure deletion sits between lines begin and begin + 1
-        meets = ~removed & ~above & (begin <= last)
-        holds_first, holds_last = meets & (begin <= first), meets & (end >= last)
-        zero = F.lit(0).cast("bigint")
-        return F.struct(
-            (at["touched"] | meets | (removed & (begin < last) & (begin >= first))).alias("touched"),
-            (at["shift_first"] + F.when(removed & (begin < first) | ~removed & above, delta).otherwise(zero)).alias("shift_first"),
-            (at["shift_last"] + F.when(removed & (begin < last) | ~removed & above | meets & ~holds_last, delta).otherwise(zero)).alias("shift_last"),
-            F.when(holds_first, e["old_start"] + F.when(e["old_count"] > 0, 0).otherwise(1) - at["shift_first"]).otherwise(at["first"]).alias("first"),
-            F.when(holds_last, F.when(e["old_count"] > 0, e["old_start"] + e["old_count"] - 1).otherwise(e["old_start"]) - at["shift_last"]).otherwise(at["last"]).alias("last"))
-
-    return F.array(F.aggregate(edits, start, through))
-
-
-def line_history(targets: DataFrame, hunks: DataFrame, segment: int = 256, limit: int = K.HISTORY_LIMIT) -> DataFrame:
+def line_history(targets: DataFrame, hunks: DataFrame, segment: int = 256, limit: int = K.HISTORY_LIMIT, renames: DataFrame | None = None) -> DataFrame:
     """Commits behind the lines start..end of a file, at most ``limit`` per target, newest first.
 
     ``targets`` is (target_id, project, file, start, end); with a column ``own_pos`` its lines are those before that
     place in the log, otherwise the present ones.  A range is carried back commit by commit, because an edit above
-    moves it.  History is cut into segments of ``segment`` commits of a file, newest first; a segment is one row of
-    bounded size, and each target folds over it by itself, so the targets of a hot file spread over tasks.  Only targets
-    that are still open meet the next segment; lineage is cut after each.
+    moves it; ``linemaps`` tells how that is done for long histories.  With ``renames`` (project, log_pos, old, new) lines are followed
+    through the names of their file: edits and targets are taken to the name that their file has in the end.
     """
-    wanted = targets.select("project", "file").distinct()
-    edits = hunks.join(wanted, ["project", "file"], "left_semi")
-    commits = edits.groupBy("project", "file", "sha", "log_pos", "date").agg(
-        F.array_sort(F.collect_list(F.struct("new_start", "new_count", "old_start", "old_count"))).alias("edits"))
-    placed = positions(commits.withColumn("_back", -F.col("log_pos")), ["project", "file"], -F.datediff(F.col("date"), F.lit("1970-01-01")), [F.col("_back")])
-    segments = cut_lineage(placed.groupBy("project", "file", F.floor((F.col("position") - 1) / segment).cast("int").alias("segment")).agg(
-        F.array_sort(F.collect_list(F.struct("_back", "sha", "edits"))).alias("commits")))
-    last = segments.agg(F.max("segment")).first()[0]
     own = F.col("own_pos").cast("bigint") if "own_pos" in targets.columns else F.lit(None).cast("bigint")
-    active = targets.select(
-        "project", "file", F.col("target_id").cast("string").alias("target_id"), own.alias("own_pos"), F.struct(
-            F.col("start").cast("bigint").alias("first"), F.col("end").cast("bigint").alias("last"), F.array().alias("hits")).cast(_WALK).alias("at"))
-
-    def walk(at: Column, commit: Column) -> Column:
-        place = -commit["_back"]
-        live = (at["last"] >= at["first"]) & (F.size(at["hits"]) < limit) & (F.col("own_pos").isNull() | (place < F.col("own_pos")))
-        moved = F.transform(_mapped(commit["edits"], at["first"], at["last"]), lambda m: F.struct(
-            (m["first"] + m["shift_first"]).alias("first"), (m["last"] + m["shift_last"]).alias("last"),
-            F.when(m["touched"], F.concat(at["hits"], F.array(F.struct(commit["sha"].alias("sha"), place.alias("log_pos"))))).otherwise(at["hits"]).alias("hits")))
-        return F.when(live, F.get(moved, F.lit(0)).cast(_WALK)).otherwise(at)
-
-    ended = None
-    for number in range(0 if last is None else last + 1):
-        here = active.join(segments.filter(F.col("segment") == number).drop("segment"), ["project", "file"], "left")
-        walked = cut_lineage(here.withColumn("at", F.when(F.col("commits").isNull(), F.col("at")).otherwise(
-            F.aggregate("commits", F.col("at"), walk))).withColumn("_more", F.col("commits").isNotNull()).drop("commits"))
-        still = F.col("_more") & (F.col("at.last") >= F.col("at.first")) & (F.size("at.hits") < limit)
-        done = walked.filter(~still).drop("_more")
-        ended = done if ended is None else ended.unionByName(done)
-        active = walked.filter(still).drop("_more")
-        if number < last and not active.limit(1).count():
-            break
-    whole = active if ended is None else ended.unionByName(active)
-    return whole.select("project", "file", "target_id", F.inline("at.hits"))
+    wanted = targets.select(
+        "project", "file", F.col("target_id").cast("string").alias("target_id"), own.alias("own_pos"),
+        F.col("start").cast("bigint").alias("first"), F.col("end").cast("bigint").alias("last"))
+    if renames is None:
+        return linemaps.line_history(wanted, hunks, segment, limit)
+    events = cut_lineage(rename_events(renames))
+    last_name = lambda rows, at: _last_names(rows.withColumn("_at", at), events).drop("_at", "file").withColumnRenamed("path", "file")
+    moved = last_name(hunks, F.col("log_pos"))
+    # a present target has its last name already
+    placed = last_name(wanted, F.coalesce("own_pos", F.lit((1 << 63) - 1)))
+    return linemaps.line_history(placed, moved, segment, limit)
 
 
 # --- tests, files and folders ----------------------------------------------------------

@@ -376,11 +376,11 @@ _STEP = "{" + _STATE.format(
     st="x.st", en="x.en", a="x.a", n="x.n", o="x.o", m="x.m") + "}"
 
 
-def line_walk(targets: str) -> str:
+def line_walk(targets: str, hunks: str = "v_hunks") -> str:
     """CTEs ``trail`` (target_id, sha, log_pos): line history of ``targets`` (target_id, project, file, start, end,
     own_pos); the query has to begin WITH RECURSIVE."""
     return f"""walk_targets AS ({targets}),
-walk_commits AS (SELECT project, file, sha, log_pos, list({_EDIT} ORDER BY new_start, new_count, old_start, old_count) AS edits FROM v_hunks GROUP BY ALL),
+walk_commits AS (SELECT project, file, sha, log_pos, list({_EDIT} ORDER BY new_start, new_count, old_start, old_count) AS edits FROM {hunks} GROUP BY ALL),
 walk_steps AS (SELECT t.target_id, c.sha, c.log_pos, c.edits, row_number() OVER (PARTITION BY t.target_id ORDER BY c.log_pos DESC) AS k
   FROM walk_targets t JOIN walk_commits c ON c.project = t.project AND c.file = t.file AND (t.own_pos IS NULL OR c.log_pos < t.own_pos)),
 walk AS (
@@ -398,6 +398,36 @@ def line_history(t):
     return H.line_history(pending_hunks(t), t.hunks()).select("target_id", "sha", "log_pos")
 
 
+# Every rename with the name that its file has in the end; the last name of a file called so at a place is the one of the
+# first rename of that name from there on.
+LAST_NAMES_SQL = """rename_next AS (
+  SELECT e.project, e.old, e.log_pos, e.new, min(f.log_pos) AS nxt FROM v_renames e LEFT JOIN v_renames f
+    ON f.project = e.project AND f.old = e.new AND f.log_pos > e.log_pos GROUP BY ALL),
+rename_chain AS (
+  SELECT project, old AS name, log_pos AS place, new AS last, nxt FROM rename_next
+  UNION ALL
+  SELECT c.project, c.name, c.place, e.new, e.nxt FROM rename_chain c JOIN rename_next e ON e.project = c.project AND e.old = c.last AND e.log_pos = c.nxt),
+last_names AS (SELECT project, name, place, last FROM rename_chain WHERE nxt IS NULL),
+moved_hunks AS (SELECT h.* REPLACE (coalesce(x.last, h.file) AS file), h.file AS old_file FROM v_hunks h LEFT JOIN (
+  SELECT h.project, h.file, h.log_pos, arg_min(l.last, l.place) AS last FROM (SELECT DISTINCT project, file, log_pos FROM v_hunks) h JOIN last_names l
+    ON l.project = h.project AND l.name = h.file AND l.place >= h.log_pos GROUP BY ALL) x ON x.project = h.project AND x.file = h.file AND x.log_pos = h.log_pos)"""
+
+
+@query("line_history_renames", f"""
+WITH RECURSIVE {LAST_NAMES_SQL}, {line_walk(f"SELECT t.* REPLACE (coalesce(x.last, t.file) AS file) FROM ({PENDING_SQL}) t ASOF LEFT JOIN last_names x ON t.project = x.project AND t.file = x.name AND t.own_pos <= x.place", "moved_hunks")}
+SELECT target_id, sha, log_pos FROM trail""")
+def line_history_renames(t):
+    return H.line_history(pending_hunks(t), t.hunks(), renames=t.renames()).select("target_id", "sha", "log_pos")
+
+
+@query("file_history_renames", f"""
+WITH RECURSIVE {LAST_NAMES_SQL}, named AS (SELECT DISTINCT f.project, coalesce(x.last, f.file) AS path, f.sha, f.log_pos FROM v_files f ASOF LEFT JOIN last_names x
+  ON f.project = x.project AND f.file = x.name AND f.log_pos <= x.place)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project, path ORDER BY log_pos DESC) AS rank FROM named) WHERE rank <= 50""")
+def file_history_renames(t):
+    return H.file_history(t.files(), t.renames()).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 LINE_TARGETS_SQL = """SELECT DISTINCT h.project || '|' || h.file || '|' || h.new_start AS target_id, h.project, h.file, h.new_start AS line
   FROM v_hunks h JOIN v_tracked t ON t.project = h.project AND t.file = h.file"""
 

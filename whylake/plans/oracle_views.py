@@ -32,6 +32,9 @@ SELECT * FROM (
     CAST(l_quantity AS BIGINT) AS new_count, CAST(l_linenumber AS BIGINT) * 40 AS old_start, CAST(l_quantity AS BIGINT) - 1 AS old_count
   FROM (SELECT *, l_partkey % 100 AS m FROM lineitem) JOIN v_commits c ON c.k = l_orderkey)
 WHERE file NOT LIKE '%.lock'""",
+    "v_renames": f"""
+SELECT project, log_pos, old, {FILE_OF_PART} AS new FROM (SELECT project, log_pos, m + 1 AS m, {FILE_OF_PART} AS old FROM (
+  SELECT project, log_pos, 25 + k % 70 AS m FROM v_commits WHERE k % 37 = 0))""",
     "v_narr": """
 SELECT coalesce(c.project, '/fleet/unfiled') AS project, coalesce(c.sha, sha1('d' || d.doc_id)) AS sha, coalesce(c.log_pos, d.doc_id) AS log_pos,
   coalesce(c.date, TIMESTAMP '1970-01-01') AS date, d.doc_id, 'Order ' || d.doc_id || ' in ' || lang AS what, text AS why,

@@ -116,6 +116,13 @@ class Tables:
             "project", "sha", "log_pos", "date", f"{FILE_OF_PART} AS file", "new_start", "new_count", "old_start",
             "old_count").filter("NOT endswith(file, '.lock')")
 
+    @role
+    def renames(self) -> DataFrame:
+        """Every 37th order renames a source or test to the next number's name, whole chains of them in time."""
+        rows = self.commits().filter("key % 37 = 0").selectExpr("project", "log_pos", "25 + key % 70 AS m")
+        named = rows.selectExpr("project", "log_pos", "m + 1 AS m", f"{FILE_OF_PART} AS old")
+        return named.selectExpr("project", "log_pos", "old", f"{FILE_OF_PART} AS new")
+
     # --- narratives and judgements ------------------------------------------
     @role
     def narratives(self) -> DataFrame:
