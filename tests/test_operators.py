@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from whylake.operators import adr, align, audits, capsules, coverage, debt, drift, graph, history, linemaps, ranking, reports, review, search, sessions, state, usage
+from whylake.operators import adr, align, audits, capsules, coverage, debt, drift, graph, history, linemaps, ranking, reports, review, search, search_index, sessions, state, usage
 
 T0 = datetime(2024, 5, 1, 12)
 
@@ -390,6 +390,43 @@ def test_bm25_against_formula(spark):
     assert [r.doc_key for r in stored.orderBy("rank").collect()] == want
 
 
+def test_stored_index_finds_what_the_scan_finds(spark, tmp_path, monkeypatch):
+    """Additions and removals without a rebuild, ranges that are not read, and projects."""
+    monkeypatch.setattr(search_index, "RANGE", 16)
+    rnd = random.Random(14)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 7))) for _ in range(400)]
+    docs = [(f"d{i:03d}", f"p{i // 40}", "commit", " ".join(rnd.choices(words[i // 2 : i // 2 + 30], k=rnd.randint(0, 40)))) for i in range(400)]
+    docs += [("dup1", "p3", "commit", docs[130][3]), ("dup2", "p3", "commit", docs[130][3])]
+    corpus = frame(spark, docs, CORPUS)
+    asked = [("q%d" % k, rnd.choice([None, "p3", "p7"]), " ".join(rnd.choices(words[30 * k : 30 * k + 40], k=4))) for k in range(7)]
+    q = frame(spark, [*asked, ("none", None, "zz"), ("exact", None, docs[130][3][:60])], QUEST)
+
+    def rows(df):
+        return sorted((r.question_id, r["rank"], r.doc_key, round(r.score, 6)) for r in df.collect())
+
+    index = search_index.Index.create(spark, str(tmp_path / "index"))
+    index.add(corpus.filter("doc_key < 'd250'"))
+    assert rows(search_index.search(index, q)) == rows(search.search(corpus.filter("doc_key < 'd250'"), q))
+    index.add(corpus.filter("doc_key >= 'd250'"))
+    assert rows(search_index.search(index, q)) == rows(search.search(corpus, q))
+    index.remove(frame(spark, [(f"d{i:03d}",) for i in range(100, 160, 3)] + [("d100",), ("absent",)], "doc_key string"))
+    index.remove(frame(spark, [("d100",), ("d300",)], "doc_key string"))
+    gone = [f"d{i:03d}" for i in range(100, 160, 3)] + ["d300"]
+    left = corpus.filter(~F.col("doc_key").isin(gone))
+    assert rows(search_index.search(index, q)) == rows(search.search(left, q))
+    index.add(corpus.filter("doc_key = 'd300'"))  # and back again
+    assert rows(search_index.search(index, q)) == rows(search.search(corpus.filter(~F.col("doc_key").isin(gone[:-1])), q))
+    seen = search_index.ranges_read(index, q).agg(F.sum("ranges").alias("ranges"), F.sum("read").alias("read")).first()
+    assert seen.read < 0.6 * seen.ranges, seen
+
+
+def test_numbered(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(10**6), str(i)) for i in range(500)]
+    got = ranking.numbered(frame(spark, rows, "a long, b string").repartition(7), ["a", "b"]).collect()
+    assert [(r.a, r.b) for r in sorted(got, key=lambda r: r.number)] == sorted(rows) and sorted(r.number for r in got) == list(range(500))
+
+
 def test_verify_cited(spark):
     cited = frame(spark, [("q", c) for c in ("abc", "abcdef99", "zzz")], "question_id string, cited string")
     known = frame(spark, [("q", "abcdef")], "question_id string, sha string")

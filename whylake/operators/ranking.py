@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from whylake.session import cut_lineage
+
 
 def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:
     """The first ``n`` rows of each group, with their rank.
@@ -72,3 +74,13 @@ def previous(df: DataFrame, keys: list[str], bucket: Column, order: str, value:
     looked = rows.withColumn("_prev", F.lag(F.struct(value, order)).over(inside)).join(ends, keys + ["_bucket"])
     found = F.coalesce("_prev", "_last")
     return looked.withColumns({name: found[value], name + "_order": found[order]}).drop("_bucket", "_prev", "_last")
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """A dense number from 0 in the order of all rows: a range sort, and offsets from the counts of its partitions."""
+    rows = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns(
+        {"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}))
+    parts = rows.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.orderBy("_part")) - F.col("_n")  # a row for each partition
+    return rows.join(F.broadcast(parts.withColumn("_before", before)), "_part").withColumn(
+        name, F.col("_before") + F.col("_at") - F.col("_first")).drop("_at", "_part", "_first", "_n", "_before")

@@ -53,6 +53,19 @@ def _occurrences(corpus: DataFrame) -> DataFrame:
         "doc_key", "project", F.greatest(F.length("body") - 2, F.lit(0)).alias("len"), F.explode(grams(F.col("body"))).alias("trigram"))
 
 
+def bm25_part(tf: Column, length: Column, average: Column) -> Column:
+    """What a term adds to a score before its weight: more for a higher frequency, less in a longer text."""
+    return tf * (K.BM25_K1 + 1) / (tf + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * length / average))
+
+
+def term_weights(wanted: DataFrame, frequency: DataFrame, total: Column) -> DataFrame:
+    """(question_id, _only, trigram, weight) of the trigrams asked for, by the documents (trigram, df) that hold them."""
+    idf = F.ln((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return wanted.join(frequency, "trigram").withColumn(
+        "weight", F.col("times") * F.when(idf <= 0, K.BM25_IDF_FLOOR).otherwise(idf)).select(
+        "question_id", F.col("project").alias("_only"), "trigram", "weight")
+
+
 def search(corpus: DataFrame, questions: DataFrame, limit: int = K.SEARCH_LIMIT, index: DataFrame | None = None) -> DataFrame:
     """The best ``limit`` documents per question (question_id, project or NULL for all, text), by BM25.
 
@@ -71,14 +84,9 @@ def search(corpus: DataFrame, questions: DataFrame, limit: int = K.SEARCH_LIMIT,
     matched = cut_lineage(matched)  # only the postings asked for; read for their frequencies and again for the scores
     frequency = matched.groupBy("trigram").agg(F.count(F.lit(1)).alias("df"))
     total, average = stats["n"], stats["avg_len"]
-    idf = F.ln((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(frequency, "trigram").withColumn(
-        "weight", F.col("times") * F.when(idf <= 0, K.BM25_IDF_FLOOR).otherwise(idf)).select(
-        "question_id", F.col("project").alias("_only"), "trigram", "weight")
+    weights = term_weights(wanted, frequency, total)
     # the part of the score that does not depend on the question, once per posting
-    saturated = F.col("tf") * (K.BM25_K1 + 1) / (
-        F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("len") / average))
-    scored = matched.withColumn("_s", saturated).join(weights, "trigram").filter(
+    scored = matched.withColumn("_s", bm25_part(F.col("tf"), F.col("len"), average)).join(weights, "trigram").filter(
         F.col("_only").isNull() | (F.col("_only") == F.col("project")))
     totals = scored.groupBy("question_id", "doc_key").agg(F.sum(F.col("_s") * F.col("weight")).alias("score"))
     # ties (equal to nine digits, so that summation order cannot matter) go by key

@@ -8,7 +8,7 @@ from whylake import constants as K
 from whylake.functions import notes
 from whylake.functions import text as T
 from whylake.functions.redact import SECRET_NAMES, redact, with_redaction_counts
-from whylake.operators import adr, audits, graph, rendering, review, search
+from whylake.operators import adr, audits, graph, rendering, review, search, search_index
 from whylake.operators import align as A
 from whylake.operators import history as H
 from whylake.operators import reports as R
@@ -17,6 +17,7 @@ from whylake.operators.ranking import top_n
 from whylake.plans.history_queries import ALIGN_CTES
 from whylake.plans.notes_queries import SEGMENTS_SQL, TESTED_SQL, line_walk, snapshot, text_list
 from whylake.plans.registry import query
+from whylake.session import shared_folder
 
 # --- redaction -----------------------------------------------------------------------
 # The SQL engine has no look-ahead: matches of the named-secret pattern without it are listed, those whose value has a
@@ -216,6 +217,39 @@ def search_query(t):
         "question_id", "doc_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
 
 
+def stored_index(t):
+    """Turns are indexed first, narratives come later, and degraded ones are taken out again."""
+    whole = corpus(t)
+    index = search_index.Index.create(t.spark, shared_folder(t.spark, "index"))
+    index.add(whole.filter("kind = 'conversation'"))
+    index.add(whole.filter("kind = 'commit'"))
+    index.remove(t.narratives().filter("degraded").select(F.col("sha").alias("doc_key")))
+    return index
+
+
+@query("search_stored", SEARCH_CTES.replace(CORPUS_SQL, CORPUS_SQL.replace("FROM v_narr", "FROM v_narr WHERE NOT degraded"), 1)
+       + "SELECT question_id, doc_key, rank, round(score, 5) AS score FROM ranked")
+def search_stored(t):
+    return search_index.search(stored_index(t), questions(t)).select(
+        "question_id", "doc_key", F.col("rank").cast("bigint").alias("rank"), F.round("score", 5).alias("score"))
+
+
+# Open risks say "not enough material" where a record is short; regions ask for such two-character words among others.
+FALLBACK_SQL = """SELECT 'r' || r_regionkey AS question_id, upper(r_name) || ' 材料 判断' AS text FROM region"""
+
+
+@query("search_two_characters", f"""
+WITH risky AS (SELECT sha AS doc_key, project, array_to_string(risks, chr(10)) AS body FROM v_narr WHERE len(risks) > 0),
+found AS (SELECT DISTINCT q.question_id, r.doc_key FROM ({FALLBACK_SQL}) q JOIN risky r ON r.body LIKE '%材料%' OR r.body LIKE '%判断%')
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY doc_key) AS rank FROM found) WHERE rank <= 8""")
+def search_two_characters(t):
+    risky = t.narratives().filter(F.size("risks") > 0).select(
+        F.col("sha").alias("doc_key"), "project", F.lit("commit").alias("kind"), F.array_join("risks", "\n").alias("body"))
+    asked = t.raw("region").selectExpr("concat('r', r_regionkey) AS question_id", "CAST(NULL AS STRING) AS project", "concat(upper(r_name), ' 材料 判断') AS text")
+    found = search.two_character_fallback(risky, asked, search.search(risky, asked))
+    return found.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 HITS_CTES = SEARCH_CTES + f""", seg AS (
   SELECT c.sha, coalesce(n.why, '') AS why, CASE WHEN n.sha IS NULL THEN list_filter([c.dec], lambda x: x IS NOT NULL) ELSE n.decisions END AS decisions,
     CASE WHEN n.sha IS NULL THEN list_filter([c.watch], lambda x: x IS NOT NULL) ELSE n.risks END AS risks,

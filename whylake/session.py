@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,14 +35,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder comes from ``spark.checkpoint.dir``, which the cluster sets to shared storage.  Only on a session of one
     machine may it be unset; a scratch folder is used there.
     """
-    spark = df.sparkSession
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="whylake-checkpoint-"))
-    return df.checkpoint()
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The name of a new folder beside the checkpoints, for tables that are written and read within one job."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
