@@ -50,13 +50,22 @@ def references(tests: DataFrame, requests: DataFrame, limit: int = K.REFERENCE_L
     """Checkable sources of a commit besides its evidence: tests (project, sha, path, names) and pull requests
     (project, sha, number, title), at most ``limit`` of each kind, as arrays; ``n_refs`` counts all."""
     listed = []
-    for name, known, columns in (("test_refs", tests, ["path", "names"]), ("pr_refs", requests, ["number", "title"])):
+    said = ["number", "title", *(["snippet"] if "snippet" in requests.columns else [])]
+    for name, known, columns in (("test_refs", tests, ["path", "names"]), ("pr_refs", requests, said)):
         first = top_n(known.select(*COMMIT, *columns), COMMIT, [F.col(columns[0])], limit, "_place")
         listed.append(first.groupBy(*COMMIT).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name)))
     totals = tests.select(*COMMIT).unionByName(requests.select(*COMMIT)).groupBy(*COMMIT).agg(F.count(F.lit(1)).alias("n_refs"))
     return totals.join(listed[0], COMMIT, "left").join(listed[1], COMMIT, "left")
 
 
+def stored_references(refs: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What is stored behind commits for a reader to check: ``references`` and evidence records (project, sha, evidence),
+    as arrays that are empty where a kind is missing."""
+    both = refs.select(*COMMIT, "test_refs", "pr_refs").join(evidence.select(*COMMIT, "evidence"), COMMIT, "full")
+    fields = {f.name: f.dataType for f in both.schema.fields}
+    return both.select(*COMMIT, *(F.coalesce(c, F.array().cast(fields[c])).alias(c) for c in ("evidence", "test_refs", "pr_refs")))
+
+
 def segments(commits: DataFrame, narratives: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """What is known about each commit, with authored records and generated text kept apart; ``refs`` from
     ``references`` adds its tests and requests."""

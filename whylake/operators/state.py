@@ -45,6 +45,33 @@ def fill_evidence(narratives: DataFrame, evidence: DataFrame) -> DataFrame:
         "n_evidence", F.when(F.col("patched"), F.col("n_new")).otherwise(F.col("n_evidence"))).drop("n_new")
 
 
+RECORD = "struct<session_id:string,source:string,ts:timestamp_ntz,confidence:string,prompts:array<string>,excerpts:array<string>>"
+
+
+def merge_evidence(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Evidence records of each commit after a write: (project, sha, evidence, provenance).
+
+    ``stored`` is (project, sha, evidence), records in their order; ``incoming`` has one record a row (project, sha and the
+    fields of a record).  A record is known by its session and time: one that is stored already keeps its place and takes the
+    newer words, others follow in order of time.  ``provenance`` says of each whether it was ``stored``, ``renewed`` or ``added``.
+    """
+    fields = ["session_id", "source", "ts", "confidence", "prompts", "excerpts"]
+    old = stored.select("project", "sha", F.posexplode("evidence").alias("_place", "_old"))
+    new = incoming.groupBy("project", "sha", "session_id", "ts").agg(F.max(F.struct(*fields)).cast(RECORD).alias("_new"))
+    keyed = old.withColumns({"session_id": F.col("_old.session_id"), "ts": F.col("_old.ts")})
+    o, n = keyed.alias("o"), new.alias("n")
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("project", "sha", "session_id", "ts")]
+    both = o.join(n, same[0] & same[1] & same[2] & same[3], "full").select(
+        F.coalesce("o.project", "n.project").alias("project"), F.coalesce("o.sha", "n.sha").alias("sha"), "_place",
+        F.coalesce("o.ts", "n.ts").alias("_ts"), F.coalesce("o.session_id", "n.session_id").alias("_session"),
+        F.coalesce("_new", F.col("_old").cast(RECORD)).alias("record"),
+        F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "stored").otherwise("renewed").alias("how"))
+    # few records a commit: two from each write
+    listed = both.groupBy("project", "sha").agg(F.array_sort(F.collect_list(
+        F.struct(F.coalesce("_place", F.lit(1 << 30)).alias("p"), "_ts", "_session", "record", "how"))).alias("all"))
+    return listed.select("project", "sha", F.col("all.record").alias("evidence"), F.col("all.how").alias("provenance"))
+
+
 def judgments(rows: DataFrame) -> DataFrame:
     """Newest judgement per card, keyed by a hash so the project path cannot be read back."""
     keyed = rows.withColumn("project_key", F.sha2("project", 256)).drop("project")

@@ -380,7 +380,7 @@ def line_walk(targets: str, hunks: str = "v_hunks") -> str:
     """CTEs ``trail`` (target_id, sha, log_pos): line history of ``targets`` (target_id, project, file, start, end,
     own_pos); the query has to begin WITH RECURSIVE."""
     return f"""walk_targets AS ({targets}),
-walk_commits AS (SELECT project, file, sha, log_pos, list({_EDIT} ORDER BY new_start, new_count, old_start, old_count) AS edits FROM {hunks} GROUP BY ALL),
+walk_commits AS (SELECT project, file, sha, log_pos, list({_EDIT} ORDER BY new_start, new_count, old_start, old_count) AS edits FROM {hunks} SEMI JOIN walk_targets USING (project, file) GROUP BY ALL),
 walk_steps AS (SELECT t.target_id, c.sha, c.log_pos, c.edits, row_number() OVER (PARTITION BY t.target_id ORDER BY c.log_pos DESC) AS k
   FROM walk_targets t JOIN walk_commits c ON c.project = t.project AND c.file = t.file AND (t.own_pos IS NULL OR c.log_pos < t.own_pos)),
 walk AS (

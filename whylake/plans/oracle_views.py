@@ -47,6 +47,11 @@ SELECT coalesce(c.project, '/fleet/unfiled') AS project, coalesce(c.sha, sha1('d
   CAST(CASE WHEN l.quality = 1 THEN 1 ELSE 0 END AS BIGINT) AS n_evidence, coalesce(l.toxic = 1, false) AS degraded,
   TIMESTAMP '2024-01-01' + to_seconds(d.doc_id) AS created_at
 FROM documents d LEFT JOIN v_all c ON c.k = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id""",
+    "v_evidence": """
+SELECT n.project, n.sha, 'c' || n.doc_id AS session_id, 'claude' AS source, n.created_at AS ts, CASE WHEN len(n.decisions) > 0 THEN 'high' ELSE 'low' END AS confidence,
+  coalesce(list_slice(s.asked, 1, 2), []) AS prompts, coalesce(list_slice(s.told, 1, 1), []) AS excerpts
+FROM v_narr n LEFT JOIN (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS asked, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS told
+  FROM conversations GROUP BY 1) s ON s.conv_id = n.doc_id WHERE n.n_evidence > 0""",
     "v_caps": """
 SELECT sha || ':0' AS capsule_id, project, sha, watch AS risk, CAST(date AS DATE) AS sealed_date,
   CAST(date AS DATE) + 21 AS open_date, CASE WHEN st <> 'O' THEN CAST(date AS DATE) + 21 END AS opened_date,
@@ -55,7 +60,7 @@ FROM v_commits WHERE watch IS NOT NULL""",
     "v_reviewed": """
 SELECT project, sha, date + INTERVAL 10 DAY AS reviewed_at FROM v_commits WHERE price >= 250000""",
     "v_requests": """
-SELECT project, sha, k AS number, 'Request ' || k AS title FROM v_commits WHERE price BETWEEN 100000 AND 180000 AND k % 3 = 0""",
+SELECT project, sha, k AS number, 'Request ' || k AS title, 'wanted by ' || author AS snippet FROM v_commits WHERE price BETWEEN 100000 AND 180000 AND k % 3 = 0""",
     "v_actions": """
 SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 'cursor' WHEN 'error' THEN 'codex' ELSE 'claude' END AS source,
   '/fleet/u' || user_id AS project, user_id || ':' || strftime(ts, '%Y-%m-%d') AS session_id,

@@ -163,7 +163,20 @@ class Tables:
     def requests(self) -> DataFrame:
         """Pull requests behind some commits."""
         return self.commits().filter("price BETWEEN 100000 AND 180000 AND key % 3 = 0").selectExpr(
-            "project", "sha", "key AS number", "concat('Request ', key) AS title")
+            "project", "sha", "key AS number", "concat('Request ', key) AS title", "concat('wanted by ', author) AS snippet")
+
+    @role
+    def evidence(self) -> DataFrame:
+        """Evidence records: the conversation behind a narrative whose label says that it is good."""
+        said = self.raw("conversations").groupBy("conv_id").agg(
+            F.array_sort(F.collect_list(F.when(F.col("role") == "user", F.struct("turn", "text")))).alias("asked"),
+            F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", "text")))).alias("told"))
+        rows = self.narratives().filter("n_evidence > 0").join(said, F.col("conv_id") == F.col("doc_id"), "left")
+        cut = lambda c, n: F.coalesce(F.slice(F.col(f"{c}.text"), 1, n), F.array().cast("array<string>"))
+        record = F.struct(
+            F.concat(F.lit("c"), "doc_id").alias("session_id"), F.lit("claude").alias("source"), F.col("created_at").alias("ts"),
+            F.when(F.size("decisions") > 0, "high").otherwise("low").alias("confidence"), cut("asked", 2).alias("prompts"), cut("told", 1).alias("excerpts"))
+        return rows.select("project", "sha", F.array(record).alias("evidence"))
 
     # --- sessions -------------------------------------------------------------
     @role
