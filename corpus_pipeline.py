@@ -17,8 +17,18 @@ from whylake.llm import langid, packing, pii, simhash, toxicity
 from whylake.llm.common import fresh, materialise, table
 
 
+#: Texts that travel to Python at a time.  Spark's default of ten thousand is made for short rows.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer texts in a batch, so that several tasks with long texts fit into one executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents whose language cannot be told."""
+    small_batches(spark)
     model = langid.learn(docs, langid.training_labels(docs))
     lang, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     return langid.identified(docs, model, lang=lang, score=score).where(F.col(lang) != langid.UNKNOWN).select(*docs.columns)
@@ -26,6 +36,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that score as toxic."""
+    small_batches(spark)
     model = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
     score = fresh(docs, "toxic_score")
     return toxicity.scored(docs, model, score=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
@@ -33,6 +44,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of each group of near-duplicates."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -44,6 +56,7 @@ def covered(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences."""
+    small_batches(spark)
     return packing.pack(docs)
 
 

@@ -28,6 +28,8 @@ from whylake.llm.common import bitmap_of, fresh, group_of, in_bitmap, materialis
 #: it.  The share bounds the work: no more words are fetched than 1 / ``LEAST_SHARE`` for each seed.
 SUPPORT, LEAST_SHARE = 3, 0.05
 ROUNDS, SURE = 3, 0.5
+#: Bounds of the parts, in shares of the last, in which words after patterns are counted.
+PARTS = (0, 1, 8, 64)
 #: Numbers that are added up one after the other in ``running``; sums of such stretches are put together after that.
 STRETCH = 64
 
@@ -193,12 +195,17 @@ def discovered(rows: DataFrame, seeds: DataFrame, support: int = SUPPORT, rounds
     """(doc_id, text_hash, start, stop) of identifiers that sure patterns lead to."""
     found = materialise(seeds.select(F.inline("spans")).where("pattern is not null").select("pattern", "instance").distinct())
     supported = materialise(found.groupBy("pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= support))
-    groups = supported.select(group_of(F.col("pattern")).alias("g"))
-    # words after each pattern, counted and not fetched: those that ordinary text follows too often are no patterns of identifiers
-    totals = context_counts(rows, bitmap_of(groups).scalar()).groupBy("pattern").agg(F.sum("n").alias("n"))
     occurring = seeds.select(F.inline("spans")).groupBy("pattern").agg(F.count(F.lit(1)).alias("as_seed"))
-    good = supported.join(totals, "pattern").join(occurring, "pattern").where(F.col("as_seed") >= LEAST_SHARE * F.col("n")).select("pattern")
-    good = materialise(good)
+    open_ = materialise(supported.join(occurring, "pattern").select("pattern", "as_seed", F.lit(0).cast("long").alias("n")))
+    # words after each pattern, counted and not fetched: those that ordinary text follows too often are no patterns of identifiers.
+    # All texts are counted, in parts that grow, and a pattern that has too many words already is counted no further
+    for low, high in zip(PARTS, PARTS[1:], strict=False):
+        part = rows.where(F.pmod("text_hash", F.lit(PARTS[-1])).between(low, high - 1))
+        bitmap = bitmap_of(open_.select(group_of(F.col("pattern")).alias("g")))
+        more = context_counts(part, bitmap.scalar()).groupBy("pattern").agg(F.sum("n").alias("more"))
+        total = F.col("n") + F.coalesce("more", F.lit(0))
+        open_ = materialise(open_.join(more, "pattern", "left").where(F.col("as_seed") >= LEAST_SHARE * total).select("pattern", "as_seed", total.alias("n")))
+    good = open_.select("pattern")
     bitmap = bitmap_of(good.select(group_of(F.col("pattern")).alias("g")))
     words = contexts(rows, bitmap.scalar()).join(good, "pattern", "left_semi").withColumn("value", bare(F.col("word")))
     words = materialise(words.select("doc_id", "text_hash", "pattern", "word", "value", "start", F.xxhash64(F.lower("value")).alias("instance")))
