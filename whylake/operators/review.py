@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from whylake import constants as K
 from whylake.functions.redact import redact
-from whylake.functions.text import card_id, lines
+from whylake.functions.text import LINE_BREAK, card_id, let
 from whylake.operators.history import line_history
 from whylake.operators.ranking import top_n
 
@@ -18,31 +18,43 @@ COMMIT = ["project", "sha"]
 def diff_hunks(diffs: DataFrame) -> DataFrame:
     """Unified diffs (diff_id, text) to hunks: file, new line range, text, in order.
 
-    A diff is cut into marked lines; the file in force and the hunk a line belongs to are running values within that
-    one diff.  Deleted files, empty ranges and unreadable headers give no hunk; any line starting with "+++ "
-    switches the file.
+    Everything is local to the row of a diff: it is split into the sections of its files, and these into pieces that begin with a
+    hunk's header.  Deleted files, empty ranges and unreadable headers give no hunk; any line starting with "+++ " switches
+    the file, and what follows without a file belongs to the hunk before.
     """
-    rows = diffs.select("diff_id", F.posexplode(lines(F.col("text"))).alias("pos", "line"))
-    line = F.col("line")
-    path = F.trim(F.substr(line, F.lit(5)))
-    opens, names = F.startswith(line, F.lit("diff --git ")), F.startswith(line, F.lit("+++ "))
-    file_event = F.when(opens, "").when(names, F.when(path == "/dev/null", "").otherwise(F.regexp_replace(path, "^b/", "")))
-    run = W.partitionBy("diff_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    marked = rows.withColumns({"_file_event": file_event, "_names": names}).withColumn(
-        "file", F.coalesce(F.last("_file_event", ignorenulls=True).over(run), F.lit("")))
-    starts = F.startswith(line, F.lit("@@")) & (F.col("file") != "")
-    marked = marked.withColumns({"_starts": starts, "_edge": starts | opens}).withColumn(
-        "_part", F.sum(F.col("_edge").cast("int")).over(run))
-    header = F.when(F.col("_starts"), line)
-    first = marked.filter("_part > 0 AND NOT _names").groupBy("diff_id", "_part").agg(
-        F.max(header).alias("header"), F.max(F.when(F.col("_starts"), F.col("file"))).alias("file"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("diff"))
-    good = first.filter(F.col("header").isNotNull() & F.regexp_like("header", F.lit(K.HUNK_PATTERN)))
-    start = F.regexp_extract("header", K.HUNK_PATTERN, 1).cast("bigint")
-    count = F.coalesce(F.nullif(F.regexp_extract("header", K.HUNK_PATTERN, 2), F.lit("")).cast("bigint"), F.lit(1))
-    dense = F.row_number().over(W.partitionBy("diff_id").orderBy("_part"))
-    return good.withColumns({"start": start, "_count": count}).filter("_count > 0").select(
-        "diff_id", dense.alias("hunk_no"), "file", "start", (F.col("start") + F.col("_count") - 1).alias("end"), "diff")
+    text = F.regexp_replace(F.regexp_replace("text", f"(?:{LINE_BREAK})\\z", ""), LINE_BREAK, "\n")
+    sections = F.split(text, r"(?md)^(?=diff --git )")
+
+    def switched(piece: Column) -> Column:
+        """The file that the last line with a name in a piece switches to; null without such a line."""
+        path = F.trim(F.try_element_at(F.regexp_extract_all(piece, F.lit(r"(?md)^\+\+\+ (.*)$"), F.lit(1)), F.lit(-1)))
+        return F.when(path == "/dev/null", "").otherwise(F.regexp_replace(path, "^b/", ""))
+
+    def of_section(pieces: Column) -> Column:
+        switches = F.filter(F.transform(pieces, lambda p, i: F.struct(i.alias("at"), switched(p).alias("file"))), lambda s: s["file"].isNotNull())
+
+        def begun(switches: Column) -> Column:
+            file = lambda i: F.coalesce(F.try_element_at(F.filter(switches, lambda s: s["at"] < i), F.lit(-1))["file"], F.lit(""))
+            each = F.transform(pieces, lambda p, i: F.struct(i.alias("at"), file(i).alias("file"), p.alias("piece")))
+            return F.filter(each, lambda x: F.startswith(x["piece"], F.lit("@@")) & (x["file"] != ""))
+
+        def whole(starts: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(starts, j + 1)["at"], F.size(pieces))
+            body = lambda x, j: F.array_join(F.slice(pieces, x["at"] + 1, end(j) - x["at"]), "")
+            told = lambda x, j: F.regexp_replace(F.regexp_replace(body(x, j), r"(?md)^\+\+\+ .*(?:\n|\z)", ""), r"\n\z", "")
+            return F.transform(starts, lambda x, j: F.struct(x["file"].alias("file"), F.substring_index(x["piece"], "\n", 1).alias("header"), told(x, j).alias("diff")))
+
+        return let(let(switches, begun), whole)
+
+    found = F.flatten(F.transform(sections, lambda s: let(F.split(s, r"(?md)^(?=@@)"), of_section)))
+
+    def ranged(h: Column) -> Column:
+        part = lambda n: F.nullif(F.regexp_extract(h["header"], K.HUNK_PATTERN, n), F.lit("")).cast("bigint")
+        return F.struct(h["file"].alias("file"), part(1).alias("start"), F.coalesce(part(2), F.lit(1)).alias("count"), h["diff"].alias("diff"))
+
+    good = F.filter(F.transform(F.filter(found, lambda h: F.regexp_like(h["header"], F.lit(K.HUNK_PATTERN))), ranged), lambda h: h["count"] > 0)
+    rows = diffs.select("diff_id", F.posexplode(good).alias("no", "h"))
+    return rows.select("diff_id", (F.col("no") + 1).alias("hunk_no"), "h.file", "h.start", (F.col("h.start") + F.col("h.count") - 1).alias("end"), "h.diff")
 
 
 def cap_hunks(hunks: DataFrame, limit: int = K.MAX_REVIEW_HUNKS) -> DataFrame:

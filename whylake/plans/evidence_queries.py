@@ -17,7 +17,7 @@ from whylake.operators.ranking import top_n
 from whylake.plans.history_queries import ALIGN_CTES
 from whylake.plans.notes_queries import SEGMENTS_SQL, TESTED_SQL, line_walk, snapshot, text_list
 from whylake.plans.registry import query
-from whylake.session import shared_folder
+from whylake.session import shared_folder, spread
 
 # --- redaction -----------------------------------------------------------------------
 # The SQL engine has no look-ahead: matches of the named-secret pattern without it are listed, those whose value has a
@@ -60,7 +60,7 @@ def sql_named(column: str) -> str:
 
 @query("redact", REDACT_CTES + f"SELECT doc_id, md5({_sql_steps('t6', _AFTER)}) AS digest FROM r7")
 def redact_query(t):
-    return t.raw("documents").select("doc_id", F.md5(redact(F.col("text"))).alias("digest"))
+    return spread(t.raw("documents").select("doc_id", "text"), "doc_id").select("doc_id", F.md5(redact(F.col("text"))).alias("digest"))
 
 
 def _count_columns() -> str:
@@ -76,7 +76,7 @@ def _count_columns() -> str:
 
 @query("redaction_counts", REDACT_CTES + f"SELECT {_count_columns()} FROM r7")
 def redaction_counts(t):
-    counted = with_redaction_counts(t.raw("documents").select("text"), "text")
+    counted = with_redaction_counts(spread(t.raw("documents").select("doc_id", "text"), "doc_id"), "text")
     return counted.agg(*[F.sum("n_" + n).alias("n_" + n) for n in SECRET_NAMES])
 
 
