@@ -501,6 +501,46 @@ def test_quote_audit(spark):
     assert {r.quote_id: r.result for r in audits.audit_quotes(quotes, live).collect()} == {1: "verified", 2: "mismatch", 3: "dangling", 4: "mismatch"}
 
 
+def test_quotes_by_windows(spark):
+    """Parts of every length at every place, against plain search; and a long session."""
+    rnd = random.Random(17)
+    text = ["".join(rnd.choice("abé \U0001f600") for _ in range(rnd.randint(0, 300))) for _ in range(30)]
+    live = frame(spark, [(f"s{i % 3}", [t]) for i, t in enumerate(text)], "session_id string, texts array<string>")
+    quotes = []
+    for k in range(400):
+        t = rnd.choice(text)
+        a = rnd.randint(0, len(t))
+        part = t[a : a + rnd.choice([1, 2, 3, 5, 8, 13, 31, 64, 127, 200])]
+        if rnd.random() < 0.3:
+            part = part[:-1] + "z"
+        quotes.append((k, f"s{rnd.randint(0, 3)}", part if rnd.random() < 0.8 else part + "…" + rnd.choice(text)[:7]))
+    want = {}
+    for k, s, q in quotes:
+        parts = [p.strip(" ") for p in q.split("…") if p.strip(" ")]
+        own = [t for i, t in enumerate(text) if f"s{i % 3}" == s]
+        want[k] = "dangling" if s == "s3" else "verified" if parts and all(any(p in t for t in own) for p in parts) else "mismatch"
+    got = {r.quote_id: r.result for r in audits.audit_quotes(frame(spark, quotes, "quote_id int, session_id string, quote string"), live).collect()}
+    assert got == want and len(set(want.values())) == 3
+    turns = spark.range(100_000).selectExpr("'long' AS session_id", "id", "concat('turn number ', id, ' says something about part ', id % 977) AS text")
+    stretches = turns.groupBy("session_id", (F.col("id") / 64).cast("int").alias("n")).agg(F.collect_list("text").alias("texts")).drop("n")
+    asked = turns.filter("id % 3 = 0").select(F.col("id").cast("int").alias("quote_id"), "session_id", "text").withColumnRenamed("text", "quote")
+    assert {(r.result, r["count"]) for r in audits.audit_quotes(asked, stretches).groupBy("result").count().collect()} == {("verified", 33334)}
+
+
+def test_first_commits_of_sessions(spark):
+    """The earliest commits of each session as all matches give them, for short, long and very long sessions."""
+    rnd = random.Random(23)
+    commits = [(rnd.choice("pq"), f"{rnd.randrange(16**9):09x}", i, T0 + timedelta(minutes=rnd.randint(0, 100_000)), f"subject {i % 7}", f"f{rnd.randint(0, 9)}") for i in range(300)]
+    sessions = [(rnd.choice("pq"), "claude", f"s{i}", s, s + timedelta(minutes=rnd.choice([0, 20, 700, 9_000, 60_000]))) for i in range(40) for s in [T0 + timedelta(minutes=rnd.randint(0, 90_000))]]
+    files = [(*s[:3], f"f{rnd.randint(0, 12)}", rnd.choice(["write", "read"])) for s in sessions if rnd.random() < 0.5]
+    c = frame(spark, commits, "project string, sha string, log_pos bigint, date timestamp, subject string, file string")
+    s = frame(spark, sessions, "project string, source string, session_id string, started timestamp, ended timestamp")
+    f = frame(spark, files, "project string, source string, session_id string, file string, mode string")
+    rows = lambda df: sorted((r.session_id, r["rank"], r.sha7, r.log_pos) for r in df.collect())
+    for n in (1, 5):
+        assert rows(align.first_commits(c, c, s, f, n)) == rows(align.session_commits(align.align(c, c, s, f), c, n))
+
+
 def test_note_audit(spark):
     commits = frame(spark, [("p", "a", 1, T0, "s", "Vibe-Decision: kept\nVibe-Decision: lost\nVibe-Watch: w")], COMMITS)
     narr = frame(spark, [narrative("a", ["kept"], ["w"])], NARR)

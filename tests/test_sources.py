@@ -168,6 +168,31 @@ def test_incremental_reading(spark, tmp_path):
     assert {(r.path, r.v) for r in S.merge_summaries(stored, fresh).collect()} == {("a", 1), ("b", 2)}
 
 
+def test_refresh_opens_only_changed_files(spark, tmp_path):
+    """The files behind a refreshed reading are the changed ones; the result is that of reading everything."""
+    folder = tmp_path / "s" / "-w"
+    line = lambda i, text: json.dumps({"type": "user", "timestamp": f"2024-05-01T10:00:{i:02d}Z", "sessionId": f"s{i}", "message": {"content": text}})
+    for i in range(6):
+        write(folder / f"s{i}.jsonl", line(i, f"question {i} of some length"))
+    first, states = S.refresh(spark, str(tmp_path / "s"), S.read_transcripts, None, None)
+    stored = S.Sessions(spark.createDataFrame(first.summaries.collect(), first.summaries.schema), spark.createDataFrame(first.files.collect(), first.files.schema))
+    opened = []
+
+    def reader(*args, **kwargs):
+        got = S.read_transcripts(*args, **kwargs)
+        opened.extend(got.summaries.inputFiles())
+        return got
+
+    same, states = S.refresh(spark, str(tmp_path / "s"), reader, stored, states)
+    assert opened == [] and same.summaries.count() == 6
+    write(folder / "s3.jsonl", line(3, "question 3 asked anew, in other words"))
+    write(folder / "s9.jsonl", line(9, "another question of some length"))
+    again, states = S.refresh(spark, str(tmp_path / "s"), reader, stored, states)
+    assert {f.rsplit("/", 1)[1] for f in opened} == {"s3.jsonl", "s9.jsonl"}
+    whole = S.read_transcripts(spark, str(tmp_path / "s"))
+    assert sorted(map(str, again.summaries.collect())) == sorted(map(str, whole.summaries.collect())) and again.summaries.count() == 7
+
+
 def test_usage_and_reports(spark, tmp_path):
     path = str(tmp_path / "usage")
     sinks.append_usage(spark.createDataFrame([("digest", "2024-05-01T00:00:00Z", "/w?token=abc123def456ghi")], "command string, ts string, project string"), path)

@@ -106,3 +106,38 @@ def session_commits(matches: DataFrame, commits: DataFrame, n: int | None = None
         *SESSION, F.substring("sha", 1, 7).alias("sha7"), "subject", "log_pos")
     unique = rows.groupBy(*SESSION, "sha7", "subject").agg(F.min("log_pos").alias("log_pos"))
     return unique if n is None else top_n(unique, SESSION, [F.col("log_pos"), F.col("sha7")], n)
+
+
+def first_commits(commits: DataFrame, files: DataFrame, sessions: DataFrame, session_files: DataFrame, n: int, slack_minutes: int = K.TIME_SLACK_MINUTES) -> DataFrame:
+    """The rows of ``session_commits(align(...), commits, n)`` without the list of all matches.
+
+    A session's ``n`` earliest commits are among the earliest of each of its files, and of each time bucket that it covers whole;
+    only the buckets at both of its ends are looked through.  So a session meets n rows for a file or a bucket, however many
+    commits they hold.
+    """
+    order = [F.col("log_pos"), F.col("sha7")]
+    known = commits.select("project", "sha", F.substring("sha", 1, 7).alias("sha7"), "subject", "log_pos", "date").distinct()
+    named = known.select("project", "sha", "sha7", "subject", "log_pos")
+
+    # commits that read the same are one, so they are counted once in every list
+    per_file = files.select("project", "sha", "file").distinct().join(named, ["project", "sha"]).groupBy("project", "file", "sha7", "subject").agg(F.min("log_pos").alias("log_pos"))
+    written = session_files.filter("mode = 'write'").select(*SESSION, "file").distinct()
+    by_file = top_n(per_file, ["project", "file"], order, n).drop("rank").join(written, ["project", "file"]).select(*SESSION, "sha7", "subject", "log_pos")
+
+    slack = F.expr(f"interval {slack_minutes} minutes")
+    spans = sessions.filter("started is not null and ended is not null").select(
+        *SESSION, (F.col("started") - slack).alias("_from"), (F.col("ended") + slack).alias("_to"))
+    length = _hours(F.col("_to")) - _hours(F.col("_from"))
+    width = F.when(length <= 24 * LEVELS[0], LEVELS[0]).when(length <= 24 * LEVELS[1], LEVELS[1]).otherwise(LEVELS[2])
+    low, high = F.floor(_hours(F.col("_from")) / F.col("_width")), F.floor(_hours(F.col("_to")) / F.col("_width"))
+    cut = spans.withColumn("_width", width).withColumns({"_low": low, "_high": high})
+    placed = known.select("project", "sha7", "subject", "log_pos", "date", F.explode(F.array(*[F.lit(w) for w in LEVELS])).alias("_width")).withColumn(
+        "_bucket", F.floor(_hours(F.col("date")) / F.col("_width")))
+    ends = cut.withColumn("_bucket", F.explode(F.array_distinct(F.array("_low", "_high"))))
+    at_ends = placed.join(ends, ["project", "_width", "_bucket"]).filter("date between _from and _to").select(*SESSION, "sha7", "subject", "log_pos")
+    earliest = placed.groupBy("project", "_width", "_bucket", "sha7", "subject").agg(F.min("log_pos").alias("log_pos"))
+    inner = cut.filter("_high - _low > 1").withColumn("_bucket", F.explode(F.sequence(F.col("_low") + 1, F.col("_high") - 1)))
+    inside = top_n(earliest, ["project", "_width", "_bucket"], order, n).drop("rank").join(inner, ["project", "_width", "_bucket"]).select(*SESSION, "sha7", "subject", "log_pos")
+
+    unique = by_file.unionByName(at_ends).unionByName(inside).groupBy(*SESSION, "sha7", "subject").agg(F.min("log_pos").alias("log_pos"))
+    return top_n(unique, SESSION, order, n)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from whylake import constants as K
 from whylake.functions import notes
 from whylake.functions.redact import redact
-from whylake.session import spread
+from whylake.session import cut_lineage, spread
 
 COMMIT = ["project", "sha"]
 
@@ -29,19 +29,36 @@ def audit_notes(commits: DataFrame, narratives: DataFrame) -> DataFrame:
     return joined.select(*COMMIT, F.explode(expected).alias("n")).select(*COMMIT, "n.*")
 
 
+#: Lengths of the windows by which quotes are looked up: the greatest power of two that fits twice.
+WINDOWS = (1, 2, 4, 8, 16, 32, 64)
+
+
 def audit_quotes(quotes: DataFrame, live: DataFrame) -> DataFrame:
     """Stored quotes (quote_id, session_id, quote) against the present text of their session.
 
     ``live`` is (session_id, texts) with any number of rows per session, each a stretch of its turns, so that a long
     session is never one row.  A quote may have been shortened in the middle, so each of its parts has to be there; a
     session that is gone leaves the quote dangling.
+
+    Texts are cut into windows of w characters, one after the other; a part of at least 2 w - 1 characters that occurs holds one of
+    them whole, beginning at one of its first w characters.  So parts meet stretches by hashes of windows, and only where they
+    meet are they compared.
     """
-    hay = live.select("session_id", F.array_join(F.transform("texts", redact), "\n").alias("_hay"))
+    hay = cut_lineage(live.select("session_id", F.monotonically_increasing_id().alias("_stretch"), F.array_join(F.transform("texts", redact), "\n").alias("_hay")))
     alive = live.select("session_id", F.lit(True).alias("_alive")).distinct()
-    parts = F.array_distinct(F.filter(F.transform(F.split("quote", "…"), F.trim), lambda p: p != ""))
-    wanted = quotes.select("quote_id", "session_id", "quote", F.size(parts).alias("_parts"), F.explode_outer(parts).alias("_part"))
-    met = wanted.join(hay, "session_id").filter(F.contains("_hay", "_part")).select("quote_id", "session_id", "quote", "_part").distinct()
-    found = met.groupBy("quote_id", "session_id", "quote").agg(F.count(F.lit(1)).alias("_found"))
+    parts = F.array_distinct(F.filter(F.transform(F.split("quote", "…"), lambda p: F.trim(p)), lambda p: p != ""))
+    wanted = quotes.select("quote_id", "session_id", "quote", F.explode(parts).alias("_part"))
+    asked = wanted.select("session_id", "_part").distinct().withColumn("_w", F.coalesce(
+        *(F.when(F.length("_part") >= 2 * w - 1, F.lit(w)) for w in reversed(WINDOWS))))
+    begins = F.transform(F.sequence(F.lit(1), F.col("_w")), lambda i: F.xxhash64(F.substr("_part", i, F.col("_w"))))
+    needles = asked.select("session_id", "_part", "_w", F.explode(F.array_distinct(begins)).alias("_h"))
+    # each window by one pass of a pattern, which is linear in the text where substring() at every place would not be
+    cut = F.coalesce(*(F.when(F.col("_w") == w, F.regexp_extract_all("_hay", F.lit(f"(?s).{{{w}}}"), F.lit(0))) for w in WINDOWS))
+    lengths = asked.select("session_id", "_w").distinct()
+    windows = hay.join(lengths, "session_id").select("session_id", "_stretch", "_w", F.explode(F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))).alias("_h"))
+    places = needles.join(windows, ["session_id", "_w", "_h"]).select("session_id", "_part", "_stretch").distinct()
+    met = places.join(hay, ["session_id", "_stretch"]).filter(F.contains("_hay", "_part")).select("session_id", "_part").distinct()
+    found = wanted.join(met, ["session_id", "_part"]).groupBy("quote_id", "session_id", "quote").agg(F.count(F.lit(1)).alias("_found"))
     judged = quotes.select("quote_id", "session_id", "quote", F.size(parts).alias("_parts")).join(alive, "session_id", "left").join(
         found, ["quote_id", "session_id", "quote"], "left")
     good = (F.col("_parts") > 0) & (F.coalesce("_found", F.lit(0)) == F.col("_parts"))

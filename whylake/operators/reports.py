@@ -140,6 +140,56 @@ def report_lines(commits: DataFrame, narratives: DataFrame, digests: DataFrame,
 
 # --- notes and documents -------------------------------------------------------------
 
+def session_refs(matches: DataFrame) -> DataFrame:
+    """(project, sha, refs): the sessions that time and files tie to a commit, as one line; equal short ids count once."""
+    high = matches.filter("confidence = 'high'").select(*COMMIT, "source", "session_id", "n_overlap")
+    first = high.groupBy(*COMMIT, F.substring("session_id", 1, 8).alias("sid")).agg(F.min_by("n_overlap", F.struct("source", "session_id")).alias("n"))
+    told = F.transform(F.array_sort(F.collect_list(F.struct("sid", "n"))), lambda x: F.concat(F.lit("`"), x["sid"], F.lit("`(交集 "), x["n"].cast("string"), F.lit(" 文件)")))
+    return first.groupBy(*COMMIT).agg(F.concat(F.lit("关联会话:"), F.array_join(told, "、")).alias("refs"))
+
+
+def report_document(commits: DataFrame, narratives: DataFrame, capsules: DataFrame, sessions: DataFrame, matches: DataFrame) -> DataFrame:
+    """The whole daily report as ordered lines: title, the same day in the past, overview, opened capsules, narratives with their
+    aligned sessions, open ends or that there are none, and a footer with the counts of the day.
+
+    Lines (project, day, section, log_pos, part, line), as ``sinks.write_report_lines`` takes them."""
+    digests = cut_lineage(daily_digests(commits, narratives))
+    rows = report_lines(commits, narratives, digests, capsules)
+    day_of = F.to_date("date")
+    # an opened capsule alone makes no report
+    rows = rows.join(digests.select("project", "day"), ["project", "day"], "left_semi")
+    section = F.when(F.col("section") == 0, F.when(F.col("part") == 0, 0).otherwise(2)).otherwise(F.col("section") + 2)
+    rows = rows.withColumn("section", section)
+
+    def lines(df: DataFrame, section: int, log_pos: Column, part: Column, line: Column) -> DataFrame:
+        return df.select("project", "day", F.lit(section).alias("section"), log_pos.cast("bigint").alias("log_pos"), part.cast("int").alias("part"), line.alias("line"))
+
+    first, zero = F.lit(-1), F.lit(0)
+    past = lines(on_this_day(digests), 1, zero, F.when(F.col("label") == K.LAST_MONTH, 0).otherwise(1), F.concat(
+        F.lit("> 📮 **"), "label", F.lit("** · "), F.col("past_day").cast("string"), F.lit(":「"), "sentence", F.lit("。」")))
+    days = digests.select("project", "day")
+    told = lines(days, 4, first, zero, F.lit("## 变更叙事"))
+    ends = lines(days, 5, first, zero, F.lit("## 未闭环汇总"))
+    opened = rows.filter("section = 3").select("project", "day").distinct()
+    marked = lines(opened, 3, first, zero, F.lit("## 🕰 今日开启的时间胶囊"))
+    closed = lines(days.join(rows.filter("section = 5").select("project", "day").distinct(), ["project", "day"], "left_anti"), 5, zero, zero, F.lit("(无)"))
+    refs = commits.select(*COMMIT, day_of.alias("day"), F.col("log_pos").alias("at")).join(session_refs(matches), COMMIT)
+    tied = lines(refs, 4, F.col("at"), F.lit(99), F.col("refs"))
+
+    stats = daily_stats(commits, narratives)
+    begun = sessions.groupBy("project", F.to_date("started").alias("day")).agg(F.count(F.lit(1)).alias("sessions"))
+    filled = capsules.filter("opened_date IS NOT NULL").groupBy("project", F.col("opened_date").alias("day")).agg(
+        F.count(F.lit(1)).alias("opened"), F.count("outcome").alias("filled"))
+    counted = stats.join(begun, ["project", "day"], "left").join(filled, ["project", "day"], "left")
+    text = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
+    foot = F.concat(
+        F.lit("commits "), text("commits"), F.lit(" | 会话 "), text("sessions"), F.lit(" | 缓存命中 "), text("cache_hits"), F.lit("/"), text("commits"),
+        F.lit(" | LLM 调用 "), text("llm_calls"), F.when(F.col("opened") > 0, F.concat(F.lit(" | 胶囊回填 "), text("filled"), F.lit("/"), text("opened"))).otherwise(""))
+    footer = lines(counted, 6, zero, F.lit(1), foot).unionByName(lines(days, 6, zero, zero, F.lit("---")))
+    more = past.unionByName(marked).unionByName(told).unionByName(tied).unionByName(ends).unionByName(closed).unionByName(footer)
+    return rows.select("project", "day", F.col("section").cast("int").alias("section"), "log_pos", "part", "line").unionByName(more.withColumn("line", redact(F.col("line"))))
+
+
 def decision_notes(commits: DataFrame, narratives: DataFrame) -> DataFrame:
     """One note per commit that carries decisions, linked to the daily report of its day."""
     decided = narratives.select(*COMMIT, F.filter("decisions", lambda d: F.trim(d) != "").alias("d")).filter(F.size("d") > 0)

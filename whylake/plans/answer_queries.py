@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from whylake import constants as K
 from whylake.functions.redact import redact
+from whylake.operators import align as A
 from whylake.operators import history as H
 from whylake.operators import questions as Q
-from whylake.operators import rendering, review, search, state
-from whylake.plans.evidence_queries import CARD_TARGETS_SQL, HITS_CTES, RENDER_SQL, SEG_LISTS, card_targets, sql_named, topic_hits
-from whylake.plans.history_queries import TODAY, TODAY_SQL
+from whylake.operators import rendering, reports, review, search, state
+from whylake.plans.evidence_queries import _AFTER, CARD_TARGETS_SQL, HITS_CTES, REDACT_CTES, RENDER_SQL, SEG_LISTS, _sql_steps, card_targets, sql_named, topic_hits
+from whylake.plans.history_queries import ALIGN_CTES, TODAY, TODAY_SQL
 from whylake.plans.notes_queries import SNAPSHOT_SQL, line_walk, snapshot
 from whylake.plans.registry import query
 
@@ -184,3 +185,68 @@ def card_cap(t):
     capped = review.cap_hunks(placed, 10)
     order = F.row_number().over(review.W.partitionBy("diff_id").orderBy("hunk_no"))
     return capped.select("target_id", order.cast("bigint").alias("hunk_no"), "total_hunks", "truncated")
+
+
+# --- the daily report as text --------------------------------------------------------------
+
+# Commits of both kinds: orders carry narratives and capsules, purchases are tied to sessions.
+_LIST = "CASE WHEN len({0}) > 0 THEN '**{1}**' || chr(10) || '- ' || array_to_string({0}, chr(10) || '- ') END"
+REPORT_SQL = ALIGN_CTES + "," + REDACT_CTES.strip().removeprefix("WITH") + f""",
+safe AS (SELECT doc_id, {_sql_steps('t6', _AFTER)} AS why FROM r7),
+cm AS (SELECT project, sha, log_pos, subject, date FROM v_commits UNION ALL SELECT project, sha, log_pos, subject, date FROM v_ecommits),
+told AS (SELECT c.*, CAST(c.date AS DATE) AS day, n.sha IS NOT NULL AS narrated, n.what, s.why, n.decisions, coalesce(n.degraded, false) AS degraded,
+    list_filter(n.risks, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '材料不足')) AS risks,
+    list_filter(n.open_loops, lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '材料不足')) AS loops
+  FROM cm c LEFT JOIN v_narr n ON n.sha = c.sha AND n.project = c.project LEFT JOIN safe s ON s.doc_id = n.doc_id),
+dg AS (SELECT project, day, count(*) AS commits, count(*) FILTER (WHERE narrated) AS hits,
+    '今日 ' || count(*) || ' 个 commit:' || array_to_string(list_slice(list(subject ORDER BY log_pos), 1, 3), ';') AS overview,
+    coalesce(arg_min(decisions[1], log_pos) FILTER (WHERE decisions[1] IS NOT NULL), '') AS decision FROM told GROUP BY 1, 2),
+back AS (SELECT project, day, '上月今日' AS label, 0 AS part, CAST(day - INTERVAL 1 MONTH AS DATE) AS past_day FROM dg
+  UNION ALL SELECT project, day, '去年今日', 1, CAST(day - INTERVAL 12 MONTH AS DATE) FROM dg),
+caps AS (SELECT c.*, m.log_pos, m.subject FROM v_caps c JOIN dg ON dg.project = c.project AND dg.day = c.opened_date LEFT JOIN cm m ON m.sha = c.sha WHERE c.opened_date IS NOT NULL),
+refs AS (SELECT project, sha, '关联会话:' || string_agg('`' || sid || '`(交集 ' || n || ' 文件)', '、' ORDER BY sid) AS line FROM (
+  SELECT project, sha, substr(session_id, 1, 8) AS sid, arg_min(n_overlap, source || '|' || session_id) AS n FROM matches WHERE confidence = 'high' GROUP BY ALL) GROUP BY 1, 2),
+loops AS (SELECT project, day, item, min(log_pos) AS log_pos FROM (SELECT project, day, log_pos, unnest(loops) AS item FROM told) GROUP BY ALL),
+lines AS (
+  SELECT project, day, 0 AS section, 0 AS log_pos, 0 AS part, '# ' || strftime(day, '%Y-%m-%d') || ' ' || split_part(project, '/', -1) || ' 开发日报' AS line FROM dg
+  UNION ALL SELECT b.project, b.day, 1, 0, b.part, '> 📮 **' || label || '** · ' || strftime(past_day, '%Y-%m-%d') || ':「' || split_part(p.overview, '。', 1) || '。」'
+    FROM back b JOIN dg p ON p.project = b.project AND p.day = b.past_day
+  UNION ALL SELECT project, day, 2, 0, 1, '## 今日概览' FROM dg UNION ALL SELECT project, day, 2, 0, 2, overview FROM dg
+  UNION ALL SELECT project, day, 2, 0, 3, '> **今日决定** — ' || decision FROM dg WHERE decision <> ''
+  UNION ALL SELECT DISTINCT project, opened_date, 3, -1, 0, '## 🕰 今日开启的时间胶囊' FROM caps
+  UNION ALL SELECT project, opened_date, 3, log_pos, 0, '<!-- vt-capsule:' || capsule_id || ' -->' FROM caps
+  UNION ALL SELECT project, opened_date, 3, log_pos, 1, '- **' || (opened_date - sealed_date) || ' 天前**(`' || substr(sha, 1, 7) || '`)你担心:「' || risk || '」' ||
+    chr(10) || chr(9) || '> 📌 `' || substr(sha, 1, 7) || '` ' || subject FROM caps
+  UNION ALL SELECT project, opened_date, 3, log_pos, 2 + i, chr(9) || '- [' || CASE WHEN outcome = o THEN 'x' ELSE ' ' END || '] ' || o
+    FROM caps, (SELECT unnest(['想多了', '已解决', '还在担心', '忘记了']) AS o, unnest(range(4)) AS i)
+  UNION ALL SELECT project, day, 4, -1, 0, '## 变更叙事' FROM dg
+  UNION ALL SELECT project, day, 4, log_pos, 0, '### `' || substr(sha, 1, 8) || '` ' || subject || '(' || strftime(date, '%H:%M') || ')' FROM told
+  UNION ALL SELECT project, day, 4, log_pos, 1, '> ⚠️ 本条为降级叙事(LLM 调用失败)' FROM told WHERE degraded
+  UNION ALL SELECT project, day, 4, log_pos, 2, '**改了什么** ' || what FROM told WHERE narrated
+  UNION ALL SELECT project, day, 4, log_pos, 3, '**为什么** ' || why FROM told WHERE narrated
+  UNION ALL SELECT project, day, 4, log_pos, 4, {_LIST.format('decisions', '关键决策')} FROM told
+  UNION ALL SELECT project, day, 4, log_pos, 5, {_LIST.format('risks', '风险(供日后验证)')} FROM told
+  UNION ALL SELECT project, day, 4, log_pos, 6, {_LIST.format('loops', '未闭环')} FROM told
+  UNION ALL SELECT t.project, t.day, 4, t.log_pos, 99, r.line FROM told t JOIN refs r ON r.sha = t.sha AND r.project = t.project
+  UNION ALL SELECT project, day, 5, -1, 0, '## 未闭环汇总' FROM dg
+  UNION ALL SELECT project, day, 5, log_pos, 0, '- ' || item FROM loops
+  UNION ALL SELECT project, day, 5, 0, 0, '(无)' FROM dg WHERE (project, day) NOT IN (SELECT (project, day) FROM loops)
+  UNION ALL SELECT project, day, 6, 0, 0, '---' FROM dg
+  UNION ALL SELECT dg.project, dg.day, 6, 0, 1, 'commits ' || commits || ' | 会话 ' || coalesce(s.n, 0) || ' | 缓存命中 ' || hits || '/' || commits || ' | LLM 调用 ' || (commits - hits)
+    || CASE WHEN f.opened > 0 THEN ' | 胶囊回填 ' || f.filled || '/' || f.opened ELSE '' END
+    FROM dg LEFT JOIN (SELECT project, CAST(started AS DATE) AS day, count(*) AS n FROM v_sess GROUP BY 1, 2) s ON s.project = dg.project AND s.day = dg.day
+    LEFT JOIN (SELECT project, opened_date AS day, count(*) AS opened, count(outcome) AS filled FROM v_caps WHERE opened_date IS NOT NULL GROUP BY 1, 2) f ON f.project = dg.project AND f.day = dg.day)
+SELECT project, strftime(day, '%Y-%m-%d') AS day, CAST(section AS BIGINT) AS section, CAST(log_pos AS BIGINT) AS log_pos, CAST(part AS BIGINT) AS part, md5(line) AS line
+FROM lines WHERE line IS NOT NULL"""
+
+
+@query("daily_report_document", REPORT_SQL)
+def daily_report_document(t):
+    """Every line of every daily report, in its place."""
+    columns = ["project", "sha", "log_pos", "subject", "date"]
+    both = t.commits().select(*columns).unionByName(t.event_commits().select(*columns))
+    events = t.event_commits()
+    matches = A.align(events, events, t.sessions(), t.session_files())
+    rows = reports.report_document(both, t.narratives(), t.capsules(), t.sessions(), matches)
+    return rows.select("project", F.col("day").cast("string").alias("day"), F.col("section").cast("bigint").alias("section"), "log_pos",
+                       F.col("part").cast("bigint").alias("part"), F.md5("line").alias("line"))

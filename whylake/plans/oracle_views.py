@@ -36,7 +36,7 @@ WHERE file NOT LIKE '%.lock'""",
 SELECT project, log_pos, old, {FILE_OF_PART} AS new FROM (SELECT project, log_pos, m + 1 AS m, {FILE_OF_PART} AS old FROM (
   SELECT project, log_pos, 25 + k % 70 AS m FROM v_commits WHERE k % 37 = 0))""",
     "v_narr": """
-SELECT coalesce(c.project, '/fleet/unfiled') AS project, coalesce(c.sha, sha1('d' || d.doc_id)) AS sha, coalesce(c.log_pos, d.doc_id) AS log_pos,
+SELECT coalesce(c.project, '/fleet/unfiled' || (d.doc_id // 100)) AS project, coalesce(c.sha, sha1('d' || d.doc_id)) AS sha, coalesce(c.log_pos, d.doc_id) AS log_pos,
   coalesce(c.date, TIMESTAMP '1970-01-01') AS date, d.doc_id, 'Order ' || d.doc_id || ' in ' || lang AS what, text AS why,
   list_filter([CASE WHEN lang = 'en' THEN 'keep ' || source END, c.dec], lambda x: x IS NOT NULL) AS decisions,
   list_filter([c.watch, CASE WHEN d.n_chars > 1500 THEN 'check ' || lang || ' copy' END,

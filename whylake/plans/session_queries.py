@@ -102,7 +102,8 @@ SELECT s.project, s.source, s.session_id, strftime(started, '%Y-%m-%d') AS day,
   coalesce(array_to_string(x.prompts, ','), '') AS prompts, coalesce(array_to_string(list_slice(x.excerpts, 1, 3), ','), '') AS excerpts
 FROM v_sess s LEFT JOIN v_sess_texts x USING (project, source, session_id) LEFT JOIN wrote USING (project, source, session_id) LEFT JOIN refs USING (project, source, session_id)""")
 def prompt_timeline(t):
-    refs = A.session_commits(matches(t), t.event_commits())
+    commits = t.event_commits()
+    refs = A.first_commits(commits, commits, t.sessions(), t.session_files(), 5)
     rows = S.prompt_timeline(t.sessions(), t.session_files(), refs, t.session_texts())
     text = lambda c: F.coalesce(F.array_join(c, ","), F.lit("")).alias(c)
     return rows.select("project", "source", "session_id", "day", "span", "n_files", text("files"), text("commits"), text("prompts"), text("excerpts"))

@@ -132,7 +132,7 @@ class Tables:
         # a document without an order is kept under a project of its own, so that no text is left out of a corpus
         rows = docs.join(commits, F.col("doc_id") == F.col("key"), "left").join(labels, F.col("doc_id") == F.col("label_id"), "left")
         return rows.selectExpr(
-            "coalesce(project, '/fleet/unfiled') AS project", "coalesce(sha, sha1(concat('d', doc_id))) AS sha",
+            "coalesce(project, concat('/fleet/unfiled', doc_id div 100)) AS project", "coalesce(sha, sha1(concat('d', doc_id))) AS sha",
             "coalesce(log_pos, doc_id) AS log_pos", "coalesce(date, TIMESTAMP_NTZ '1970-01-01') AS date", "doc_id",
             "concat('Order ', doc_id, ' in ', lang) AS what", "text AS why",
             "array_compact(array(CASE WHEN lang = 'en' THEN concat('keep ', source) END, dec)) AS decisions",

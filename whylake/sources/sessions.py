@@ -18,6 +18,7 @@ from whylake.functions.redact import redact
 from whylake.functions.text import head_tail, parse_time, strip
 from whylake.operators.ranking import top_n
 from whylake.operators.sessions import as_list, is_human, is_injected
+from whylake.session import cut_lineage
 
 FILE = ["path"]
 
@@ -28,13 +29,17 @@ class Sessions:
     files: DataFrame
 
 
-def _lines(spark: SparkSession, path: str, pattern: str, since=None) -> DataFrame:
+def _lines(spark: SparkSession, path: str, pattern: str, since=None, only: list[str] | None = None) -> DataFrame:
     """JSON lines with their place: (path, at, v).  ``v`` is NULL where a line is no JSON object.  ``since`` skips files
-    not modified since then before they are opened."""
+    not modified since then before they are opened; of ``only`` (names of files) no other is opened."""
     reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if since is not None:
         reader = reader.option("modifiedAfter", since.strftime("%Y-%m-%dT%H:%M:%S"))
-    raw = reader.text(path).filter(F.trim("value") != "")
+    if only == []:  # nothing to open
+        raw = spark.createDataFrame([], "value string, _metadata struct<file_path:string,file_block_start:bigint>")
+    else:
+        raw = reader.text(path if only is None else only)
+    raw = raw.filter(F.trim("value") != "")
     v = V.parse(F.col("value"))
     return raw.select(
         F.col("_metadata.file_path").alias("path"),
@@ -66,7 +71,7 @@ def _summaries(rows: DataFrame, source: str, ids: DataFrame, prompts: DataFrame,
 
 # --- transcripts --------------------------------------------------------------------
 
-def read_transcripts(spark: SparkSession, path: str, since=None) -> Sessions:
+def read_transcripts(spark: SparkSession, path: str, since=None, only: list[str] | None = None) -> Sessions:
     """``<project>/<session>.jsonl`` and ``<project>/<session>/subagents/**/agent-*.jsonl``.
 
     Unknown records are ignored, lines that are no JSON are counted.  Side chains add their statements and files but no
@@ -75,7 +80,7 @@ def read_transcripts(spark: SparkSession, path: str, since=None) -> Sessions:
     side = F.contains("path", F.lit("/subagents/"))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl$", "")
     after = F.split("path", "/")
-    lines = _lines(spark, path, "*.jsonl", since).filter(~F.endswith("path", F.lit("/journal.jsonl")))
+    lines = _lines(spark, path, "*.jsonl", since, only).filter(~F.endswith("path", F.lit("/journal.jsonl")))
     lines = lines.filter(~side | F.startswith(stem, F.lit("agent-")))
     project = F.when(side, F.element_at(F.split(F.substring_index("path", "/subagents/", 1), "/"), -2)).otherwise(F.element_at(after, -2))
     rec = lines.select(
@@ -127,12 +132,12 @@ def read_transcripts(spark: SparkSession, path: str, since=None) -> Sessions:
 
 # --- rollouts ---------------------------------------------------------------------------
 
-def read_rollouts(spark: SparkSession, path: str, since=None) -> Sessions:
+def read_rollouts(spark: SparkSession, path: str, since=None, only: list[str] | None = None) -> Sessions:
     """``rollout-*.jsonl``: the first record has to be the session meta, whose working directory is the project.
 
     Only paths are taken from patch calls; their text may hold secrets and is never kept.
     """
-    lines = _lines(spark, path, "rollout-*.jsonl", since).withColumn("type", V.text_at(F.col("v"), "$.type"))
+    lines = _lines(spark, path, "rollout-*.jsonl", since, only).withColumn("type", V.text_at(F.col("v"), "$.type"))
     first = lines.groupBy("path").agg(F.min_by(F.struct("type", V.text_at(F.col("v"), "$.payload.cwd").alias("cwd")), "at").alias("f"))
     owned = first.filter("f.type = 'session_meta' AND f.cwd IS NOT NULL").select("path", F.col("f.cwd").alias("project"))
     rec = lines.join(owned, "path")
@@ -248,4 +253,21 @@ def changed_files(now: DataFrame, known: DataFrame, since=None) -> DataFrame:
 
 def merge_summaries(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """Stored summaries stay for unchanged files and give way to re-read ones."""
-    return stored.join(fresh.select("path").distinct(), "path", "left_anti").unionByName(fresh)
+    return stored.join(fresh.select("path").distinct(), "path", "left_anti").select(*stored.columns).unionByName(fresh)
+
+
+def refresh(spark: SparkSession, path: str, reader, stored: Sessions | None, known: DataFrame | None, since=None) -> tuple[Sessions, DataFrame]:
+    """Sessions after a scan that opens only what is new or changed, and the states of the files to store for the next one.
+
+    ``stored`` and ``known`` are what the scan before gave, ``reader`` is one of the readers above.  Files are compared by
+    path, time and size.  Names of changed files are listed on the driver, as Spark's own listing of the folder is.  Sessions of
+    files that are gone stay.  The files of sessions hold no path, so those of sessions that were read again give way by session.
+    """
+    now = cut_lineage(file_states(spark, path))
+    if stored is None or known is None:
+        return reader(spark, path, since), now
+    only = [r.path for r in changed_files(now, known, since).select("path").collect()]
+    fresh = reader(spark, path, only=only)
+    again = fresh.summaries.select("source", "session_id").distinct()
+    files = stored.files.join(again, ["source", "session_id"], "left_anti").unionByName(fresh.files)
+    return Sessions(merge_summaries(stored.summaries, fresh.summaries), files), now
