@@ -43,9 +43,9 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near-duplicates."""
+    """Keep the document with the smallest id of each group of near-duplicates: five words, similarity 0.8 or more."""
     small_batches(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def covered(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

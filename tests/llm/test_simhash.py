@@ -110,3 +110,64 @@ def test_query(spark, sf_tiny):
     want = expected([(d, brute(t)) for d, t in docs.items()])
     assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in df.collect()) == want
     assert df.where(F.length("fingerprint") != 16).count() == 0
+
+
+def jaccard(a, b, size=5):
+    sets = []
+    for t in (a, b):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set())
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if sets[0] | sets[1] else 1.0
+
+
+@pytest.fixture(scope="module")
+def edited(words):
+    """Texts with copies in which 1 to 20 words are replaced, one cluster far larger than a chunk of the test."""
+    draw, rows = random.Random(31), []
+    for i in range(40):
+        base = draw.choices(words, k=draw.randint(60, 400))
+        rows.append((1000 * i, " ".join(base)))
+        for j in range(draw.randint(0, 4) if i else 60):
+            own = list(base)
+            for _ in range(draw.randint(1, 20 if i else 2)):
+                own[draw.randrange(len(own))] = draw.choice(words)
+            rows.append((1000 * i + j + 1, draw.choice([" ", "\n"]).join(own)))
+    return rows
+
+
+def test_similar_documents_by_brute_force(spark, edited):
+    """All pairs of similarity 0.8 or more, but for the share that no band or a wide fingerprint misses."""
+    docs = spark.createDataFrame(edited, "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in simhash.keep_one_similar(docs).collect()}
+    pairs = [(a, b) for i, (a, s) in enumerate(edited) for b, t in edited[:i] if a // 1000 == b // 1000 and jaccard(s, t) >= 0.8]
+    groups = components([d for d, _ in edited], pairs)
+    firsts = set(groups.values())
+    gone = len(edited) - len(firsts)
+    assert firsts <= kept and len(kept - firsts) <= 0.04 * gone and gone > 40
+
+
+def test_wide_prints_and_bands():
+    draw = np.random.default_rng(2)
+    near, same = [], []
+    for _ in range(300):
+        h = draw.integers(0, 1 << 63, 300).astype(np.uint64)
+        g = np.unique(np.concatenate([h[:267], draw.integers(0, 1 << 63, 33).astype(np.uint64)]))  # similarity 0.8
+        a, b = simhash.wide_print(np.unique(h)), simhash.wide_print(g)
+        near.append(sum(int(x ^ y).bit_count() for x, y in zip(a, b, strict=True)))
+        same.append(any(x == y for x, y in zip(simhash.band_keys(h), simhash.band_keys(g), strict=True)))
+    assert np.mean(np.array(near) <= simhash.WIDE_RADII[-1]) > 0.98 and np.mean(same) > 0.98
+
+
+def test_odd_similar_documents(spark, odd_docs, no_docs):
+    """Copies, near copies in case and white space, null and repeated ids, empty texts."""
+    both = odd_docs.union(odd_docs.where("doc_id in (8, 13)"))
+    kept = simhash.keep_one_similar(both)
+    assert kept.columns == odd_docs.columns
+    rows = sorted([(r.doc_id is None, r.doc_id or 0, r.text) for r in both.collect()], key=lambda r: (r[0], r[1]))
+    want, seen = [], []
+    for _, d, t in rows:
+        if not any(jaccard(t, s) >= 0.8 for s in seen):
+            want.append(t)
+        seen.append(t)
+    assert sorted(map(str, (r.text for r in kept.collect()))) == sorted(map(str, want))
+    assert simhash.keep_one_similar(no_docs).count() == 0

@@ -18,7 +18,7 @@ component that has another id; repeated rows are kept; an empty table gives no r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from whylake.llm.common import fresh, if_small, materialise, table
+from whylake.llm.words import slices
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Bits of each band, from the lowest.
@@ -73,9 +74,12 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """Vertical bit planes: row k holds bit k of all fingerprints, 64 of them in a word; one word more than needed."""
-    bits = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").T
-    out = np.zeros((64, len(fps) // 64 + 2), "<u8")
+    """Vertical bit planes: row k holds bit k of all fingerprints, 64 of them in a word; one word more than needed.
+
+    A fingerprint is a number of 64 bits, or a row of several."""
+    wide = fps.size // max(len(fps), 1) or 1
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(-1, 8 * wide), axis=1, bitorder="little").T
+    out = np.zeros((64 * wide, len(fps) // 64 + 2), "<u8")
     packed = np.packbits(bits, axis=1, bitorder="little")
     out.view(np.uint8)[:, : packed.shape[1]] = packed
     return out
@@ -96,7 +100,7 @@ def linked_at(sliced: np.ndarray, wanted: np.ndarray, by: int, radius: int) -> n
     at = np.flatnonzero(wanted)
     alive = wanted[at]
     counters = [np.zeros(len(at), "<u8") for _ in range(radius.bit_length())]
-    for k in range(64):
+    for k in range(len(sliced)):
         carry = (sliced[k][at] ^ shifted(sliced[k], at, by)) & alive
         for i, c in enumerate(counters):  # carry-save: add one bit to every row's counter
             counters[i], carry = c ^ carry, c & carry
@@ -122,26 +126,38 @@ def linked_at(sliced: np.ndarray, wanted: np.ndarray, by: int, radius: int) -> n
 
 def forest(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, smallest of its component) inside sorted groups; a spanning forest, not all pairs."""
+    root, _ = spanned(fps, group, (radius,))
+    child = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[child], fps[root[child]]
+
+
+def spanned(fps: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest row of the component of each row, and pairs of rows within the last radius that make these components.
+
+    Pairs are taken radius by radius, so what connects two rows is as close as it can be: nearly a minimum spanning forest.
+    """
     n = len(fps)
-    root = np.arange(n)
+    root, joined = np.arange(n), []
     sliced = planes(fps)
     left = np.flatnonzero(np.concatenate([group[1:] != group[:-1], [True]]))[np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))] - np.arange(n) if n else group
-    by = 1
-    while by <= left.max(initial=0):
-        bits = np.zeros(64 * sliced.shape[1], np.uint8)
-        bits[:n] = left >= by
-        found = linked_at(sliced, np.packbits(bits, bitorder="little").view("<u8"), by, radius)
-        a, b = found, found + by
-        while len(a):
-            low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-            apart = low != high
-            a, b, low, high = a[apart], b[apart], low[apart], high[apart]
-            np.minimum.at(root, high, low)
-            while (jumped := root[root]).tobytes() != root.tobytes():
-                root = jumped
-        by += 1
-    child = np.flatnonzero(root != np.arange(n))
-    return fps[child], fps[root[child]]
+    for radius in radii:
+        for by in range(1, int(left.max(initial=0)) + 1):
+            wanted = (left[: n - by] >= by) & (root[: n - by] != root[by:])  # rows that are connected already need no more
+            if not wanted.any():
+                continue
+            bits = np.zeros(64 * sliced.shape[1], np.uint8)
+            bits[: n - by] = wanted
+            found = linked_at(sliced, np.packbits(bits, bitorder="little").view("<u8"), by, radius)
+            a, b = found, found + by
+            joined.append(np.stack([a, b], axis=1))
+            while len(a):
+                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+                apart = low != high
+                a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+                np.minimum.at(root, high, low)
+                while (jumped := root[root]).tobytes() != root.tobytes():
+                    root = jumped
+    return root, np.concatenate(joined) if joined else np.zeros((0, 2), np.int64)
 
 
 def links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, bands: tuple[int, ...] = BANDS) -> DataFrame:
@@ -156,33 +172,45 @@ def links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, bands: tupl
         mask = sum(chosen)
         keys.append(F.struct(F.lit(n).alias("t"), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("key")))
     blocks = reps.select("fp", F.inline(F.array(*keys)))
+
+    def found(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return forest(rows[0].view("<u8"), rows[1], radius)
+
+    placed = chunked(blocks, "fp", chunk).repartition("block").sortWithinPartitions("block", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))
+    return compared(placed.select("fp", "block"), found)
+
+
+def chunked(blocks: DataFrame, row: str, chunk: int) -> DataFrame:
+    """Rows with (t, key) as rows with ``block``: blocks of one row are left out; large ones are cut into chunks by a hash, and
+    every two chunks meet in a block of their own."""
     sizes = blocks.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
-    paired = (
-        blocks.join(sizes, ["t", "key"])
-        .select("fp", "t", "key", F.pmod(F.xxhash64("fp"), chunks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        .select("fp", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("block"))
-    )
+    cut = blocks.join(sizes, ["t", "key"]).withColumns({"own": F.pmod(F.xxhash64(row), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    return cut.withColumn("block", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other"))).drop("t", "key", "n", "own", "other")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, block = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-        def found(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-            u, v = forest(a.view("<u8"), b, radius)
+def compared(placed: DataFrame, found: Callable[[list[np.ndarray]], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct links (u, v) that ``found`` gives for whole blocks of the sorted rows (longs, the last of them ``block``)."""
+    width = len(placed.columns)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [np.zeros(0, np.int64) for _ in range(width)]
+
+        def sent(part: list[np.ndarray]) -> pa.RecordBatch:
+            u, v = found(part)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
         for batch in batches:
-            fps = np.concatenate([fps, batch.column(0).to_numpy()])
-            block = np.concatenate([block, batch.column(1).to_numpy()])
+            rows = [np.concatenate([r, batch.column(i).to_numpy()]) for i, r in enumerate(rows)]
+            block = rows[-1]
             whole = int(np.flatnonzero(block != block[-1])[-1]) + 1 if len(block) and block[0] != block[-1] else 0
             if whole:  # the last block may go on in the next batch
-                yield found(fps[:whole].copy(), block[:whole])
-                fps, block = fps[whole:], block[whole:]
-        if len(fps):
-            yield found(fps.copy(), block)
+                yield sent([r[:whole].copy() for r in rows])
+                rows = [r[whole:] for r in rows]
+        if len(rows[-1]):
+            yield sent(rows)
 
-    return (paired.repartition("block").sortWithinPartitions("block", F.col("fp").bitwiseXOR(F.lit(-(1 << 63))))
-            .mapInArrow(compare, "u long, v long").distinct())
+    return placed.mapInArrow(of, "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,7 +262,11 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """
     own, key = keyed(docs, text, doc_id)
     rows = own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(key[0]).alias("one"), F.col(key[1]).alias("two"))
-    found = rooted(materialise(fingerprints(rows, extra=["one", "two"])))
+    return first_of_each(docs, own, key, rooted(materialise(fingerprints(rows, extra=["one", "two"]))))
+
+
+def first_of_each(docs: DataFrame, own: DataFrame, key: list[str], found: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each ``root`` in ``found`` (doc_id, fp, root, one, two); ``own`` has them with their keys."""
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "one", "two")
     kept = found.groupBy("doc_id", "fp", "root", "one", "two").agg(F.count(F.lit(1)).alias("n"))
     kept = materialise(kept.groupBy("root").agg(F.min_by(F.struct("one", "two", "n"), order).alias("k")).select("k.*"))
@@ -244,6 +276,130 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     return single.unionByName(several).select(*docs.columns)
 
 
+# --- near-duplicates by similarity -------------------------------------------------------
+# Documents whose shingles of five words have a Jaccard similarity of 0.8 or more differ in more bits of a fingerprint than
+# blocks of equal bits could find.  Here blocks are formed by bands of minimal hashes, fingerprints have 512 bits, and the pairs that
+# the bit planes leave are verified by their shingles.
+
+WIDE, WORDS, LIKE = 8, 5, 0.8
+#: Bands and minimal hashes in each: two documents of similarity 0.8 share a band with a probability of 0.995.
+MIN_BANDS, MIN_ROWS = 10, 4
+#: Of 512 bits; documents of similarity 0.8 differ in 78 of them, with a deviation of 8.
+WIDE_RADII = (32, 56, 66, 72, 78, 84, 90, 102)
+PRINT = [f"f{w}" for w in range(WIDE)]
+
+
+def mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    h = (h ^ np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def shingles(text: str | None, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text; of a shorter text the whole, of an empty one none."""
+    from xxhash import xxh64_intdigest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], stops[:-1] + 1])
+    last = min(size, len(words)) - 1
+    return np.unique(np.fromiter((xxh64_intdigest(line[a:b]) for a, b in zip(starts[: len(words) - last].tolist(), stops[last:].tolist(), strict=True)), np.uint64))
+
+
+def wide_print(h: np.ndarray) -> np.ndarray:
+    """512 bits: in each, what more than half of the hashes have, mixed anew for every 64 of them."""
+    out = np.zeros(WIDE, np.uint64)
+    for w in range(WIDE):
+        counts = np.zeros(64, np.int64)
+        for lo in range(0, len(h), 1 << 16):
+            bits = np.unpackbits(mixed(h[lo : lo + (1 << 16)], w + 1).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0]
+    return out
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """A key for each band of minimal hashes."""
+    if not len(h):
+        return [0] * MIN_BANDS
+    least = np.array([mixed(h, 100 + i).min() for i in range(MIN_BANDS * MIN_ROWS)], np.uint64).reshape(MIN_BANDS, MIN_ROWS)
+    key = np.zeros(MIN_BANDS, np.uint64)
+    for i in range(MIN_ROWS):
+        key = mixed(key ^ least[:, i], 7)
+    return key.view(np.int64).tolist()
+
+
+def profiles(rows: DataFrame) -> DataFrame:
+    """(doc_id, one, two, node, f0 … f7, bands, grams): shingles of each text, and what is made of them; ``node`` names the set."""
+    schema = T.StructType([rows.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("one", "two", "node", *PRINT)),
+                           T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for batch in batches:
+            for part in slices(batch, 3):
+                sets = [shingles(t.as_py()) for t in part.column(3)]
+                prints = np.array([wide_print(h) for h in sets], np.uint64).reshape(-1, WIDE).view(np.int64)
+                nodes = np.array([xxh64_intdigest(h.tobytes()) for h in sets], np.uint64).view(np.int64)
+                # four bytes of a hash tell two shingles of one pair apart well enough for a share of them
+                grams = pa.array([np.unique(h >> np.uint64(32)).astype("<u4").tobytes() for h in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([
+                    *(part.column(i) for i in range(3)), pa.array(nodes), *(pa.array(prints[:, w]) for w in range(WIDE)),
+                    pa.array([band_keys(h) for h in sets], pa.list_(pa.int64())), grams], names=schema.names)
+
+    return rows.select("doc_id", "one", "two", "text").mapInArrow(of, schema)
+
+
+def similar_pairs(nodes: DataFrame, radii: tuple[int, ...] = WIDE_RADII, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (u, v) of distinct shingle sets (node, f0 … f7, bands) that share a band and lie within the last radius: enough of them to
+    connect all that do, the closest first."""
+    blocks = nodes.select("node", *PRINT, F.posexplode("bands").alias("t", "key"))
+
+    def found(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        _, pairs = spanned(np.stack(rows[1 : 1 + WIDE], axis=1).view("<u8"), rows[-1], radii)
+        a, b = rows[0][pairs[:, 0]], rows[0][pairs[:, 1]]
+        return np.maximum(a, b), np.minimum(a, b)
+
+    return compared(chunked(blocks, "node", chunk).repartition("block").sortWithinPartitions("block", "node").select("node", *PRINT, "block"), found)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, like: float = LIKE) -> DataFrame:
+    """The pairs (u, v) whose sets (node, grams) are alike."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                a, b = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(both >= like * (len(a) + len(b) - both))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = sets.select(F.col("node").alias("u"), F.col("grams").alias("a")), sets.select(F.col("node").alias("v"), F.col("grams").alias("b"))
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(of, "u long, v long")
+
+
+def keep_one_similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", like: float = LIKE) -> DataFrame:
+    """The documents without near-duplicates of similarity ``like`` or more: of each component one row with the smallest id stays.
+
+    Equal sets of shingles are one node.  A pair that the planes leave and the shingles refute connects nothing, so no document goes
+    without one that is alike, at whatever number of steps.  Cases as for ``keep_one``; texts without words are alike.
+    """
+    own, key = keyed(docs, text, doc_id)
+    rows = own.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(key[0]).alias("one"), F.col(key[1]).alias("two"))
+    known = materialise(profiles(rows))
+    nodes = known.select("node", *PRINT, "bands").dropDuplicates(["node"])
+    pairs = materialise(similar_pairs(nodes))
+    ends = materialise(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct())
+    sets = known.select("node", "grams").join(ends, "node", "left_semi").dropDuplicates(["node"])
+    roots = components(verified(pairs, materialise(sets), like)).withColumnRenamed("root", "of")
+    found = known.select("doc_id", "one", "two", F.col("node").alias("fp")).join(roots, F.col("fp") == F.col("node"), "left")
+    return first_of_each(docs, own, key, found.select("doc_id", "fp", "one", "two", F.coalesce("of", "fp").alias("root")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

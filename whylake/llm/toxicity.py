@@ -29,7 +29,7 @@ BUCKETS, DIMENSIONS, SHORTEST, LONGEST, WINDOW = 1 << 17, 8, 3, 6, 3
 EPOCHS, RATE, SHARPEST, DECAY = 60, 0.5, 6.0, 1e-4
 THRESHOLD = 0.7
 #: Texts read at once, in bytes, and words that a task remembers in each of two generations.
-STRETCH, REMEMBERED = 4 << 20, 100_000
+STRETCH, REMEMBERED = 1 << 20, 60_000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +103,11 @@ class SubwordSoftmax:
         self.bias = float(bias[1] - bias[0])
 
     def of_words(self, words: list[str]) -> list[float]:
-        grams, sizes = subwords(words)
-        return (np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=self.margin[grams], minlength=len(words)) / sizes).tolist()
+        out: list[float] = []
+        for lo in range(0, len(words), 8192):
+            grams, sizes = subwords(words[lo : lo + 8192])
+            out += (np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=self.margin[grams], minlength=len(sizes)) / sizes).tolist()
+        return out
 
     def scores(self, texts: pa.Array, remembered: Remembered) -> np.ndarray:
         words = WordTable(pc.fill_null(texts, ""))
