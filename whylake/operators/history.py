@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from whylake import constants as K
 from whylake.functions import notes
-from whylake.functions.text import head_tail_list, is_trivial_name
+from whylake.functions.text import is_trivial_name
 from whylake.operators import linemaps
 from whylake.operators.ranking import first_texts, positions, previous, top_n
 from whylake.session import cut_lineage
@@ -318,8 +317,3 @@ def chapter_items(placed: DataFrame, narratives: DataFrame, column: str, n: int
     return first_texts(rows, ["project", "chapter"], F.col("_item"), F.struct("log_pos", "_pos"), n, column)
 
 
-def prompts_for_preview(items: Column) -> Column:
-    """Both ends of a prompt list, six in all."""
-    return head_tail_list(items, 6)
-
-

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from whylake import constants as K
@@ -183,7 +184,7 @@ def card_cap(t):
     targets = card_targets(t)
     placed = targets.select(F.col("project").alias("diff_id"), "target_id", F.struct("file", "start", "target_id").alias("hunk_no"))
     capped = review.cap_hunks(placed, 10)
-    order = F.row_number().over(review.W.partitionBy("diff_id").orderBy("hunk_no"))
+    order = F.row_number().over(Window.partitionBy("diff_id").orderBy("hunk_no"))
     return capped.select("target_id", order.cast("bigint").alias("hunk_no"), "total_hunks", "truncated")
 
 

@@ -15,7 +15,7 @@ from whylake.operators import reports as R
 from whylake.operators import sessions as S
 from whylake.operators.ranking import top_n
 from whylake.plans.history_queries import ALIGN_CTES
-from whylake.plans.notes_queries import SEGMENTS_SQL, TESTED_SQL, line_walk, snapshot, text_list
+from whylake.plans.notes_queries import TESTED_SQL, line_walk, snapshot, text_list
 from whylake.plans.registry import query
 from whylake.session import shared_folder, spread
 

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from whylake import constants as K
 from whylake.functions import notes
 from whylake.functions.text import bounded_text, commit_type, since_bound
 from whylake.operators import coverage as C

@@ -14,8 +14,8 @@ from whylake.operators import reports as R
 from whylake.operators import sessions as S
 from whylake.operators import state as ST
 from whylake.operators import usage as U
-from whylake.plans.history_queries import ALIGN_CTES, DEBT_SQL, TODAY, TODAY_SQL, board, matches
-from whylake.plans.notes_queries import joined, text_list
+from whylake.plans.history_queries import ALIGN_CTES, DEBT_SQL, TODAY, TODAY_SQL, board
+from whylake.plans.notes_queries import text_list
 from whylake.plans.registry import query
 
 CONV = ["project", "session_id"]
