@@ -146,6 +146,23 @@ def test_similar_documents_by_brute_force(spark, edited):
     assert firsts <= kept and len(kept - firsts) <= 0.04 * gone and gone > 40
 
 
+@pytest.mark.parametrize(("n", "groups"), [(0, 1), (1, 1), (130, 1), (300, 7), (700, 3)])
+def test_close_pairs_and_distances(n, groups):
+    draw = np.random.default_rng(n)
+    fps = draw.integers(0, 1 << 63, (n, simhash.WIDE)).astype("<u8")
+    for i in range(1, n):
+        if draw.random() < 0.6:
+            flips = np.packbits((draw.random(64 * simhash.WIDE) < draw.choice([0.02, 0.1, 0.2])).astype(np.uint8), bitorder="little").view("<u8")
+            fps[i] = fps[draw.integers(0, i)] ^ flips
+    group = np.sort(draw.integers(0, groups, n))
+    a, b, apart = simhash.close_pairs(simhash.planes(fps), simhash.behind(group), 102)
+    got = {(int(x), int(y)): int(d) for x, y, d in zip(a, b, apart, strict=True)}
+    every = {(i, j): sum(int(x ^ y).bit_count() for x, y in zip(fps[i], fps[j], strict=True)) for i in range(n) for j in range(i + 1, n) if group[i] == group[j]}
+    assert got == {p: d for p, d in every.items() if d <= 102}
+    root, pairs = simhash.spanned(fps, group, simhash.WIDE_RADIUS)
+    assert len(pairs) < max(2 * n, 1) and components(range(n), got) == dict(enumerate(root.tolist())) == components(range(n), map(tuple, pairs.tolist()))
+
+
 def test_wide_prints_and_bands():
     draw = np.random.default_rng(2)
     near, same = [], []
@@ -155,7 +172,7 @@ def test_wide_prints_and_bands():
         a, b = simhash.wide_print(np.unique(h)), simhash.wide_print(g)
         near.append(sum(int(x ^ y).bit_count() for x, y in zip(a, b, strict=True)))
         same.append(any(x == y for x, y in zip(simhash.band_keys(h), simhash.band_keys(g), strict=True)))
-    assert np.mean(np.array(near) <= simhash.WIDE_RADII[-1]) > 0.98 and np.mean(same) > 0.98
+    assert np.mean(np.array(near) <= simhash.WIDE_RADIUS) > 0.98 and np.mean(same) > 0.98
 
 
 def test_odd_similar_documents(spark, odd_docs, no_docs):

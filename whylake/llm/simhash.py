@@ -126,38 +126,121 @@ def linked_at(sliced: np.ndarray, wanted: np.ndarray, by: int, radius: int) -> n
 
 def forest(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (fingerprint, smallest of its component) inside sorted groups; a spanning forest, not all pairs."""
-    root, _ = spanned(fps, group, (radius,))
-    child = np.flatnonzero(root != np.arange(len(fps)))
+    n = len(fps)
+    root, sliced, left = np.arange(n), planes(fps), behind(group)
+    for by in range(1, int(left.max(initial=0)) + 1):
+        bits = np.zeros(64 * sliced.shape[1], np.uint8)
+        bits[:n] = left >= by
+        found = linked_at(sliced, np.packbits(bits, bitorder="little").view("<u8"), by, radius)
+        united(root, found, found + by)
+    child = np.flatnonzero(root != np.arange(n))
     return fps[child], fps[root[child]]
 
 
-def spanned(fps: np.ndarray, group: np.ndarray, radii: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The smallest row of the component of each row, and pairs of rows within the last radius that make these components.
+def spanned(fps: np.ndarray, group: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest row of the component of each row, and the pairs of a minimum spanning forest of all within the radius.
 
-    Pairs are taken radius by radius, so what connects two rows is as close as it can be: nearly a minimum spanning forest.
+    In each round every component takes the closest pair that leads out of it.
     """
     n = len(fps)
-    root, joined = np.arange(n), []
-    sliced = planes(fps)
-    left = np.flatnonzero(np.concatenate([group[1:] != group[:-1], [True]]))[np.cumsum(np.concatenate([[False], group[1:] != group[:-1]]))] - np.arange(n) if n else group
-    for radius in radii:
-        for by in range(1, int(left.max(initial=0)) + 1):
-            wanted = (left[: n - by] >= by) & (root[: n - by] != root[by:])  # rows that are connected already need no more
-            if not wanted.any():
-                continue
-            bits = np.zeros(64 * sliced.shape[1], np.uint8)
-            bits[: n - by] = wanted
-            found = linked_at(sliced, np.packbits(bits, bitorder="little").view("<u8"), by, radius)
-            a, b = found, found + by
-            joined.append(np.stack([a, b], axis=1))
-            while len(a):
-                low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-                apart = low != high
-                a, b, low, high = a[apart], b[apart], low[apart], high[apart]
-                np.minimum.at(root, high, low)
-                while (jumped := root[root]).tobytes() != root.tobytes():
-                    root = jumped
-    return root, np.concatenate(joined) if joined else np.zeros((0, 2), np.int64)
+    a, b, apart = close_pairs(planes(fps), behind(group), radius)
+    order = np.argsort(apart, kind="stable")
+    a, b = a[order], b[order]
+    root, joined = np.arange(n), [np.zeros((0, 2), np.int64)]
+    while True:
+        open_ = root[a] != root[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return root, np.concatenate(joined)
+        first = np.full(n, len(a))
+        for ends in (root[a], root[b]):
+            np.minimum.at(first, ends, np.arange(len(a)))
+        chosen = np.unique(first[first < len(a)])
+        joined.append(np.stack([a[chosen], b[chosen]], axis=1))
+        united(root, a[chosen], b[chosen])
+
+
+def behind(group: np.ndarray) -> np.ndarray:
+    """How many rows of its group come after each row."""
+    n = len(group)
+    if not n:
+        return np.zeros(0, np.int64)
+    last = np.concatenate([group[1:] != group[:-1], [True]])
+    return np.flatnonzero(last)[np.cumsum(np.concatenate([[False], last[:-1]]))] - np.arange(n)
+
+
+def united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Join the components of the pairs, in place; a root is the smallest row of its component."""
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b, low, high = a[apart], b[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while (jumped := root[root]).tobytes() != root.tobytes():
+            root[:] = jumped
+
+
+#: Words of 64 pairs whose distances are counted together.
+TOGETHER = 4096
+
+
+def close_pairs(sliced: np.ndarray, left: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, i + d of one group within the radius, and their distances.
+
+    Words of rows at many offsets d are counted together: plane by plane, the differing bits are added to carry-save
+    counters, and words whose rows all exceed the radius are abandoned.
+    """
+    out, held, words = [], [], 0
+    for by in range(1, int(left.max(initial=0)) + 1):
+        bits = np.zeros(64 * sliced.shape[1], np.uint8)
+        bits[: len(left)] = left >= by
+        wanted = np.packbits(bits, bitorder="little").view("<u8")
+        at = np.flatnonzero(wanted)
+        held.append((at, wanted[at], np.full(len(at), by)))
+        words += len(at)
+        if words >= TOGETHER:
+            out.append(counted(sliced, *map(np.concatenate, zip(*held, strict=True)), radius))
+            held, words = [], 0
+    if words:
+        out.append(counted(sliced, *map(np.concatenate, zip(*held, strict=True)), radius))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+
+
+def counted(sliced: np.ndarray, at: np.ndarray, alive: np.ndarray, by: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``close_pairs`` for the words ``at``, each with its own offset ``by``."""
+    most = sliced.shape[1] - 1
+    counters = [np.zeros(len(at), "<u8") for _ in range(radius.bit_length())]
+    near, far = np.minimum(at + by // 64, most), np.minimum(at + by // 64 + 1, most)
+    bit = (by % 64).astype(np.uint64)
+    for k in range(len(sliced)):
+        plane = sliced[k]
+        # a shift by 64 is none in numpy, so the upper part is shifted in two steps
+        moved = (plane[near] >> bit) | ((plane[far] << (np.uint64(63) - bit)) << np.uint64(1))
+        carry = (plane[at] ^ moved) & alive
+        for i, c in enumerate(counters):
+            counters[i], carry = c ^ carry, c & carry
+        alive = alive & ~carry
+        if k % 8 == 7:
+            above, more = np.full(len(at), ~np.uint64(0)), np.zeros(len(at), "<u8")
+            for i in range(len(counters) - 1, -1, -1):
+                if radius >> i & 1:
+                    above = above & counters[i]
+                else:
+                    more, above = more | (above & counters[i]), above & ~counters[i]
+            alive = alive & ~more
+            keep = np.flatnonzero(alive)
+            if len(keep) < 0.75 * len(at):
+                at, by, alive, near, far, bit = at[keep], by[keep], alive[keep], near[keep], far[keep], bit[keep]
+                counters = [c[keep] for c in counters]
+            if not len(at):
+                break
+    rows = np.flatnonzero(np.unpackbits(np.ascontiguousarray(alive).view(np.uint8), bitorder="little"))
+    word, place = rows // 64, (rows % 64).astype(np.uint64)
+    apart = np.zeros(len(rows), np.int64)
+    for i, c in enumerate(counters):
+        apart += ((c[word] >> place & np.uint64(1)) << np.uint64(i)).astype(np.int64)
+    first = at[word] * 64 + rows % 64
+    return first, first + by[word], apart
 
 
 def links(reps: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, bands: tuple[int, ...] = BANDS) -> DataFrame:
@@ -285,7 +368,7 @@ WIDE, WORDS, LIKE = 8, 5, 0.8
 #: Bands and minimal hashes in each: two documents of similarity 0.8 share a band with a probability of 0.995.
 MIN_BANDS, MIN_ROWS = 10, 4
 #: Of 512 bits; documents of similarity 0.8 differ in 78 of them, with a deviation of 8.
-WIDE_RADII = (32, 56, 66, 72, 78, 84, 90, 102)
+WIDE_RADIUS = 102
 PRINT = [f"f{w}" for w in range(WIDE)]
 
 
@@ -354,13 +437,13 @@ def profiles(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "one", "two", "text").mapInArrow(of, schema)
 
 
-def similar_pairs(nodes: DataFrame, radii: tuple[int, ...] = WIDE_RADII, chunk: int = CHUNK) -> DataFrame:
-    """Pairs (u, v) of distinct shingle sets (node, f0 … f7, bands) that share a band and lie within the last radius: enough of them to
-    connect all that do, the closest first."""
+def similar_pairs(nodes: DataFrame, radius: int = WIDE_RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Pairs (u, v) of distinct shingle sets (node, f0 … f7, bands) that share a band and lie within the radius: the closest of them that
+    connect all that do."""
     blocks = nodes.select("node", *PRINT, F.posexplode("bands").alias("t", "key"))
 
     def found(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        _, pairs = spanned(np.stack(rows[1 : 1 + WIDE], axis=1).view("<u8"), rows[-1], radii)
+        _, pairs = spanned(np.stack(rows[1 : 1 + WIDE], axis=1).view("<u8"), rows[-1], radius)
         a, b = rows[0][pairs[:, 0]], rows[0][pairs[:, 1]]
         return np.maximum(a, b), np.minimum(a, b)
 
