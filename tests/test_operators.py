@@ -168,6 +168,32 @@ def test_debt_board_and_drilldown(spark):
     assert items == {("pending_capsule", "a:0")}
 
 
+def test_debts_equal_to_six_digits_tie(spark):
+    """Debts of one value by other operations, which differ in their last binary digit, go by the file's name."""
+    days = 4
+    # a: churn 6, one of two understood; b: churn 3, nothing understood; z: churn 9, two of three
+    kinds = {"a": (2, 4, 1), "b": (3, 0, 0), "z": (3, 6, 2)}
+    files, narr, seen, at = [], [], [], 0
+    for name, (commits, decisions, looked) in kinds.items():
+        for i in range(commits):
+            at += 1
+            sha = f"{name}{i}"
+            files.append(("p", sha, at, T0, name))
+            if decisions and i == 0:
+                narr.append(narrative(sha, ["d%d" % k for k in range(decisions)]))
+            if i < looked:
+                seen.append(("p", sha, T0))
+    board = debt.debt_board(
+        frame(spark, files, FILES), frame(spark, narr, NARR), frame(spark, [], CAPS),
+        frame(spark, seen, "project string, sha string, reviewed_at timestamp"), None, (T0 + timedelta(days=days)).date())
+    values = {r.file: r.debt_exact for r in board.collect()}
+    decay = 1 + days / 30.0
+    raw = {name: (c + d) * decay * (1 - s / c) for name, (c, d, s) in kinds.items()}
+    assert len(set(raw.values())) > 1, "the bare products differ"
+    assert len(set(values.values())) == 1
+    assert [r.file for r in debt.debt_top(board, 3).orderBy("rank").collect()] == ["a", "b", "z"]
+
+
 # --- coverage ------------------------------------------------------------------------------------
 
 def test_hit_rate_case(spark):
