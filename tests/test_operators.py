@@ -2,12 +2,14 @@
 
 import random
 from datetime import date, datetime, timedelta
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from whylake.operators import adr, align, audits, capsules, coverage, debt, drift, graph, history, linemaps, ranking, reports, review, search, search_index, sessions, state, usage
+from whylake.plans import catalog
 
 T0 = datetime(2024, 5, 1, 12)
 
@@ -194,6 +196,17 @@ def test_debts_equal_to_six_digits_tie(spark):
     assert [r.file for r in debt.debt_top(board, 3).orderBy("rank").collect()] == ["a", "b", "z"]
 
 
+def test_open_ends_of_a_day_count_once(spark):
+    """As the SQL of daily_report_text has it; the report itself lists each."""
+    commits = frame(spark, [("p", "a", 1, T0, "sa", ""), ("p", "b", 2, T0, "sb", "")], COMMITS)
+    narr = frame(spark, [narrative("a", loops=["one", "two"]), narrative("b", loops=["two", "three"])], NARR)
+    tables = SimpleNamespace(commits=lambda: commits, narratives=lambda: narr, capsules=lambda: frame(spark, [], CAPS))
+    found = {r.section: r.lines for r in catalog.QUERIES["daily_report_text"](tables).collect()}
+    assert found[3] == 1 and set(found) == {0, 2, 3}
+    listed = reports.report_lines(commits, narr, reports.daily_digests(commits, narr), tables.capsules())
+    assert listed.filter("section = 3").count() == 3
+
+
 # --- coverage ------------------------------------------------------------------------------------
 
 def test_hit_rate_case(spark):
