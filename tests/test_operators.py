@@ -207,6 +207,19 @@ def test_open_ends_of_a_day_count_once(spark):
     assert listed.filter("section = 3").count() == 3
 
 
+def test_references_only_behind_what_is_asked(spark):
+    """References of a few hits are looked up for their commits alone."""
+    from whylake.plans import answer_queries
+
+    files = frame(spark, [("p", "a", 1, T0, "src/x.py"), ("p", "b", 2, T0, "src/x.py")], FILES)
+    tables = SimpleNamespace(
+        files=lambda: files, tracked=lambda: frame(spark, [("p", "src/area/x.py")], "project string, file string"),
+        requests=lambda: frame(spark, [("p", "a", 7, "t", "s"), ("p", "b", 8, "t", "s")], "project string, sha string, number bigint, title string, snippet string"),
+        evidence=lambda: frame(spark, [], "project string, sha string, evidence array<struct<session_id:string,ts:timestamp>>"))
+    rows = answer_queries.references(tables, frame(spark, [("a",)], "sha string")).collect()
+    assert [(r.sha, [x.number for x in r.pr_refs], [x.path for x in r.test_refs]) for r in rows] == [("a", [7], ["tests/test_x.py"])]
+
+
 # --- coverage ------------------------------------------------------------------------------------
 
 def test_hit_rate_case(spark):

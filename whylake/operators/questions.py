@@ -9,6 +9,7 @@ from whylake import constants as K
 from whylake.operators.history import line_history
 from whylake.operators.ranking import top_n
 from whylake.operators.rendering import context_line
+from whylake.session import cut_lineage
 
 FILE = ["project", "file"]
 #: Days of a bucket in which the commits of a stretch of time are looked up.
@@ -39,10 +40,11 @@ def retrieve(targets: DataFrame, commits: DataFrame, files: DataFrame, hunks: Da
     by_time = dated.join(times, ["project", "_bucket"]).filter("date >= since AND date < until").select(
         "target_id", F.lit("time").alias("kind"), "project", "sha", "log_pos")
 
-    newest = top_n(by_line.unionByName(by_file).unionByName(by_time), ["target_id"], [F.col("log_pos").desc()], limit)
+    # written: at most ``limit`` rows for each target, read several times by what is looked up behind them
+    newest = cut_lineage(top_n(by_line.unionByName(by_file).unionByName(by_time), ["target_id"], [F.col("log_pos").desc()], limit))
     # the newest of all, less those before ``since``, are the newest from then on
     asked = newest.join(targets.select("target_id", "since"), "target_id").join(commits.select("project", "sha", "date"), ["project", "sha"])
-    return asked.filter("since IS NULL OR date >= since").select("target_id", "kind", "project", "sha", "log_pos", "rank")
+    return cut_lineage(asked.filter("since IS NULL OR date >= since").select("target_id", "kind", "project", "sha", "log_pos", "rank"))
 
 
 def contexts(history: DataFrame, segments: DataFrame) -> DataFrame:

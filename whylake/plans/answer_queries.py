@@ -15,6 +15,7 @@ from whylake.plans.evidence_queries import _AFTER, CARD_TARGETS_SQL, HITS_CTES,
 from whylake.plans.history_queries import ALIGN_CTES, TODAY, TODAY_SQL
 from whylake.plans.notes_queries import SNAPSHOT_SQL, line_walk, snapshot
 from whylake.plans.registry import query
+from whylake.session import cut_lineage
 
 TESTS_SQL = f"""SELECT project, sha, path, names FROM (
   SELECT w.project, w.sha, w.path, ['test_' || s.stem || '_ok', 'test_' || s.stem || '_slow'] AS names, row_number() OVER (PARTITION BY w.sha ORDER BY w.path) AS rank
@@ -23,9 +24,11 @@ TESTS_SQL = f"""SELECT project, sha, path, names FROM (
   JOIN ({SNAPSHOT_SQL}) s ON s.project = w.project AND s.path = w.path) WHERE rank <= 5"""
 
 
-def references(t):
-    refs = H.references(H.test_refs(t.files(), snapshot(t)), t.requests())
-    return H.stored_references(refs, t.evidence())
+def references(t, asked):
+    """What is stored behind the commits ``asked`` (sha), each once, and behind no others."""
+    only = lambda rows: rows.join(asked, "sha", "left_semi")
+    refs = H.references(H.test_refs(only(t.files()), snapshot(t)), only(t.requests()))
+    return H.stored_references(refs, only(t.evidence()))
 
 
 # --- evidence records ------------------------------------------------------------------
@@ -73,7 +76,8 @@ SELECT question_id, rank, h.sha, coalesce(e.n, 0) AS n_evidence, coalesce(x.n, 0
 FROM hits h LEFT JOIN ({EVIDENCE_SQL}) e ON e.sha = h.sha LEFT JOIN ({TEST_BLOCK_SQL}) x ON x.sha = h.sha LEFT JOIN ({REQUEST_BLOCK_SQL}) p ON p.sha = h.sha""")
 def search_hits_references(t):
     """Hits with what a reader can check them by, as shown."""
-    rows = search.with_references(topic_hits(t), references(t))
+    found = cut_lineage(topic_hits(t))
+    rows = search.with_references(found, references(t, F.broadcast(found.select("sha").distinct())))  # eight of each question
     n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("bigint")
     return rows.select(
         "question_id", F.col("rank").cast("bigint").alias("rank"), "sha", n("evidence").alias("n_evidence"), n("test_refs").alias("n_tests"),
@@ -146,7 +150,8 @@ SELECT target_id, kind, key, min(log_pos) AS log_pos FROM items GROUP BY ALL""")
 def ask_references(t):
     """Evidence, tests and requests behind each target, every one once."""
     history = Q.retrieve(ask_targets(t), t.commits(), t.files(), t.hunks()).withColumnRenamed("target_id", "target")
-    rows = search.reference_rows(history, references(t).drop("project"))
+    asked = cut_lineage(history.select("sha").distinct())
+    rows = search.reference_rows(history, references(t, asked).drop("project"))
     return rows.select(F.col("target").alias("target_id"), "kind", "key", "log_pos")
 
 
