@@ -207,6 +207,24 @@ def test_open_ends_of_a_day_count_once(spark):
     assert listed.filter("section = 3").count() == 3
 
 
+def test_vocabulary_counts_within_texts(spark):
+    """Counts as by hand, texts of one key as one document, and no aggregate over all postings."""
+    texts = [("a", "Banana\nbanana"), ("b", "nan"), ("b", "anan"), ("c", None), ("d", "ab"), ("e", ""), ("f", "ÉÉÉÉ x")]
+    corpus = frame(spark, texts, "doc_key string, body string")
+    held = {}
+    for key, text in texts:
+        low = (text or "").lower()
+        for i in range(len(low) - 2):
+            held.setdefault(low[i:i + 3], []).append(key)
+    found = search.vocabulary(corpus)
+    assert {(r.trigram, r.documents, r.occurrences) for r in found.collect()} == {(g, len(set(k)), len(k)) for g, k in held.items()}
+    tables = SimpleNamespace(narratives=lambda: frame(spark, [narrative("a", why="abc")], NARR), turns=lambda: frame(
+        spark, [("t", "p", "user", "abcd")], "turn_id string, project string, role string, text string"))
+    plan = catalog.QUERIES["trigram_index"](tables)._jdf.queryExecution().optimizedPlan().toString()
+    seen = [line for line in plan.splitlines() if "Aggregate [" in line]
+    assert not [line for line in seen if "trigram" in line.split("]")[0] and "doc_key" in line.split("]")[0]]
+
+
 def test_references_only_behind_what_is_asked(spark):
     """References of a few hits are looked up for their commits alone."""
     from whylake.plans import answer_queries
