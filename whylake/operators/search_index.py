@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from whylake import constants as K
 from whylake.operators.ranking import numbered, top_n
-from whylake.operators.search import bm25_part, grams, query_trigrams, term_weights
+from whylake.operators.search import bm25_part, gram_counts, grams, query_trigrams, term_weights
 from whylake.session import cut_lineage
 
 RANGE = 1024
@@ -63,8 +63,7 @@ class Index:
         no = numbered(corpus.select("doc_key", "project"), ["project", "doc_key"])
         placed = no.select("doc_key", "project", (F.expr(f"number div {RANGE}") + begin).alias("block"), (F.col("number") % RANGE).cast("int").alias("offset"))
         texts = corpus.select("doc_key", "body").join(placed, "doc_key").withColumn("len", F.greatest(F.length("body") - 2, F.lit(0))).repartition("block")
-        occurrences = texts.select("block", "offset", "len", F.explode(grams(F.col("body"))).alias("trigram"))
-        postings = occurrences.groupBy("block", "trigram", "offset", "len").agg(F.count(F.lit(1)).alias("tf"))
+        postings = gram_counts(texts, ["block", "offset", "len"], grams(F.col("body")))
         lists = postings.groupBy("block", "trigram").agg(
             F.count(F.lit(1)).cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"),
             F.array_sort(F.collect_list(F.struct(F.col("offset").cast("smallint").alias("offset"), "tf"))).alias("p"))
