@@ -1,5 +1,7 @@
 """Column functions on small values."""
 
+import functools
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -156,3 +158,23 @@ def test_redaction_folds_case_as_the_patterns_do(spark):
     got = [r.t for r in spark.createDataFrame([(t,) for t in texts], "t string").select(R.redact(F.col("t")).alias("t")).collect()]
     counted = [r.t for r in R.with_redaction_counts(spark.createDataFrame([(t,) for t in texts], "t string"), "t").collect()]
     assert got == counted and all("[REDACTED]" in g for g in got[:3]) and got[3:] == texts[3:]
+
+
+def test_patterns_run_only_where_they_can_match(spark):
+    """Ordinary texts are passed over by every pattern, and what is passed over has no match, in any letters."""
+    a, key = "a" * 44, "K" + "e9" * 8
+    held = {
+        "openai_key": ["sk-" + a], "github_token": [f"{n}_{a}" for n in ("ghp", "gho", "ghs", "github_pat")], "slack_token": ["xoxb-" + a],
+        "aws_access_key": ["AKIA" + "A" * 16], "bearer_token": ["bearer " + a, "BeArEr\u2003" + a], "google_api_key": ["AIza" + a],
+        "named_secret": ["apI_key=" + key, "ap\u0131key: " + key, "to\u212aen\":\u3000'" + key, "\u017fecret = " + key, "PASS" + "WORD:" + key],
+        "google_oauth_client": [f"12-{'b' * 32}.apps.googleusercontent.com"], "stripe_key": ["sk_live_" + a, "sk_test_" + a],
+        "sendgrid_key": [f"SG.{a[:22]}.{a[:43]}"], "jwt": [f"ey{a}.ey{a}.x"], "slack_webhook": ["https://hooks.slack.com/services/T0"],
+        "private_key": ["-----BEGIN RSA PRIVATE KEY-----\nx\n-----END RSA PRIVATE KEY-----"]}
+    assert set(held) == set(R.SECRET_NAMES)
+    plain = "the bear asked for keys: a token, a secret = none; see https://a.example/b \u00e9t\u00e9"
+    for name, pattern, _ in K.SECRET_PATTERNS:
+        assert values(spark, held[name], lambda c: F.regexp_like(c, F.lit(pattern))) == [True] * len(held[name]), name
+        assert values(spark, [*held[name], plain], lambda c: R.may_hold(name, c)) == [True] * len(held[name]) + [False], name
+    every = [v for texts in held.values() for v in texts]
+    mixed = [*every, "\n".join(every), "token: " + " token: ".join(every)]
+    assert values(spark, mixed, R.redact) == values(spark, mixed, lambda c: functools.reduce(lambda v, s: F.regexp_replace(v, s[1], s[2]), K.SECRET_PATTERNS, c))
