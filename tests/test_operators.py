@@ -1,6 +1,7 @@
 """Operators on small fixtures with known results."""
 
 import random
+import re
 from datetime import date, datetime, timedelta
 from types import SimpleNamespace
 
@@ -926,3 +927,15 @@ def test_plan_counts_what_would_be_taken_out(spark):
     assert (plan.total_commits, plan.uncached_commits) == (3, 2)
     assert {k: v for k, v in plan.redaction_counts.items() if v} == {"named_secret": 2, "openai_key": 1}
     assert {c.name: c.cap for c in plan.categories}["commit_author"] == 200
+
+
+def test_prior_commits_move_files_without_shas(spark):
+    """Rows of files, several for each commit, are dealt without SHAs; results hold over days and for a first commit."""
+    rows = [("p", f"s{i}", i, datetime(2024, 1, 1 + i // 3), f) for i in range(8) for f in ("a", "b" if i % 2 else "c")]
+    files = spark.createDataFrame(rows, "project string, sha string, log_pos bigint, date timestamp_ntz, file string")
+    found = history.prior_commit(files)
+    assert {r.sha: r.prior_sha for r in found.collect()} == {f"s{i}": f"s{i - 1}" if i else None for i in range(8)}
+    plan = found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = re.findall(r"\) Exchange\nInput[^\n]*: \[(.*?)\]\nArguments: hashpartitioning\(project#\d+, file#", plan)
+    assert nodes and not any("sha#" in columns for columns in nodes)
