@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from whylake.operators import adr, align, audits, capsules, coverage, debt, drift, graph, history, linemaps, ranking, reports, review, search, search_index, sessions, state, usage
 from whylake.plans import catalog
+from whylake.session import written
 
 T0 = datetime(2024, 5, 1, 12)
 
@@ -149,6 +150,66 @@ def test_graph_against_brute_force(spark):
     assert {s: r.out_degree for s, r in nodes.items() if s in ranked} == {s: len(out[s]) for s in ranked}
 
 
+# --- few rows of large tables ---------------------------------------------------------------------
+
+def below_first_shuffle(df):
+    """What is planned below each shuffle of a plan: the rows of its map side."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [part for part in re.split(r"Exchange hashpartitioning", text)[1:]]
+
+
+def test_sieved_rows_are_those_wanted(spark):
+    rows = [("p%d" % (i % 7), i) for i in range(5000)] + [(None, 3), ("p1", None)]
+    df = frame(spark, rows, "project string, n bigint")
+    wanted = frame(spark, [("p3", 10), ("p3", 10), ("p1", 8), ("p1", 9), ("p1", None), (None, 3)], "project string, n bigint")
+    kept = {tuple(r) for r in ranking.sieved(df, ["project", "n"], wanted).collect()}
+    assert {("p3", 10), ("p1", 8)} <= kept and len(kept) < 50
+    assert sorted(map(tuple, ranking.among(df, ["project", "n"], wanted).collect())) == [("p1", 8), ("p3", 10)]
+    assert ranking.among(df, ["project"], wanted.limit(0)).count() == 0
+
+
+def test_written_tables_read_back_as_they_were(spark):
+    df = frame(spark, [("p", 1, T0, ["a", None], None), (None, None, None, None, (1, "x"))],
+               "project string, n bigint, date timestamp, items array<string>, s struct<a:int,b:string>")
+    back = written(df)
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect())) and back.columns == df.columns
+    assert written(df.limit(0)).count() == 0
+
+
+def test_line_items_meet_orders_without_their_names(spark, tmp_path):
+    """SHA and project of a commit are written out behind the join by order; what is shuffled for it has numbers only."""
+    from whylake.plans.tables import SCHEMAS, Tables
+
+    spark.createDataFrame([(7, 123, "O", 1.0, T0, "1-URGENT"), (8, 123, "P", 1.0, T0, "3-MEDIUM"), (9, None, "F", 1.0, None, None)], SCHEMAS["orders"]).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(k, 130, 1, n, 49.0, 1.0, 0.0, 0.0, "N", "O", T0) for k in (7, 8, 9) for n in (1, 2)], SCHEMAS["lineitem"]).write.parquet(str(tmp_path / "lineitem.parquet"))
+    t = Tables(spark, str(tmp_path))
+    sha = hashlib.sha1(b"7").hexdigest()
+    assert [(r.project, r.sha, r.file) for r in t.files().filter("project IS NOT NULL").collect()] == [("/fleet/p1", sha, "src/area2/mod30.py")]
+    assert sorted((r.sha, r.new_start, r.new_count, r.old_count) for r in t.hunks().filter("project IS NOT NULL").collect()) == [(sha, 40, 49, 48), (sha, 80, 49, 48)]
+    for rows in (t.files(), t.hunks()):
+        assert not any("sha1(" in part for part in below_first_shuffle(rows.hint("merge")))
+
+
+def test_history_of_few_lines_reads_few_hunks(spark):
+    """Hunks of files that nobody asks for are left out before anything is shuffled."""
+    rows = [("p", "c%d" % i, i, T0 + timedelta(hours=i), "f%d" % (i % 50), 0, 0, 1, 3) for i in range(2000)]
+    hunks = frame(spark, rows, HUNKS)
+    asked = frame(spark, [("t", "p", "f7", 2, 2)], TARGETS)
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    wanted = written(asked)
+    few = ranking.sieved(hunks, ["project", "file"], wanted).mapInArrow(look, hunks.schema)
+    assert history.line_history(asked, few).count() == 1 == history.line_history(asked, hunks).count()
+    assert 0 < seen.value < 200
+    plan = ranking.among(hunks, ["project", "file"], wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "scalar-subquery" in plan
+
+
 # --- debt --------------------------------------------------------------------------------------
 
 def test_debt_board_and_drilldown(spark):

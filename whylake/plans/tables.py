@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from whylake import constants as K
-from whylake.operators.ranking import first_texts
+from whylake.operators.ranking import first_texts, sieved
 
 
 # Stated, so that opening a table starts no job that reads file footers.
@@ -42,6 +42,18 @@ FILE_OF_PART = (
 )
 
 
+# What names a commit, by its order.  It is written out behind joins by order, so that line items meet narrow rows.
+PROJECT_OF_ORDER = "concat('/fleet/p', cust div 100) AS project"
+SHA_OF_ORDER = "sha1(CAST(key AS STRING)) AS sha"
+POSITION_OF_ORDER = "CAST(datediff(date, DATE '1970-01-01') AS BIGINT) * 1000000000000 + key AS log_pos"
+COMMIT_OF_ORDER = (PROJECT_OF_ORDER, SHA_OF_ORDER, POSITION_OF_ORDER)
+NOTES_OF_ORDER = {
+    "dec": "CASE WHEN status = 'F' THEN concat('ship order ', key, ' in one batch') END",
+    "watch": "CASE WHEN priority = '1-URGENT' THEN concat('order ', key, ' may exceed budget') END",
+    "rej": "CASE WHEN priority = '5-LOW' THEN concat('split order ', key) END",
+}
+
+
 def role(method):
     """A role table is built once per ``Tables``; plans then share the analysed DataFrame."""
 
@@ -77,11 +89,9 @@ class Tables:
             "concat(CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'fix: ' WHEN '2' THEN 'feat(core): ' "
             "WHEN '3' THEN 'refactor: ' WHEN '4' THEN 'Update ' ELSE 'chore: ' END, 'order ', o_orderkey) AS subject",
             "o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM' AS is_merge",
-            "CASE WHEN o_orderstatus = 'F' THEN concat('ship order ', o_orderkey, ' in one batch') END AS dec",
-            "CASE WHEN o_orderpriority = '1-URGENT' THEN concat('order ', o_orderkey, ' may exceed budget') END AS watch",
-            "CASE WHEN o_orderpriority = '5-LOW' THEN concat('split order ', o_orderkey) END AS rej",
-            "o_orderkey AS key", "o_custkey AS cust", "o_orderstatus AS status", "o_totalprice AS price",
+            "o_orderkey AS key", "o_custkey AS cust", "o_orderstatus AS status", "o_orderpriority AS priority", "o_totalprice AS price",
         )
+        rows = rows.selectExpr("* EXCEPT (key, cust, status, priority, price)", *(f"{what} AS {name}" for name, what in NOTES_OF_ORDER.items()), "key", "cust", "status", "price")
         body = (
             "concat_ws('\\n', concat('Order ', key, ' of customer ', cust), "
             f"concat('{K.NOTE_DECISION} ', dec), concat('{K.NOTE_WATCH} ', watch), concat('{K.NOTE_REJECTED} ', rej)) AS body"
@@ -93,28 +103,28 @@ class Tables:
         return self.all_commits().filter("NOT is_merge").drop("dec", "watch", "rej")
 
     @role
-    def _keys(self) -> DataFrame:
-        return self.commits().select("project", "sha", "log_pos", "date", "key")
+    def _orders(self) -> DataFrame:
+        """The orders that are commits, in the columns that ``COMMIT_OF_ORDER`` follows from."""
+        return self.raw("orders").filter("NOT (o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM')").selectExpr(
+            "o_orderkey AS key", "o_custkey AS cust", "o_orderdate AS date")
 
     @role
     def files(self) -> DataFrame:
-        parts = self.raw("lineitem").selectExpr("l_orderkey AS key", "l_partkey % 100 AS m").distinct()
-        return parts.join(self._keys(), "key").selectExpr("project", "sha", "log_pos", "date", f"{FILE_OF_PART} AS file")
+        parts = self.raw("lineitem").selectExpr("l_orderkey AS key", "CAST(l_partkey % 100 AS INT) AS m").distinct()
+        return parts.join(self._orders(), "key").selectExpr(*COMMIT_OF_ORDER, "date", f"{FILE_OF_PART} AS file")
 
     @role
     def tracked(self) -> DataFrame:
-        parts = self.raw("lineitem").filter("l_quantity >= 49").selectExpr("l_orderkey AS key", "l_partkey % 100 AS m")
-        return parts.join(self._keys(), "key").selectExpr("project", f"{FILE_OF_PART} AS file").distinct()
+        parts = self.raw("lineitem").filter("l_quantity >= 49").selectExpr("l_orderkey AS key", "CAST(l_partkey % 100 AS INT) AS m")
+        return parts.join(self._orders(), "key").selectExpr(PROJECT_OF_ORDER, f"{FILE_OF_PART} AS file").distinct()
 
     @role
     def hunks(self) -> DataFrame:
         lines = self.raw("lineitem").selectExpr(
-            "l_orderkey AS key", "l_partkey % 100 AS m", "CAST(l_linenumber AS BIGINT) * 40 AS new_start",
-            "CAST(l_quantity AS BIGINT) AS new_count", "CAST(l_linenumber AS BIGINT) * 40 AS old_start",
-            "CAST(l_quantity AS BIGINT) - 1 AS old_count")
-        return lines.join(self._keys(), "key").selectExpr(
-            "project", "sha", "log_pos", "date", f"{FILE_OF_PART} AS file", "new_start", "new_count", "old_start",
-            "old_count").filter("NOT endswith(file, '.lock')")
+            "l_orderkey AS key", "CAST(l_partkey % 100 AS INT) AS m", "l_linenumber AS n", "CAST(l_quantity AS BIGINT) AS q")
+        return lines.join(self._orders(), "key").selectExpr(
+            *COMMIT_OF_ORDER, "date", f"{FILE_OF_PART} AS file", "CAST(n AS BIGINT) * 40 AS new_start", "q AS new_count",
+            "CAST(n AS BIGINT) * 40 AS old_start", "q - 1 AS old_count").filter("NOT endswith(file, '.lock')")
 
     @role
     def renames(self) -> DataFrame:
@@ -126,11 +136,14 @@ class Tables:
     # --- narratives and judgements ------------------------------------------
     @role
     def narratives(self) -> DataFrame:
-        commits = self.all_commits().select("project", "sha", "log_pos", "date", "key", "dec", "watch", "rej")
         labels = self.raw("labels").withColumnRenamed("doc_id", "label_id")
         docs = self.raw("documents")
+        # only orders that have a document meet the texts, in few columns
+        orders = sieved(self.raw("orders"), ["o_orderkey"], docs.select(F.col("doc_id").alias("o_orderkey"))).selectExpr(
+            "o_orderkey AS key", "o_custkey AS cust", "o_orderdate AS date", "o_orderstatus AS status", "o_orderpriority AS priority")
         # a document without an order is kept under a project of its own, so that no text is left out of a corpus
-        rows = docs.join(commits, F.col("doc_id") == F.col("key"), "left").join(labels, F.col("doc_id") == F.col("label_id"), "left")
+        rows = docs.join(orders, F.col("doc_id") == F.col("key"), "left").join(labels, F.col("doc_id") == F.col("label_id"), "left").selectExpr(
+            "*", *COMMIT_OF_ORDER, *(f"{what} AS {name}" for name, what in NOTES_OF_ORDER.items()))
         return rows.selectExpr(
             "coalesce(project, concat('/fleet/unfiled', doc_id div 100)) AS project", "coalesce(sha, sha1(concat('d', doc_id))) AS sha",
             "coalesce(log_pos, doc_id) AS log_pos", "coalesce(date, TIMESTAMP_NTZ '1970-01-01') AS date", "doc_id",
