@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from whylake import constants as K
 from whylake.operators.history import line_history
-from whylake.operators.ranking import top_n
+from whylake.operators.ranking import among, sieved, top_n
 from whylake.operators.rendering import context_line
-from whylake.session import cut_lineage
+from whylake.session import written
 
 FILE = ["project", "file"]
 #: Days of a bucket in which the commits of a stretch of time are looked up.
@@ -23,13 +23,16 @@ def retrieve(targets: DataFrame, commits: DataFrame, files: DataFrame, hunks: Da
     has no line data, or no lines are asked for, that of the file (``file``); without a file all commits of the project
     from ``since`` on and before ``until`` (``time``), which both have to be given then.  ``since`` narrows the others too.
     """
+    targets = written(targets)
     lines = targets.filter("file IS NOT NULL AND start IS NOT NULL")
+    if renames is None:  # no other hunks are looked at
+        hunks = written(among(hunks, FILE, lines))
     mapped = hunks.select(*FILE).distinct()
     followed = line_history(lines.join(mapped, FILE, "left_semi").select("target_id", *FILE, "start", "end"), hunks, limit=limit, renames=renames)
     by_line = followed.select("target_id", F.lit("line").alias("kind"), "project", "sha", "log_pos")
 
     whole = targets.filter("file IS NOT NULL AND start IS NULL").unionByName(lines.join(mapped, FILE, "left_anti").select(*targets.columns))
-    by_file = files.select(*FILE, "sha", "log_pos").join(whole.select("target_id", *FILE), FILE).select(
+    by_file = sieved(files.select(*FILE, "sha", "log_pos"), FILE, whole).join(whole.select("target_id", *FILE), FILE).select(
         "target_id", F.lit("file").alias("kind"), "project", "sha", "log_pos")
 
     # an equi-join on buckets of days; a commit lies in one bucket, so no pair repeats
@@ -37,14 +40,15 @@ def retrieve(targets: DataFrame, commits: DataFrame, files: DataFrame, hunks: Da
     times = targets.filter("file IS NULL").select("target_id", "project", "since", "until").withColumn(
         "_bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.col("until")))))
     dated = commits.select("project", "sha", "log_pos", "date").withColumn("_bucket", bucket(F.col("date")))
-    by_time = dated.join(times, ["project", "_bucket"]).filter("date >= since AND date < until").select(
+    by_time = sieved(dated, ["project", "_bucket"], times).join(times, ["project", "_bucket"]).filter("date >= since AND date < until").select(
         "target_id", F.lit("time").alias("kind"), "project", "sha", "log_pos")
 
     # written: at most ``limit`` rows for each target, read several times by what is looked up behind them
-    newest = cut_lineage(top_n(by_line.unionByName(by_file).unionByName(by_time), ["target_id"], [F.col("log_pos").desc()], limit))
+    newest = written(top_n(by_line.unionByName(by_file).unionByName(by_time), ["target_id"], [F.col("log_pos").desc()], limit))
     # the newest of all, less those before ``since``, are the newest from then on
-    asked = newest.join(targets.select("target_id", "since"), "target_id").join(commits.select("project", "sha", "date"), ["project", "sha"])
-    return cut_lineage(asked.filter("since IS NULL OR date >= since").select("target_id", "kind", "project", "sha", "log_pos", "rank"))
+    dates = sieved(commits.select("project", "sha", "date"), ["project", "sha"], newest)
+    asked = newest.join(targets.select("target_id", "since"), "target_id").join(dates, ["project", "sha"])
+    return written(asked.filter("since IS NULL OR date >= since").select("target_id", "kind", "project", "sha", "log_pos", "rank"))
 
 
 def contexts(history: DataFrame, segments: DataFrame) -> DataFrame:
