@@ -11,11 +11,12 @@ from whylake.operators import align as A
 from whylake.operators import history as H
 from whylake.operators import questions as Q
 from whylake.operators import rendering, reports, review, search, state
+from whylake.operators.ranking import among
 from whylake.plans.evidence_queries import _AFTER, CARD_TARGETS_SQL, HITS_CTES, REDACT_CTES, RENDER_SQL, SEG_LISTS, _sql_steps, card_targets, sql_named, topic_hits
 from whylake.plans.history_queries import ALIGN_CTES, TODAY, TODAY_SQL
 from whylake.plans.notes_queries import SNAPSHOT_SQL, line_walk, snapshot
 from whylake.plans.registry import query
-from whylake.session import cut_lineage
+from whylake.session import cut_lineage, written
 
 TESTS_SQL = f"""SELECT project, sha, path, names FROM (
   SELECT w.project, w.sha, w.path, ['test_' || s.stem || '_ok', 'test_' || s.stem || '_slow'] AS names, row_number() OVER (PARTITION BY w.sha ORDER BY w.path) AS rank
@@ -26,7 +27,7 @@ TESTS_SQL = f"""SELECT project, sha, path, names FROM (
 
 def references(t, asked):
     """What is stored behind the commits ``asked`` (sha), each once, and behind no others."""
-    only = lambda rows: rows.join(asked, "sha", "left_semi")
+    only = lambda rows: among(rows, ["sha"], asked)
     refs = H.references(H.test_refs(only(t.files()), snapshot(t)), only(t.requests()))
     return H.stored_references(refs, only(t.evidence()))
 
@@ -99,13 +100,13 @@ ASK_SQL = f"""SELECT 'f|' || project AS target_id, project, file, CAST(NULL AS B
 
 def ask_targets(t):
     day = lambda n: F.date_sub(F.lit(TODAY), n).cast("timestamp_ntz")
-    first = t.tracked().filter("file LIKE 'src/%'").groupBy("project").agg(F.min("file").alias("file"))
+    first = written(t.tracked().filter("file LIKE 'src/%'").groupBy("project").agg(F.min("file").alias("file")))
     none, no_day = F.lit(None).cast("bigint"), F.lit(None).cast("timestamp_ntz")
 
     def named(rows, kind, file, start, end, since, until):
         return rows.select(F.concat(F.lit(f"{kind}|"), "project").alias("target_id"), "project", file.alias("file"), start.alias("start"), end.alias("end"), since.alias("since"), until.alias("until"))
 
-    begins = t.hunks().join(first, ["project", "file"], "left_semi").groupBy("project", "file").agg(F.min("new_start").alias("s"))
+    begins = among(t.hunks(), ["project", "file"], first).groupBy("project", "file").agg(F.min("new_start").alias("s"))
     locks = t.files().filter("file LIKE '%.lock'").groupBy("project").agg(F.min("file").alias("file"))
     file = F.col("file")
     rows = named(first, "f", file, none, none, day(720), no_day)
@@ -138,7 +139,8 @@ SELECT r.target_id, r.kind, count(*) AS commits, arg_max(r.sha, r.log_pos) AS ne
 FROM retrieved r JOIN seg s ON s.sha = r.sha GROUP BY 1, 2)""")
 def ask_targets_query(t):
     history = Q.retrieve(ask_targets(t), t.commits(), t.files(), t.hunks())
-    return Q.contexts(history, H.segments(t.commits(), t.narratives())).withColumn("context", F.md5(redact(F.col("context"))))
+    only = lambda rows: among(rows, H.COMMIT, history)
+    return Q.contexts(history, H.segments(only(t.commits()), only(t.narratives()))).withColumn("context", F.md5(redact(F.col("context"))))
 
 
 @query("ask_references", f"""
@@ -150,7 +152,7 @@ SELECT target_id, kind, key, min(log_pos) AS log_pos FROM items GROUP BY ALL""")
 def ask_references(t):
     """Evidence, tests and requests behind each target, every one once."""
     history = Q.retrieve(ask_targets(t), t.commits(), t.files(), t.hunks()).withColumnRenamed("target_id", "target")
-    asked = cut_lineage(history.select("sha").distinct())
+    asked = written(history.select("sha").distinct())
     rows = search.reference_rows(history, references(t, asked).drop("project"))
     return rows.select(F.col("target").alias("target_id"), "kind", "key", "log_pos")
 
