@@ -168,6 +168,18 @@ def test_sieved_rows_are_those_wanted(spark):
     assert ranking.among(df, ["project"], wanted.limit(0)).count() == 0
 
 
+def test_joins_with_few_rows_are_plain_joins(spark):
+    """As a left join and an anti join give them, repeated and missing keys included; most rows are never shuffled."""
+    df = frame(spark, [("p%d" % (i % 5), i % 600, i) for i in range(3000)] + [(None, 3, -1), ("p1", None, -2)], "project string, n bigint, id bigint")
+    few = frame(spark, [("p3", 8, "a"), ("p3", 8, "b"), ("p1", 1, None), ("p9", 1, "z"), (None, 3, "n")], "project string, n bigint, word string")
+    keys = ["project", "n"]
+    plain = lambda rows: sorted(map(str, rows.select("project", "n", "id", *(["word"] if "word" in rows.columns else [])).collect()))
+    assert plain(ranking.left_few(df, few, keys)) == plain(df.join(few, keys, "left"))
+    assert plain(ranking.without_few(df, few, keys)) == plain(df.join(few, keys, "left_anti"))
+    assert ranking.sieved(df, keys, few).count() < 100
+    assert ranking.sieved(df, keys, few).count() + ranking.sieved(df, keys, few, others=True).count() == df.count()
+
+
 def test_written_tables_read_back_as_they_were(spark):
     df = frame(spark, [("p", 1, T0, ["a", None], None), (None, None, None, None, (1, "x"))],
                "project string, n bigint, date timestamp, items array<string>, s struct<a:int,b:string>")
