@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from whylake.functions import text
 from whylake.operators import adr, align, audits, capsules, coverage, debt, drift, graph, history, linemaps, ranking, reports, review, search, search_index, sessions, state, usage
 from whylake.plans import catalog
 from whylake.session import written
@@ -187,6 +188,15 @@ def test_written_tables_read_back_as_they_were(spark):
     assert written(df.limit(0)).count() == 0
 
 
+def test_packed_texts_come_back(spark):
+    texts = ["0a" * 20, "ff", "", "abc", "0A0B", "c1", "é", "0a\n", "00" * 20, None]
+    df = frame(spark, [(x,) for x in texts], "sha string").select("sha", text.packed_hex(F.col("sha")).alias("p"))
+    assert [r.back for r in df.select(text.unpacked_hex(F.col("p")).alias("back")).collect()] == texts
+    packed = {r.sha: bytes(r.p) for r in df.filter("sha IS NOT NULL").collect()}
+    assert len(set(packed.values())) == len(packed) and len(packed["0a" * 20]) == 21
+    assert packed["00" * 20] < packed["0a" * 20]
+
+
 def test_line_items_meet_orders_without_their_names(spark, tmp_path):
     """SHA and project of a commit are written out behind the join by order; what is shuffled for it has numbers only."""
     from whylake.plans.tables import SCHEMAS, Tables
