@@ -110,18 +110,18 @@ class Tables:
 
     @role
     def files(self) -> DataFrame:
-        parts = self.raw("lineitem").selectExpr("l_orderkey AS key", "CAST(l_partkey % 100 AS INT) AS m").distinct()
+        parts = self.raw("lineitem").selectExpr("l_orderkey AS key", "l_partkey % 100 AS m").distinct()
         return parts.join(self._orders(), "key").selectExpr(*COMMIT_OF_ORDER, "date", f"{FILE_OF_PART} AS file")
 
     @role
     def tracked(self) -> DataFrame:
-        parts = self.raw("lineitem").filter("l_quantity >= 49").selectExpr("l_orderkey AS key", "CAST(l_partkey % 100 AS INT) AS m")
+        parts = self.raw("lineitem").filter("l_quantity >= 49").selectExpr("l_orderkey AS key", "l_partkey % 100 AS m")
         return parts.join(self._orders(), "key").selectExpr(PROJECT_OF_ORDER, f"{FILE_OF_PART} AS file").distinct()
 
     @role
     def hunks(self) -> DataFrame:
         lines = self.raw("lineitem").selectExpr(
-            "l_orderkey AS key", "CAST(l_partkey % 100 AS INT) AS m", "l_linenumber AS n", "CAST(l_quantity AS BIGINT) AS q")
+            "l_orderkey AS key", "l_partkey % 100 AS m", "l_linenumber AS n", "CAST(l_quantity AS BIGINT) AS q")
         return lines.join(self._orders(), "key").selectExpr(
             *COMMIT_OF_ORDER, "date", f"{FILE_OF_PART} AS file", "CAST(n AS BIGINT) * 40 AS new_start", "q AS new_count",
             "CAST(n AS BIGINT) * 40 AS old_start", "q - 1 AS old_count").filter("NOT endswith(file, '.lock')")
